@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe
+from .lz_fingerprint import op10_lz_fingerprint
+from .minhash_dedup import op4_minhash_dedup
+from .mixing import op8_mixing
+from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 
+QUERIES = (op2_bpe, op4_minhash_dedup, op6_substring_dedup, op8_mixing, op9_suffix_dedup, op10_lz_fingerprint)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_suffix_dedup,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

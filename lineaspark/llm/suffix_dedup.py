@@ -75,7 +75,7 @@ def front_code(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def _runs(window: int, gram: int, parts: int):
-    reach = window - gram
+    reach = max(1, window - gram)  # a column at least
 
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         empty = pa.table({"part": pa.array([], pa.int32()), "run": pa.array([], pa.binary())})
@@ -190,7 +190,7 @@ class LoserTree:
 
 
 def _merge(window: int, gram: int):
-    reach = window - gram
+    reach = max(1, window - gram)
 
     def run(table: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor()
@@ -220,7 +220,7 @@ def _merge(window: int, gram: int):
             return np.cumsum(shared < window - m)[rows] * np.int64(len(row) + 1) + number[rows]
 
         group = np.cumsum(shared < gram)
-        high, low = c.extents(group, every["n"].to_numpy(), every["have_left"].to_numpy(), every["have_right"].to_numpy(), key, reach, window)
+        high, low = c.extents(group, every["n"].to_numpy(), every["have_left"].to_numpy(), every["have_right"].to_numpy(), key, window - gram, window)
         hit = high >= 0
         return pa.table({"block": np.array(blocks, np.int32)[merged[:, 0]][hit], "context": every["context"].to_numpy()[hit], "high": high[hit], "low": low[hit]})
 
