@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 WINDOW, GRAM = 35, 8
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 
 class _Words:
@@ -31,11 +31,11 @@ class _Words:
     """
 
     def __init__(self, texts: list[bytes]):
-        self.words = [x.split() for x in texts]
-        count = np.array([len(w) for w in self.words], np.int64)
+        lines = [b" ".join(x.split()) for x in texts]
+        count = np.array([x.count(b" ") + 1 if x else 0 for x in lines], np.int64)
         self.end = np.cumsum(count)
         self.start = self.end - count
-        self.raw = b"\n".join(b" " + b" ".join(w) + b" " if w else b"" for w in self.words)
+        self.raw = b"\n".join([b" " + x + b" " if x else b"" for x in lines])
         self.bytes = np.frombuffer(self.raw, np.uint8)
         spaces = np.flatnonzero(self.bytes == 32)
         last = np.cumsum(count[count > 0] + 1) - 1
@@ -134,11 +134,12 @@ def _remove(docs: pa.Table, found: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
     rows = c.unpack(docs)
-    w = _Words(c.texts_of(rows))
+    texts = c.texts_of(rows)
+    w = _Words(texts)
     gone = _locate(w, found["passage"].to_pylist() if found.num_rows else [])
     removed, kept = [], []
-    for a, e, words in zip(w.start, w.end, w.words):
-        mask = gone[a:e]
+    for a, e, text in zip(w.start, w.end, texts):
+        mask, words = gone[a:e], text.split()
         removed.append(int(mask.sum()))
         kept.append(b" ".join([x for x, off in zip(words, mask.tolist()) if not off] if removed[-1] else words).decode())
     return pa.table({"doc_id": rows["doc_id"], "n_words": w.end - w.start, "n_removed": np.array(removed, np.int64), "kept": pa.array(kept, pa.string())})
