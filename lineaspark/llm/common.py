@@ -9,6 +9,7 @@ the shuffled bytes.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,25 @@ def ensure_checkpoint(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read from there.
+
+    Unlike a checkpoint, the table read back brings its true size to the optimizer, which loops of joins need.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by :func:`settle` that nothing will read again."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, under fixed names, so that no other column of the input can clash; null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

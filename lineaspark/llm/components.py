@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint
+from .common import discard, settle
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -30,17 +30,17 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (u long, v long), component being the least node reachable.
 
     Links with a null end and links of a node to itself are left out.  Each round keeps the components and
-    ends when no link changes, after a number of rounds that is logarithmic in the longest path.  Links live
-    in checkpoints, so a lost executor costs one round at most.
+    ends when no link changes, after a number of rounds that is logarithmic in the longest path.  Each
+    round's links are a table in the shared folder, so a lost executor costs one round at most.
     """
-    ensure_checkpoint(links.sparkSession)
-    now = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
+    now = settle(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == state or not mark[0]:
             break
         state = mark
-        now = _small_star(_large_star(now)).checkpoint()
+        before, now = now, settle(_small_star(_large_star(now)))
+        discard(before)
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

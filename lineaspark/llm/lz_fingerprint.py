@@ -152,14 +152,13 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are ordered by descending text, null ids come last.  Null text is empty.  Documents are dealt by ranges of
     ids, so neighbours meet without a global sort; each range gets a copy of the next range's first row.
     """
-    c.ensure_checkpoint(docs.sparkSession)
     rows = c.id_text(docs, id_col, text_col)
     n = max(8, c.count_blocks(rows, BUCKET_BYTES))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
     bucket = F.when(F.col("doc_id").isNull(), F.lit(n + 1)).otherwise(F.lit(n) - _below(sorted(set(cuts)), F.col("doc_id")))
     rows = rows.select(bucket.alias("bucket"), F.lit(0).alias("guard"), "doc_id", "text")
     # One row for each bucket: its first document, handed to the bucket before, the first bucket's to the last.
-    heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "text")).alias("head")).checkpoint()
+    heads = c.settle(rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "text")).alias("head")))
     names = sorted(r.bucket for r in heads.select("bucket").collect())
     before = dict(zip(names, [names[-1], *names[:-1]])) if names else {}
     to = F.lit(0)

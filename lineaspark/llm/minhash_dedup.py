@@ -100,15 +100,14 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nothing.  Ids should be unique; repeated rows share their fate.  A null id has a null component and is
     kept.  An empty table gives an empty result; other columns of ``docs`` are not read.
     """
-    c.ensure_checkpoint(docs.sparkSession)
     docs = c.id_text(docs, id_col, text_col)
-    known = docs.mapInArrow(_signatures(width, rows, bands), "doc_id long, n long, digest binary, keys array<long>").checkpoint()
+    known = c.settle(docs.mapInArrow(_signatures(width, rows, bands), "doc_id long, n long, digest binary, keys array<long>"))
     classes = known.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     bucket = classes.select("rep", "n", F.explode("keys").alias("key"))
     led = bucket.join(bucket.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead"), "key")
-    led = led.select("key", "rep", "n", "lead").checkpoint()
+    led = c.settle(led.select("key", "rep", "n", "lead"))
     stars = led.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-    links = _confirmed(stars, docs, width, percent).checkpoint()
+    links = c.settle(_confirmed(stars, docs, width, percent))
     found = components(links)
     # Pairs of a bucket in different components, the lead's own comparisons being done.  Sizes must allow the similarity.
     placed = led.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "lead", F.coalesce("component", "rep").alias("comp"))
@@ -120,7 +119,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a = rest.select("key", F.col("comp").alias("c1"), F.col("rep").alias("r1"), F.col("n").alias("n1"))
     b = rest.select("key", F.col("comp").alias("c2"), F.col("rep").alias("r2"), F.col("n").alias("n2"))
     cross = meet.join(a, ["key", "c1"]).join(b, ["key", "c2"]).where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    cross = cross.select(F.least("r1", "r2").alias("u"), F.greatest("r1", "r2").alias("v")).distinct().checkpoint()
+    cross = c.settle(cross.select(F.least("r1", "r2").alias("u"), F.greatest("r1", "r2").alias("v")).distinct())
     if cross.limit(1).count():
         links = links.unionByName(_confirmed(cross, docs, width, percent))
         found = components(links)

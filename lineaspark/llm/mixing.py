@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint
+from .common import settle
 
 CEILING = 3
 WEIGHTS = (5, 2, 1)
@@ -58,7 +58,7 @@ def _solve(counts: DataFrame, aims: DataFrame, ceiling: int) -> DataFrame:
     scale = counts.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     aims = aims.join(scale.withColumnRenamed("source", "s2"), near(aims)).drop("s2")
     # At the upper end even the smallest document is at the ceiling; the lower end takes next to nothing.
-    state = aims.where("source_size > 0").select("source", "target", "scale", (-50.0 * F.col("scale") / F.col("least")).alias("lo"), (log_top * F.col("scale") / F.col("least")).alias("hi"), F.lit(0.0).alias("m"), F.lit(False).alias("done")).checkpoint()
+    state = settle(aims.where("source_size > 0").select("source", "target", "scale", (-50.0 * F.col("scale") / F.col("least")).alias("lo"), (log_top * F.col("scale") / F.col("least")).alias("hi"), F.lit(0.0).alias("m"), F.lit(False).alias("done")))
     for _ in range(_NEWTON):
         s = state.withColumnRenamed("source", "s2")
         x = F.col("m") * F.col("size") / F.col("scale")
@@ -75,7 +75,7 @@ def _solve(counts: DataFrame, aims: DataFrame, ceiling: int) -> DataFrame:
         step = step.withColumn("lo2", lo).withColumn("hi2", hi).withColumn("newton", newton).withColumn("done2", F.abs(miss) <= 1e-9 * F.col("target"))
         inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("lo2")) & (F.col("newton") < F.col("hi2"))
         m = F.when(F.col("done2"), F.col("m")).when(inside, F.col("newton")).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-        state = step.select("source", "target", "scale", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), m.alias("m"), F.col("done2").alias("done")).checkpoint()
+        state = settle(step.select("source", "target", "scale", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), m.alias("m"), F.col("done2").alias("done")))
         if not state.where("not done").limit(1).count():
             break
     return state.select("source", "target", "scale", "m")
@@ -90,15 +90,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is a source of its own, a null id an id like others, null text is empty.  An empty table gives an empty
     result; other columns of ``docs`` are not read.  Reruns give the same result.
     """
-    ensure_checkpoint(docs.sparkSession)
     draw = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), draw.alias("draw"))
-    rows = rows.checkpoint()
+    rows = settle(rows)
     # A slice of the hash splits large classes, so that ranking one never needs a single task.
     cell = F.pmod(F.col("draw"), F.lit(1024)).cast("int")
-    cells = rows.withColumn("cell", cell).groupBy("source", "size", "cell").agg(F.count("*").alias("n")).checkpoint()
-    counts = cells.groupBy("source", "size").agg(F.sum("n").alias("n")).checkpoint()
-    aims = targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, ceiling).checkpoint()
+    cells = settle(rows.withColumn("cell", cell).groupBy("source", "size", "cell").agg(F.count("*").alias("n")))
+    counts = settle(cells.groupBy("source", "size").agg(F.sum("n").alias("n")))
+    aims = settle(targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, ceiling))
     solved = _solve(counts, aims, ceiling).withColumnRenamed("source", "s2")
     rate = F.exp(F.least(F.col("m") * F.col("size") / F.col("scale"), F.lit(math.log(ceiling))))
     sized = counts.where("size > 0").join(solved, counts["source"].eqNullSafe(solved["s2"])).select("source", F.struct((-F.col("size")).alias("order"), "size", "n", rate.alias("rate")).alias("class"))
@@ -113,7 +112,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return F.struct(owed.cast("double").alias("owed"), F.concat(state["out"], F.array(entry)).alias("out"))
 
     plan = sized.groupBy("source").agg(F.sort_array(F.collect_list("class")).alias("classes"))
-    plan = plan.select("source", F.explode(F.aggregate("classes", start, take, lambda s: s["out"])).alias("x")).select("source", "x.*").checkpoint()
+    plan = plan.select("source", F.explode(F.aggregate("classes", start, take, lambda s: s["out"])).alias("x")).select("source", "x.*")
     base, more = F.floor(F.col("total") / F.col("n")).cast("long"), (F.col("total") % F.col("n")).cast("long")
     p = plan.select(F.col("source").alias("s2"), F.col("size").alias("z2"), "rate", base.alias("base"), more.alias("more"))
     order = Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

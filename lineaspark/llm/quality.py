@@ -132,7 +132,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y", F.xxhash64("doc_id").alias("k"))
     chosen = F.broadcast(known.orderBy("k").limit(sample))  # at most ``sample`` rows of three numbers
     rows = c.id_text(docs, id_col, text_col).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("text", "y", "k")
-    return bytes(rows.coalesce(1).mapInArrow(_train, "weights binary").first().weights)
+    return bytes(rows.repartition(1).mapInArrow(_train, "weights binary").first().weights)
 
 
 def score_quality(docs: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .chat_format import op3_chat_format
 from .lz_fingerprint import op10_lz_fingerprint
 from .minhash_dedup import op4_minhash_dedup
 from .mixing import op8_mixing
+from .quality import op7_quality
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
+from .vector_search import op1_vector_search
 
-QUERIES = (op2_bpe, op4_minhash_dedup, op6_substring_dedup, op8_mixing, op9_suffix_dedup, op10_lz_fingerprint)
+QUERIES = (op1_vector_search, op2_bpe, op3_chat_format, op4_minhash_dedup, op6_substring_dedup, op7_quality, op8_mixing, op9_suffix_dedup, op10_lz_fingerprint)
 
 
 def queries() -> dict:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 SAMPLE = 20_000
 LIST = 64
 COPIES, CLOSE = 4, 1.15
@@ -205,9 +207,6 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     on at most ``SAMPLE`` vectors (those with the lowest hash); every row is indexed.  No usable row gives an
     empty result; other columns are not read.
     """
-    from .common import ensure_checkpoint
-
-    ensure_checkpoint(vectors.sparkSession)
     rows, dim = usable(vectors, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
     if not dim:
@@ -215,7 +214,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     # Of equal vectors the k + 1 least ids; first within slices of the ids, so a frequent vector is no single task's.
     slices = rows.distinct().withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64)))
     some = slices.withColumn("rank", F.row_number().over(Window.partitionBy("v", "slice").orderBy("id"))).where(F.col("rank") <= k + 1)
-    entries = some.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("vid"), "v", F.slice("ids", 1, k + 1).alias("ids")).checkpoint()
+    entries = settle(some.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("vid"), "v", F.slice("ids", 1, k + 1).alias("ids")))
     n = entries.count()
     sample = entries.select(F.xxhash64("v").alias("k"), "v").orderBy("k").limit(SAMPLE)
     index = bytes(sample.coalesce(1).mapInArrow(_fit(dim, max(1, min(n, SAMPLE) // max(LIST * min(n, SAMPLE) // n, 12))), "index binary").first()["index"])
@@ -224,7 +223,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     posted = entries.mapInArrow(_lists(index, dim, splits), "list long, part long, vid long, v array<double>, ids array<long>")
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("v").alias("qv")).distinct()
     heads = entries.select(F.col("vid").alias("qid"), F.col("v").alias("q"))
-    asked = asked.join(heads, F.col("qv") == F.col("q")).select("query_id", "qid").checkpoint()
+    asked = settle(asked.join(heads, F.col("qv") == F.col("q")).select("query_id", "qid"))
     queries = heads.join(asked.select("qid").distinct(), "qid", "left_semi").select("qid", "q")
 
     def run(queries: DataFrame, probes: int, ratio: float) -> DataFrame:
@@ -235,7 +234,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         out = asked.join(near, "qid").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         return _top(out, "query_id", [F.col("score"), F.col("vec_id")], k)
 
-    best = run(queries, probes, ratio).checkpoint()
+    best = settle(run(queries, probes, ratio))
     short = asked.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id")
     if n > 1 and lists > 1 and short.limit(1).count():
         again = run(queries.join(asked.join(short, "query_id").select("qid").distinct(), "qid", "left_semi"), lists, float("inf")).join(short, "query_id", "left_semi")
