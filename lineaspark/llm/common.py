@@ -57,9 +57,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only id and text, under fixed names, so that no other column of the input can clash; null text is empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Only id and text, under fixed names, so that no other column of the input can clash; null text is empty.
+
+    ``carry`` names columns that go along in one struct, ``row``.
+    """
+    more = [F.struct(*[F.col(f"`{x}`") for x in carry]).alias("row")] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
 def count_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
@@ -71,7 +75,7 @@ def count_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 def _pack_batches(batches):
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        table = pa.table({"block": batch.column(0), "doc_id": batch.column(1), "text": batch.column(2)}).sort_by("block")
+        table = pa.Table.from_batches([batch]).sort_by("block")
         block = table["block"].to_numpy()
         if not len(block):
             continue
@@ -80,7 +84,7 @@ def _pack_batches(batches):
         names, blobs = [], []
         for a, b in zip(edges[:-1], edges[1:]):
             sink = pa.BufferOutputStream()
-            part = table.slice(a, b - a).select(["doc_id", "text"]).combine_chunks()
+            part = table.slice(a, b - a).drop_columns("block").combine_chunks()
             with pa.ipc.new_stream(sink, part.schema) as out:
                 out.write_table(part)
             names.append(int(block[a]))
@@ -91,7 +95,7 @@ def _pack_batches(batches):
 def pack(docs: DataFrame, n_blocks: int) -> DataFrame:
     """(block, payload) rows of ``docs`` (as made by :func:`id_text`)."""
     block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n_blocks)).cast("int")
-    return docs.select(block.alias("block"), "doc_id", "text").mapInArrow(_pack_batches, PACK_SCHEMA)
+    return docs.select(block.alias("block"), *docs.columns).mapInArrow(_pack_batches, PACK_SCHEMA)
 
 
 def unpack(table: pa.Table) -> pa.Table:

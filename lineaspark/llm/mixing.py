@@ -51,11 +51,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int
     return w.select("source", "source_size", F.least(target, F.col("top")).alias("target"))
 
 
+def _total(term: Column) -> Column:
+    """A sum that does not depend on the order of its terms, so that reruns agree to the last digit."""
+    return F.sum(term.cast("decimal(38,9)")).cast("double")
+
+
 def _solve(counts: DataFrame, aims: DataFrame, ceiling: int) -> DataFrame:
     """(source, m): the multiplier of each source, by Newton steps kept inside a shrinking bracket."""
     near = lambda d: d["source"].eqNullSafe(F.col("s2"))
     log_top = math.log(ceiling)
-    scale = counts.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    scale = counts.groupBy("source").agg((_total(F.col("n") * F.col("size") * F.col("size")) / F.greatest(_total(F.col("n") * F.col("size")), F.lit(1.0))).alias("scale"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     aims = aims.join(scale.withColumnRenamed("source", "s2"), near(aims)).drop("s2")
     # At the upper end even the smallest document is at the ceiling; the lower end takes next to nothing.
     state = settle(aims.where("source_size > 0").select("source", "target", "scale", (-50.0 * F.col("scale") / F.col("least")).alias("lo"), (log_top * F.col("scale") / F.col("least")).alias("hi"), F.lit(0.0).alias("m"), F.lit(False).alias("done")))
@@ -64,8 +69,8 @@ def _solve(counts: DataFrame, aims: DataFrame, ceiling: int) -> DataFrame:
         x = F.col("m") * F.col("size") / F.col("scale")
         rate = F.exp(F.least(x, F.lit(log_top)))
         parts = counts.join(s, counts["source"].eqNullSafe(s["s2"])).groupBy("source").agg(
-            F.sum(F.col("n") * F.col("size") * rate).alias("took"),
-            F.sum(F.when(x < log_top, F.col("n") * F.col("size") * F.col("size") / F.col("scale") * rate).otherwise(0.0)).alias("slope"),
+            _total(F.col("n") * F.col("size") * rate).alias("took"),
+            _total(F.when(x < log_top, F.col("n") * F.col("size") * F.col("size") / F.col("scale") * rate).otherwise(0.0)).alias("slope"),
         )
         parts = parts.withColumnRenamed("source", "s2")
         step = state.join(parts, state["source"].eqNullSafe(parts["s2"]))
@@ -81,8 +86,22 @@ def _solve(counts: DataFrame, aims: DataFrame, ceiling: int) -> DataFrame:
     return state.select("source", "target", "scale", "m")
 
 
+def draw_of(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix`, applied to them, decided; columns as they are."""
+    place = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(by[-1]))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), draw_of(id_col, text_col).alias("draw"))
+    rows = rows.withColumn("place", place(["doc_id", "draw"]))
+    wanted = mixed.withColumn("place", place(["doc_id", "draw"])).where("copies > 0").select(F.col("doc_id").alias("d2"), F.col("draw").alias("w2"), F.col("place").alias("p2"), "copies")
+    match = rows["doc_id"].eqNullSafe(wanted["d2"]) & (rows["draw"] == wanted["w2"]) & (rows["place"] == wanted["p2"])
+    return rows.join(wanted, match).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
-    """doc_id, source, size (words), source_size, target (of the source), rate, copies and taken for every row.
+    """doc_id, source, size (words), draw, source_size, target (of the source), rate, copies and taken for every row.
 
     ``taken`` is copies times size; copies lie between 0 and ``ceiling``.  Documents of one source and size
     differ by one copy at most, those with the lower hash of id and text first; equal rows that share one
@@ -90,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is a source of its own, a null id an id like others, null text is empty.  An empty table gives an empty
     result; other columns of ``docs`` are not read.  Reruns give the same result.
     """
-    draw = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    draw = draw_of(id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), draw.alias("draw"))
     rows = settle(rows)
     # A slice of the hash splits large classes, so that ranking one never needs a single task.
@@ -122,9 +141,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     joined = ranked.join(offset, ranked["source"].eqNullSafe(offset["s2"]) & (ranked["size"] == offset["z2"]) & (ranked["cell"] == offset["c2"]), "left")
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("base") + (F.col("rank") + F.col("before") <= F.col("more")).cast("long"))
     goal = F.broadcast(aims.withColumnRenamed("source", "s3")) if aims.count() <= 100_000 else aims.withColumnRenamed("source", "s3")
-    out = joined.select("doc_id", "source", "size", F.coalesce("rate", F.lit(1.0)).alias("rate"), copies.cast("long").alias("copies"))
+    out = joined.select("doc_id", "source", "size", "draw", F.coalesce("rate", F.lit(1.0)).alias("rate"), copies.cast("long").alias("copies"))
     out = out.join(goal, out["source"].eqNullSafe(goal["s3"]), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "draw", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

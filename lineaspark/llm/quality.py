@@ -110,29 +110,37 @@ class Network:
         self.b2 = (self.b2 + np.log(len(groups[1]) / len(groups[0]))).astype(np.float32)
 
 
+def _constant(score: float) -> Network:
+    """A network that has learned nothing: every text gets one score."""
+    net = Network()
+    net.w2[:], net.b2[:] = 0, np.log(score / (1 - score))
+    return net
+
+
 def _train(batches):
     rows = [(x.as_py(), y.as_py(), k.as_py()) for b in batches for x, y, k in zip(b.column(0).cast(pa.binary()), b.column(1), b.column(2))]
     rows.sort(key=lambda x: (x[2], x[0]))
     labels = np.array([y for _, y, _ in rows])
-    net = Network()
     if len(set(labels.tolist())) == 2:
+        net = Network()
         net.fit([x for x, _, _ in rows], labels)
-    else:  # nothing to learn from: the share of label 1, or one half
-        net.w2[:] = 0
-        net.b2[:] = {0: -5, 1: 5}.get(int(labels[0]), 0) if len(labels) else 0
+    else:
+        net = _constant((0.01, 0.99)[labels[0]] if len(labels) else 0.5)
     yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary())], names=["weights"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> bytes:
     """Weights fitted on at most ``sample`` labelled documents, those with the lowest hash of their id.
 
-    Labels other than 0 and 1, null ids and ids with differing labels are left out.
+    Labels other than 0 and 1, null ids and ids with differing labels are left out.  Without labels every
+    score is one half; with one label only, 0.01 or 0.99.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y", F.xxhash64("doc_id").alias("k"))
     chosen = F.broadcast(known.orderBy("k").limit(sample))  # at most ``sample`` rows of three numbers
     rows = c.id_text(docs, id_col, text_col).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("text", "y", "k")
-    return bytes(rows.repartition(1).mapInArrow(_train, "weights binary").first().weights)
+    fitted = rows.repartition(1).mapInArrow(_train, "weights binary").first()
+    return bytes(fitted.weights) if fitted else _constant(0.5).dump()
 
 
 def score_quality(docs: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .chat_format import op3_chat_format
+from .license_scan import op5_license_scan, sql as license_sql
 from .lz_fingerprint import op10_lz_fingerprint
 from .minhash_dedup import op4_minhash_dedup
 from .mixing import op8_mixing
@@ -12,7 +13,7 @@ from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 from .vector_search import op1_vector_search
 
-QUERIES = (op1_vector_search, op2_bpe, op3_chat_format, op4_minhash_dedup, op6_substring_dedup, op7_quality, op8_mixing, op9_suffix_dedup, op10_lz_fingerprint)
+QUERIES = (op1_vector_search, op2_bpe, op3_chat_format, op4_minhash_dedup, op5_license_scan, op6_substring_dedup, op7_quality, op8_mixing, op9_suffix_dedup, op10_lz_fingerprint)
 
 
 def queries() -> dict:
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": license_sql()}

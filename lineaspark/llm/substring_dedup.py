@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as c
 
@@ -131,8 +132,8 @@ def _locate(w: _Words, passages: list[bytes]) -> np.ndarray:
 
 
 def _remove(docs: pa.Table, found: pa.Table) -> pa.Table:
-    if not docs.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
+    if not docs.num_rows:  # passages without their block cannot be
+        raise ValueError("no documents in a block")
     rows = c.unpack(docs)
     texts = c.texts_of(rows)
     w = _Words(texts)
@@ -142,12 +143,15 @@ def _remove(docs: pa.Table, found: pa.Table) -> pa.Table:
         mask, words = gone[a:e], text.split()
         removed.append(int(mask.sum()))
         kept.append(b" ".join([x for x, off in zip(words, mask.tolist()) if not off] if removed[-1] else words).decode())
-    return pa.table({"doc_id": rows["doc_id"], "n_words": w.end - w.start, "n_removed": np.array(removed, np.int64), "kept": pa.array(kept, pa.string())})
+    out = {"doc_id": rows["doc_id"], "n_words": w.end - w.start, "n_removed": np.array(removed, np.int64), "kept": pa.array(kept, pa.string())}
+    return pa.table(out | ({"row": rows["row"]} if "row" in rows.column_names else {}))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept (remaining words joined by single spaces) for every row of ``docs``.
 
+    Columns of ``docs`` named in ``carry`` come along in a struct, ``row``.
+
     A word goes if some ``window`` consecutive words of its document that hold it also start anywhere else,
     the same document included; judged on the input.  Null or blank text has no words; documents shorter
     than ``window`` stay whole.  Repeated rows are documents like others.  Null ids are kept as they are.
@@ -155,15 +159,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
-    rows = c.id_text(docs, id_col, text_col)
+    rows = c.id_text(docs, id_col, text_col, carry)
     n_blocks = c.count_blocks(rows)
     parts = max(8, n_blocks * c.BLOCK_BYTES // PART_BYTES)
+    schema = T.StructType([T.StructField(k, T.LongType()) for k in ("doc_id", "n_words", "n_removed")] + [T.StructField("kept", T.StringType())])
+    if carry:
+        schema = schema.add(rows.schema["row"])
     packed = c.pack(rows, n_blocks)
     seen = packed.groupBy("block").applyInArrow(_grams(window, gram), "g long, block int, n int")
     again = seen.withColumn("n", F.sum("n").over(Window.partitionBy("g"))).where("n > 1").select("block", "g")
     contexts = packed.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_contexts(window, gram, parts), "part int, contexts binary")
     passages = contexts.groupBy("part").applyInArrow(_confirm(window, gram), "block int, passage binary")
-    return packed.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
+    return packed.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(_remove, schema)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
