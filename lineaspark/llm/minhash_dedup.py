@@ -1,22 +1,26 @@
 """MinHash near-dedup: universal hash minima, banding, exact confirmation, connected components.
 
 Documents with equal shingle sets form a class and are handled once.  Classes that share a band of minima
-are candidates.  In each bucket every class is first compared with the bucket's least class only; after the
-components of those links are known, the pairs of a bucket that still lie in different components are
-compared too.  So a bucket of thousands of near copies costs one comparison each, and yet no link is lost
-that could join two components.  Every link is confirmed on the full shingle sets.
+are candidates.  In each bucket every class is first compared with the bucket's least class only.  Where that
+joins all classes that hang together by buckets, they are done.  The others, such as a family of copies that
+differ from each other by more than the threshold allows, are cut into chunks by set size; each two chunks
+whose sizes allow a link meet in one task, which gets all intersections from products of 0/1 matrices and
+returns one link for each class at most.  So no pairs are written out, no task holds more than two chunks,
+and no link is lost.  Every link is decided on the full shingle sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 from .components import components
 
+CHUNK = 131_072  # shingles in a chunk, about
+
 
 def shingles(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles of a text, A-Z lower-cased; of all words, if fewer."""
@@ -81,15 +85,74 @@ def _sets(width: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose full sets are alike enough; only documents that occur in pairs are read again."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    items = docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<long>")
+def _confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) of ``pairs`` whose full sets are alike enough."""
     both = pairs.join(items.select(F.col("id").alias("u"), F.col("items").alias("a")), "u").join(items.select(F.col("id").alias("v"), F.col("items").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the least place of a set that it hangs together with by links."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    items, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    often = np.bincount(place, minlength=len(items)) > 1  # an item of one set is in no intersection
+    column = np.cumsum(often) - 1
+    use = often[place]
+    row, place = row[use], column[place[use]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    shared = np.zeros((n, n), np.float32)
+    for low in range(0, int(often.sum()), 2048):
+        a, b = np.searchsorted(place, [low, low + 2048])
+        m = np.zeros((n, 2048), np.float32)
+        m[row[a:b], place[a:b] - low] = 1
+        shared += m @ m.T
+    link = 100 * shared >= percent * (size[:, None] + size - shared)
+    label = np.arange(n)
+    while True:
+        near = np.where(link, label, n).min(axis=1)
+        new = np.minimum(label, near)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _chunk_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids = table["id"].to_numpy()
+        lists = table["items"].combine_chunks()
+        label = _linked(np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()), percent)
+        hit = label < np.arange(len(label))
+        return pa.table({"u": ids[label[hit]], "v": ids[hit]})
+
+    return run
+
+
+def _rest(items: DataFrame, near: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links among classes that hang together by buckets but not by the links found so far.
+
+    ``near`` and ``found`` give each node's component by buckets and by links.  Two nodes alone have met already.
+    """
+    sized = items.select("id", F.size("items").cast("long").alias("n"))
+    nodes = near.select(F.col("node").alias("id"), F.col("component").alias("family")).join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = nodes.groupBy("family").agg(F.count("*").alias("k"), F.min("component").alias("a"), F.max("component").alias("b")).where("k > 2 and a < b").select("family")
+    nodes = nodes.join(open_, "family").join(sized, "id")
+    before = Window.partitionBy("family").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
+    nodes = c.settle(nodes.withColumn("chunk", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / CHUNK)))
+    chunks = nodes.groupBy("family", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("a"), F.max("component").alias("b"))
+    one = chunks.select("family", *[F.col(x).alias(f"{x}1") for x in ("chunk", "low", "high", "a", "b")])
+    two = chunks.select("family", *[F.col(x).alias(f"{x}2") for x in ("chunk", "low", "high", "a", "b")])
+    meet = one.join(two, "family").where("chunk1 <= chunk2").where(100 * F.col("high1") >= percent * F.col("low2")).where("least(a1, a2) < greatest(b1, b2)")
+    sides = meet.select("family", "chunk1", "chunk2", F.explode(F.array_distinct(F.array("chunk1", "chunk2"))).alias("chunk"))
+    rows = sides.join(nodes.select("family", "chunk", "id"), ["family", "chunk"]).join(items, "id").select("family", "chunk1", "chunk2", "id", "items")
+    return rows.groupBy("family", "chunk1", "chunk2").applyInArrow(_chunk_links(percent), "u long, v long")
+
+
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 5, bands: int = 40) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
@@ -102,27 +165,15 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = c.id_text(docs, id_col, text_col)
     known = c.settle(docs.mapInArrow(_signatures(width, rows, bands), "doc_id long, n long, digest binary, keys array<long>"))
-    classes = known.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    bucket = classes.select("rep", "n", F.explode("keys").alias("key"))
+    classes = known.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    bucket = classes.select("rep", F.explode("keys").alias("key"))
     led = bucket.join(bucket.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead"), "key")
-    led = c.settle(led.select("key", "rep", "n", "lead"))
-    stars = led.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-    links = c.settle(_confirmed(stars, docs, width, percent))
-    found = components(links)
-    # Pairs of a bucket in different components, the lead's own comparisons being done.  Sizes must allow the similarity.
-    placed = led.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "lead", F.coalesce("component", "rep").alias("comp"))
-    parts = placed.select("key", "comp").distinct()
-    split = parts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    parts = parts.join(split, "key")
-    meet = parts.select("key", F.col("comp").alias("c1")).join(parts.select("key", F.col("comp").alias("c2")), "key").where("c1 < c2")
-    rest = placed.where("rep <> lead")
-    a = rest.select("key", F.col("comp").alias("c1"), F.col("rep").alias("r1"), F.col("n").alias("n1"))
-    b = rest.select("key", F.col("comp").alias("c2"), F.col("rep").alias("r2"), F.col("n").alias("n2"))
-    cross = meet.join(a, ["key", "c1"]).join(b, ["key", "c2"]).where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    cross = c.settle(cross.select(F.least("r1", "r2").alias("u"), F.greatest("r1", "r2").alias("v")).distinct())
-    if cross.limit(1).count():
-        links = links.unionByName(_confirmed(cross, docs, width, percent))
-        found = components(links)
+    stars = c.settle(led.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct())
+    wanted = stars.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    items = c.settle(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<long>"))
+    links = c.settle(_confirmed(stars, items, percent))
+    more = c.settle(_rest(items, components(stars), components(links), percent))
+    found = components(links.unionByName(more))
     reps = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("found"))
     out = known.select("doc_id", "n", "digest").join(reps, "digest", "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
