@@ -20,6 +20,7 @@ from . import common as c
 from .components import components
 
 CHUNK = 131_072  # shingles in a chunk, about
+BROADCAST_IDS = 2_000_000  # ids, 16 MB, that are broadcast at most
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -170,6 +171,9 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     led = bucket.join(bucket.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead"), "key")
     stars = c.settle(led.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct())
     wanted = stars.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    wanted = c.settle(wanted)
+    if wanted.count() <= BROADCAST_IDS:  # then the texts are not shuffled
+        wanted = F.broadcast(wanted)
     items = c.settle(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<long>"))
     links = c.settle(_confirmed(stars, items, percent))
     more = c.settle(_rest(items, components(stars), components(links), percent))
