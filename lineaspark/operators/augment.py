@@ -11,7 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_WINDOW = Window.partitionBy("movie", "t1")
+def _window():
+    return Window.partitionBy("movie", "t1")
 
 
 def uniform(seed: int, name: str, low: float = 0.0, high: float = 1.0, *more: str) -> Column:
@@ -101,7 +102,7 @@ def random_offset(windows: DataFrame, seed: int = 0, offset: tuple[float, float]
 
 def random_movement(windows: DataFrame, seed: int = 0, offset: tuple[float, float] = (-10, 10), p: float = 0.5, axes: tuple[str, ...] = ("cy", "cx")) -> DataFrame:
     """A constant drift for each frame after the window's first."""
-    late = F.col("t") - F.min("t").over(_WINDOW)
+    late = F.col("t") - F.min("t").over(_window())
     for a in axes:
         windows = windows.withColumn(a, F.when(_gate(seed, "movement", p), F.col(a) + late * uniform(seed, f"movement {a}", *offset)).otherwise(F.col(a)))
     return windows
@@ -131,7 +132,7 @@ def augment(windows: DataFrame, level: int, seed: int = 0) -> DataFrame:
 def augment_coords(windows: DataFrame, seed: int = 0, shift: float = 128, jitter: float = 1.5) -> DataFrame:
     """Coordinates centred, flipped, rotated by any angle, shifted and jittered by normal numbers."""
     for a in ("cy", "cx"):
-        windows = windows.withColumn(a, F.col(a) - F.avg(a).over(_WINDOW))
+        windows = windows.withColumn(a, F.col(a) - F.avg(a).over(_window()))
     out = random_flip(windows, seed)
     theta = uniform(seed, "turn", 0, 2 * math.pi)
     y, x = F.cos(theta) * F.col("cy") - F.sin(theta) * F.col("cx"), F.sin(theta) * F.col("cy") + F.cos(theta) * F.col("cx")
