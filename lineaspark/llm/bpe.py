@@ -1,18 +1,21 @@
 """BPE encoding and decoding over a table of distinct words.
 
-1. Map tasks split texts into the words that byte-level BPE treats on their own and pack, for each block of
-   documents, the words' codes and the pack's vocabulary.  A special token's string is a word of its own.
-2. Each block sends its distinct words once.  They are dealt by word and sorted, so every distinct word of
-   the corpus meets the tokenizer once; its ids go back to each block that holds it.
-3. Each block joins the ids back by the position of the codes.
-
-Decoding gathers each id's piece from the id-to-piece table, whose size is the vocabulary's.
+1. Blocks of documents are split into the words that byte-level BPE treats on their own; a special token's
+   string is a word of its own.  A word goes by a hash; each block sends its distinct words once, dealt by hash.
+2. A task that receives words encodes every distinct one once and answers each block with the ids of its words,
+   in the order in which they came.
+3. Each block joins the ids back by the position of the words.
+
+Words and ids travel in compressed lists, documents in compressed packs that are shuffled once.  Decoding
+gathers each id's piece from the id-to-piece table, whose size is the vocabulary's.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -22,128 +25,210 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-BLOCK_BYTES = 16 << 20
-# The word pattern of this family of vocabularies, white space being Unicode's White_Space property.
-_SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-
-
-class _Vocabulary(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = code = len(self)
-        return code
-
+BLOCK_BYTES = 8 << 20
+_PIECE = 1 << 19
+# The endings that, after an apostrophe, are words of their own, and the Unicode white space.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+SPACE, LETTER, NUMBER, OTHER = range(4)
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    out = np.full(0x110000, OTHER, np.uint8)
+    for i in range(0x110000):
+        kind = unicodedata.category(chr(i))[0]
+        if kind in "LN":
+            out[i] = LETTER if kind == "L" else NUMBER
+    out[list(SPACES)] = SPACE
+    return out
 
-def _splitter(path: str):
-    """A function that cuts a text into words, strings of special tokens being words of their own."""
-    import regex
 
+def special_tokens(path: str) -> list[str]:
     with open(path, encoding="utf-8") as f:
-        special = [x["content"] for x in json.load(f).get("added_tokens", [])]
-    words = regex.compile(PATTERN).findall
-    if not special:
-        return words
-    cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
+        return [x["content"] for x in json.load(f).get("added_tokens", [])]
 
-    def split(text: str) -> list[str]:
-        if not any(s in text for s in special):
-            return words(text)
-        return [w for i, part in enumerate(cut.split(text)) for w in ([part] if i % 2 else words(part))]
 
-    return split
+def word_starts(codes: np.ndarray, first: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where words begin in code points that hold segments one after the other.
 
-
-def _pack(path: str):
-    def run(batches):
-        split = _splitter(path)
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            order = np.argsort(block, kind="stable")
-            names, blobs = [], []
-            for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
-                vocabulary = _Vocabulary()
-                codes = [np.fromiter(map(vocabulary.__getitem__, split(batch.column(2)[i].as_py())), np.uint32) for i in rows.tolist()]
-                sink = pa.BufferOutputStream()
-                documents = pa.record_batch({"doc_id": batch.column(1).take(pa.array(rows)), "codes": pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, codes)]), np.concatenate(codes))})
-                with pa.ipc.new_stream(sink, documents.schema) as out:
-                    out.write_batch(documents)
-                first = sink.getvalue().to_pybytes()
-                sink = pa.BufferOutputStream()
-                words = pa.record_batch({"word": pa.array(list(vocabulary), pa.string())})
-                with pa.ipc.new_stream(sink, words.schema) as out:
-                    out.write_batch(words)
-                names.append(int(block[rows[0]]))
-                blobs.append(squeeze.compress(len(first).to_bytes(8, "little") + first + sink.getvalue().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "payload"])
+    ``first`` marks the first place of each segment, ``whole`` the places of segments that are one word.  A word
+    is a run of letters, of numbers or of other signs, with one space before it where there is one; an
+    apostrophe with an ending that begins a word is a word; of a run of white space the last character
+    stands apart if something follows.
+    """
+    n = len(codes)
+    kind = _classes()[codes]
+    before = np.empty(n, np.uint8)
+    before[1:] = kind[:-1]
+    before[first] = 9
+    last = np.append(first[1:], True)
+    after = np.empty(n, np.uint8)
+    after[:-1] = kind[1:]
+    after[last] = 9
+    space = codes == 32
+    led = np.append(False, space[:-1]) & ~first  # a space stands before, and goes with what follows
+    start = np.where(kind == SPACE, (before != SPACE) | ((after != SPACE) & (after != 9)), (kind != before) & ~led)
+    quote = np.flatnonzero((codes == 39) & start & (after == LETTER))
+    for ending in ENDINGS:
+        m = len(ending)
+        hit = quote[quote + m < n]
+        for k, ch in enumerate(ending, 1):
+            hit = hit[(codes[hit + k] == ord(ch)) & ~first[hit + k]]
+        start[hit + 1] = False
+        start[hit[hit + m + 1 < n] + m + 1] = True
+    return first | (start & ~whole)
+
+
+class _Words:
+    """The words of a block: for each document the words' hashes, and one place where each distinct one stands."""
+
+    def __init__(self, texts: list[str], special: list[str]):
+        import regex
+
+        cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.texts, self.hashes, self.count = texts, [], []
+        keys, doc, start, end = [], [], [], []
+        piece, size = [], 0
+        for k, text in enumerate([*texts, None]):
+            if piece and (text is None or size + len(text) > _PIECE):
+                low = k - len(piece)
+                h, a, b, d = self._split(piece, cut, special)
+                self.hashes.append(h)
+                self.count += np.bincount(d, minlength=len(piece)).tolist()
+                u, at = np.unique(h, return_index=True)
+                keys.append(u)
+                doc.append(d[at] + low)
+                start.append(a[at])
+                end.append(b[at])
+                piece, size = [], 0
+            if text is not None:
+                piece.append(text)
+                size += len(text)
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        self.distinct, at = np.unique(join(keys), return_index=True)
+        self._where = (join(doc)[at], join(start)[at], join(end)[at])
+
+    def words(self) -> list[str]:
+        return [self.texts[d][a:b] for d, a, b in zip(*(x.tolist() for x in self._where))]
+
+    @staticmethod
+    def _split(texts: list[str], cut, special: list[str]):
+        size = np.array([len(t) for t in texts], np.int64)
+        base = np.cumsum(size) - size
+        text = "".join(texts)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        first, whole = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+        first[base[size > 0]] = True
+        for s in special:
+            if s in text:
+                for t, o in zip(texts, base.tolist()):
+                    for m in cut.finditer(t) if s in t else ():
+                        first[o + m.start()] = True
+                        whole[o + m.start() : o + m.end()] = True
+                        if m.end() < len(t):
+                            first[o + m.end()] = True
+        if not len(codes):
+            none = np.zeros(0, np.int64)
+            return none.astype(c.U), none, none, none
+        a = np.flatnonzero(word_starts(codes, first, whole))
+        b = np.append(a[1:], len(codes))
+        d = np.searchsorted(base + size, a, side="right")
+        return c.span_hash(c.prefix_hash(codes), a, b), a - base[d], b - base[d], d
+
+
+def _list_blob(values: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch({"x": values})
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def _list_of(blob) -> pa.Array:
+    raw = zstandard.ZstdDecompressor().decompressobj().decompress(blob.as_py())
+    return pa.ipc.open_stream(raw).read_all()["x"].combine_chunks()
+
+
+def _distinct(special: list[str], parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        w = _Words(c.unpack(table)["text"].to_pylist(), special)
+        words = pa.array(w.words(), pa.string())
+        part = (w.distinct % c.U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
+        blobs = [_list_blob(words.take(pa.array(g))) for g in groups]
+        return pa.table({"part": pa.array([int(part[g[0]]) for g in groups], pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(groups), pa.int32()), "words": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def _unpack(table: pa.Table, documents: bool = True):
-    """The packs' documents and vocabularies, and the sorted distinct words of the block."""
-    packs, every = [], set()
-    for x in table["payload"]:
-        raw = zstandard.ZstdDecompressor().decompress(x.as_py())
-        n = 8 + int.from_bytes(raw[:8], "little")
-        words = pa.ipc.open_stream(raw[n:]).read_all()["word"].to_pylist()
-        every.update(words)
-        packs.append((pa.ipc.open_stream(raw[8:n]).read_all() if documents else None, words))
-    return packs, sorted(every)
-
-
-def _distinct(table: pa.Table) -> pa.Table:
-    _, words = _unpack(table, documents=False)
-    return pa.table({"block": np.full(len(words), table["block"][0].as_py(), np.int32), "place": np.arange(len(words), dtype=np.int32), "word": pa.array(words, pa.string())})
-
-
 def _encode(path: str):
-    """Rows sorted by word: each distinct word is encoded once."""
+    """The ids of every block's words; a word that several blocks send is encoded once."""
 
-    def run(batches):
+    def run(table: pa.Table) -> pa.Table:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        last, known = None, b""
-        for batch in batches:
-            words = batch.column(2).to_pylist()
-            fresh = [w for w, before in zip(words, [last, *words[:-1]]) if w != before]
-            ids = iter([np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(fresh, add_special_tokens=False)])
-            out = []
-            for w in words:
-                if w != last:
-                    last, known = w, next(ids)
-                out.append(known)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "place", "ids"])
+        place: dict[str, int] = {}
+        flat, size, out = [], [], []
+        for blob in table["words"]:
+            words = _list_of(blob).to_pylist()
+            fresh = [x for x in words if x not in place]
+            for i in range(0, len(fresh), 4096):
+                for e in tokenizer.encode_batch(fresh[i : i + 4096], add_special_tokens=False):
+                    ids = e.ids
+                    flat += ids
+                    size.append(len(ids))
+            place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
+            out.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
+        every, n = np.array(flat, np.uint32), np.array(size, np.int64)
+        start = np.cumsum(n) - n
+        blobs = [_list_blob(pa.ListArray.from_arrays(np.append(0, np.cumsum(n[at])).astype(np.int32), _ragged(every, start[at], n[at]))) for at in out]
+        return pa.table({"block": table["block"], "part": table["part"], "ids": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def _join(docs: pa.Table, encoded: pa.Table) -> pa.Table:
-    names, values = [], []
-    if docs.num_rows:
-        packs, words = _unpack(docs)
-        place_of = {w: i for i, w in enumerate(words)}
-        order = np.argsort(encoded["place"].to_numpy())
-        ids = encoded["ids"].combine_chunks().take(pa.array(order)) if encoded.num_rows else pa.array([], pa.binary())
-        flat = [x for x in ids.to_pylist()]
-        size = np.array([len(x) >> 2 for x in flat], np.int64)
-        start = np.cumsum(size) - size
-        every = np.frombuffer(b"".join(flat), "<u4")
-        for documents, vocabulary in packs:
-            place = np.array([place_of[w] for w in vocabulary], np.int64)
-            codes = documents["codes"].combine_chunks()
-            at = place[codes.values.to_numpy()]
+def _ragged(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """values[start : start + n] of every pair, one after the other."""
+    stop = np.cumsum(n)
+    return values[np.repeat(start - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
+
+
+def _join(special: list[str], parts: int):
+    def run(docs: pa.Table, encoded: pa.Table) -> pa.Table:
+        rows = c.unpack(docs)
+        w = _Words(rows["text"].to_pylist(), special)
+        part = (w.distinct % c.U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        size, flat = np.zeros(len(part), np.int64), []
+        low = 0
+        for i in np.argsort(encoded["part"].to_numpy(), kind="stable").tolist() if encoded.num_rows else []:
+            ids = _list_of(encoded["ids"][i])
+            size[order[low : low + len(ids)]] = np.diff(ids.offsets.to_numpy())
+            low += len(ids)
+            flat.append(ids.values.to_numpy())
+        every = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        start = np.empty(len(part), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        out, stop = [], np.append(0, np.cumsum(w.count)).astype(np.int64)
+        doc = 0
+        for h in w.hashes:
+            at = np.searchsorted(w.distinct, h)
             n = size[at]
-            stop = np.cumsum(n)
-            found = every[np.repeat(start[at] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
-            cut = np.concatenate([[0], stop])[codes.offsets.to_numpy()]
-            values += [found[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            names += documents["doc_id"].to_pylist()
-    return pa.table({"doc_id": pa.array(names, pa.int64()), "ids": pa.array(values, pa.binary())})
+            found = _ragged(every, start[at], n).astype("<u4")
+            cut = np.append(0, np.cumsum(n))
+            low = stop[doc]
+            while doc < len(w.count) and stop[doc + 1] - low <= len(h):
+                out.append(found[cut[stop[doc] - low] : cut[stop[doc + 1] - low]].tobytes())
+                doc += 1
+        return pa.table({"doc_id": rows["doc_id"], "ids": pa.array(out, pa.binary())})
+
+    return run
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -156,11 +241,12 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     """
     rows = c.id_text(docs, id_col, text_col)
     n_blocks = c.count_blocks(rows, block_bytes)
-    block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n_blocks)).cast("int")
-    packed = rows.select(block.alias("block"), "doc_id", "text").mapInArrow(_pack(tokenizer), c.PACK_SCHEMA)
-    words = packed.groupBy("block").applyInArrow(_distinct, "block int, place int, word string")
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(tokenizer), "block int, place int, ids binary")
-    return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join, "doc_id long, ids binary")
+    parts = max(8, n_blocks // 2)
+    special = special_tokens(tokenizer)
+    packed = c.pack(rows, n_blocks)
+    words = packed.groupBy("block").applyInArrow(_distinct(special, parts), "part int, block int, words binary")
+    encoded = words.groupBy("part").applyInArrow(_encode(tokenizer), "block int, part int, ids binary")
+    return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join(special, parts), "doc_id long, ids binary")
 
 
 def _pieces(path: str) -> list[bytes]:

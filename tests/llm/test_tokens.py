@@ -26,20 +26,27 @@ def test_bpe_round_trip(spark):
     assert bpe_encode(spark.createDataFrame([], df.schema), PATH).count() == 0
 
 
-def test_words_split_as_the_library(spark):
-    from lineaspark.llm.bpe import _splitter
-
-    tok = Tokenizer.from_file(PATH)
-    split = _splitter(PATH)
-    # Code points of Unicode versions that the two libraries do not share are left out of the comparison.
+def test_words_split_as_the_library():
+    import random
     import unicodedata
 
+    from lineaspark.llm.bpe import _Words
+
+    tok = Tokenizer.from_file(PATH)
+    r = random.Random(1)
+    # Code points that only one of the two Unicode versions knows are left out.
     marks = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
-    for i in range(0, len(marks), 400):
-        text = "".join(f"a{m}1{m}{m} {m} " for m in marks[i : i + 400])
-        want = [x for x, _ in tok.pre_tokenizer.pre_tokenize_str(text)]
-        table = {v: len(x.encode()) for v, x in ()}
-        assert [len(w.encode()) for w in split(text)] == [len(w) for w in want], (i, table)
+    texts = ["".join(f"a{m}1{m}{m} {m} " for m in marks[i : i + 400]) for i in range(0, len(marks), 400)]
+    texts += ["".join(r.choice("ab1 '  \n\t!.stremvld\u00a0") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    for some in (texts, texts[::-1]):
+        w = _Words(some, [])
+        all_ = np.concatenate(w.hashes)
+        name = dict(zip(w.distinct.tolist(), w.words()))
+        low = 0
+        for text, n in zip(some, w.count):
+            want = [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
+            assert [name[h] for h in all_[low : low + n].tolist()] == want, text
+            low += n
 
 
 def test_escape():
