@@ -19,13 +19,14 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _PIECE = 1 << 19
 # The endings that, after an apostrophe, are words of their own, and the Unicode white space.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -112,6 +113,13 @@ class _Words:
     def words(self) -> list[str]:
         return [self.texts[d][a:b] for d, a, b in zip(*(x.tolist() for x in self._where))]
 
+    def dealt(self, parts: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct words, their parts by hash, and their order by part and then alphabet, which compresses well."""
+        words = pa.array(self.words(), pa.string())
+        part = (self.distinct % c.U(parts)).astype(np.int32)
+        order = pa.compute.sort_indices(pa.table({"part": part, "word": words}), [("part", "ascending"), ("word", "ascending")])
+        return words, part, order.to_numpy()
+
     @staticmethod
     def _split(texts: list[str], cut, special: list[str]):
         size = np.array([len(t) for t in texts], np.int64)
@@ -153,9 +161,7 @@ def _list_of(blob) -> pa.Array:
 def _distinct(special: list[str], parts: int):
     def run(table: pa.Table) -> pa.Table:
         w = _Words(c.unpack(table)["text"].to_pylist(), special)
-        words = pa.array(w.words(), pa.string())
-        part = (w.distinct % c.U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        words, part, order = w.dealt(parts)
         groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
         blobs = [_list_blob(words.take(pa.array(g))) for g in groups]
         return pa.table({"part": pa.array([int(part[g[0]]) for g in groups], pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(groups), pa.int32()), "words": pa.array(blobs, pa.binary())})
@@ -186,6 +192,7 @@ def _encode(path: str):
             place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
             out.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
         every, n = np.array(flat, np.uint32), np.array(size, np.int64)
+        every = every.astype(np.uint16) if every.max(initial=0) < 1 << 16 else every
         start = np.cumsum(n) - n
         blobs = [_list_blob(pa.ListArray.from_arrays(np.append(0, np.cumsum(n[at])).astype(np.int32), _ragged(every, start[at], n[at]))) for at in out]
         return pa.table({"block": table["block"], "part": table["part"], "ids": pa.array(blobs, pa.binary())})
@@ -203,8 +210,7 @@ def _join(special: list[str], parts: int):
     def run(docs: pa.Table, encoded: pa.Table) -> pa.Table:
         rows = c.unpack(docs)
         w = _Words(rows["text"].to_pylist(), special)
-        part = (w.distinct % c.U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        _, part, order = w.dealt(parts)
         size, flat = np.zeros(len(part), np.int64), []
         low = 0
         for i in np.argsort(encoded["part"].to_numpy(), kind="stable").tolist() if encoded.num_rows else []:
@@ -212,7 +218,7 @@ def _join(special: list[str], parts: int):
             size[order[low : low + len(ids)]] = np.diff(ids.offsets.to_numpy())
             low += len(ids)
             flat.append(ids.values.to_numpy())
-        every = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        every = np.concatenate(flat) if flat else np.zeros(0, np.uint16)
         start = np.empty(len(part), np.int64)
         start[order] = np.cumsum(size[order]) - size[order]
         out, stop = [], np.append(0, np.cumsum(w.count)).astype(np.int64)
@@ -241,7 +247,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     """
     rows = c.id_text(docs, id_col, text_col)
     n_blocks = c.count_blocks(rows, block_bytes)
-    parts = max(8, n_blocks // 2)
+    parts = max(8, n_blocks // 4)
     special = special_tokens(tokenizer)
     packed = c.pack(rows, n_blocks)
     words = packed.groupBy("block").applyInArrow(_distinct(special, parts), "part int, block int, words binary")
