@@ -20,7 +20,7 @@ from .common import settle
 
 SAMPLE = 20_000
 LIST = 64
-COPIES, CLOSE = 4, 1.15
+COPIES, CLOSE = 5, 1.15
 PROBES, RATIO = 128, 1.6
 _SPLIT = 4096
 
@@ -119,10 +119,7 @@ def _fit(dim: int, n: int):
 
 
 def _lists(index: bytes, dim: int, splits: int):
-    """Posting entries: a vector goes under its nearest centroid and under others about as near.
-
-    Of these, one that lies nearer to a centroid already taken than to the vector adds nothing and is left out.
-    """
+    """Posting entries: a vector goes under its nearest centroid and under others that are about as near."""
 
     def run(batches):
         c = Centroids.load(index)
@@ -130,20 +127,11 @@ def _lists(index: bytes, dim: int, splits: int):
             x = _matrix(batch.column(1), dim)
             if not len(x):
                 continue
-            ids, dist = c.search(x, 4 * COPIES)
-            row, list_ = [], []
-            for i in range(len(x)):
-                taken = [ids[i, 0]]
-                for k, d in zip(ids[i, 1:], dist[i, 1:]):
-                    if len(taken) == COPIES or d > CLOSE * dist[i, 0]:
-                        break
-                    if all(((c.points[k] - c.points[t]) ** 2).sum() >= d * d for t in taken):
-                        taken.append(k)
-                row += [i] * len(taken)
-                list_ += taken
+            ids, dist = c.search(x, COPIES)
+            row, col = np.nonzero(dist <= CLOSE * dist[:, :1] + 1e-12)
             rows = batch.take(pa.array(row))
             part = rows.column(0).to_numpy() % splits
-            yield pa.RecordBatch.from_arrays([pa.array(list_, pa.int64()), pa.array(part, pa.int64()), *rows.columns], names=["list", "part", "vid", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row, col], pa.int64()), pa.array(part, pa.int64()), *rows.columns], names=["list", "part", "vid", "v", "ids"])
 
     return run
 
