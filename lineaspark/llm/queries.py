@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .chat_format import op3_chat_format
-from .license_scan import op5_license_scan, sql as license_sql
+from .license_scan import op5_license_scan
 from .lz_fingerprint import op10_lz_fingerprint
 from .minhash_dedup import op4_minhash_dedup
 from .mixing import op8_mixing
+from .oracles import oracle_sql
 from .quality import op7_quality
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
@@ -20,5 +21,4 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_sql()}
+__all__ = ["oracle_sql", "queries"]
