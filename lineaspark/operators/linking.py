@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.assignment import assign
+from ..functions.assignment import assign_pairs
 from ..functions.loops import fixpoint
 from .regions import component_labels
 
@@ -78,18 +78,15 @@ def link_greedy(edges: DataFrame, allow_divisions: bool = True, threshold: float
 
 def _optimal_group(costs: dict[str, float], children: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sources, s = np.unique(rows["li"], return_inverse=True)
-        targets, t = np.unique(rows["lj"], return_inverse=True)
-        if len(sources) * children * len(targets) > MOST_IN_GROUP * 10:
-            raise ValueError("too large a component in one frame pair: lower the distance")
+        rows = rows.sort_values(["li", "lj"], kind="stable")
+        sources, i = np.unique(rows["li"], return_inverse=True)
+        _, j = np.unique(rows["lj"], return_inverse=True)
         worth = -(costs["edgeW"] * rows["weight"].to_numpy() + costs["edgeC"])
-        gain = np.zeros((len(sources) * children, len(targets)))
-        gain[s, t] = worth + costs["appearC"] + costs["disappearC"]  # one node less appears, one less ends
-        if children == 2:
-            gain[len(sources) + s, t] = worth + costs["appearC"] - costs["splitC"]
-        place = {(i, j): k for k, (i, j) in enumerate(zip(s, t))}
-        keep = [place[(i % len(sources), j)] for i, j in assign(gain) if (i % len(sources), j) in place]
-        return rows.iloc[sorted(keep)][["movie", "ti", "li", "tj", "lj", "dist", "weight"]]
+        gain = worth + costs["appearC"] + costs["disappearC"]  # one node less appears, one less ends
+        if children == 2:  # a second slot for each source
+            i, j, gain = np.append(i, i + len(sources)), np.append(j, j), np.append(gain, worth + costs["appearC"] - costs["splitC"])
+        keep = assign_pairs(i, j, gain)
+        return rows.iloc[sorted(k % len(rows) for k in keep)][["movie", "ti", "li", "tj", "lj", "dist", "weight"]]
 
     return run
 
@@ -98,13 +95,14 @@ def _costs(config: str | dict) -> dict[str, float]:
     return dict(CONFIGS[config]) if isinstance(config, str) else dict(config)
 
 
-def link_optimal(edges: DataFrame, config: str | dict = "gt", allow_divisions: bool = True) -> DataFrame:
+def link_optimal(edges: DataFrame, config: str | dict = "gt", allow_divisions: bool = True, giant_frames: bool = False) -> DataFrame:
     """The edges of a cheapest solution between adjacent frames; every node belongs to the solution.
 
     Where all nodes are worth selecting, the costs of appearing, ending and splitting depend on one frame pair
     only.  A source has a slot for its first child and one for its second, whose gains are what the child
     saves; the best assignment of targets to slots is the cheapest solution.  Components of edges with a
-    positive gain are solved apart, in groups.
+    positive gain are solved apart.  A group holds one frame pair's edges; with ``giant_frames`` it holds one
+    component's, which takes a loop to find.
     """
     costs = _costs(config)
     if costs["nodeW"] + costs["nodeC"] + costs["appearC"] + costs["disappearC"] >= 0:
@@ -114,13 +112,13 @@ def link_optimal(edges: DataFrame, config: str | dict = "gt", allow_divisions: b
     adjacent = F.assert_true(F.col("tj") == F.col("ti") + 1, F.lit("optimal linking needs adjacent frames"))
     gain = -(costs["edgeW"] * F.col("weight") + costs["edgeC"]) + costs["appearC"] + costs["disappearC"]
     flat = flat.where(adjacent.isNull()).where(gain > 0)
-    node = lambda side, t, label: F.struct(F.lit(side).alias("side"), F.col(label).alias("label"))
-    parts = component_labels(flat.select("movie", "ti", node(0, "ti", "li").alias("a"), node(1, "tj", "lj").alias("b")), ["movie", "ti"])
-    parts = parts.where("a.side = 0").select("movie", "ti", F.col("a.label").alias("li"), "part")
-    # Edges go in one order, so that equal optima give one result.
-    rows = flat.join(parts, ["movie", "ti", "li"])
-    solve = _optimal_group(costs, children)
-    out = rows.groupBy("movie", "ti", "part").applyInPandas(lambda r: solve(r.sort_values(["li", "lj"], kind="stable")), "movie string, ti int, li int, tj int, lj int, dist double, weight double")
+    group = ["movie", "ti"]
+    if giant_frames:
+        node = lambda side, label: F.struct(F.lit(side).alias("side"), F.col(label).alias("label"))
+        parts = component_labels(flat.select("movie", "ti", node(0, "li").alias("a"), node(1, "lj").alias("b")), ["movie", "ti"])
+        flat = flat.join(parts.where("a.side = 0").select("movie", "ti", F.col("a.label").alias("li"), "part"), ["movie", "ti", "li"])
+        group.append("part")
+    out = flat.groupBy(*group).applyInPandas(_optimal_group(costs, children), "movie string, ti int, li int, tj int, lj int, dist double, weight double")
     return out.select("movie", F.struct(F.col("ti").alias("t"), F.col("li").alias("label")).alias("src"), F.struct(F.col("tj").alias("t"), F.col("lj").alias("label")).alias("dst"), "dist", "weight")
 
 

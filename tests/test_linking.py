@@ -70,6 +70,7 @@ def test_optimal_equals_brute_force(spark, config):
         best = min(cost(nodes, c, weight, CONFIGS[config], divisions) for n in range(len(weight) + 1) for c in itertools.combinations(weight, n))
         found = link_optimal(edges, config, divisions)
         assert abs(cost(nodes, ends(found), weight, CONFIGS[config], divisions) - best) < 1e-9
+        assert ends(link_optimal(edges, config, divisions, giant_frames=True)) == ends(found)
         table = solution_cost(spark.createDataFrame([("m", *n) for n in nodes], "movie string, t int, label int"), found, config, divisions).first()
         assert abs(table.cost - best) < 1e-9 and table.n_violations == 0
 
