@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-BLOCK_BYTES = 4 << 20
-_PIECE = 1 << 19
+BLOCK_BYTES = 8 << 20
+_PIECE = 1 << 18
+_ROWS = 256
 # The endings that, after an apostrophe, are words of their own, and the Unicode white space.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -150,7 +151,7 @@ def _list_blob(values: pa.Array) -> bytes:
     batch = pa.record_batch({"x": values})
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+    return zstandard.ZstdCompressor(level=7).compress(sink.getvalue())
 
 
 def _list_of(blob) -> pa.Array:
@@ -211,6 +212,7 @@ def _join(special: list[str], parts: int):
         rows = c.unpack(docs)
         w = _Words(rows["text"].to_pylist(), special)
         _, part, order = w.dealt(parts)
+        w.texts = []
         size, flat = np.zeros(len(part), np.int64), []
         low = 0
         for i in np.argsort(encoded["part"].to_numpy(), kind="stable").tolist() if encoded.num_rows else []:
@@ -232,7 +234,9 @@ def _join(special: list[str], parts: int):
             while doc < len(w.count) and stop[doc + 1] - low <= len(h):
                 out.append(found[cut[stop[doc] - low] : cut[stop[doc + 1] - low]].tobytes())
                 doc += 1
-        return pa.table({"doc_id": rows["doc_id"], "ids": pa.array(out, pa.binary())})
+        ids = pa.table({"doc_id": rows["doc_id"], "ids": pa.array(out, pa.binary())})
+        pa.default_memory_pool().release_unused()
+        return ids
 
     return run
 
@@ -247,7 +251,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     """
     rows = c.id_text(docs, id_col, text_col)
     n_blocks = c.count_blocks(rows, block_bytes)
-    parts = max(8, n_blocks // 4)
+    parts = max(8, n_blocks // 2)
     special = special_tokens(tokenizer)
     packed = c.pack(rows, n_blocks)
     words = packed.groupBy("block").applyInArrow(_distinct(special, parts), "part int, block int, words binary")
@@ -273,9 +277,11 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         piece = _pieces(tokenizer).__getitem__
-        for batch in batches:
-            text = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())).decode(errors="replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, _ROWS):  # small batches keep little in memory
+                batch = whole.slice(low, _ROWS)
+                text = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())).decode(errors="replace") for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
