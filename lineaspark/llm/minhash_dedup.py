@@ -53,6 +53,13 @@ def minima(sets: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
     return low
 
 
+def _small(batches, rows: int = 512):
+    """Batches of few rows, so that what a task makes of one stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def _signatures(width: int, rows: int, bands: int):
     def run(batches):
         r = np.random.default_rng(20240229)
@@ -60,7 +67,7 @@ def _signatures(width: int, rows: int, bands: int):
         plus = r.integers(0, 1 << 32, rows * bands, np.uint32)
         fold = r.integers(0, 1 << 62, rows).astype(c.U) * c.U(2) + c.U(1)
         band = np.arange(bands, dtype=c.U) * c.U(0x9E3779B97F4A7C15)
-        for batch in batches:
+        for batch in _small(batches):
             n, digest, low = [], [], np.zeros((batch.num_rows, rows * bands), np.uint32)
             for i, text in enumerate(batch.column(1).cast(pa.binary())):
                 s = shingles(text.as_py(), width)
@@ -77,7 +84,7 @@ def _signatures(width: int, rows: int, bands: int):
 
 def _sets(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             s = [shingles(x.as_py(), width).astype(np.int64) for x in batch.column(1).cast(pa.binary())]
             flat = np.concatenate(s) if s else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, s)], dtype=np.int32), flat)
