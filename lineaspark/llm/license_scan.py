@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licenses import known_licenses
+
 # Spellings that licence guidelines treat as equal (pattern, replacement), applied in order.
 SPELLINGS = (
     ("licence", "license"), ("sub[ -]license", "sublicense"), ("non[ -]infringement", "noninfringement"), ("organisation", "organization"),
@@ -53,6 +55,7 @@ KNOWN = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("all-rights-reserved", "All rights reserved."),
+    *known_licenses(),
 )
 
 
