@@ -3,7 +3,8 @@
 Documents with equal shingle sets form a class and are handled once.  Classes that share a band of minima
 are candidates.  In each bucket every class is first compared with the bucket's least class only.  Where that
 joins all classes that hang together by buckets, they are done.  The others, such as a family of copies that
-differ from each other by more than the threshold allows, are cut into chunks by set size; each two chunks
+differ from each other by more than the threshold allows, are cut into chunks by set size, bounded in shingles
+and in classes; each two chunks
 whose sizes allow a link meet in one task, which gets all intersections from products of 0/1 matrices and
 returns one link for each class at most.  So no pairs are written out, no task holds more than two chunks,
 and no link is lost.  Every link is decided on the full shingle sets.
@@ -20,6 +21,8 @@ from . import common as c
 from .components import components
 
 CHUNK = 131_072  # shingles in a chunk, about
+CHUNK_ROWS = 2_000  # classes in a chunk, at most: two chunks make a square matrix of both
+STRIP = 256  # rows of that matrix at a time in what is made of it
 BROADCAST_IDS = 2_000_000  # ids, 16 MB, that are broadcast at most
 
 
@@ -117,11 +120,16 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         a, b = np.searchsorted(place, [low, low + 2048])
         m = np.zeros((n, 2048), np.float32)
         m[row[a:b], place[a:b] - low] = 1
-        shared += m @ m.T
-    link = 100 * shared >= percent * (size[:, None] + size - shared)
+        for s in range(0, n, STRIP):
+            shared[s : s + STRIP] += m[s : s + STRIP] @ m.T
+    link = np.zeros((n, n), bool)
+    for s in range(0, n, STRIP):
+        both = shared[s : s + STRIP].astype(np.int64)
+        link[s : s + STRIP] = 100 * both >= percent * (size[s : s + STRIP, None] + size - both)
+    del shared
     label = np.arange(n)
     while True:
-        near = np.where(link, label, n).min(axis=1)
+        near = np.concatenate([np.where(link[s : s + STRIP], label, n).min(axis=1) for s in range(0, n, STRIP)])
         new = np.minimum(label, near)
         new = new[new]
         if (new == label).all():
@@ -151,7 +159,9 @@ def _rest(items: DataFrame, near: DataFrame, found: DataFrame, percent: int) ->
     open_ = nodes.groupBy("family").agg(F.count("*").alias("k"), F.min("component").alias("a"), F.max("component").alias("b")).where("k > 2 and a < b").select("family")
     nodes = nodes.join(open_, "family").join(sized, "id")
     before = Window.partitionBy("family").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
-    nodes = c.settle(nodes.withColumn("chunk", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / CHUNK)))
+    # Both terms only grow, so their sum goes on where either does.
+    chunk = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / CHUNK) + F.floor(F.count("n").over(before) / CHUNK_ROWS)
+    nodes = c.settle(nodes.withColumn("chunk", chunk))
     chunks = nodes.groupBy("family", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("a"), F.max("component").alias("b"))
     one = chunks.select("family", *[F.col(x).alias(f"{x}1") for x in ("chunk", "low", "high", "a", "b")])
     two = chunks.select("family", *[F.col(x).alias(f"{x}2") for x in ("chunk", "low", "high", "a", "b")])

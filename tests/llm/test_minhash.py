@@ -2,8 +2,11 @@
 
 import random
 
+import pyarrow as pa
+from lineaspark.llm import minhash_dedup as minhash
 from lineaspark.llm.components import components
 from lineaspark.llm.minhash_dedup import minhash_dedup
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, n long, key string, digest string"
 
@@ -64,3 +67,32 @@ def test_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 150: 100, 200: 100}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_chunks_of_short_documents(spark, monkeypatch):
+    """A family of many short, partly alike documents: no task gets more than two chunks of bounded rows."""
+
+    def counted(percent):
+        return lambda table: pa.table({"u": pa.array([table.num_rows], pa.int64()), "v": pa.array([len(set(table["id"].to_pylist()))], pa.int64())})
+
+    monkeypatch.setattr(minhash, "_chunk_links", counted)
+    rows = spark.range(9000).select(F.col("id"), F.array(F.lit(-1), *[F.col("id") * 5 + k for k in range(5)]).alias("items"))
+    near = rows.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
+    found = spark.createDataFrame([], "node long, component long")
+    got = minhash._rest(rows, near, found, 85).collect()
+    assert max(r.u for r in got) <= 4000 and all(r.u == r.v for r in got)
+    assert len(got) == 15  # five chunks: each alone and with each other
+
+
+def test_many_chunks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK_ROWS", 3)
+    r = random.Random(8)
+    rows, line = [], [f"w{k}" for k in range(30)]
+    for i in range(60):  # all share most of a line, few are alike enough
+        words = line.copy()
+        for k in r.sample(range(30), r.choice([1, 1, 2, 4])):
+            words[k] = f"e{r.randint(0, 3)}"
+        rows.append((i * 7 % 61, " ".join(words)))
+    df = spark.createDataFrame([(i, t, 1, "k", None) for i, t in rows], SCHEMA)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.minhash_dedup(df, width=3, percent=85, rows=2, bands=96).collect()}
+    assert got == brute(rows, 3, 85)
