@@ -161,6 +161,12 @@ def nodes_by_frame(spark, d):
     return lists.select("movie", "t", F.size("labels").cast("long").alias("n"), F.aggregate("labels", F.lit(0).cast("long"), lambda k, e: k + e).alias("total"))
 
 
+@query()
+def nodes_by_frame_all(spark, d):
+    """All detections; :func:`nodes_by_frame` is the part that its SQL asks for."""
+    return p.nodes_by_frame(det(spark, d))
+
+
 @query(v.sql("SELECT DISTINCT movie, label, t AS t1, t AS t2, 0 AS parent FROM pixels", "pixels"))
 def tracklets_without_truth(spark, d):
     return p.tracklets_without_truth(v.pixels(spark, d))
@@ -215,6 +221,12 @@ def keep_near_centroids(spark, d):
     return a.keep_near_centroids(v.pixels(spark, d), det(spark, d).where("label % 20 = 0")).select("movie", "t", "y", "x", "label", "value")
 
 
+@query()
+def keep_near_centroids_all(spark, d):
+    """Boxes around all detections; :func:`keep_near_centroids` is the part that its SQL asks for."""
+    return a.keep_near_centroids(v.pixels(spark, d), det(spark, d)).select("movie", "t", "y", "x", "label", "value")
+
+
 _OVER = {
     "ov": (("pixels",), "SELECT movie, t, la, lb, count(*) AS n FROM (SELECT DISTINCT movie, t, y, x, label AS la FROM pixels) JOIN (SELECT DISTINCT movie, t, y, x, label2 AS lb FROM pixels) USING (movie, t, y, x) GROUP BY ALL"),
     "boxa": (("pixels",), "SELECT movie, t, label, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM pixels GROUP BY ALL"),
@@ -518,6 +530,12 @@ def adjacent_edges(spark, d):
     return flat(p.adjacent_edges(solution(spark, d), det(spark, d).where("label % 5 = 0"))).drop("dist", "weight")
 
 
+@query()
+def adjacent_edges_all(spark, d):
+    """Edges into any detection; :func:`adjacent_edges` is the part that its SQL asks for."""
+    return flat(p.adjacent_edges(solution(spark, d), det(spark, d))).drop("dist", "weight")
+
+
 @query(v.sql("SELECT movie, ti, li, tj, lj FROM (SELECT movie, tj AS ti, lj AS li, ti AS tj, li AS lj FROM sol WHERE li % 7 = 0) UNION ALL SELECT movie, ti, li, tj, lj FROM sol WHERE ti >= tj", "sol", extra=_EDGES, recursive=True))
 def check_forward(spark, d):
     edges = solution(spark, d)
@@ -596,6 +614,15 @@ def associations(spark, d):
     return g.associations(wins, g.identity_matching(found), g.lineage_closure(tr))
 
 
+@query()
+def associations_all(spark, d):
+    """All tracklets in all their frames; :func:`associations` is the part that its SQL asks for."""
+    tr = v.tracklets(spark, d)
+    found = tr.select("movie", "label", F.explode(F.sequence("t1", "t2")).alias("t"))
+    wins = found.withColumn("t1", F.explode(F.sequence(F.greatest(F.lit(0), F.col("t") - 3), F.col("t"))))
+    return g.associations(wins, g.identity_matching(found), g.lineage_closure(tr))
+
+
 @query()
 def track_scored(spark, d):
     px = v.pixels(spark, d)
