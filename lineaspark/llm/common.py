@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: block packing, rolling hashes, winnowing, checkpoints.
+"""Helpers shared by the corpus operators: block packing, hashes of spans, winnowing, checkpoints.
 
 Documents are dealt to *blocks* by a hash of their id.  A block is the unit that Python sees at once;
 the number of blocks follows the corpus, so a block stays near ``BLOCK_BYTES`` whatever the input size.
@@ -8,7 +8,7 @@ the shuffled bytes.
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 
 import numpy as np
@@ -21,20 +21,26 @@ BLOCK_BYTES = 1 << 20
 PACK_SCHEMA = "block int, payload binary"
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[int, np.ndarray] = {}
+_LONG = 512
+_LEFT, _RIGHT = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
+_SEED = np.random.default_rng(4127).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 
 
 def ensure_checkpoint(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; one of our own only where the session names none."""
+    """The shared folder for checkpoints, named by ``spark.checkpoint.dir`` or set on the context.
+
+    Where neither is set, a local session gets a folder of its own; on a cluster that is an error, since
+    executors would write to their own disks.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lineaspark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(f"file:///tmp/lineaspark-{uuid.uuid4().hex}")
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -111,27 +117,6 @@ def texts_of(docs: pa.Table) -> list[bytes]:
     return [x.as_py() for x in docs["text"].cast(pa.binary())] if docs.num_rows else []
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """base**i (or its inverse) modulo 2**64 for i < n; kept by the worker and grown by doubling."""
-    have = _POWERS.get(inverse)
-    if have is None or len(have) < n:
-        base = _INV if inverse else _BASE
-        have = np.ones(1, U)
-        with np.errstate(over="ignore"):
-            while len(have) < n:
-                have = np.concatenate([have, have * (have[-1] * base)])
-        _POWERS[inverse] = have
-    return have[:n]
-
-
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """P[i] = sum of (values[j] + 1) * base**j over j < i, modulo 2**64."""
-    out = np.zeros(len(values) + 1, U)
-    with np.errstate(over="ignore"):
-        np.cumsum((values.astype(U) + U(1)) * powers(len(values)), out=out[1:])
-    return out
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (xor-shift and multiply)."""
     with np.errstate(over="ignore"):
@@ -140,10 +125,99 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U(33))
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], equal for equal contents wherever they stand."""
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two in order; shifts between the products leave no polynomial to attack."""
     with np.errstate(over="ignore"):
-        return mix((prefix[end] - prefix[start]) * powers(len(prefix), True)[start] + (end - start).astype(U))
+        h = (a ^ (a >> U(31))) * _LEFT + b
+        h ^= h >> U(32)
+        h *= _RIGHT
+        h ^= h >> U(29)
+    return h
+
+
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of values[start:end], equal for equal contents wherever they stand.
+
+    Spans of a power of two are hashed from their halves, for all places at once; any other length takes the
+    two such spans that cover it, and its length.  Spans of ``_LONG`` values or more are hashed one by one.
+    Unlike contents may share a hash, so results are never decided on one: see :func:`name_spans`.
+    """
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(U))
+    level = np.frexp(np.maximum(size, 1))[1] - 1
+    level[size >= _LONG] = -1
+    level[size == 0] = -2
+    top = int(level.max(initial=-2))
+    if top >= 0:
+        h = _pair(_SEED[values] if values.dtype == np.uint8 else mix(values.astype(U) + _LEFT), _RIGHT)
+        for k in range(top + 1):
+            if k:
+                h = _pair(h[: -(1 << (k - 1))], h[1 << (k - 1) :])
+            at = np.flatnonzero(level == k)
+            if len(at):
+                out[at] = _pair(_pair(h[start[at]], h[end[at] - (1 << k)]), out[at])
+    for i in np.flatnonzero(level == -1).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(values[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def gram_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """:func:`span_hash` of values[i:i+width] for every i; widths from ``_LONG`` on go another way, equal in themselves."""
+    n = len(values) - width + 1
+    if n <= 0 or width < 1:
+        return np.zeros(max(0, n), U)
+    h = _pair(_SEED[values] if values.dtype == np.uint8 else mix(values.astype(U) + _LEFT), _RIGHT)
+    k = 1
+    while 2 * k <= width:
+        h = _pair(h[:-k], h[k:])
+        k *= 2
+    return _pair(_pair(h[:n], h[width - k : width - k + n]), mix(np.array([width], U)))
+
+
+def same_spans(values: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> bool:
+    """Whether values[a:a+size] equals values[b:b+size] for every pair; compared in pieces of bounded length."""
+    keep = (a != b) & (size > 0)
+    a, b, size = a[keep], b[keep], size[keep]
+    while len(a):
+        m = max(1, int(np.searchsorted(np.cumsum(size), most, side="right")))
+        if m == 1:
+            if not np.array_equal(values[a[0] : a[0] + size[0]], values[b[0] : b[0] + size[0]]):
+                return False
+        else:
+            n = size[:m]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            if (values[np.repeat(a[:m], n) + step] != values[np.repeat(b[:m], n) + step]).any():
+                return False
+        a, b, size = a[m:], b[m:], size[m:]
+    return True
+
+
+def name_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, tag: np.ndarray | None = None, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, and where each number first stands; numbers are equal exactly for equal contents and ``tag``.
+
+    Spans are sorted by hash; neighbours of one hash are then compared value by value.  Should two unlike spans share
+    a hash, all are numbered by their contents.  ``h`` brings the hashes, where they are known.
+    """
+    start, end = start.astype(np.int64), end.astype(np.int64)
+    h = span_hash(values, start, end) if h is None else h
+    if tag is not None:
+        h = _pair(h, mix(tag.astype(U)))
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    head = np.ones(len(s), bool)
+    head[1:] = s[1:] != s[:-1]
+    i = np.flatnonzero(~head)
+    a, b = order[i - 1], order[i]
+    size = end - start
+    fine = (size[a] == size[b]).all() and (tag is None or (tag[a] == tag[b]).all())
+    if fine and same_spans(values, start[a], start[b], size[a]):
+        out = np.empty(len(s), np.int64)
+        out[order] = np.cumsum(head) - 1
+        return out, order[head]
+    place: dict = {}
+    marks = tag.tolist() if tag is not None else [0] * len(start)
+    out = np.array([place.setdefault((values[x:y].tobytes(), t), len(place)) for x, y, t in zip(start.tolist(), end.tolist(), marks)], np.int64)
+    return out, np.unique(out, return_index=True)[1]
 
 
 def window_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -178,15 +252,10 @@ def winnow(hashes: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray, gram:
     return np.unique((lows & low).astype(np.int64))
 
 
-def longest_rank(first: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
-    """Whether each entry's class, ``first`` being its key, has a total weight of two or more."""
-    order = np.argsort(first, kind="stable")
-    s = first[order]
-    head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if n else np.zeros(0, np.int64)
-    total = np.add.reduceat(weight[order], head) if n else np.zeros(0, np.int64)
-    out = np.zeros(n, bool)
-    out[order] = np.repeat(total >= 2, np.diff(np.concatenate([head, [n]])))
-    return out
+def repeated(number: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Whether the entries of each number have a total weight of two or more."""
+    _, at = np.unique(number, return_inverse=True)
+    return np.bincount(at, weights=weight)[at] >= 2 if len(number) else np.zeros(0, bool)
 
 
 def extents(group, weight, have_left, have_right, key, reach: int, window: int):
@@ -209,7 +278,7 @@ def extents(group, weight, have_left, have_right, key, reach: int, window: int):
             rows = np.flatnonzero(live[group] & (have_left >= m) & (have_right >= window - m))
             if not len(rows):
                 continue
-            hit = rows[longest_rank(key(rows, m), len(rows), weight[rows])]
+            hit = rows[repeated(key(rows, m), weight[rows])]
             hit = hit[open_[hit]]
             found[hit] = m
             open_[hit] = False
@@ -222,3 +291,74 @@ def union_mask(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     np.add.at(step, start, 1)
     np.add.at(step, end, -1)
     return np.cumsum(step)[:n] > 0
+
+
+def slices_of(rows: DataFrame, key: str, by: list[str], slices: int = 256) -> DataFrame:
+    """``rows`` with ``slice``, a hash of ``by``: rows of one ``key`` fall into at most ``slices`` of them."""
+    return rows.withColumn("slice", F.pmod(F.xxhash64(*by), F.lit(slices)).cast("int"))
+
+
+def with_group(rows: DataFrame, key: str, by: list[str], *aggregates) -> DataFrame:
+    """``rows`` with aggregates over their ``key``, however many rows one key has.
+
+    The aggregate is combined before the shuffle and goes back to the slices that the key's rows fall into, so the
+    rows of a frequent key are dealt to many tasks.  Rows without a key are left out.
+    """
+    cut = slices_of(rows, key, by)
+    total = cut.groupBy(key).agg(*aggregates, F.collect_set("slice").alias("slice"))
+    return cut.join(total.withColumn("slice", F.explode("slice")), [key, "slice"]).drop("slice")
+
+
+FREQUENT = 20_000  # occurrences from which a gram's windows are counted by digest
+
+
+def repeated_grams(seen: DataFrame, frequent: int) -> DataFrame:
+    """(block, g, frequent) of the grams that ``seen`` (g, block, n) has twice; ``frequent`` marks those above that number."""
+    total = seen.groupBy("g").agg(F.sum("n").alias("total")).where("total > 1")
+    return seen.join(total, "g").select("block", "g", (F.col("total") > frequent).alias("frequent"))
+
+
+def starts_around(pos: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray, gram: int, window: int) -> np.ndarray:
+    """Where windows begin that hold a gram at one of ``pos`` and lie inside its document."""
+    doc = np.searchsorted(doc_end, pos, side="right")
+    low, high = np.maximum(pos - (window - gram), doc_start[doc]), np.minimum(pos, doc_end[doc] - window)
+    return np.flatnonzero(union_mask(int(doc_end[-1]) + 1, low, np.maximum(high + 1, low))) if len(pos) else pos
+
+
+def counted_windows(values: np.ndarray, hashes: np.ndarray, at: np.ndarray, window: int, text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows that begin at ``at``: rows of 64-bit hash and 128-bit digest, their counts, one place of each."""
+    number, first = name_spans(values, at, at + window, h=hashes[at])
+    digest = b"".join(hashlib.blake2b(text(i), digest_size=16).digest() for i in at[first].tolist())
+    key = np.concatenate([hashes[at[first]][:, None], np.frombuffer(digest, U).reshape(-1, 2)], axis=1)
+    return key, np.bincount(number, minlength=len(first)), at[first]
+
+
+def dealt_windows(key: np.ndarray, n: np.ndarray, block: int, parts: int):
+    """(part, bytes) of the windows of one block, dealt by digest; five numbers a window."""
+    rows = np.concatenate([key, n.astype(U)[:, None], np.full((len(n), 1), block, U)], axis=1)
+    part = (key[:, 1] % U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        yield int(part[some[0]]), rows[some].tobytes()
+
+
+def repeated_windows(blobs: pa.ChunkedArray) -> pa.Table:
+    """(block, w, key) of the windows in the compressed ``blobs`` of :func:`dealt_windows` that occur twice."""
+    open_ = zstandard.ZstdDecompressor()
+    raw = b"".join(open_.decompress(x.as_py()) for x in blobs if x.is_valid)
+    rows = np.frombuffer(raw, U).reshape(-1, 5)
+    if len(rows):
+        _, number = np.unique(np.ascontiguousarray(rows[:, 1:3]).view("V16").ravel(), return_inverse=True)
+        rows = rows[repeated(number, rows[:, 3].astype(np.float64))]
+    key = np.ascontiguousarray(rows[:, 1:3]).tobytes()
+    keys = pa.array([key[i : i + 16] for i in range(0, len(key), 16)], pa.binary())
+    return pa.table({"block": rows[:, 4].astype(np.int32), "passage": pa.nulls(len(rows), pa.binary()), "w": np.ascontiguousarray(rows[:, 0]).view(np.int64), "key": keys})
+
+
+def found_windows(found: pa.Table, hashes: np.ndarray, doc_end: np.ndarray, window: int, text) -> list[int]:
+    """Where the windows inside one document begin whose hash and digest are among ``found``."""
+    rows = found.filter(found["key"].is_valid())
+    keys = set(rows["key"].to_pylist())
+    at = np.flatnonzero(np.isin(hashes.view(np.int64), rows["w"].to_numpy()))
+    at = at[at + window <= doc_end[np.searchsorted(doc_end, at, side="right")]]
+    return [i for i in at.tolist() if hashlib.blake2b(text(i), digest_size=16).digest() in keys]

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import discard, settle, with_group
 
 
 def _least(both: DataFrame) -> DataFrame:
-    """``both`` (u, v) with m, the least of u and its neighbours; the minimum is summed up before the shuffle."""
-    least = both.groupBy("u").agg(F.min("v").alias("low"))
-    return both.join(least, "u").select("u", "v", F.least("u", "low").alias("m"))
+    """``both`` (u, v) with m, the least of u and its neighbours, also where one u has a third of all rows."""
+    return with_group(both, "u", ["v"], F.min("v").alias("low")).select("u", "v", F.least("u", "low").alias("m"))
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@
    ``window`` words holds one, at the same place in equal windows.  Phrases seen once drop out.  For the
    others each block sends the words around the phrase, equal surroundings collapsed to one entry with a
    count; entries of one phrase meet in one task, which finds the windows around the phrase that occur
-   twice.  What they cover together is a passage.
+   twice.  What they cover together is a passage.  For a phrase with more than ``frequent`` occurrences a block
+   sends the digests of the windows around it with their counts instead, dealt by digest, so that no task
+   gets all the texts around one phrase.
 2. *Compile sharded automata.*  A passage goes to the blocks whose documents hold it; each block compiles
    its passages into one automaton, so no automaton grows with the corpus.
 3. *Stream all documents* of the block through its automaton, which locates every occurrence.
@@ -15,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +28,7 @@ PART_BYTES = 2 << 20
 
 
 class _Words:
-    """Texts as one buffer of `` word word `` lines, single spaces around the words, with word places and hashes.
+    """Texts as one buffer of `` word word `` lines, single spaces around the words, with word places.
 
     Splitting bytes at ASCII white space gives exactly the runs of bytes outside 0x20 and 0x09-0x0D.
     """
@@ -42,17 +44,22 @@ class _Words:
         last = np.cumsum(count[count > 0] + 1) - 1
         self.a = np.delete(spaces, last) + 1
         self.b = np.delete(spaces, np.concatenate([[0], last[:-1] + 1]) if len(last) else last)
-        self.prefix = c.prefix_hash(c.span_hash(c.prefix_hash(self.bytes), self.a, self.b))
 
-    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return c.span_hash(self.prefix, start, end)
+    def number(self) -> None:
+        """The words' hashes, and numbers that are equal exactly for equal words."""
+        self.hash = c.span_hash(self.bytes, self.a, self.b)
+        self.word = c.name_spans(self.bytes, self.a, self.b, h=self.hash)[0].astype(np.uint32)
+
+    def text(self, first: int, last: int) -> bytes:
+        """The words from ``first`` up to ``last`` with a space on either side."""
+        return self.raw[self.a[first] - 1 : self.b[last - 1] + 1]
 
 
 class _Block(_Words):
     def __init__(self, texts: list[bytes], window: int, gram: int):
         super().__init__(texts)
-        at = np.arange(max(0, len(self.a) - gram + 1))
-        grams = self.span(at, at + gram)
+        self.number()
+        grams = c.gram_hashes(self.hash, gram)
         self.pos = c.winnow(grams, self.start, self.end, gram, window)
         self.gram_hash = grams[self.pos].astype(np.int64)
 
@@ -68,29 +75,39 @@ def _grams(window: int, gram: int):
 
 def _contexts(window: int, gram: int, parts: int):
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        names, blobs = [], []
+        names, blobs, windows = [], [], []
         if docs.num_rows and wanted.num_rows:
-            b = _Block(c.texts_of(c.unpack(docs)), window, gram)
-            pos = b.pos[np.isin(b.gram_hash, wanted["g"].to_numpy())]
+            b, block = _Block(c.texts_of(c.unpack(docs)), window, gram), docs["block"][0].as_py()
+            frequent = wanted["frequent"].to_numpy(zero_copy_only=False)
+            asked = wanted["g"].to_numpy()
+            often = b.pos[np.isin(b.gram_hash, asked[frequent])]
+            pos = b.pos[np.isin(b.gram_hash, asked[~frequent])]
+            squeeze = zstandard.ZstdCompressor(level=3)
+            if len(often):
+                at = c.starts_around(often, b.start, b.end, gram, window)
+                key, n, _ = c.counted_windows(b.word, c.gram_hashes(b.hash, window), at, window, lambda i: b.text(i, i + window))
+                for part, blob in c.dealt_windows(key, n, block, parts):
+                    names.append(part)
+                    blobs.append(None)
+                    windows.append(squeeze.compress(blob))
             doc = np.searchsorted(b.end, pos, side="right")
             left, right = np.minimum(pos - b.start[doc], window - gram), np.minimum(b.end[doc] - pos, window)
-            with np.errstate(over="ignore"):
-                whole = c.mix(b.span(pos - left, pos + right) + c.U(0x9E3779B97F4A7C15) * left.astype(c.U))
-            _, first, n = np.unique(whole, return_index=True, return_counts=True)
+            number, first = c.name_spans(b.word, pos - left, pos + right, left)
+            n = np.bincount(number, minlength=len(first))
             pos, left, right = pos[first], left[first], right[first]
-            g = b.span(pos, pos + gram)
+            g = c.gram_hashes(b.hash, gram)[pos] if len(pos) else np.zeros(0, c.U)
             part = (g % c.U(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            squeeze = zstandard.ZstdCompressor(level=3)
             for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
                 text = [b.raw[x:y] for x, y in zip(b.a[pos[rows] - left[rows]], b.b[pos[rows] + right[rows] - 1])]
                 sink = pa.BufferOutputStream()
-                blob = pa.table({"g": g[rows].astype(np.int64), "block": np.full(len(rows), docs["block"][0].as_py(), np.int32), "n": n[rows].astype(np.int32), "left": left[rows].astype(np.int32), "text": pa.array(text, pa.binary())})
+                blob = pa.table({"g": g[rows].astype(np.int64), "block": np.full(len(rows), block, np.int32), "n": n[rows].astype(np.int32), "left": left[rows].astype(np.int32), "text": pa.array(text, pa.binary())})
                 with pa.ipc.new_stream(sink, blob.schema) as out:
                     out.write_table(blob)
                 names.append(int(part[rows[0]]))
                 blobs.append(squeeze.compress(sink.getvalue()))
-        return pa.table({"part": pa.array(names, pa.int32()), "contexts": pa.array(blobs, pa.binary())})
+                windows.append(None)
+        return pa.table({"part": pa.array(names, pa.int32()), "contexts": pa.array(blobs, pa.binary()), "windows": pa.array(windows, pa.binary())})
 
     return run
 
@@ -98,16 +115,22 @@ def _contexts(window: int, gram: int, parts: int):
 def _confirm(window: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor()
-        every = pa.concat_tables([pa.ipc.open_stream(open_.decompressobj().decompress(x.as_py())).read_all() for x in table["contexts"]]).combine_chunks()
-        w = _Words(every["text"].to_pylist())
-        left = every["left"].to_numpy().astype(np.int64)
-        at = w.start + left
-        _, group = np.unique(every["g"].to_numpy(), return_inverse=True)
-        key = lambda rows, m: w.span(at[rows] - m, at[rows] - m + window)
-        high, low = c.extents(group, every["n"].to_numpy(), left, w.end - at, key, window - gram, window)
-        hit = np.flatnonzero(high >= 0)
-        text = [w.raw[x - 1 : y + 1] for x, y in zip(w.a[at[hit] - high[hit]], w.b[at[hit] + window - low[hit] - 1])]
-        return pa.table({"block": every["block"].to_numpy()[hit], "passage": pa.array(text, pa.binary())})
+        out = [c.repeated_windows(table["windows"])]
+        runs = [pa.ipc.open_stream(open_.decompressobj().decompress(x.as_py())).read_all() for x in table["contexts"] if x.is_valid]
+        if runs:
+            every = pa.concat_tables(runs).combine_chunks()
+            w = _Words(every["text"].to_pylist())
+            w.number()
+            left = every["left"].to_numpy().astype(np.int64)
+            at = w.start + left
+            _, group = np.unique(every["g"].to_numpy(), return_inverse=True)
+            start = np.arange(max(0, len(w.word) - window + 1))
+            name, _ = c.name_spans(w.word, start, start + window, h=c.gram_hashes(w.word, window))
+            high, low = c.extents(group, every["n"].to_numpy(), left, w.end - at, lambda rows, m: name[at[rows] - m], window - gram, window)
+            hit = np.flatnonzero(high >= 0)
+            text = [w.text(x, y) for x, y in zip(at[hit] - high[hit], at[hit] + window - low[hit])]
+            out.append(pa.table({"block": every["block"].to_numpy()[hit], "passage": pa.array(text, pa.binary()), "w": pa.nulls(len(hit), pa.int64()), "key": pa.nulls(len(hit), pa.binary())}))
+        return pa.concat_tables([x.select(["block", "passage", "w", "key"]) for x in out])
 
     return run
 
@@ -131,13 +154,22 @@ def _locate(w: _Words, passages: list[bytes]) -> np.ndarray:
     return c.union_mask(len(w.a), first, np.searchsorted(w.b, found[:, 0], side="right"))
 
 
-def _remove(docs: pa.Table, found: pa.Table) -> pa.Table:
+def _remove(window: int):
+    return lambda docs, found: _without(docs, found, window)
+
+
+def _without(docs: pa.Table, found: pa.Table, window: int) -> pa.Table:
     if not docs.num_rows:  # passages without their block cannot be
         raise ValueError("no documents in a block")
     rows = c.unpack(docs)
     texts = c.texts_of(rows)
     w = _Words(texts)
-    gone = _locate(w, found["passage"].to_pylist() if found.num_rows else [])
+    passages = found["passage"].drop_null().to_pylist() if found.num_rows else []
+    if found.num_rows and found["key"].null_count < found.num_rows:
+        w.number()
+        at = c.found_windows(found, c.gram_hashes(w.hash, window), w.end, window, lambda i: w.text(i, i + window))
+        passages += [w.text(i, i + window) for i in at]
+    gone = _locate(w, passages)
     removed, kept = [], []
     for a, e, text in zip(w.start, w.end, texts):
         mask, words = gone[a:e], text.split()
@@ -147,7 +179,7 @@ def _remove(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table(out | ({"row": rows["row"]} if "row" in rows.column_names else {}))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, carry: list[str] | None = None, frequent: int = c.FREQUENT) -> DataFrame:
     """doc_id, n_words, n_removed and kept (remaining words joined by single spaces) for every row of ``docs``.
 
     Columns of ``docs`` named in ``carry`` come along in a struct, ``row``.
@@ -167,10 +199,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         schema = schema.add(rows.schema["row"])
     packed = c.pack(rows, n_blocks)
     seen = packed.groupBy("block").applyInArrow(_grams(window, gram), "g long, block int, n int")
-    again = seen.withColumn("n", F.sum("n").over(Window.partitionBy("g"))).where("n > 1").select("block", "g")
-    contexts = packed.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_contexts(window, gram, parts), "part int, contexts binary")
-    passages = contexts.groupBy("part").applyInArrow(_confirm(window, gram), "block int, passage binary")
-    return packed.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(_remove, schema)
+    again = c.repeated_grams(seen, frequent)
+    contexts = packed.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_contexts(window, gram, parts), "part int, contexts binary, windows binary")
+    passages = contexts.groupBy("part").applyInArrow(_confirm(window, gram), "block int, passage binary, w long, key binary")
+    return packed.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(_remove(window), schema)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
