@@ -13,7 +13,9 @@ in equal windows.  Anchors whose ``gram`` bytes occur once cannot lie in a repea
    left sides follows, for each entry, how far the repeated windows that hold the anchor reach.
 4. The reaches go back to the blocks, which remove the bytes.
 
-Equality is decided on bytes.  Hashes only choose anchors and name contexts.
+Of a gram with more than ``frequent`` occurrences a block sends the digests of the windows around it, with their
+counts, dealt by digest, so that no task gets all suffixes behind one gram.  Equality is decided on bytes, for such
+grams between blocks on 128 bits of a cryptographic hash of the bytes.  Other hashes only choose anchors.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -41,17 +43,19 @@ class _Block:
         self.start = self.end - size
         self.bytes = np.frombuffer(b"".join(self.texts), np.uint8)
         n = len(self.bytes)
-        prefix = c.prefix_hash(self.bytes)
-        at = np.arange(max(0, n - gram + 1))
-        grams = c.span_hash(prefix, at, at + gram)
+        grams = c.gram_hashes(self.bytes, gram)
         self.pos = c.winnow(grams, self.start, self.end, gram, window)
         self.gram_hash = grams[self.pos].astype(np.int64)
+
+    def bytes_at(self, i: int) -> bytes:
+        return self.bytes[i : i + self.window].tobytes()
+
+    def contexts(self) -> None:
+        """The reach of every anchor inside its document, and numbers of what stands there, equal for equal bytes only."""
         doc = np.searchsorted(self.end, self.pos, side="right")
         self.left = np.minimum(self.pos - self.start[doc], self.reach) if len(doc) else self.pos
-        self.right = np.minimum(self.end[doc] - self.pos, window) if len(doc) else self.pos
-        whole = c.span_hash(prefix, self.pos - self.left, self.pos + self.right)
-        with np.errstate(over="ignore"):
-            self.context = c.mix(whole + c.U(0x9E3779B97F4A7C15) * self.left.astype(c.U)).astype(np.int64)
+        self.right = np.minimum(self.end[doc] - self.pos, self.window) if len(doc) else self.pos
+        self.context, _ = c.name_spans(self.bytes, self.pos - self.left, self.pos + self.right, self.left)
 
 
 def _grams(window: int, gram: int):
@@ -78,12 +82,26 @@ def _runs(window: int, gram: int, parts: int):
     reach = max(1, window - gram)  # a column at least
 
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        empty = pa.table({"part": pa.array([], pa.int32()), "run": pa.array([], pa.binary())})
+        names, blobs, windows = [], [], []
+        done = lambda: pa.table({"part": pa.array(names, pa.int32()), "run": pa.array(blobs, pa.binary()), "windows": pa.array(windows, pa.binary())})
         if not docs.num_rows or not wanted.num_rows:
-            return empty
+            return done()
         block = docs["block"][0].as_py()
         b = _Block(c.unpack(docs), window, gram)
-        pick = np.flatnonzero(np.isin(b.gram_hash, wanted["g"].to_numpy()))
+        squeeze = zstandard.ZstdCompressor(level=3)
+        frequent, asked = wanted["frequent"].to_numpy(zero_copy_only=False), wanted["g"].to_numpy()
+        often = b.pos[np.isin(b.gram_hash, asked[frequent])]
+        if len(often):
+            at = c.starts_around(often, b.start, b.end, gram, window)
+            key, n, _ = c.counted_windows(b.bytes, c.gram_hashes(b.bytes, window), at, window, b.bytes_at)
+            for part, blob in c.dealt_windows(key, n, block, parts):
+                names.append(part)
+                blobs.append(None)
+                windows.append(squeeze.compress(blob))
+        b.contexts()
+        pick = np.flatnonzero(np.isin(b.gram_hash, asked[~frequent]))
+        if not len(pick):
+            return done()
         _, first, count = np.unique(b.context[pick], return_index=True, return_counts=True)
         pick = pick[first]
         edge = np.concatenate([np.zeros(reach, np.uint8), b.bytes, np.zeros(window, np.uint8)])
@@ -93,8 +111,6 @@ def _runs(window: int, gram: int, parts: int):
         left[np.arange(reach) >= b.left[pick][:, None]] = 0
         part = (b.gram_hash[pick].astype(c.U) % c.U(parts)).astype(np.int32)
         order = np.lexsort((np.ascontiguousarray(right).view(f"S{window}").ravel(), part))
-        squeeze = zstandard.ZstdCompressor(level=3)
-        names, blobs = [], []
         for p, rows in zip(*_split(part, order)):
             shared, rest = front_code(right[rows])
             blob = pa.table({
@@ -108,7 +124,8 @@ def _runs(window: int, gram: int, parts: int):
             names.append(p)
             head = sink.getvalue().to_pybytes()
             blobs.append(squeeze.compress(len(head).to_bytes(8, "little") + head + rest))
-        return pa.table({"part": pa.array(names, pa.int32()), "run": pa.array(blobs, pa.binary())}) if names else empty
+            windows.append(None)
+        return done()
 
     return run
 
@@ -195,13 +212,18 @@ def _merge(window: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor()
         runs, heads, blocks = [], [], []
-        for x in table["run"]:
+        often = c.repeated_windows(table["windows"])
+        none = pa.nulls(often.num_rows, pa.int64())
+        often = pa.table({"block": often["block"], "context": none, "high": none.cast(pa.int16()), "low": none.cast(pa.int16()), "w": often["w"], "key": often["key"]})
+        for x in table["run"].drop_null():
             raw = open_.decompress(x.as_py())
             n = 8 + int.from_bytes(raw[:8], "little")
             head = pa.ipc.open_stream(raw[8:n]).read_all()
             runs.append((head["shared"].to_numpy(), raw[n:]))
             blocks.append(int(head.schema.metadata[b"block"]))
             heads.append(head.replace_schema_metadata(None))
+        if not runs:
+            return often
         first = np.cumsum([0, *(h.num_rows for h in heads)])
         merged = np.fromiter((v for x in LoserTree(runs, window).merge() for v in x), np.int64).reshape(-1, 3)
         del runs
@@ -222,7 +244,8 @@ def _merge(window: int, gram: int):
         group = np.cumsum(shared < gram)
         high, low = c.extents(group, every["n"].to_numpy(), every["have_left"].to_numpy(), every["have_right"].to_numpy(), key, window - gram, window)
         hit = high >= 0
-        return pa.table({"block": np.array(blocks, np.int32)[merged[:, 0]][hit], "context": every["context"].to_numpy()[hit], "high": high[hit], "low": low[hit]})
+        rows = {"block": np.array(blocks, np.int32)[merged[:, 0]][hit], "context": every["context"].to_numpy()[hit], "high": high[hit], "low": low[hit]}
+        return pa.concat_tables([often, pa.table(rows | {"w": pa.nulls(int(hit.sum()), pa.int64()), "key": pa.nulls(int(hit.sum()), pa.binary())})])
 
     return run
 
@@ -235,13 +258,18 @@ def _remove(window: int, gram: int):
         rows = c.unpack(docs)
         b = _Block(rows, window, gram)
         gone = np.zeros(len(b.bytes), bool)
+        if reach.num_rows and reach["key"].null_count < reach.num_rows:
+            at = np.array(c.found_windows(reach, c.gram_hashes(b.bytes, window), b.end, window, b.bytes_at), np.int64)
+            gone = c.union_mask(len(b.bytes), at, at + window)
+            reach = reach.filter(reach["key"].is_null())
         if reach.num_rows and len(b.pos):
+            b.contexts()
             order = np.argsort(reach["context"].to_numpy(), kind="stable")
             known = reach["context"].to_numpy()[order]
             j = np.minimum(np.searchsorted(known, b.context), len(known) - 1)
             hit = known[j] == b.context
             at = order[j[hit]]
-            gone = c.union_mask(len(b.bytes), b.pos[hit] - reach["high"].to_numpy()[at], b.pos[hit] + window - reach["low"].to_numpy()[at])
+            gone |= c.union_mask(len(b.bytes), b.pos[hit] - reach["high"].to_numpy()[at], b.pos[hit] + window - reach["low"].to_numpy()[at])
         removed, spans, kept = [], [], []
         for a, e, text in zip(b.start, b.end, b.texts):
             mask = gone[a:e]
@@ -254,7 +282,7 @@ def _remove(window: int, gram: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, frequent: int = c.FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary) for every row of ``docs``.
 
     A byte goes if some ``window`` bytes of its document that cover it also start anywhere else, the same
@@ -269,9 +297,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = max(8, n_blocks * c.BLOCK_BYTES // MERGE_BYTES)
     packed = c.pack(rows, n_blocks)
     seen = packed.groupBy("block").applyInArrow(_grams(window, gram), "g long, block int, n int")
-    again = seen.withColumn("n", F.sum("n").over(Window.partitionBy("g"))).where("n > 1").select("block", "g")
-    runs = packed.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_runs(window, gram, parts), "part int, run binary")
-    reach = runs.groupBy("part").applyInArrow(_merge(window, gram), "block int, context long, high short, low short")
+    again = c.repeated_grams(seen, frequent)
+    runs = packed.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_runs(window, gram, parts), "part int, run binary, windows binary")
+    reach = runs.groupBy("part").applyInArrow(_merge(window, gram), "block int, context long, high short, low short, w long, key binary")
     return packed.groupBy("block").cogroup(reach.groupBy("block")).applyInArrow(_remove(window, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
