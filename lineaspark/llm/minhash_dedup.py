@@ -1,19 +1,22 @@
 """MinHash near-dedup: universal hash minima, banding, exact confirmation, connected components.
 
-Documents with equal shingle sets form a class and are handled once.  Classes that share a band of minima
-are candidates.  In each bucket every class is first compared with the bucket's least class only.  Where that
-joins all classes that hang together by buckets, they are done.  The others, such as a family of copies that
-differ from each other by more than the threshold allows, are cut into chunks by set size, bounded in shingles
-and in classes; each two chunks
+Documents with equal word sequences (128 bits of a cryptographic hash of their bytes) form a class and are handled
+once.  Classes that share a band of minima are candidates.  A bucket is cut into slices by hash; every class is first
+compared with its slice's least class, and these with the bucket's least.  Where that joins all classes that hang
+together by buckets, they are done.  The others, such as a family of copies that differ from each other by more than
+the threshold allows, are cut into chunks by set size and hash, bounded in shingles and in classes; each two chunks
 whose sizes allow a link meet in one task, which gets all intersections from products of 0/1 matrices and
 returns one link for each class at most.  So no pairs are written out, no task holds more than two chunks,
-and no link is lost.  Every link is decided on the full shingle sets.
+and no link is lost.  Every link is decided on the full shingle sets, that is on the shingles' words, never on hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,23 +29,36 @@ STRIP = 256  # rows of that matrix at a time in what is made of it
 BROADCAST_IDS = 2_000_000  # ids, 16 MB, that are broadcast at most
 
 
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles of a text, A-Z lower-cased; of all words, if fewer."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, c.U)
-    line = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    end = np.flatnonzero(line == 32)
-    start = np.concatenate([[0], end[:-1] + 1])
-    k = min(width, len(end))
-    return np.unique(c.span_hash(c.prefix_hash(line), start[: len(end) - k + 1], end[k - 1 :]))
+class Shingles:
+    """The ``width``-word shingles of some texts, A-Z lower-cased; a text of fewer words is one shingle as a whole.
 
+    Each text's words stand in one buffer with a space after each word.  ``doc``, ``start`` and ``end`` give the
+    distinct shingles of every text, text by text, equality being decided on their bytes; ``hash`` goes with them.
+    """
 
-def _digest(sets: np.ndarray) -> bytes:
-    """128 bits of a set that do not depend on the order."""
-    with np.errstate(over="ignore"):
-        a, b = c.mix(sets).sum(dtype=c.U), c.mix(sets ^ c.U(0xA5A5A5A5DEADBEEF)).sum(dtype=c.U)
-    return int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little")
+    def __init__(self, texts: list[bytes], width: int):
+        self.lines = [b" ".join(x.lower().split()) for x in texts]
+        raw = np.frombuffer(b"".join([x + b" " for x in self.lines if x]), np.uint8)
+        stop = np.flatnonzero(raw == 32)
+        start = np.append(0, stop[:-1] + 1)[: len(stop)]
+        words = np.array([x.count(b" ") + 1 if x else 0 for x in self.lines], np.int64)
+        k = np.minimum(words, width)
+        n = np.where(words > 0, words - k + 1, 0)
+        base = np.cumsum(words) - words
+        doc = np.repeat(np.arange(len(texts)), n)
+        first = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + base[doc]
+        a, b = start[first], stop[first + k[doc] - 1]
+        h = c.span_hash(raw, a, b)
+        _, place = c.name_spans(raw, a, b, doc, h=h)
+        place = place[np.lexsort((h[place], doc[place]))]
+        self.raw, self.doc, self.start, self.end, self.hash = raw, doc[place], a[place], b[place], h[place]
+        self.size = np.bincount(self.doc, minlength=len(texts))
+        self.stop = np.cumsum(self.size)
+
+    def text(self) -> pa.Array:
+        """The shingles themselves."""
+        raw = self.raw.tobytes()
+        return pa.array([raw[x:y] for x, y in zip(self.start.tolist(), self.end.tolist())], pa.binary())
 
 
 def minima(sets: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
@@ -56,11 +72,16 @@ def minima(sets: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
     return low
 
 
-def _small(batches, rows: int = 512):
-    """Batches of few rows, so that what a task makes of one stays small."""
+def _small(batches, rows: int = 512, size: int = 2 << 20):
+    """Batches of few rows and bytes, so that what a task makes of one stays small."""
     for batch in batches:
-        for low in range(0, batch.num_rows, rows):
-            yield batch.slice(low, rows)
+        total = np.cumsum(pa.compute.binary_length(batch.column(1).cast(pa.binary())).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < batch.num_rows:
+            high = int(np.searchsorted(total, (total[low - 1] if low else 0) + size, side="right"))
+            high = min(max(high, low + 1), low + rows)
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def _signatures(width: int, rows: int, bands: int):
@@ -71,16 +92,13 @@ def _signatures(width: int, rows: int, bands: int):
         fold = r.integers(0, 1 << 62, rows).astype(c.U) * c.U(2) + c.U(1)
         band = np.arange(bands, dtype=c.U) * c.U(0x9E3779B97F4A7C15)
         for batch in _small(batches):
-            n, digest, low = [], [], np.zeros((batch.num_rows, rows * bands), np.uint32)
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
-                s = shingles(text.as_py(), width)
-                n.append(len(s))
-                digest.append(_digest(s))
-                low[i] = minima(s, times, plus)
+            s = Shingles([x.as_py() for x in batch.column(1).cast(pa.binary())], width)
+            low = np.stack([minima(s.hash[b - n : b], times, plus) for b, n in zip(s.stop.tolist(), s.size.tolist())])
             with np.errstate(over="ignore"):
                 key = c.mix((low.reshape(-1, bands, rows).astype(c.U) * fold).sum(axis=2, dtype=c.U) + band).astype(np.int64)
             keys = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * bands, key.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), keys], names=["doc_id", "n", "digest", "keys"])
+            digest = [hashlib.blake2b(x, digest_size=16).digest() for x in s.lines]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.size, pa.int64()), pa.array(digest, pa.binary()), keys], names=["doc_id", "n", "digest", "keys"])
 
     return run
 
@@ -88,28 +106,27 @@ def _signatures(width: int, rows: int, bands: int):
 def _sets(width: int):
     def run(batches):
         for batch in _small(batches):
-            s = [shingles(x.as_py(), width).astype(np.int64) for x in batch.column(1).cast(pa.binary())]
-            flat = np.concatenate(s) if s else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, s)], dtype=np.int32), flat)
+            s = Shingles([x.as_py() for x in batch.column(1).cast(pa.binary())], width)
+            lists = pa.ListArray.from_arrays(np.append(0, s.stop).astype(np.int32), s.text())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "items"])
 
     return run
 
 
 def _confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose full sets are alike enough."""
-    both = pairs.join(items.select(F.col("id").alias("u"), F.col("items").alias("a")), "u").join(items.select(F.col("id").alias("v"), F.col("items").alias("b")), "v")
+    """The (u, v) of ``pairs`` whose full sets are alike enough; a set that many pairs name goes to slices of them."""
+    cut = c.slices_of(pairs, "u", ["v"], 64)
+    left = cut.select("u", "slice").distinct().join(items.select(F.col("id").alias("u"), F.col("items").alias("a")), "u")
+    both = cut.join(left, ["u", "slice"]).join(items.select(F.col("id").alias("v"), F.col("items").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the least place of a set that it hangs together with by links."""
-    n = len(sets)
-    size = np.array([len(x) for x in sets])
-    items, place = np.unique(np.concatenate(sets), return_inverse=True)
+def _linked(place: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the least place of a set that it hangs together with by links; ``place`` numbers the items, set by set."""
+    n = len(size)
     row = np.repeat(np.arange(n), size)
-    often = np.bincount(place, minlength=len(items)) > 1  # an item of one set is in no intersection
+    often = np.bincount(place) > 1  # an item of one set is in no intersection
     column = np.cumsum(often) - 1
     use = often[place]
     row, place = row[use], column[place[use]]
@@ -142,7 +159,7 @@ def _chunk_links(percent: int):
         table = table.sort_by("id")
         ids = table["id"].to_numpy()
         lists = table["items"].combine_chunks()
-        label = _linked(np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()), percent)
+        label = _linked(lists.flatten().dictionary_encode().indices.to_numpy(), np.diff(lists.offsets.to_numpy()), percent)
         hit = label < np.arange(len(label))
         return pa.table({"u": ids[label[hit]], "v": ids[hit]})
 
@@ -156,12 +173,12 @@ def _rest(items: DataFrame, near: DataFrame, found: DataFrame, percent: int) ->
     """
     sized = items.select("id", F.size("items").cast("long").alias("n"))
     nodes = near.select(F.col("node").alias("id"), F.col("component").alias("family")).join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = nodes.groupBy("family").agg(F.count("*").alias("k"), F.min("component").alias("a"), F.max("component").alias("b")).where("k > 2 and a < b").select("family")
-    nodes = nodes.join(open_, "family").join(sized, "id")
-    before = Window.partitionBy("family").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
-    # Both terms only grow, so their sum goes on where either does.
-    chunk = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / CHUNK) + F.floor(F.count("n").over(before) / CHUNK_ROWS)
-    nodes = c.settle(nodes.withColumn("chunk", chunk))
+    nodes = c.with_group(nodes, "family", ["id"], F.count("*").alias("k"), F.min("component").alias("a"), F.max("component").alias("b")).where("k > 2 and a < b").drop("k", "a", "b")
+    # Sets of a family are dealt to classes of about one size, each class by hash to as many chunks as it needs.
+    nodes = nodes.join(sized, "id").withColumn("kind", F.struct("family", F.floor(F.log(F.col("n").cast("double")) * 8).cast("int").alias("class")))
+    need = F.ceil(1.1 * F.greatest(F.sum("n") / CHUNK, F.count("*") / CHUNK_ROWS)).cast("int").alias("need")
+    nodes = c.with_group(nodes, "kind", ["id"], need)
+    nodes = c.settle(nodes.select("id", "family", "component", "n", F.struct("kind.class", F.pmod(F.xxhash64("id"), F.col("need")).alias("cut")).alias("chunk")))
     chunks = nodes.groupBy("family", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("a"), F.max("component").alias("b"))
     one = chunks.select("family", *[F.col(x).alias(f"{x}1") for x in ("chunk", "low", "high", "a", "b")])
     two = chunks.select("family", *[F.col(x).alias(f"{x}2") for x in ("chunk", "low", "high", "a", "b")])
@@ -183,20 +200,24 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = c.id_text(docs, id_col, text_col)
     known = c.settle(docs.mapInArrow(_signatures(width, rows, bands), "doc_id long, n long, digest binary, keys array<long>"))
-    classes = known.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    bucket = classes.select("rep", F.explode("keys").alias("key"))
-    led = bucket.join(bucket.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead"), "key")
-    stars = c.settle(led.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct())
+    sliced = c.slices_of(known.select("doc_id", "n", "digest"), "digest", ["doc_id"])
+    classes = c.slices_of(known, "digest", ["doc_id"]).where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.collect_set("slice").alias("slices"))
+    # A bucket's classes meet the least of their slice, and these the bucket's least, so no task gets a whole bucket.
+    bucket = c.slices_of(classes.select("rep", F.explode("keys").alias("key")), "key", ["rep"])
+    slices = bucket.groupBy("key", "slice").agg(F.min("rep").alias("low"), F.count("*").alias("k"))
+    heads = slices.withColumn("lead", F.min("low").over(Window.partitionBy("key"))).where("low <> lead").select(F.col("lead").alias("u"), F.col("low").alias("v"))
+    close = bucket.join(slices.where("k > 1").select("key", "slice", "low"), ["key", "slice"]).where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v"))
+    stars = c.settle(heads.unionByName(close).distinct())
     wanted = stars.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     wanted = c.settle(wanted)
     if wanted.count() <= BROADCAST_IDS:  # then the texts are not shuffled
         wanted = F.broadcast(wanted)
-    items = c.settle(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<long>"))
+    items = c.settle(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<binary>"))
     links = c.settle(_confirmed(stars, items, percent))
     more = c.settle(_rest(items, components(stars), components(links), percent))
     found = components(links.unionByName(more))
-    reps = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("found"))
-    out = known.select("doc_id", "n", "digest").join(reps, "digest", "left")
+    reps = classes.select("digest", "rep", "slices").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.explode("slices").alias("slice"), F.coalesce("component", "rep").alias("found"))
+    out = sliced.join(reps, ["digest", "slice"], "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
