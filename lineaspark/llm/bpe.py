@@ -1,13 +1,13 @@
 """BPE encoding and decoding over a table of distinct words.
 
 1. Blocks of documents are split into the words that byte-level BPE treats on their own; a special token's
-   string is a word of its own.  A word goes by a hash; each block sends its distinct words once, dealt by hash.
+   string is a word of its own.  Each block sends its distinct words once, dealt by hash.
 2. A task that receives words encodes every distinct one once and answers each block with the ids of its words,
    in the order in which they came.
 3. Each block joins the ids back by the position of the words.
 
 Words and ids travel in compressed lists, documents in compressed packs that are shuffled once.  Decoding
-gathers each id's piece from the id-to-piece table, whose size is the vocabulary's.
+joins every id with the id-to-piece table, whose size is the vocabulary's, and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -20,15 +20,17 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _PIECE = 1 << 18
 _ROWS = 256
+_TOKENS = 1 << 16
 # The endings that, after an apostrophe, are words of their own, and the Unicode white space.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -83,41 +85,33 @@ def word_starts(codes: np.ndarray, first: np.ndarray, whole: np.ndarray) -> np.n
 
 
 class _Words:
-    """The words of a block: for each document the words' hashes, and one place where each distinct one stands."""
+    """The words of a block: its distinct words in order of appearance, and for each piece of it the words' numbers."""
 
     def __init__(self, texts: list[str], special: list[str]):
         import regex
 
         cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.texts, self.hashes, self.count = texts, [], []
-        keys, doc, start, end = [], [], [], []
+        self.numbers, self.count = [], []
+        place: dict[str, int] = {}
         piece, size = [], 0
-        for k, text in enumerate([*texts, None]):
+        for text in [*texts, None]:
             if piece and (text is None or size + len(text) > _PIECE):
-                low = k - len(piece)
-                h, a, b, d = self._split(piece, cut, special)
-                self.hashes.append(h)
-                self.count += np.bincount(d, minlength=len(piece)).tolist()
-                u, at = np.unique(h, return_index=True)
-                keys.append(u)
-                doc.append(d[at] + low)
-                start.append(a[at])
-                end.append(b[at])
+                joined, a, b, n = self._split(piece, cut, special)
+                words = [joined[x:y] for x, y in zip(a.tolist(), b.tolist())]
+                for word in words:
+                    place.setdefault(word, len(place))
+                self.numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+                self.count += n.tolist()
                 piece, size = [], 0
             if text is not None:
                 piece.append(text)
                 size += len(text)
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        self.distinct, at = np.unique(join(keys), return_index=True)
-        self._where = (join(doc)[at], join(start)[at], join(end)[at])
-
-    def words(self) -> list[str]:
-        return [self.texts[d][a:b] for d, a, b in zip(*(x.tolist() for x in self._where))]
+        self.distinct = list(place)
 
     def dealt(self, parts: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """The distinct words, their parts by hash, and their order by part and then alphabet, which compresses well."""
-        words = pa.array(self.words(), pa.string())
-        part = (self.distinct % c.U(parts)).astype(np.int32)
+        words = pa.array(self.distinct, pa.string())
+        part = np.fromiter((xxhash.xxh32_intdigest(x) % parts for x in self.distinct), np.int32, len(self.distinct))
         order = pa.compute.sort_indices(pa.table({"part": part, "word": words}), [("part", "ascending"), ("word", "ascending")])
         return words, part, order.to_numpy()
 
@@ -139,11 +133,9 @@ class _Words:
                             first[o + m.end()] = True
         if not len(codes):
             none = np.zeros(0, np.int64)
-            return none.astype(c.U), none, none, none
+            return text, none, none, np.zeros(len(texts), np.int64)
         a = np.flatnonzero(word_starts(codes, first, whole))
-        b = np.append(a[1:], len(codes))
-        d = np.searchsorted(base + size, a, side="right")
-        return c.span_hash(c.prefix_hash(codes), a, b), a - base[d], b - base[d], d
+        return text, a, np.append(a[1:], len(codes)), np.bincount(np.searchsorted(base + size, a, side="right"), minlength=len(texts))
 
 
 def _list_blob(values: pa.Array) -> bytes:
@@ -212,7 +204,6 @@ def _join(special: list[str], parts: int):
         rows = c.unpack(docs)
         w = _Words(rows["text"].to_pylist(), special)
         _, part, order = w.dealt(parts)
-        w.texts = []
         size, flat = np.zeros(len(part), np.int64), []
         low = 0
         for i in np.argsort(encoded["part"].to_numpy(), kind="stable").tolist() if encoded.num_rows else []:
@@ -225,13 +216,12 @@ def _join(special: list[str], parts: int):
         start[order] = np.cumsum(size[order]) - size[order]
         out, stop = [], np.append(0, np.cumsum(w.count)).astype(np.int64)
         doc = 0
-        for h in w.hashes:
-            at = np.searchsorted(w.distinct, h)
+        for at in w.numbers:
             n = size[at]
             found = _ragged(every, start[at], n).astype("<u4")
             cut = np.append(0, np.cumsum(n))
             low = stop[doc]
-            while doc < len(w.count) and stop[doc + 1] - low <= len(h):
+            while doc < len(w.count) and stop[doc + 1] - low <= len(at):
                 out.append(found[cut[stop[doc] - low] : cut[stop[doc + 1] - low]].tobytes())
                 doc += 1
         ids = pa.table({"doc_id": rows["doc_id"], "ids": pa.array(out, pa.binary())})
@@ -272,18 +262,76 @@ def _pieces(path: str) -> list[bytes]:
     return out
 
 
-def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """``encoded`` (columns doc_id and ids, as :func:`bpe_encode` makes) with its text; null ids give null text."""
+def _token_rows(batches):
+    """One row for each id of each document, in order; the first has the document's own columns.  No ids give one row."""
+    row = -1
+    for whole in batches:
+        for low in range(0, whole.num_rows, _ROWS):
+            batch = whole.slice(low, _ROWS)
+            lists = [np.zeros(0, np.uint32) if x is None else np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
+            n = np.array([max(1, len(x)) for x in lists], np.int64)
+            first = np.cumsum(n) - n
+            every = np.full(int(n.sum()), -1, np.int64)
+            for x, at in zip(lists, first.tolist()):
+                every[at : at + len(x)] = x
+            rows = np.repeat(np.arange(row + 1, row + 1 + len(n)), n)
+            row += len(n)
+            head = np.full(len(every), -1, np.int64)
+            head[first] = np.arange(len(n))
+            own = pa.array(head, mask=head < 0)
+            for i in range(0, len(every), _TOKENS):
+                some = own.slice(i, _TOKENS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[i : i + _TOKENS]), batch.column(0).take(some), batch.column(1).take(some), pa.array(every[i : i + _TOKENS])], names=["row", "doc_id", "ids", "id"]
+                )
+
+
+def _joined(batches):
+    """Documents of token rows that come in order; a document may go over several batches."""
+    now, own, parts = None, None, []
+
+    def close(out):
+        if now is not None:
+            out.append((*own, b"".join(parts).decode(errors="replace") if own[1] is not None else None))
+
+    def table(out):
+        columns = list(zip(*out)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.string()))], names=["doc_id", "ids", "text"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row, piece = batch.column(0).to_numpy(), batch.column(3)
+        cut = np.append(np.flatnonzero(np.diff(row, prepend=row[0] - 1)), len(row))
+        stop = np.append(0, np.cumsum(pa.compute.fill_null(pa.compute.binary_length(piece), 0).to_numpy(zero_copy_only=False)))
+        raw = pa.compute.binary_join(pa.ListArray.from_arrays([0, len(piece)], pa.compute.fill_null(piece, b"")), b"")[0].as_py()
+        out = []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if row[a] != now:
+                close(out)
+                now, own, parts = row[a], (batch.column(1)[a].as_py(), batch.column(2)[a].as_py()), []
+            parts.append(raw[stop[a] : stop[b]])
+        yield table(out)
+    out = []
+    close(out)
+    yield table(out)
+
+
+def piece_table(spark, path: str) -> DataFrame:
+    """(id, piece) of a tokenizer: as many rows as its vocabulary has."""
+    return spark.createDataFrame([(i, p) for i, p in enumerate(_pieces(path))], "id long, piece binary")
 
-    def run(batches):
-        piece = _pieces(tokenizer).__getitem__
-        for whole in batches:
-            for low in range(0, whole.num_rows, _ROWS):  # small batches keep little in memory
-                batch = whole.slice(low, _ROWS)
-                text = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())).decode(errors="replace") for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """``encoded`` (columns doc_id and ids, as :func:`bpe_encode` makes) with its text; null ids give null text.
+
+    Every id is joined with its piece.  The table of pieces has the size of the vocabulary and is broadcast, so ids
+    stay where they are and in order, and the pieces of a document are put together as they come.  Ids beyond
+    the vocabulary have no piece and add nothing, as in the library.  Bytes that are no UTF-8 become U+FFFD.
+    """
+    tokens = encoded.select("doc_id", "ids").mapInArrow(_token_rows, "row long, doc_id long, ids binary, id long")
+    pieces = F.broadcast(piece_table(encoded.sparkSession, tokenizer))
+    return tokens.join(pieces, "id", "left").select("row", "doc_id", "ids", "piece").mapInArrow(_joined, "doc_id long, ids binary, text string")
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
