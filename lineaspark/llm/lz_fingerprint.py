@@ -8,11 +8,11 @@ likeness.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -20,35 +20,32 @@ from .minhash_dedup import minima
 
 SIZE = 128
 BUCKET_BYTES = 8 << 20
+TIE = 32  # characters of the text by which rows of one id are dealt
+_PIECE = 1 << 16
 _draw = np.random.default_rng(7919)
 _TIMES = _draw.integers(0, 1 << 32, SIZE, np.uint32) | np.uint32(1)
 _PLUS = _draw.integers(0, 1 << 32, SIZE, np.uint32)
 
 
-def parse(text: str, ends: list[int], seen: set[str], start: int, stop: int) -> int:
-    """Parse text[start:stop] into phrases new to ``seen``, adding their ends; returns where the unfinished one begins.
+def parse(text: str, ends: list[int], tree: dict[int, int], start: int, stop: int) -> int:
+    """Parse text[start:stop] into phrases new to ``tree``, adding their ends; returns where the unfinished one begins.
 
-    Every beginning of a phrase is a phrase, so a phrase of three is looked up first.
+    ``tree`` maps a phrase's number and a character to the number of the longer phrase, so each character is
+    looked at once.
     """
-    add, put = seen.add, ends.append
-    i = start
-    while i < stop:
-        j = i + 3
-        if j <= stop and text[i:j] in seen:
-            j += 1
-        else:
-            j = i + 1
-        while j <= stop:
-            w = text[i:j]
-            if w not in seen:
-                add(w)
+    node, begin, new = 0, start, len(tree)
+    find, put = tree.get, ends.append
+    for low in range(start, stop, _PIECE):
+        codes = np.frombuffer(text[low : min(low + _PIECE, stop)].encode("utf-32-le", "surrogatepass"), np.uint32).tolist()
+        for j, code in enumerate(codes, low + 1):
+            key = node << 21 | code
+            node = find(key, 0)
+            if not node:
+                new += 1
+                tree[key] = new
                 put(j)
-                i = j
-                break
-            j += 1
-        else:
-            return i
-    return i
+                begin = j
+    return begin
 
 
 def _hashes(text: str, ends: list[int], rest: int) -> np.ndarray:
@@ -57,7 +54,7 @@ def _hashes(text: str, ends: list[int], rest: int) -> np.ndarray:
         ends = [*ends, len(text)]
     end = np.array(ends, np.int64)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return c.span_hash(c.prefix_hash(codes), np.concatenate([[0], end[:-1]]).astype(np.int64), end) if len(end) else np.zeros(0, c.U)
+    return c.span_hash(codes, np.concatenate([[0], end[:-1]]).astype(np.int64), end) if len(end) else np.zeros(0, c.U)
 
 
 def signature(phrases: np.ndarray) -> np.ndarray:
@@ -79,8 +76,8 @@ def likeness_of(a: Column, b: Column) -> Column:
 def lz_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint (hex, 128 minima of 16 bits) for every row of ``docs``; equal texts have equal ones.
 
-    Null text is empty; its fingerprint is all f.  Repeated rows and null ids stay rows of their own; other
-    columns of ``docs`` are not read.
+    Null text is empty; its fingerprint is all f.  Repeated rows and null ids stay rows of their own; an empty table
+    gives an empty result; other columns of ``docs`` are not read.
     """
 
     def run(batches):
@@ -88,7 +85,7 @@ def lz_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for x in batch.column(1):
                 text, ends = x.as_py(), []
-                out.append(signature(_hashes(text, ends, parse(text, ends, set(), 0, len(text)))).tobytes().hex())
+                out.append(signature(_hashes(text, ends, parse(text, ends, {}, 0, len(text)))).tobytes().hex())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
 
     return c.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
@@ -100,7 +97,7 @@ class _Row:
     def __init__(self, doc_id, text: str):
         self.id, self.text = doc_id, text
         self.cut = len(text) - len(text) // 3
-        self.ends, self.seen = [], set()
+        self.ends, self.seen = [], {}
         self.rest = parse(text, self.ends, self.seen, 0, self.cut)
         ends, seen = self.ends.copy(), self.seen.copy()
         phrases = _hashes(text, ends, parse(text, ends, seen, self.rest, len(text)))
@@ -110,38 +107,48 @@ class _Row:
         text = self.text[: self.cut] + following.text[: len(self.text) // 3]
         mark = signature(_hashes(text, self.ends, parse(text, self.ends, self.seen, self.rest, len(text))))
         return (
-            self.id, len(self.text), hashlib.sha256(text.encode()).hexdigest(), self.mark.tobytes().hex(), mark.tobytes().hex(),
+            self.id, len(self.text), hashlib.sha256(text.encode()).hexdigest(), self.mark.tobytes(), mark.tobytes(),
             likeness(self.mark, mark, not self.text, not text), likeness(self.mark, following.mark, not self.text, not following.text),
         )
 
 
-_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+_NAMES = [x.split()[0] for x in _COLUMNS.split(", ")]
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _TYPES)], names=_NAMES)
 
 
 def _compare(batches):
-    """Rows come by bucket, in order, each bucket ending with a copy of the next bucket's first row."""
-    last, bucket = None, None
+    """Rows of one range come in order; its last row stays open, and comes out with the range's first row as an edge."""
+    part = TaskContext.get().partitionId()
+    head = last = None
+
+    def out(rows: list[tuple], edges: list[tuple]):
+        done = _table(rows + [(e[1], *[None] * (len(_TYPES) - 1)) for e in edges])
+        more = [[None] * len(rows) + [e[k] for e in edges] for k in (0, 2, 3)]
+        return pa.RecordBatch.from_arrays([*done.columns, *[pa.array(x, t) for x, t in zip(more, (pa.int32(), pa.string(), pa.string()))]], names=[*_NAMES, "part", "last", "head"])
+
     for batch in batches:
-        out = []
-        for b, guard, doc_id, text in zip(*(x.to_pylist() for x in batch.columns)):
+        rows = []
+        for doc_id, text in zip(*(x.to_pylist() for x in batch.columns)):
             row = _Row(doc_id, text)
-            if last is not None and b == bucket:
-                out.append(last.edited(row))
-            last, bucket = (None if guard else row), b
-        columns = list(zip(*out)) or [()] * 7
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=[x.split()[0] for x in _COLUMNS.split(", ")])
+            if last is None:
+                head = text
+            else:
+                rows.append(last.edited(row))
+            last = row
+        yield out(rows, [])
+    if last is not None:
+        yield out([], [(part, last.id, last.text, head)])
 
 
-def _below(cuts: list[int], value: Column) -> Column:
-    """How many of the sorted ``cuts`` lie below ``value``: first among every k-th of them, then within the k found."""
-    if not cuts:
-        return F.lit(0)
-    k = math.isqrt(len(cuts)) + 1
-    count = lambda xs: F.size(F.filter(xs, lambda x: x < value))
-    every = cuts[k - 1 :: k]
-    coarse = count(F.lit(every)) if every else F.lit(0)
-    return coarse * k + count(F.slice(F.lit(cuts), coarse * k + 1, F.lit(k)))
+def _finish(batches):
+    for batch in batches:
+        yield _table([_Row(i, text).edited(_Row(None, head)) for i, text, head in zip(*(x.to_pylist() for x in batch.columns))])
 
 
 def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,24 +156,23 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The edited text has its last third (rounded down) replaced by the first characters of the next document in
     descending order of id, as many as were cut or all; the last document is followed by the first.  Equal ids
-    are ordered by descending text, null ids come last.  Null text is empty.  Documents are dealt by ranges of
-    ids, so neighbours meet without a global sort; each range gets a copy of the next range's first row.
+    are ordered by descending text, null ids come last.  Null text is empty; an empty table gives an empty result;
+    other columns of ``docs`` are not read.  Documents are dealt by ranges of id and of the text's beginning, so one
+    id or no id may have any number of rows.  The last row of a range is compared with the first of the next
+    range through a table in the shared folder; only the numbers of the ranges are sorted in one task.
     """
     rows = c.id_text(docs, id_col, text_col)
     n = max(8, c.count_blocks(rows, BUCKET_BYTES))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(n + 1)).otherwise(F.lit(n) - _below(sorted(set(cuts)), F.col("doc_id")))
-    rows = rows.select(bucket.alias("bucket"), F.lit(0).alias("guard"), "doc_id", "text")
-    # One row for each bucket: its first document, handed to the bucket before, the first bucket's to the last.
-    heads = c.settle(rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "text")).alias("head")))
-    names = sorted(r.bucket for r in heads.select("bucket").collect())
-    before = dict(zip(names, [names[-1], *names[:-1]])) if names else {}
-    to = F.lit(0)
-    if before:
-        to = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("bucket")]
-    guards = heads.select(to.alias("bucket"), F.lit(1).alias("guard"), "head.doc_id", "head.text")
-    dealt = rows.unionByName(guards).repartition("bucket").sortWithinPartitions("bucket", "guard", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    return dealt.mapInArrow(_compare, _COLUMNS)
+    order = [F.col("doc_id").desc_nulls_last(), F.substring("text", 1, TIE).desc()]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(order[0], F.col("text").desc())
+    found = c.settle(dealt.mapInArrow(_compare, f"{_COLUMNS}, part int, last string, head string"))
+    edges = found.where("part is not null")
+    parts = edges.select("part", F.lead("part").over(Window.orderBy("part")).alias("next"))
+    parts = parts.withColumn("next", F.coalesce("next", F.min("part").over(Window.partitionBy())))
+    heads = edges.select(F.col("part").alias("next"), "head")
+    open_ = edges.select("part", "doc_id", "last").join(parts, "part").join(heads, "next").select("doc_id", "last", "head")
+    every = found.where("part is null").select(*_NAMES).unionByName(open_.mapInArrow(_finish, _COLUMNS))
+    return every.withColumns({x: F.lower(F.hex(x)) for x in ("fingerprint", "edited_fingerprint")})
 
 
 def op10_lz_fingerprint(spark, sf_dir: str) -> DataFrame:
