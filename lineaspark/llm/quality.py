@@ -12,13 +12,13 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 
 STEP, CHUNK, DIM, FILTERS, HIDDEN = 8, 16, 8, 32, 16
-SAMPLE = 4000
+SAMPLE, SAMPLE_BYTES = 4000, 128 << 20
 THRESHOLD = 0.7
 _PIECE = 1 << 19
 
@@ -48,22 +48,46 @@ class Network:
                 setattr(net, k, z[k])
         return net
 
-    @staticmethod
-    def blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Documents in whole blocks, two at least and zero padded, and each one's first block."""
-        n = np.array([max(2, -(-len(t) // STEP)) for t in texts])
-        raw = b"".join(t.ljust(k * STEP, b"\0") for t, k in zip(texts, n.tolist()))
-        return np.frombuffer(raw, np.uint8).reshape(-1, STEP), np.concatenate([[0], np.cumsum(n)[:-1]])
-
-    def pool(self, texts: list[bytes]):
-        """Largest response of each filter for each document, with the blocks and responses it comes from."""
-        blocks, first = self.blocks(texts)
+    def pool(self, texts: list[bytes], size: int = _PIECE) -> tuple[np.ndarray, np.ndarray]:
+        """Largest response of each filter for each document, and the bytes of the chunk that it comes from.
+
+        Documents are cut into whole blocks, two at least, zero padded.  At most about ``size`` bytes are embedded
+        at once: longer documents go in pieces that share one block, so no chunk is lost.
+        """
+        top = np.full((len(texts), FILTERS), -np.inf, np.float32)
+        best = np.zeros((len(texts), FILTERS, CHUNK), np.uint8)
+        pieces: list[tuple[int, bytes]] = []
+        room = size
+        for d, text in enumerate(texts):
+            whole = max(2, -(-len(text) // STEP)) * STEP
+            step = max(STEP, size // STEP * STEP)
+            for low in range(0, whole - STEP, step):
+                piece = text[low : low + step + STEP].ljust(min(step + STEP, whole - low), b"\0")
+                if len(piece) > room and pieces:
+                    self._pool(pieces, top, best)
+                    pieces, room = [], size
+                pieces.append((d, piece))
+                room -= len(piece)
+        if pieces:
+            self._pool(pieces, top, best)
+        return np.maximum(top + self.bias, 0), best
+
+    def _pool(self, pieces: list[tuple[int, bytes]], top: np.ndarray, best: np.ndarray) -> None:
+        blocks = np.frombuffer(b"".join(p for _, p in pieces), np.uint8).reshape(-1, STEP)
+        n = np.array([len(p) // STEP for _, p in pieces])
+        first = np.cumsum(n) - n
         x = self.embed[blocks].reshape(len(blocks), -1)
         half = STEP * DIM
         out = x @ self.conv[:half]
         out[:-1] += x[1:] @ self.conv[half:]
-        out[np.append(first[1:], len(blocks)) - 1] = -np.inf  # a document's last block begins no chunk
-        return np.maximum(np.maximum.reduceat(out, first, axis=0) + self.bias, 0), (blocks, first, x, out)
+        out[first + n - 1] = -np.inf  # a piece's last block begins no chunk
+        high = np.maximum.reduceat(out, first, axis=0)
+        for k, (d, _) in enumerate(pieces):
+            new = np.flatnonzero(high[k] > top[d])
+            if len(new):
+                at = first[k] + out[first[k] : first[k] + n[k], new].argmax(axis=0)
+                top[d, new] = high[k, new]
+                best[d, new] = np.concatenate([blocks[at], blocks[at + 1]], axis=1)
 
     def logit(self, pooled: np.ndarray):
         hidden = np.maximum(pooled @ self.w1 + self.b1, 0)
@@ -74,22 +98,19 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60)))
 
     def gradients(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
-        pooled, (blocks, first, x, out) = self.pool(texts)
+        pooled, best = self.pool(texts)
         z, hidden = self.logit(pooled)
         dz = ((1 / (1 + np.exp(-z)) - labels) / len(texts)).astype(np.float32)
         dh = np.outer(dz, self.w2) * (hidden > 0)
         dp = (dh @ self.w1.T) * (pooled > 0)
-        end = np.append(first[1:], len(blocks))
-        best = np.stack([a + out[a:b].argmax(axis=0) for a, b in zip(first, end)])  # the chunk behind each maximum
         doc, filt = np.nonzero(dp)
-        at, d = best[doc, filt], dp[doc, filt]
-        chunk = np.concatenate([x[at], x[at + 1]], axis=1)
+        d, chunk = dp[doc, filt], best[doc, filt]
+        seen = self.embed[chunk].reshape(len(d), -1)
         conv = np.zeros_like(self.conv)
         for f in range(FILTERS):
-            conv[:, f] = d[filt == f] @ chunk[filt == f]
+            conv[:, f] = d[filt == f] @ seen[filt == f]
         embed = np.zeros_like(self.embed)
-        back = (d[:, None] * self.conv.T[filt]).reshape(-1, CHUNK, DIM)
-        np.add.at(embed, np.concatenate([blocks[at], blocks[at + 1]], axis=1), back)
+        np.add.at(embed, chunk, (d[:, None] * self.conv.T[filt]).reshape(-1, CHUNK, DIM))
         return {"embed": embed, "conv": conv, "bias": dp.sum(axis=0), "w1": pooled.T @ dh, "b1": dh.sum(axis=0), "w2": hidden.T @ dz, "b2": np.array([dz.sum()], np.float32)}
 
     def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 900, batch: int = 32, rate: float = 4e-3) -> None:
@@ -129,16 +150,19 @@ def _train(batches):
     yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary())], names=["weights"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> bytes:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> bytes:
     """Weights fitted on at most ``sample`` labelled documents, those with the lowest hash of their id.
 
+    Of these, the ones in that order up to ``sample_bytes`` bytes of text are learned, so one task can hold them.
     Labels other than 0 and 1, null ids and ids with differing labels are left out.  Without labels every
     score is one half; with one label only, 0.01 or 0.99.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y", F.xxhash64("doc_id").alias("k"))
     chosen = F.broadcast(known.orderBy("k").limit(sample))  # at most ``sample`` rows of three numbers
-    rows = c.id_text(docs, id_col, text_col).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("text", "y", "k")
+    rows = c.id_text(docs, id_col, text_col).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("k").alias("k")).select("text", "y", "k")
+    before = F.sum(F.octet_length("text")).over(Window.orderBy("k"))  # of at most ``sample`` rows
+    rows = rows.withColumn("before", before - F.octet_length("text")).where(F.col("before") <= sample_bytes).drop("before")
     fitted = rows.repartition(1).mapInArrow(_train, "weights binary").first()
     return bytes(fitted.weights) if fitted else _constant(0.5).dump()
 
@@ -146,22 +170,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def score_quality(docs: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1, higher: label 1 likelier) for every row of ``docs``; the text alone decides.
 
-    Null text is empty and scored as such.  Repeated rows and null ids stay rows of their own; an empty table
-    gives an empty result; other columns of ``docs`` are not read.
+    Null text is empty and scored as such.  Texts of any length are read whole, in pieces.  Repeated rows and null ids
+    stay rows of their own; an empty table gives an empty result; other columns of ``docs`` are not read.
     """
 
     def run(batches):
         net = Network.load(weights)
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1).cast(pa.binary())]
-            out, piece, size = [], [], 0
-            for t in [*texts, None]:
-                if piece and (t is None or size + len(t) > _PIECE):
-                    out.append(net.scores(piece))
-                    piece, size = [], 0
-                if t is not None:
-                    piece.append(t)
-                    size += len(t)
+            out = [net.scores(texts[i : i + 256]) for i in range(0, len(texts), 256)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], names=["doc_id", "score"])
 
     return c.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
