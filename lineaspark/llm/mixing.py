@@ -4,8 +4,8 @@ Rates are the closest to 1 in relative entropy that meet every source's token ta
 the dual has one multiplier for each source and a document of size s gets the rate min(ceiling, exp(m * s / scale)).
 A document's rate depends on its source and size only, so Newton's method runs over the counts of documents
 by source and size, a table that partial aggregation makes and that is far smaller than the corpus.  Rates
-become copies from the largest size down, each size taking over what rounding left before, so a source ends
-within half its smallest document of the target where copies allow it.
+become copies by rounding running sums from the largest size down; then a few steps move copies between sizes, so a
+source ends within half its smallest document of the target where copies allow it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 CEILING = 3
 WEIGHTS = (5, 2, 1)
@@ -35,7 +35,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int
     weight.  With ratio r = ceiling * size / weight, those that stop are the ones with the smallest ratios:
     a source is stopped if giving it the share left by all smaller ratios exceeds its ceiling.
     """
-    # One row for each source: the number of sources bounds this single sort, not the corpus.
+    # One row for each source: the number of sources bounds this single sort, not the corpus (a source is a collection, not a host).
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     weight = F.element_at(F.lit([float(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     w = sources.withColumn("weight", weight).withColumn("top", F.lit(float(ceiling)) * F.col("source_size"))
@@ -77,13 +77,47 @@ def _solve(counts: DataFrame, aims: DataFrame, ceiling: int) -> DataFrame:
         miss = F.col("took") - F.col("target")
         lo, hi = F.when(miss < 0, F.col("m")).otherwise(F.col("lo")), F.when(miss > 0, F.col("m")).otherwise(F.col("hi"))
         newton = F.col("m") - F.try_divide(miss, F.col("slope"))
-        step = step.withColumn("lo2", lo).withColumn("hi2", hi).withColumn("newton", newton).withColumn("done2", F.abs(miss) <= 1e-9 * F.col("target"))
+        step = step.withColumn("lo2", lo).withColumn("hi2", hi).withColumn("newton", newton).withColumn("done2", F.abs(miss) <= F.greatest(1e-9 * F.col("target"), F.lit(1e-6)))
         inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("lo2")) & (F.col("newton") < F.col("hi2"))
         m = F.when(F.col("done2"), F.col("m")).when(inside, F.col("newton")).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-        state = settle(step.select("source", "target", "scale", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), m.alias("m"), F.col("done2").alias("done")))
+        before, state = state, settle(step.select("source", "target", "scale", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), m.alias("m"), F.col("done2").alias("done")))
+        discard(before)
         if not state.where("not done").limit(1).count():
-            break
-    return state.select("source", "target", "scale", "m")
+            return state.select("source", "target", "scale", "m")
+    raise RuntimeError(f"no rates that meet the targets after {_NEWTON} steps")
+
+
+def _rounded(classes: DataFrame, ceiling: int) -> DataFrame:
+    """``classes`` (source, size, n, rate, target) with total, the copies that all documents of one source and size get.
+
+    From the largest size down, a class gets what the rounded running sum of wished copies grows by.  The sum is
+    taken inside bands of sizes and over the bands, in decimals, so it does not depend on the order of adding.  Then
+    each source's class whose size comes nearest to the words still missing, or too many, gives or takes copies,
+    as long as that brings the source nearer to its target.
+    """
+    wish = (F.col("n") * F.col("rate")).cast("decimal(38,9)")
+    rows = classes.withColumn("wish", wish).withColumn("band", F.floor(F.sqrt("size")).cast("int"))
+    over = rows.groupBy(F.col("source").alias("s3"), F.col("band").alias("b3")).agg(F.sum("wish").alias("mass"))
+    over = over.withColumn("base", F.coalesce(F.sum("mass").over(Window.partitionBy("s3").orderBy(F.desc("b3")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("decimal(38,9)")))
+    rows = rows.join(over, rows["source"].eqNullSafe(over["s3"]) & (rows["band"] == over["b3"]))
+    upto = F.col("base") + F.sum("wish").over(Window.partitionBy("source", "band").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).withColumn("total", (F.round("upto") - F.round(F.col("upto") - F.col("wish"))).cast("long"))
+    plan = settle(rows.select("source", "size", "n", "rate", "target", "total"))
+    while True:
+        miss = plan.groupBy(F.col("source").alias("s3")).agg((F.first("target") - F.sum(F.col("total") * F.col("size"))).alias("miss"))
+        open_ = plan.join(miss, plan["source"].eqNullSafe(miss["s3"])).withColumn("far", F.abs("miss"))
+        room = F.when(F.col("miss") > 0, F.col("n") * ceiling - F.col("total")).otherwise(F.col("total"))
+        open_ = open_.withColumn("room", room).where("room > 0 and size < 2 * far")
+        best = open_.groupBy("s3").agg(F.min_by(F.struct("size", "room", "miss", "far"), F.struct(F.abs(F.col("size") - F.col("far")), "size")).alias("x"))
+        step = F.least(F.col("x.room"), F.greatest(F.lit(1), F.floor(F.col("x.far") / F.col("x.size")))) * F.signum("x.miss").cast("long")
+        best = settle(best.select("s3", F.col("x.size").alias("z3"), step.cast("long").alias("step")))
+        if not best.limit(1).count():
+            discard(best)
+            return plan.drop("target")
+        moved = plan.join(best, plan["source"].eqNullSafe(best["s3"]) & (plan["size"] == best["z3"]), "left")
+        before, plan = plan, settle(moved.select("source", "size", "n", "rate", "target", (F.col("total") + F.coalesce("step", F.lit(0))).alias("total")))
+        discard(before)
+        discard(best)
 
 
 def draw_of(id_col: str, text_col: str) -> Column:
@@ -119,19 +153,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     aims = settle(targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, ceiling))
     solved = _solve(counts, aims, ceiling).withColumnRenamed("source", "s2")
     rate = F.exp(F.least(F.col("m") * F.col("size") / F.col("scale"), F.lit(math.log(ceiling))))
-    sized = counts.where("size > 0").join(solved, counts["source"].eqNullSafe(solved["s2"])).select("source", F.struct((-F.col("size")).alias("order"), "size", "n", rate.alias("rate")).alias("class"))
-    # Sizes of one source are bounded by the longest document, not by the number of documents.
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<size:bigint,n:bigint,rate:double,total:bigint>>").alias("out"))
-
-    def take(state, x):
-        wish = x["n"] * x["rate"] + state["owed"] / x["size"]
-        total = F.greatest(F.lit(0), F.least(F.round(wish).cast("long"), x["n"] * ceiling)).cast("long")
-        owed = state["owed"] + x["n"] * x["rate"] * x["size"] - total * x["size"]
-        entry = F.struct(x["size"].alias("size"), x["n"].alias("n"), x["rate"].alias("rate"), total.alias("total"))
-        return F.struct(owed.cast("double").alias("owed"), F.concat(state["out"], F.array(entry)).alias("out"))
-
-    plan = sized.groupBy("source").agg(F.sort_array(F.collect_list("class")).alias("classes"))
-    plan = plan.select("source", F.explode(F.aggregate("classes", start, take, lambda s: s["out"])).alias("x")).select("source", "x.*")
+    plan = _rounded(counts.where("size > 0").join(solved, counts["source"].eqNullSafe(solved["s2"])).select("source", "size", "n", rate.alias("rate"), "target"), ceiling)
     base, more = F.floor(F.col("total") / F.col("n")).cast("long"), (F.col("total") % F.col("n")).cast("long")
     p = plan.select(F.col("source").alias("s2"), F.col("size").alias("z2"), "rate", base.alias("base"), more.alias("more"))
     order = Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
