@@ -1,8 +1,8 @@
 """License scans by canonical digests, in DataFrame operations only.
 
-A text is brought to a canonical form: lower case, copyright lines gone, equivalent spellings unified,
-punctuation and white space reduced to single spaces.  The digest of the whole form is joined with the digests
-of known licence texts.  So are the digests of a text's single lines, since notices stand alone in a line.
+A text is brought to a canonical form: lower case, copyright lines gone, punctuation and white space (typographic
+forms too) reduced to single spaces, equivalent spellings unified.  The digest of the whole form is joined with the
+digests of known licence texts.  So are the digests of a text's single lines, since notices stand alone in a line.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from .licenses import known_licenses
 
-# Spellings that licence guidelines treat as equal (pattern, replacement), applied in order.
+# Spellings that licence guidelines treat as equal, in a text of plain words, applied in order.
 SPELLINGS = (
-    ("licence", "license"), ("sub[ -]license", "sublicense"), ("non[ -]infringement", "noninfringement"), ("organisation", "organization"),
-    ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("whilst", "while"), ("https?://", ""),
+    ("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("organisation", "organization"),
+    ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("whilst", "while"), ("https www", "http www"),
 )
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/]*(copyright|\(c\)|©)[^\n]*"
-PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+# A line that states a copyright: the word or sign with a year, a sign, "by" or a blank to fill in; not a sentence that begins so.
+COPYRIGHT_LINE = r"(^|\n)[ \t*#/;]*((portions )?copyright[ \t:,]*(\(c\)|©|[0-9]{4}|by |\[|<|\{)|\(c\)[ \t]*(copyright|[0-9]{4}|by |\[|<|\{)|©)[^\n]*"
+PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f\x{a0}-\x{bf}\x{2000}-\x{206f}\x{3000}-\x{303f}]+"
 
 _GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
@@ -59,11 +60,23 @@ KNOWN = (
 )
 
 
+def _plain(text: Column) -> Column:
+    """Lower case, copyright lines gone, punctuation and white space reduced to single spaces inside each line."""
+    low = F.lower(text)
+    stated = low.contains("copyright") | low.contains("(c)") | low.contains("©")  # other texts have no such line
+    return F.regexp_replace(F.when(stated, F.regexp_replace(low, COPYRIGHT_LINE, "$1")).otherwise(low), PUNCTUATION, " ")
+
+
+def _spelled(plain: Column) -> Column:
+    """One line of words: the canonical form of what :func:`_plain` made."""
+    out = F.regexp_replace(plain, "[ \\n]+", " ")
+    for other, usual in SPELLINGS:
+        out = F.replace(out, F.lit(other), F.lit(usual))
+    return F.trim(out)
+
+
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
-    for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(F.regexp_replace(out, PUNCTUATION, " "))
+    return _spelled(_plain(text))
 
 
 def digest(text: Column) -> Column:
@@ -71,7 +84,7 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license) of known texts; texts of one digest must name one licence."""
+    """(digest, license) of known texts; of a text named twice the first licence in alphabetic order counts."""
     table = spark.createDataFrame(list(known), "license string, text string")
     return table.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
@@ -79,42 +92,45 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest (of the canonical text), license (of the whole text, or null) and notices for every row.
 
-    ``known`` has digest and license (:func:`known_digests`).  ``notices`` is the sorted list of the licences
-    whose text is one whole line, joined by commas, empty where there is none.  Null text is empty.  Repeated
-    rows and null ids stay rows of their own; an empty table gives an empty result; other columns of ``docs``
-    are not read.  ``known`` is small by nature: its digests are compared inside each row's lines.
+    ``known`` has digest and license (:func:`known_digests`) and may be of any size; null digests and null licences
+    are left out, of a digest named twice the first licence counts.  ``notices`` is the sorted list of the licences
+    whose text is one whole line, joined by commas, empty where there is none.  All distinct lines are looked up.
+    Null text is empty.  Repeated rows and null ids stay rows of their own; an empty table gives an empty result;
+    other columns of ``docs`` are not read.
     """
+    known = known.where("digest is not null and license is not null").groupBy("digest").agg(F.min("license").alias("license"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    pairs = known.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("known")) if known.limit(1001).count() <= 1000 else None
-    if pairs is None:
-        raise ValueError("more than 1000 known digests: split them over several scans")
-    rows = rows.crossJoin(F.broadcast(pairs))  # one row
-    likely = F.filter(F.split("text", "\n"), lambda x: x.rlike("(?i)licen[sc]e|rights reserved"))
-    found = F.transform(likely, lambda x: F.try_element_at("known", digest(x)))
-    notices = F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",")
-    mark = digest(F.col("text"))
-    return rows.withColumn("digest", mark).select("doc_id", "digest", F.try_element_at("known", F.col("digest")).alias("license"), notices.alias("notices"))
+    rows = rows.select("doc_id", F.sha2("text", 256).alias("own"), _plain(F.col("text")).alias("plain"))
+    # Notices are a text's own, so they are found by its digest; texts without one have no row here.
+    lines = rows.select("own", F.explode(F.array_distinct(F.split("plain", "\n"))).alias("line")).where(F.length("line") > 1)
+    found = lines.select("own", F.sha2(_spelled(F.col("line")), 256).alias("digest")).join(known, "digest")
+    notices = found.groupBy("own").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = rows.select("doc_id", "own", F.sha2(_spelled(F.col("plain")), 256).alias("digest")).join(known, "digest", "left")
+    return whole.join(notices, "own", "left").select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known_digests(spark))
 
 
-def _sql_canonical(x: str) -> str:
-    out = f"regexp_replace(lower({x}), '{COPYRIGHT_LINE}', '\\1', 'g')"
-    for pattern, to in SPELLINGS:
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return f"trim(regexp_replace({out}, '{PUNCTUATION}', ' ', 'g'))"
-
-
 def sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def plain(x: str) -> str:
+        return f"regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', '\\1', 'g'), '{PUNCTUATION}', ' ', 'g')"
+
+    def spelled(x: str) -> str:
+        out = f"regexp_replace({x}, '[ \\n]+', ' ', 'g')"
+        for other, usual in SPELLINGS:
+            out = f"replace({out}, '{other}', '{usual}')"
+        return f"trim({out})"
+
     values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in KNOWN)
     return f"""
-WITH known AS (SELECT sha256({_sql_canonical("t")}) AS digest, min(l) AS license FROM (VALUES {values}) v(l, t) GROUP BY 1),
-rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce("text", '') AS t FROM documents),
+WITH known AS (SELECT sha256({spelled(plain("t"))}) AS digest, min(l) AS license FROM (VALUES {values}) v(l, t) GROUP BY 1),
+rows AS (SELECT row_number() OVER () AS r, doc_id, {plain("coalesce(text, '')")} AS t FROM documents),
 lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM rows),
 notes AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-  FROM (SELECT r, sha256({_sql_canonical("line")}) AS digest FROM lines WHERE regexp_matches(lower(line), 'licen[sc]e|rights reserved')) JOIN known USING (digest) GROUP BY r)
+  FROM (SELECT r, sha256({spelled("line")}) AS digest FROM lines WHERE length(line) > 1) JOIN known USING (digest) GROUP BY r)
 SELECT doc_id, x.digest, license, coalesce(notices, '') AS notices
-FROM (SELECT r, doc_id, sha256({_sql_canonical("t")}) AS digest FROM rows) x LEFT JOIN known USING (digest) LEFT JOIN notes USING (r)"""
+FROM (SELECT r, doc_id, sha256({spelled("t")}) AS digest FROM rows) x LEFT JOIN known USING (digest) LEFT JOIN notes USING (r)"""
