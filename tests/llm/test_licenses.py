@@ -3,7 +3,8 @@
 import os
 
 import pytest
-from lineaspark.llm.license_scan import known_digests, license_scan
+from pyspark.sql import functions as F
+from lineaspark.llm.license_scan import KNOWN, digest, known_digests, license_scan
 
 LINES = {
     "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
@@ -64,3 +65,39 @@ def test_system_texts(spark):
     names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
     got = scan(spark, [" * " + open(f"{SYSTEM}/{x}").read().replace("\n", "\n * ") for x in names])
     assert [got[i].license for i in range(len(names))] == list(names.values())
+
+
+def test_forms_of_one_text(spark):
+    mit = KNOWN[1][1]
+    isc = KNOWN[3][1]
+    wrapped = mit.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS").replace("The above copyright notice", "The above\ncopyright notice")
+    quoted = mit.replace('"Software"', "“Software”").replace('"AS IS"', "“AS IS”")
+    dated = mit.replace("MIT License ", "MIT License\n\nCopyright (c) 2020 Some Body\n  Copyright 2021, Other\n© 2022 Third\n\n")
+    spelled = mit.replace("sublicense", "sub-license").replace("NONINFRINGEMENT", "NON-INFRINGEMENT")
+    got = scan(spark, [wrapped, quoted, dated, spelled, "intro\n" + isc + "\noutro", mit + " x"])
+    assert [got[i].license for i in range(6)] == ["MIT"] * 4 + [None, None]
+    assert [got[i].notices for i in range(6)] == ["", "MIT", "MIT", "MIT", "ISC", ""]
+
+
+def test_edges(spark):
+    schema = "doc_id long, text string, digest string, license int, own string, line string"
+    line = "x\nReleased under the MIT License.\nReleased under the MIT License.\nAll rights reserved."
+    rows = [(1, None), (2, ""), (3, "\n\n"), (None, line), (None, line), (4, line), (4, line), (5, "one long line " * 200_000)]
+    df = spark.createDataFrame([(i, t, "d", 7, "o", "l") for i, t in rows], schema)
+    more = spark.createDataFrame([(None, "none"), ("ab", None), ("ab", "AB")], "digest string, license string")
+    known = known_digests(spark)
+    twice = known.unionByName(known).unionByName(more)
+    got = license_scan(df, twice).collect()
+    assert sorted((str(r.doc_id), r.license, r.notices) for r in got) == sorted(
+        [("1", None, ""), ("2", None, ""), ("3", None, ""), ("5", None, "")] + [("None", None, "MIT,all-rights-reserved")] * 2 + [("4", None, "MIT,all-rights-reserved")] * 2
+    )
+    assert license_scan(df.limit(0), known).count() == 0
+
+
+def test_many_known(spark):
+    """A table of known texts has no bound."""
+    many = spark.range(5000).selectExpr("concat('L', id) AS license", "concat('notice number ', id, ' of many') AS text")
+    known = many.select(digest(F.col("text")).alias("digest"), "license")
+    df = spark.createDataFrame([(1, "a\nNotice number 4,321 of many"), (2, "notice   number 17 OF many!")], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.notices) for r in license_scan(df, known.union(known)).collect()}
+    assert got == {1: (None, ""), 2: ("L17", "L17")}

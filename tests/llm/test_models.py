@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from lineaspark.llm.lz_fingerprint import edit_probe, likeness_of, lz_fingerprint, parse
 from lineaspark.llm.mixing import mix
-from lineaspark.llm.quality import fit_quality, score_quality
+from lineaspark.llm.quality import CHUNK, FILTERS, STEP, Network, fit_quality, score_quality
 from lineaspark.llm.vector_search import nearest
 
 
@@ -28,7 +28,7 @@ def test_parse():
     for _ in range(50):
         t = "".join(r.choice("ab") for _ in range(r.randint(0, 200)))
         ends = []
-        parse(t, ends, set(), 0, len(t))
+        parse(t, ends, {}, 0, len(t))
         assert [t[a:b] for a, b in zip([0, *ends], ends)] == phrases(t)
 
 
@@ -107,6 +107,82 @@ def test_quality(spark):
     assert {x.score for x in score_quality(docs, none).collect()} == {0.5}
 
 
+def plain_pool(net, text):
+    """The largest response of each filter, chunk by chunk."""
+    n = max(2, -(-len(text) // STEP))
+    raw = text.ljust(n * STEP, b"\0")
+    chunks = [raw[i * STEP : i * STEP + CHUNK] for i in range(n - 1)]
+    out = np.array([np.concatenate([net.embed[b] for b in c]) @ net.conv for c in chunks])
+    return np.maximum(out.max(axis=0) + net.bias, 0)
+
+
+def test_pool_in_pieces():
+    r = np.random.default_rng(4)
+    net = Network(7)
+    texts = [bytes(r.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 7, 8, 9, 16, 17, 63, 64, 65, 200, 1000)]
+    want = np.stack([plain_pool(net, t) for t in texts])
+    for size in (8, 16, 24, 64, 1 << 19):
+        got, best = net.pool(texts, size)
+        assert np.allclose(got, want, atol=1e-5)
+        assert np.allclose(np.maximum(np.einsum("dfk,kf->df", net.embed[best].reshape(len(texts), FILTERS, -1), net.conv) + net.bias, 0), want, atol=1e-5)
+
+
+def test_gradients():
+    r = np.random.default_rng(5)
+    net = Network(9)
+    for k in net.NAMES:
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    texts = [bytes(r.integers(97, 105, n).astype(np.uint8)) for n in (30, 64, 5, 90)]
+    labels = np.array([1, 0, 1, 0], np.float32)
+
+    def loss():
+        z = net.logit(net.pool(texts)[0].astype(np.float64))[0]
+        return float(np.mean(np.log1p(np.exp(z)) - labels * z))
+
+    g = net.gradients(texts, labels)
+    for name in net.NAMES:
+        w = getattr(net, name)
+        for at in {tuple(int(x) for x in np.unravel_index(i, w.shape)) for i in np.argsort(-np.abs(g[name]).ravel())[:3]}:
+            old = w[at]
+            w[at] = old + 1e-3
+            up = loss()
+            w[at] = old - 1e-3
+            down = loss()
+            w[at] = old
+            assert abs((up - down) / 2e-3 - g[name][at]) < 0.05 * abs(g[name][at]) + 1e-4, name
+
+
+def test_next_of_many_ranges(spark, monkeypatch):
+    """Ranges of few rows, repeated ids and no ids: likeness and edits as a plain walk finds them."""
+    from lineaspark.llm import lz_fingerprint as lz
+
+    monkeypatch.setattr(lz, "BUCKET_BYTES", 64)
+    r = random.Random(5)
+    rows = [(r.choice([None, 1, 1, 1, 2, 3, *range(10, 40)]), "".join(r.choice("abc ") for _ in range(r.choice([0, 3, 40, 90])))) for _ in range(150)] + [(1, "same text")] * 30
+    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, part int")
+    got = lz.edit_probe(df).collect()
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+
+    def mark(text):
+        end = np.cumsum([len(p) for p in plain_phrases(text)]).astype(int).tolist()
+        return lz.signature(lz._hashes(text, end, len(text)))
+
+    want = []
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        n = len(t) // 3
+        edited = t[: len(t) - n] + following[:n]
+        a, b, d = mark(t), mark(edited), mark(following)
+        near = lambda x, y, s, u: float(not s and not u) if not s or not u else float((x == y).mean())
+        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), near(a, b, t, edited), near(a, d, t, following)))
+    assert sorted((str(x.doc_id), *x[1:]) for x in got) == sorted(want)
+
+
+def plain_phrases(text):
+    out = phrases(text)
+    return out + [text[sum(map(len, out)) :]] if sum(map(len, out)) < len(text) else out
+
+
 def test_nearest(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 16)).round(3)
