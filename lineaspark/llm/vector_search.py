@@ -1,10 +1,11 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids come from a bounded sample by balanced bisection, so that lists hold about equally many vectors.
-A neighbour graph over the centroids, a few megabytes that every task holds, finds the centroids near a
-vector by best-first search.  A vector near a boundary is listed under several centroids.  A query reads the
-lists whose centroid is not much farther than its nearest one.  Equal vectors are one entry with their least
-ids, which is all that any query can return of them.  Lists are split by a hash where they grow long.
+Centroids come from a bounded sample by balanced bisection, so that lists hold about equally many vectors; their
+number grows with the corpus up to ``SAMPLE // LIST``.  A neighbour graph over the centroids, which every task
+holds, finds the centroids near a vector by best-first search.  A vector near a boundary is listed under several
+centroids.  A query reads the lists whose centroid is not farther than a ratio times its nearest one, up to a number;
+both are learned from queries of the sample and their neighbours in it.  Equal vectors are one entry with their
+least ids, which is all that any query can return of them.  Lists are split by a hash where they grow long.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-SAMPLE = 20_000
-LIST = 64
-COPIES, CLOSE = 5, 1.15
-PROBES, RATIO = 128, 1.6
+SAMPLE = 131_072  # vectors from which centroids are made, at most
+LIST = 8  # vectors of the sample in a list, about
+COPIES, CLOSE = 5, 1.5
+TRIALS, REACH = 256, 0.955  # queries of the sample, and the share of their neighbours that the ratio must reach
 _SPLIT = 4096
 
 
@@ -32,15 +33,32 @@ class Centroids:
         self.points = points
         n = len(points)
         self.degree = min(degree, max(1, n - 1))
-        near = [np.argsort(((points - p) ** 2).sum(axis=1), kind="stable")[1 : self.degree + 1] for p in points]
+        near = [_nearest(points, points[i : i + 512], self.degree + 1)[:, 1:] for i in range(0, n, 512)]
         r = np.random.default_rng(3)
         far = r.integers(0, max(1, n), (n, 4))  # a few long links keep the graph connected
-        self.links = np.concatenate([np.array(near, np.int64).reshape(n, -1), far], axis=1) if n else np.zeros((0, 1), np.int64)
+        self.links = np.concatenate([np.concatenate(near).reshape(n, -1), far], axis=1) if n else np.zeros((0, 1), np.int64)
         self.entry = np.unique(np.linspace(0, max(0, n - 1), 32).astype(np.int64)) if n else np.zeros(0, np.int64)
+        self.ratio, self.probes = 1.0, 1
+
+    def learn(self, sample: np.ndarray, k: int = 10) -> None:
+        """Set ratio and number of lists by which ``TRIALS`` queries reach ``REACH`` of their ``k`` neighbours in the sample."""
+        asked = sample[:TRIALS]
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return
+        near = _nearest(sample, asked, k + 1)[:, 1:]
+        held = _nearest(self.points, sample[near.ravel()], COPIES)
+        far = _distance(self.points, sample[near.ravel()][:, None], held)
+        dist = np.sqrt(np.maximum(((asked[:, None] - self.points[None]) ** 2).sum(axis=2), 0)) if len(self.points) < 64 else np.stack([np.sqrt(((self.points - q) ** 2).sum(axis=1)) for q in asked])
+        least = np.maximum(dist.min(axis=1, keepdims=True), 1e-12)
+        to = np.repeat(np.arange(len(asked)), k)[:, None]
+        need = np.where(far <= CLOSE * far[:, :1] + 1e-12, dist[to, held], np.inf).min(axis=1)
+        self.ratio = float(np.quantile(need / least[to[:, 0], 0], 0.5 + REACH / 2))
+        self.probes = 1 + int(np.quantile((dist[to[:, 0]] < need[:, None]).sum(axis=1), REACH))
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, points=self.points, links=self.links, entry=self.entry)
+        np.savez(out, points=self.points, links=self.links, entry=self.entry, reach=np.array([self.ratio, self.probes], np.float64))
         return out.getvalue()
 
     @classmethod
@@ -48,16 +66,17 @@ class Centroids:
         c = cls.__new__(cls)
         with np.load(io.BytesIO(raw)) as z:
             c.points, c.links, c.entry = z["points"], z["links"], z["entry"]
+            c.ratio, c.probes = float(z["reach"][0]), int(z["reach"][1])
         return c
 
     def search(self, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``keep`` nearest centroids found for each row of ``x`` and their distances, nearest first."""
         keep = min(keep, len(self.points))
-        if keep == len(self.points):  # all of them are asked for
+        if keep == len(self.points):  # all of them are asked for: nothing to search
             d = np.stack([((self.points - row) ** 2).sum(axis=1) for row in x]) if len(x) else np.zeros((0, keep))
             order = np.argsort(d, axis=1, kind="stable")
             return order, np.sqrt(np.take_along_axis(d, order, 1))
-        width = max(keep, 48)
+        width = min(max(48, keep + keep // 2), len(self.points))
         rows = np.arange(len(x))[:, None]
         ids = np.repeat(self.entry[None], len(x), 0)
         dist = ((x[:, None] - self.points[ids]) ** 2).sum(axis=2)
@@ -84,8 +103,27 @@ class Centroids:
         return ids[:, :keep], np.sqrt(dist[:, :keep])
 
 
+def _nearest(points: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` nearest points of each row of ``x``, nearest first."""
+    k = min(k, len(points))
+    out = []
+    for i in range(0, len(x), 256):
+        d = (points**2).sum(axis=1) - 2 * x[i : i + 256] @ points.T
+        top = np.argpartition(d, k - 1, axis=1)[:, :k]
+        out.append(np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out) if out else np.zeros((0, k), np.int64)
+
+
+def _distance(points: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - points[ids]) ** 2).sum(axis=2))
+
+
 def balanced_centroids(x: np.ndarray, n: int) -> np.ndarray:
-    """About ``n`` means of equally large parts, by repeated two-means with the cut kept near the middle."""
+    """About ``n`` means of equally large parts, by repeated two-means with the cut kept near the middle.
+
+    A mean of vectors that point different ways is shorter than they are, and about equally far from everything;
+    it is drawn out to their usual length.
+    """
     parts, out, size = [x], [], max(1, len(x) // max(1, n))
     while parts:
         p = parts.pop()
@@ -102,7 +140,16 @@ def balanced_centroids(x: np.ndarray, n: int) -> np.ndarray:
             cut = min(max(cut, 1), len(p) - 1)
             a, b = p[order[:cut]].mean(axis=0), p[order[cut:]].mean(axis=0)
         parts += [p[order[:cut]], p[order[cut:]]]
-    return np.array(out).reshape(-1, x.shape[1])
+    points = np.array(out).reshape(-1, x.shape[1])
+    for _ in range(3 if len(points) > 1 else 0):  # let the vectors near the cuts change sides
+        own = _nearest(points, x, 1)[:, 0]
+        order = np.argsort(own, kind="stable")
+        part, first = np.unique(own[order], return_index=True)
+        size = np.diff(np.append(first, len(own)))[:, None]
+        mean = np.add.reduceat(x[order], first, axis=0) / size
+        norm = np.sqrt(np.add.reduceat((x[order] ** 2).sum(axis=1), first)[:, None] / size)
+        points[part] = mean * (norm / np.maximum(np.sqrt((mean**2).sum(axis=1, keepdims=True)), 1e-12))
+    return points
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -113,7 +160,10 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 def _fit(dim: int, n: int):
     def run(batches):
         x = np.concatenate([np.zeros((0, dim)), *(_matrix(b.column(1), dim)[np.argsort(b.column(0).to_numpy(), kind="stable")] for b in batches)])
-        yield pa.RecordBatch.from_arrays([pa.array([Centroids(balanced_centroids(x, n)).dump()], pa.binary())], names=["index"])
+        x = x.astype(np.float32)
+        index = Centroids(balanced_centroids(x, n))
+        index.learn(x)
+        yield pa.RecordBatch.from_arrays([pa.array([index.dump()], pa.binary())], names=["index"])
 
     return run
 
@@ -185,15 +235,15 @@ def _top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, probes: int = PROBES, ratio: float = RATIO) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, ratio: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row whose id is divisible by ``every``.
 
     Distances are Euclidean in double precision, ties go to the smaller id, a row is no neighbour of its own id.
     Rows with a null id, a null, zero or non-finite vector, or another length than most take no part.  Repeated
     rows count once; an id with several vectors is a candidate with each.  All candidates come back where there
     are fewer than ``k``: a query whose lists hold too few is searched in all lists.  The centroids are fitted
-    on at most ``SAMPLE`` vectors (those with the lowest hash); every row is indexed.  No usable row gives an
-    empty result; other columns are not read.
+    on at most ``SAMPLE`` vectors (those with the lowest hash); every row is indexed.  ``ratio`` stands in for the
+    learned one.  No usable row gives an empty result; other columns are not read.
     """
     rows, dim = usable(vectors, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -205,8 +255,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     entries = settle(some.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("vid"), "v", F.slice("ids", 1, k + 1).alias("ids")))
     n = entries.count()
     sample = entries.select(F.xxhash64("v").alias("k"), "v").orderBy("k").limit(SAMPLE)
-    index = bytes(sample.coalesce(1).mapInArrow(_fit(dim, max(1, min(n, SAMPLE) // max(LIST * min(n, SAMPLE) // n, 12))), "index binary").first()["index"])
-    lists = len(Centroids.load(index).points)
+    index = bytes(sample.coalesce(1).mapInArrow(_fit(dim, max(1, min(n, SAMPLE) // LIST)), "index binary").first()["index"])
+    fitted = Centroids.load(index)
+    lists = len(fitted.points)
     splits = max(1, n * 2 // (max(1, lists) * _SPLIT))
     posted = entries.mapInArrow(_lists(index, dim, splits), "list long, part long, vid long, v array<double>, ids array<long>")
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("v").alias("qv")).distinct()
@@ -222,7 +273,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         out = asked.join(near, "qid").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         return _top(out, "query_id", [F.col("score"), F.col("vec_id")], k)
 
-    best = settle(run(queries, probes, ratio))
+    best = settle(run(queries, fitted.probes if ratio is None else lists, fitted.ratio if ratio is None else ratio))
     short = asked.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id")
     if n > 1 and lists > 1 and short.limit(1).count():
         again = run(queries.join(asked.join(short, "query_id").select("qid").distinct(), "qid", "left_semi"), lists, float("inf")).join(short, "query_id", "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lineaspark.llm.lz_fingerprint import edit_probe, likeness_of, lz_fingerprint, parse
 from lineaspark.llm.mixing import mix
 from lineaspark.llm.quality import CHUNK, FILTERS, STEP, Network, fit_quality, score_quality
-from lineaspark.llm.vector_search import nearest
+from lineaspark.llm.vector_search import CLOSE, COPIES, LIST, Centroids, balanced_centroids, nearest
 
 
 def phrases(text):
@@ -206,3 +206,27 @@ def test_nearest(spark):
     few = nearest(df.where("vec_id in (4, 5, 100)")).collect()
     assert [(f.query_id, f.rank, f.vec_id) for f in sorted(few)] == [(100, 1, 4), (100, 2, 5)]
     assert nearest(df.limit(0)).count() == 0 and nearest(df.where("vec_id >= 3100")).count() == 0
+
+
+def test_graph_search_and_pruning():
+    """With far more lists than a query reads: centroids by the graph against all, recall against brute force."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(12000, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    index = Centroids(balanced_centroids(x, len(x) // LIST))
+    index.learn(x)
+    index = Centroids.load(index.dump())
+    asked = x[r.choice(len(x), 100, False)].astype(np.float64)
+    assert 3 * index.probes < len(index.points)
+    ids, dist = index.search(asked, index.probes)
+    exact = [np.argsort(((index.points - q) ** 2).sum(axis=1))[: index.probes] for q in asked]
+    assert np.mean([len(set(a) & set(b)) / len(b) for a, b in zip(ids.tolist(), [e.tolist() for e in exact])]) > 0.9
+    held, far = index.search(x.astype(np.float64), COPIES)
+    held = np.where(far <= CLOSE * far[:, :1], held, -1)
+    hits = read = 0
+    for q, lists, d in zip(asked, ids, dist):
+        take = np.isin(held, lists[d <= index.ratio * d[0]])
+        read += take.sum()
+        best = np.argsort(((x - q) ** 2).sum(axis=1))[1:11]
+        hits += take[best].any(axis=1).sum()
+    assert hits > 0.88 * 1000 and read < 0.05 * 100 * (held >= 0).sum()
