@@ -14,7 +14,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
@@ -252,10 +252,38 @@ def winnow(hashes: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray, gram:
     return np.unique((lows & low).astype(np.int64))
 
 
+def name_windows(values: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """Numbers, at the places ``at`` (ascending), equal exactly for equal values[i:i+width]; -1 elsewhere.
+
+    Windows of one hash are compared with the first of them.  Where the windows one place before are of one hash
+    too, the last value decides; this leans on earlier places only, so every equality goes back to a full comparison.
+    """
+    h = gram_hashes(values, width)[at]
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    head = np.ones(len(s), bool)
+    head[1:] = s[1:] != s[:-1]
+    own = np.empty(len(s), np.int64)
+    own[order] = np.cumsum(head) - 1
+    first = at[order[head]][own] if len(at) else at
+    out = np.full(len(values) + 1, -1, np.int64)  # the last place answers for the one before the first
+    out[at] = own
+    near = (at != first) & (out[at - 1] >= 0) & (out[at - 1] == out[first - 1])
+    last = width - 1
+    far = (at != first) & ~near
+    if (values[at[near] + last] == values[first[near] + last]).all() and same_spans(values, at[far], first[far], np.full(int(far.sum()), width)):
+        return out[:-1]
+    out[at] = name_spans(values, at, at + width)[0]
+    return out[:-1]
+
+
 def repeated(number: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Whether the entries of each number have a total weight of two or more."""
-    _, at = np.unique(number, return_inverse=True)
-    return np.bincount(at, weights=weight)[at] >= 2 if len(number) else np.zeros(0, bool)
+    """Whether the entries of each number, from 0 on, have a total weight of two or more."""
+    if not len(number):
+        return np.zeros(0, bool)
+    if number.max() > 8 * len(number) + (1 << 16):
+        _, number = np.unique(number, return_inverse=True)
+    return np.bincount(number, weights=weight)[number] >= 2
 
 
 def extents(group, weight, have_left, have_right, key, reach: int, window: int):
@@ -314,8 +342,8 @@ FREQUENT = 20_000  # occurrences from which a gram's windows are counted by dige
 
 def repeated_grams(seen: DataFrame, frequent: int) -> DataFrame:
     """(block, g, frequent) of the grams that ``seen`` (g, block, n) has twice; ``frequent`` marks those above that number."""
-    total = seen.groupBy("g").agg(F.sum("n").alias("total")).where("total > 1")
-    return seen.join(total, "g").select("block", "g", (F.col("total") > frequent).alias("frequent"))
+    total = F.sum("n").over(Window.partitionBy("g"))  # a row for each block at most
+    return seen.withColumn("total", total).where("total > 1").select("block", "g", (F.col("total") > frequent).alias("frequent"))
 
 
 def starts_around(pos: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray, gram: int, window: int) -> np.ndarray:

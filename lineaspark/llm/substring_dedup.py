@@ -14,8 +14,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,20 +39,22 @@ class _Words:
 
     def __init__(self, texts: list[bytes]):
         lines = [b" ".join(x.split()) for x in texts]
-        count = np.array([x.count(b" ") + 1 if x else 0 for x in lines], np.int64)
-        self.end = np.cumsum(count)
-        self.start = self.end - count
+        n = np.array([x.count(b" ") + 1 if x else 0 for x in lines], np.int64)
+        self.end = np.cumsum(n)
+        self.start = self.end - n
         self.raw = b"\n".join([b" " + x + b" " if x else b"" for x in lines])
         self.bytes = np.frombuffer(self.raw, np.uint8)
         spaces = np.flatnonzero(self.bytes == 32)
-        last = np.cumsum(count[count > 0] + 1) - 1
+        last = np.cumsum(n[n > 0] + 1) - 1
         self.a = np.delete(spaces, last) + 1
         self.b = np.delete(spaces, np.concatenate([[0], last[:-1] + 1]) if len(last) else last)
 
     def number(self) -> None:
-        """The words' hashes, and numbers that are equal exactly for equal words."""
-        self.hash = c.span_hash(self.bytes, self.a, self.b)
-        self.word = c.name_spans(self.bytes, self.a, self.b, h=self.hash)[0].astype(np.uint32)
+        """Numbers of the words, equal exactly for equal words, and the words' hashes."""
+        place: dict[bytes, int] = defaultdict(count().__next__)
+        words = self.raw.split()
+        self.word = np.fromiter(map(place.__getitem__, words), np.uint32, len(words))
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, place), c.U, len(place))[self.word]
 
     def text(self, first: int, last: int) -> bytes:
         """The words from ``first`` up to ``last`` with a space on either side."""
@@ -59,7 +65,7 @@ class _Block(_Words):
     def __init__(self, texts: list[bytes], window: int, gram: int):
         super().__init__(texts)
         self.number()
-        grams = c.gram_hashes(self.hash, gram)
+        self.grams = grams = c.gram_hashes(self.hash, gram)
         self.pos = c.winnow(grams, self.start, self.end, gram, window)
         self.gram_hash = grams[self.pos].astype(np.int64)
 
@@ -95,7 +101,7 @@ def _contexts(window: int, gram: int, parts: int):
             number, first = c.name_spans(b.word, pos - left, pos + right, left)
             n = np.bincount(number, minlength=len(first))
             pos, left, right = pos[first], left[first], right[first]
-            g = c.gram_hashes(b.hash, gram)[pos] if len(pos) else np.zeros(0, c.U)
+            g = b.grams[pos]
             part = (g % c.U(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
@@ -124,8 +130,8 @@ def _confirm(window: int, gram: int):
             left = every["left"].to_numpy().astype(np.int64)
             at = w.start + left
             _, group = np.unique(every["g"].to_numpy(), return_inverse=True)
-            start = np.arange(max(0, len(w.word) - window + 1))
-            name, _ = c.name_spans(w.word, start, start + window, h=c.gram_hashes(w.word, window))
+            start = np.flatnonzero(c.union_mask(len(w.word) + 1, w.start, np.maximum(w.end - window + 1, w.start)))
+            name = c.name_windows(w.word, window, start)
             high, low = c.extents(group, every["n"].to_numpy(), left, w.end - at, lambda rows, m: name[at[rows] - m], window - gram, window)
             hit = np.flatnonzero(high >= 0)
             text = [w.text(x, y) for x, y in zip(at[hit] - high[hit], at[hit] + window - low[hit])]

@@ -50,12 +50,13 @@ class _Block:
     def bytes_at(self, i: int) -> bytes:
         return self.bytes[i : i + self.window].tobytes()
 
-    def contexts(self) -> None:
-        """The reach of every anchor inside its document, and numbers of what stands there, equal for equal bytes only."""
-        doc = np.searchsorted(self.end, self.pos, side="right")
-        self.left = np.minimum(self.pos - self.start[doc], self.reach) if len(doc) else self.pos
-        self.right = np.minimum(self.end[doc] - self.pos, self.window) if len(doc) else self.pos
-        self.context, _ = c.name_spans(self.bytes, self.pos - self.left, self.pos + self.right, self.left)
+    def contexts(self, pick: np.ndarray) -> None:
+        """For some of the anchors their reach inside their document, and numbers equal exactly for equal bytes there."""
+        at = self.pos[pick]
+        doc = np.searchsorted(self.end, at, side="right")
+        self.left = np.minimum(at - self.start[doc], self.reach)
+        self.right = np.minimum(self.end[doc] - at, self.window)
+        self.context, _ = c.name_spans(self.bytes, at - self.left, at + self.right, self.left)
 
 
 def _grams(window: int, gram: int):
@@ -98,24 +99,24 @@ def _runs(window: int, gram: int, parts: int):
                 names.append(part)
                 blobs.append(None)
                 windows.append(squeeze.compress(blob))
-        b.contexts()
         pick = np.flatnonzero(np.isin(b.gram_hash, asked[~frequent]))
         if not len(pick):
             return done()
-        _, first, count = np.unique(b.context[pick], return_index=True, return_counts=True)
-        pick = pick[first]
+        b.contexts(pick)
+        _, first, count = np.unique(b.context, return_index=True, return_counts=True)
+        pick, have_left, have_right = pick[first], b.left[first], b.right[first]
         edge = np.concatenate([np.zeros(reach, np.uint8), b.bytes, np.zeros(window, np.uint8)])
         right = edge[b.pos[pick][:, None] + reach + np.arange(window)]
-        right[np.arange(window) >= b.right[pick][:, None]] = 0
+        right[np.arange(window) >= have_right[:, None]] = 0
         left = edge[b.pos[pick][:, None] + reach - 1 - np.arange(reach)]
-        left[np.arange(reach) >= b.left[pick][:, None]] = 0
+        left[np.arange(reach) >= have_left[:, None]] = 0
         part = (b.gram_hash[pick].astype(c.U) % c.U(parts)).astype(np.int32)
         order = np.lexsort((np.ascontiguousarray(right).view(f"S{window}").ravel(), part))
         for p, rows in zip(*_split(part, order)):
             shared, rest = front_code(right[rows])
             blob = pa.table({
-                "shared": pa.array(shared.astype(np.int32)), "n": pa.array(count[rows].astype(np.int32)), "context": pa.array(b.context[pick][rows]),
-                "have_left": pa.array(b.left[pick][rows].astype(np.int32)), "have_right": pa.array(b.right[pick][rows].astype(np.int32)),
+                "shared": pa.array(shared.astype(np.int32)), "n": pa.array(count[rows].astype(np.int32)), "place": pa.array(pick[rows]),
+                "have_left": pa.array(have_left[rows].astype(np.int32)), "have_right": pa.array(have_right[rows].astype(np.int32)),
                 "left": pa.FixedSizeBinaryArray.from_buffers(pa.binary(reach), len(rows), [None, pa.py_buffer(left[rows].tobytes())]),
             }).replace_schema_metadata({"block": str(block)})
             sink = pa.BufferOutputStream()
@@ -214,7 +215,7 @@ def _merge(window: int, gram: int):
         runs, heads, blocks = [], [], []
         often = c.repeated_windows(table["windows"])
         none = pa.nulls(often.num_rows, pa.int64())
-        often = pa.table({"block": often["block"], "context": none, "high": none.cast(pa.int16()), "low": none.cast(pa.int16()), "w": often["w"], "key": often["key"]})
+        often = pa.table({"block": often["block"], "place": none, "high": none.cast(pa.int16()), "low": none.cast(pa.int16()), "w": often["w"], "key": often["key"]})
         for x in table["run"].drop_null():
             raw = open_.decompress(x.as_py())
             n = 8 + int.from_bytes(raw[:8], "little")
@@ -244,7 +245,7 @@ def _merge(window: int, gram: int):
         group = np.cumsum(shared < gram)
         high, low = c.extents(group, every["n"].to_numpy(), every["have_left"].to_numpy(), every["have_right"].to_numpy(), key, window - gram, window)
         hit = high >= 0
-        rows = {"block": np.array(blocks, np.int32)[merged[:, 0]][hit], "context": every["context"].to_numpy()[hit], "high": high[hit], "low": low[hit]}
+        rows = {"block": np.array(blocks, np.int32)[merged[:, 0]][hit], "place": every["place"].to_numpy()[hit], "high": high[hit], "low": low[hit]}
         return pa.concat_tables([often, pa.table(rows | {"w": pa.nulls(int(hit.sum()), pa.int64()), "key": pa.nulls(int(hit.sum()), pa.binary())})])
 
     return run
@@ -263,13 +264,14 @@ def _remove(window: int, gram: int):
             gone = c.union_mask(len(b.bytes), at, at + window)
             reach = reach.filter(reach["key"].is_null())
         if reach.num_rows and len(b.pos):
-            b.contexts()
-            order = np.argsort(reach["context"].to_numpy(), kind="stable")
-            known = reach["context"].to_numpy()[order]
-            j = np.minimum(np.searchsorted(known, b.context), len(known) - 1)
-            hit = known[j] == b.context
-            at = order[j[hit]]
-            gone |= c.union_mask(len(b.bytes), b.pos[hit] - reach["high"].to_numpy()[at], b.pos[hit] + window - reach["low"].to_numpy()[at])
+            place = reach["place"].to_numpy()
+            pick = np.flatnonzero(np.isin(b.gram_hash, b.gram_hash[place]))
+            b.contexts(pick)
+            row = np.full(int(b.context.max()) + 1, -1)
+            row[b.context[np.searchsorted(pick, place)]] = np.arange(len(place))
+            row = row[b.context]
+            at, row = b.pos[pick[row >= 0]], row[row >= 0]
+            gone |= c.union_mask(len(b.bytes), at - reach["high"].to_numpy()[row], at + window - reach["low"].to_numpy()[row])
         removed, spans, kept = [], [], []
         for a, e, text in zip(b.start, b.end, b.texts):
             mask = gone[a:e]
@@ -299,7 +301,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = packed.groupBy("block").applyInArrow(_grams(window, gram), "g long, block int, n int")
     again = c.repeated_grams(seen, frequent)
     runs = packed.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_runs(window, gram, parts), "part int, run binary, windows binary")
-    reach = runs.groupBy("part").applyInArrow(_merge(window, gram), "block int, context long, high short, low short, w long, key binary")
+    reach = runs.groupBy("part").applyInArrow(_merge(window, gram), "block int, place long, high short, low short, w long, key binary")
     return packed.groupBy("block").cogroup(reach.groupBy("block")).applyInArrow(_remove(window, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
