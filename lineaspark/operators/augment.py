@@ -16,9 +16,14 @@ def _window():
 
 
 def uniform(seed: int, name: str, low: float = 0.0, high: float = 1.0, *more: str) -> Column:
-    """A number in [low, high) for each window, and for each value of the columns ``more``."""
-    h = F.xxhash64(F.lit(seed), F.lit(name), "movie", "t1", *more)
-    return F.lit(low) + (F.pmod(h, F.lit(1 << 52)) / float(1 << 52)) * (high - low)
+    """A number in [low, high) for each window, and for each value of the columns ``more``.
+
+    It is the first 52 bits of the MD5 digest of seed, name, movie, window and ``more`` joined by slashes, so that any
+    engine can draw it again.
+    """
+    text = F.concat_ws("/", F.lit(str(seed)), F.lit(name), F.col("movie"), *[F.col(c).cast("string") for c in ("t1", *more)])
+    share = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / float(1 << 52)
+    return F.lit(float(low)) + share * float(high - low)
 
 
 def normal(seed: int, name: str, *more: str) -> Column:
@@ -31,17 +36,23 @@ def _gate(seed: int, name: str, p: float) -> Column:
     return uniform(seed, name + "/gate") < p
 
 
-def random_crop(windows: DataFrame, size: tuple[int, ...], seed: int = 0, ndim: int = 2) -> DataFrame:
-    """Detections in a random box near a random detection; windows that would lose all detections of a frame stay whole.
+def axes_of(ndim: int) -> tuple[str, ...]:
+    return ("cz", "cy", "cx")[3 - ndim :]
+
+
+def random_crop(windows: DataFrame, size: tuple[int, ...], seed: int = 0, ndim: int = 2, window: int | None = None) -> DataFrame:
+    """Detections in a random box near a random detection; windows in which not all ``window`` frames keep one stay whole.
 
-    ``size`` is one number, one for each axis, or a pair of limits for each axis.
+    ``size`` is one number, one for each axis, or a pair of limits for each axis.  Without ``window`` the frames
+    that have a detection must keep one.
     """
-    axes = ("cz", "cy", "cx")[3 - ndim :]
+    axes = axes_of(ndim)
     if len(size) not in (1, ndim, 2 * ndim):
         raise ValueError(f"size must have 1, {ndim} or {2 * ndim} numbers")
     limits = [(size[0], size[0])] * ndim if len(size) == 1 else [(s, s) for s in size] if len(size) == ndim else list(zip(size[::2], size[1::2]))
-    order = F.xxhash64(F.lit(seed), "movie", "t1", "t", "label")
-    pick = windows.groupBy("movie", "t1").agg(F.min_by(F.struct(*axes), F.struct(order.alias("h"), F.col("t"), F.col("label"))).alias("at"), F.count_distinct("t").alias("frames"))
+    order = uniform(seed, "pick", 0, 1, "t", "label")
+    frames = F.count_distinct("t") if window is None else F.lit(window)
+    pick = windows.groupBy("movie", "t1").agg(F.min_by(F.struct(*axes), F.struct(order.alias("h"), F.col("t"), F.col("label"))).alias("at"), frames.alias("frames"))
     inside = F.lit(True)
     for a, (low, high) in zip(axes, limits):
         n = F.floor(uniform(seed, f"size {a}", low, high + 1))
@@ -54,37 +65,51 @@ def random_crop(windows: DataFrame, size: tuple[int, ...], seed: int = 0, ndim:
     return both.where(F.col("inside") | F.col("left").isNull() | (F.col("left") < F.col("frames"))).select(windows.columns)
 
 
-def random_flip(windows: DataFrame, seed: int = 0, axes: tuple[str, ...] = ("cy", "cx")) -> DataFrame:
-    """Each axis negated with probability one half."""
+def random_flip(windows: DataFrame, seed: int = 0, axes: tuple[str, ...] = ("cy", "cx"), p: float = 0.5) -> DataFrame:
+    """With probability ``p`` each axis is negated or not, with even chances."""
+    on = _gate(seed, "flip", p)
     for a in axes:
-        windows = windows.withColumn(a, F.when(_gate(seed, f"flip {a}", 0.5), -F.col(a)).otherwise(F.col(a)))
+        windows = windows.withColumn(a, F.when(on & (uniform(seed, f"flip {a}") < 0.5), -F.col(a)).otherwise(F.col(a)))
     return windows
 
 
 def affine(windows: DataFrame, m: list[list[Column]], on: Column) -> DataFrame:
-    """Detections under the 2x2 map ``m`` of (y, x), where ``on`` holds.
+    """Detections under the linear map ``m`` of (y, x) or (z, y, x), where ``on`` holds.
 
-    Coordinates are mapped, area grows by the determinant, the diameter by its root, the tensor I becomes
-    M I M'; intensities and the border term stay.
+    Coordinates are mapped, area grows by the determinant, the diameter by its root (square or cubic), the tensor
+    I becomes M I M'; intensities and the border term stay.
     """
-    det = m[0][0] * m[1][1] - m[0][1] * m[1][0]
-    tensor = lambda i, j: F.element_at("inertia", 2 * i + j + 1)
-    new = {
-        "cy": m[0][0] * F.col("cy") + m[0][1] * F.col("cx"), "cx": m[1][0] * F.col("cy") + m[1][1] * F.col("cx"),
-        "area": F.col("area") * det, "eq_diameter": F.col("eq_diameter") * F.sqrt(F.abs(det)),
-        "inertia": F.array(*[sum((m[i][k] * tensor(k, n) * m[j][n] for k in (0, 1) for n in (0, 1)), F.lit(0.0)) for i in (0, 1) for j in (0, 1)]),
+    n, columns = len(m), windows.columns
+    axes = axes_of(n)
+    # The map stands in columns of its own, so that its draws are not repeated in every expression.
+    windows = windows.withColumns({f"_m{i}{j}": m[i][j] for i in range(n) for j in range(n)} | {"_on": on})
+    m, on = [[F.col(f"_m{i}{j}") for j in range(n)] for i in range(n)], F.col("_on")
+    if n == 2:
+        det = m[0][0] * m[1][1] - m[0][1] * m[1][0]
+    else:
+        det = sum((m[0][i] * (m[1][(i + 1) % 3] * m[2][(i + 2) % 3] - m[1][(i + 2) % 3] * m[2][(i + 1) % 3]) for i in range(3)), F.lit(0.0))
+    tensor = lambda i, j: F.element_at("inertia", n * i + j + 1)
+    new = {a: sum((m[i][k] * F.col(axes[k]) for k in range(n)), F.lit(0.0)) for i, a in enumerate(axes)} | {
+        "area": F.col("area") * det, "eq_diameter": F.col("eq_diameter") * F.pow(F.abs(det), F.lit(1 / n)),
+        "inertia": F.array(*[sum((m[i][k] * tensor(k, q) * m[j][q] for k in range(n) for q in range(n)), F.lit(0.0)) for i in range(n) for j in range(n)]),
     }
     old = {"area": F.col("area").cast("double")}
-    return windows.select(*[F.when(on, new[c]).otherwise(old.get(c, F.col(c))).alias(c) if c in new else F.col(c) for c in windows.columns])
+    return windows.select(*[F.when(on, new[c]).otherwise(old.get(c, F.col(c))).alias(c) if c in new else F.col(c) for c in columns])
 
 
-def random_affine(windows: DataFrame, seed: int = 0, degrees: float = 10, scale: tuple[float, float] = (0.9, 1.1), shear: float = 0.1, p: float = 0.5) -> DataFrame:
-    """Rotation times scaling times shear, each drawn for the window."""
-    theta = uniform(seed, "angle", -degrees, degrees) * (math.pi / 180)
-    sy, sx = uniform(seed, "scale y", *scale), uniform(seed, "scale x", *scale)
-    k = uniform(seed, "shear", -shear, shear)
-    c, s = F.cos(theta), F.sin(theta)
-    return affine(windows, [[c * sy, c * sy * k - s * sx], [s * sy, s * sy * k + c * sx]], _gate(seed, "affine", p))
+def random_affine(windows: DataFrame, seed: int = 0, degrees: float = 10, scale: tuple[float, float] = (0.9, 1.1), shear: tuple[float, float] = (0.1, 0.1), p: float = 0.5, ndim: int = 2) -> DataFrame:
+    """Rotation in the plane times scaling of each axis times shear in the plane, drawn for the window.
+
+    The shear of (y, x) by a and b is ((1 + a b, a), (b, 1)).  z, where there is one, is scaled only.
+    """
+    draws = {"_turn": uniform(seed, "angle", -degrees, degrees) * (math.pi / 180), "_a": uniform(seed, "shear y", -shear[0], shear[0]), "_b": uniform(seed, "shear x", -shear[1], shear[1])}
+    draws |= {f"_s{k}": uniform(seed, f"scale {k}", *scale) for k in "zyx"[3 - ndim :]}
+    a, b, sy, sx, c, s = F.col("_a"), F.col("_b"), F.col("_sy"), F.col("_sx"), F.cos("_turn"), F.sin("_turn")
+    plane = [[c * sy * (1 + a * b) - s * sx * b, c * sy * a - s * sx], [s * sy * (1 + a * b) + c * sx * b, s * sy * a + c * sx]]
+    if ndim == 3:
+        none = F.lit(0.0)
+        plane = [[F.col("_sz"), none, none], [none, *plane[0]], [none, *plane[1]]]
+    return affine(windows.withColumns(draws), plane, _gate(seed, "affine", p)).select(windows.columns)
 
 
 def random_brightness(windows: DataFrame, seed: int = 0, scale: tuple[float, float] = (0.5, 2.0), shift: tuple[float, float] = (-0.1, 0.1), p: float = 0.5, columns: tuple[str, ...] = ("int_mean", "int_max", "int_min")) -> DataFrame:
@@ -115,35 +140,52 @@ def integer_shift(windows: DataFrame, seed: int = 0, most: int = 512, axes: tupl
     return windows
 
 
-def augment(windows: DataFrame, level: int, seed: int = 0) -> DataFrame:
-    """Fixed sequences: 0 nothing, 1 flips, 2 also affine maps, brightness and offsets, 3 also movement; then a shift."""
+# Chances and ranges of the augmentation levels.
+AFFINE = {"degrees": 180, "scale": (0.5, 2.0), "shear": (0.1, 0.1), "p": 0.8}
+BRIGHTNESS, MOVEMENT, OFFSET = {"p": 0.8}, {"offset": (-10, 10), "p": 0.3}, {"offset": (-3, 3), "p": 0.8}
+
+
+def augment(windows: DataFrame, level: int, seed: int = 0, ndim: int = 2) -> DataFrame:
+    """Fixed sequences: 0 nothing; 1 flips and affine maps; 2 also brightness and offsets; 3 also movement before the offsets; then a shift."""
     if level not in (0, 1, 2, 3):
         raise ValueError("level must be 0, 1, 2 or 3")
     if level == 0:
         return windows
-    out = random_flip(windows, seed)
+    axes = axes_of(ndim)
+    out = random_affine(random_flip(windows, seed, axes), seed, ndim=ndim, **AFFINE)
     if level >= 2:
-        out = random_offset(random_brightness(random_affine(out, seed), seed), seed)
+        out = random_brightness(out, seed, **BRIGHTNESS)
     if level == 3:
-        out = random_movement(out, seed)
-    return integer_shift(out, seed)
+        out = random_movement(out, seed, axes=axes, **MOVEMENT)
+    if level >= 2:
+        out = random_offset(out, seed, axes=axes, **OFFSET)
+    return integer_shift(out, seed, axes=axes)
 
 
-def augment_coords(windows: DataFrame, seed: int = 0, shift: float = 128, jitter: float = 1.5) -> DataFrame:
-    """Coordinates centred, flipped, rotated by any angle, shifted and jittered by normal numbers."""
-    for a in ("cy", "cx"):
-        windows = windows.withColumn(a, F.col(a) - F.avg(a).over(_window()))
-    out = random_flip(windows, seed)
-    theta = uniform(seed, "turn", 0, 2 * math.pi)
-    y, x = F.cos(theta) * F.col("cy") - F.sin(theta) * F.col("cx"), F.sin(theta) * F.col("cy") + F.cos(theta) * F.col("cx")
-    out = out.withColumns({"cy": y, "cx": x})
-    for a in ("cy", "cx"):
-        out = out.withColumn(a, F.col(a) + uniform(seed, f"far {a}", -shift, shift) + jitter * normal(seed, f"near {a}", "t", "label"))
-    return out
+def augment_coords(windows: DataFrame, seed: int = 0, shift: float = 128, jitter: float = 1.5, ndim: int = 2) -> DataFrame:
+    """Coordinates flipped and turned by any angle about the window's mean, then shifted and jittered by normal numbers.
+
+    In three dimensions the turn in (y, x) is followed by one in (z, y) and one in (z, x).
+    """
+    axes = axes_of(ndim)
+    middle = {f"_{a}": F.avg(a).over(_window()) for a in axes}
+    out = windows.withColumns(middle)
+    out = out.withColumns({a: F.when(uniform(seed, f"flip {a}") < 0.5, F.col(f"_{a}") - F.col(a)).otherwise(F.col(a) - F.col(f"_{a}")) for a in axes})
+    for name, p, q in (("turn", "cy", "cx"), ("turn zy", "cz", "cy"), ("turn zx", "cz", "cx")):
+        if p in axes:
+            theta = uniform(seed, name, 0, 2 * math.pi)
+            out = out.withColumns({p: F.cos(theta) * F.col(p) - F.sin(theta) * F.col(q), q: F.sin(theta) * F.col(p) + F.cos(theta) * F.col(q)})
+    for a in axes:
+        out = out.withColumn(a, F.col(a) + F.col(f"_{a}") + uniform(seed, f"far {a}", -shift, shift) + jitter * normal(seed, f"near {a}", "t", "label"))
+    return out.select(windows.columns)
 
 
 def intensity_scale_shift(pixels: DataFrame, seed: int = 0, scale: tuple[float, float] = (0.5, 2.0), shift: tuple[float, float] = (-0.1, 0.1), clip: bool = True) -> DataFrame:
-    """Pixel values of each movie times a factor plus a shift, cut to [0, 1] with ``clip``."""
-    draw = lambda name, r: F.lit(r[0]) + F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "movie"), F.lit(1 << 52)) / float(1 << 52) * (r[1] - r[0])
-    value = F.col("value") * draw("gain", scale) + draw("bias", shift)
-    return pixels.withColumn("value", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) if clip else value)
+    """Pixel values of each window (movie, t1) times a factor plus a shift, cut to [0, 1] with ``clip``.
+
+    ``pixels`` that are not in windows count as one window, 0, for each movie.
+    """
+    rows = pixels if "t1" in pixels.columns else pixels.withColumn("t1", F.lit(0))
+    value = F.col("value") * uniform(seed, "gain", *scale) + uniform(seed, "bias", *shift)
+    rows = rows.withColumn("value", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) if clip else value)
+    return rows.select(pixels.columns)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR = ("movie", "t1", "t_i", "l_i", "t_j", "l_j")
@@ -31,6 +31,34 @@ def window_pairs(windows: DataFrame, cutoff: float = 256, delta_t: int | None =
     return pairs.select(*PAIR, "dist")
 
 
+def detection_pairs(nodes: DataFrame, window: int, cutoff: float = 256, delta_t: int | None = None) -> DataFrame:
+    """Pairs of detections that share a window of ``window`` frames and lie within ``cutoff``, each made once, with their distance.
+
+    Frames and grid cells are join keys; a pair over two frames is found forward and mirrored.  With ``delta_t``
+    only forward pairs at most that many frames apart come out.  :func:`in_windows` deals pairs to windows.
+    """
+    cell = lambda c: F.floor(F.col(c) / cutoff)
+    axes = ("cz", "cy", "cx")
+    side = lambda s: nodes.select("movie", F.col("t").alias(f"t_{s}"), F.col("label").alias(f"l_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in axes], cell("cy").alias("gy"), cell("cx").alias("gx"))
+    steps = range(0 if delta_t is None else 1, window if delta_t is None else min(window - 1, delta_t) + 1)
+    around = lambda g: F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1))
+    b = side("j").withColumn("gy", around("gy")).withColumn("gx", around("gx")).withColumn("t_i", F.explode(F.array(*[F.col("t_j") - k for k in steps])))
+    dist = F.sqrt(sum((F.pow(F.col(f"{c}_i") - F.col(f"{c}_j"), 2) for c in axes), F.lit(0.0)))
+    pairs = side("i").join(b, ["movie", "t_i", "gy", "gx"]).withColumn("dist", dist).where(F.col("dist") <= cutoff)
+    keys = ("t_i", "l_i", "t_j", "l_j")
+    if delta_t is not None:
+        return pairs.select("movie", *keys, "dist")
+    way = lambda names: F.struct(*[F.col(x).alias(y) for x, y in zip(names, keys)])
+    ways = F.when(F.col("t_i") == F.col("t_j"), F.array(way(keys))).otherwise(F.array(way(keys), way(("t_j", "l_j", "t_i", "l_i"))))
+    return pairs.select("movie", F.explode(ways).alias("p"), "dist").select("movie", "p.*", "dist")
+
+
+def in_windows(pairs: DataFrame, movies: DataFrame, window: int) -> DataFrame:
+    """``pairs`` once for each window (t1) of ``window`` frames that holds both frames; ``movies`` has movie and n_frames, a row for each movie."""
+    first, last = F.greatest(F.lit(0), F.greatest("t_i", "t_j") - window + 1), F.least(F.least("t_i", "t_j"), F.col("n_frames") - window)
+    return pairs.join(movies, "movie").where(first <= last).withColumn("t1", F.explode(F.sequence(first, last))).drop("n_frames")
+
+
 def linear_score(max_distance: float) -> Column:
     return 1 - F.col("dist") / F.lit(float(max_distance))
 
@@ -51,19 +79,9 @@ def score_windows(windows: DataFrame, scorer: Column | Callable, cutoff: float =
     return windows.groupBy("movie", "t1").applyInPandas(scorer, schema)
 
 
-def _forward_norm(pairs: DataFrame, mode: str, eps: float, forward: bool) -> DataFrame:
-    """Blocks are (window, fixed side, frame of the other side); sums are aggregated before they are joined back."""
-    block = ["movie", "t1", "t_j", "l_j", "t_i"] if forward else ["movie", "t1", "t_i", "l_i", "t_j"]
-    rows = pairs.where(F.col("t_j") > F.col("t_i")) if forward else pairs.where(F.col("t_j") <= F.col("t_i"))
-    a = F.col("logit")
-    if mode == "linear":
-        sums = rows.groupBy(*block).agg(F.sum(1 / (1 + F.exp(-a))).alias("total"))
-        return rows.join(sums, block).withColumn("value", 1 / (1 + F.exp(-a)) / (F.col("total") + eps)).drop("total")
-    tops = rows.groupBy(*block).agg(F.greatest(F.max("logit"), F.lit(0.0)).alias("top"))
-    rows = rows.join(tops, block).withColumn("e", F.exp(a - F.col("top")))
-    sums = rows.groupBy(*block).agg(F.sum("e").alias("total"))
-    quiet = F.exp(-F.col("top")) if mode == "quiet_softmax" else F.lit(0.0)
-    return rows.join(sums, block).withColumn("value", F.col("e") / (F.col("total") + quiet + eps)).drop("e", "top", "total")
+def _block(pairs: DataFrame, over_rows: bool) -> list[str]:
+    """The columns that name an entry's block: the fixed side and the frame of the other side, in one window if there are windows."""
+    return ["movie", *(["t1"] if "t1" in pairs.columns else []), *(("t_j", "l_j", "t_i") if over_rows else ("t_i", "l_i", "t_j"))]
 
 
 def parental_norm(pairs: DataFrame, mode: str = "quiet_softmax", eps: float = 1e-6, forward_only: bool = False) -> DataFrame:
@@ -71,24 +89,33 @@ def parental_norm(pairs: DataFrame, mode: str = "quiet_softmax", eps: float = 1e
 
     For a forward pair these are the detections of i's frame, for given j ("which parent?"); otherwise those of
     j's frame, for given i.  softmax, quiet_softmax (one more logit of 0), linear (sigmoids) or none (sigmoid).
-    Linking needs forward pairs only and then one direction is not computed.
+    Linking needs forward pairs only and then one direction is not computed.  Both directions share one
+    shuffle.  Where logits do not depend on the window, pairs without ``t1`` give the same values for less.
     """
-    if mode == "none":
-        out = pairs.withColumn("value", 1 / (1 + F.exp(-F.col("logit"))))
-        return out.where("t_j > t_i") if forward_only else out
-    if mode not in ("softmax", "quiet_softmax", "linear"):
+    if mode not in ("none", "softmax", "quiet_softmax", "linear"):
         raise ValueError(f"unknown mode {mode}")
-    out = _forward_norm(pairs, mode, eps, True)
-    if not forward_only:
-        out = out.unionByName(_forward_norm(pairs, mode, eps, False))
-    return out.withColumn("value", F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0)))
+    rows = pairs.where("t_j > t_i") if forward_only else pairs
+    a = F.col("logit")
+    sigmoid = 1 / (1 + F.exp(-a))
+    if mode == "none":
+        return rows.withColumn("value", sigmoid)
+    forward = F.col("t_j") > F.col("t_i")
+    fixed = lambda i, j: F.when(forward, F.col(j)).otherwise(F.col(i))
+    rows = rows.withColumns({"_t": fixed("t_i", "t_j"), "_l": fixed("l_i", "l_j"), "_o": fixed("t_j", "t_i"), "_f": forward})
+    block = Window.partitionBy("movie", *(["t1"] if "t1" in pairs.columns else []), "_t", "_l", "_o", "_f")
+    if mode == "linear":
+        value = sigmoid / (F.sum(sigmoid).over(block) + eps)
+    else:
+        rows = rows.withColumn("_top", F.greatest(F.max("logit").over(block), F.lit(0.0))).withColumn("_e", F.exp(a - F.col("_top")))
+        quiet = F.exp(-F.col("_top")) if mode == "quiet_softmax" else F.lit(0.0)
+        value = F.col("_e") / (F.sum("_e").over(block) + quiet + eps)
+    return rows.withColumn("value", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))).select(*pairs.columns, "value")
 
 
 def blockwise_reduce(pairs: DataFrame, column: str = "value", over_rows: bool = True, how: str = "sum") -> DataFrame:
     """Sum or maximum over the entries of one frame on one side, at every entry; the maximum counts 0 as well."""
-    block = ["movie", "t1", "t_j", "l_j", "t_i"] if over_rows else ["movie", "t1", "t_i", "l_i", "t_j"]
-    total = F.sum(column) if how == "sum" else F.greatest(F.max(column), F.lit(0.0))
-    return pairs.join(pairs.groupBy(*block).agg(total.alias("reduced")), block)
+    block = Window.partitionBy(*_block(pairs, over_rows))
+    return pairs.withColumn("reduced", F.sum(column).over(block) if how == "sum" else F.greatest(F.max(column).over(block), F.lit(0.0)))
 
 
 def score_mask(pairs: DataFrame, delta_t: int = 1, threshold: float = 0.05) -> DataFrame:

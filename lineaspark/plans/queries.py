@@ -155,15 +155,15 @@ def frame_extent(spark, d):
     return p.frame_extent(det(spark, d))
 
 
-@query(v.sql("SELECT movie, t, count(*) AS n, sum(label) AS total FROM det WHERE label % 3 = 0 GROUP BY movie, t", "det"))
+@query(v.sql("SELECT movie, t, count(*) AS n, sum(label) AS total FROM det GROUP BY movie, t", "det"))
 def nodes_by_frame(spark, d):
-    lists = p.nodes_by_frame(det(spark, d).where("label % 3 = 0")).where(F.size("labels") > 0)
+    lists = p.nodes_by_frame(det(spark, d)).where(F.size("labels") > 0)
     return lists.select("movie", "t", F.size("labels").cast("long").alias("n"), F.aggregate("labels", F.lit(0).cast("long"), lambda k, e: k + e).alias("total"))
 
 
 @query()
 def nodes_by_frame_all(spark, d):
-    """All detections; :func:`nodes_by_frame` is the part that its SQL asks for."""
+    """The lists themselves, empty ones too."""
     return p.nodes_by_frame(det(spark, d))
 
 
@@ -193,7 +193,7 @@ def border_distance(spark, d):
     return rounded(a.border_distance(v.pixels(spark, d), v.HEIGHT, v.WIDTH), "border_dist").where("border_dist > 0")
 
 
-@query(v.sql("""SELECT movie, t, label, round(coalesce(area, 0) * 0.001, 6) AS f1, round(coalesce(int_mean, 0) * 0.01, 6) AS f2, round(coalesce(i00, 0) * 0.01, 6) AS f3, round(coalesce(i01, 0) * 0.01, 6) + 0.0 AS f4,
+@query(v.sql("""SELECT movie, t, label, CAST(round(coalesce(area, 0) * 0.001, 6) AS DOUBLE) AS f1, round(coalesce(int_mean, 0) * 0.01, 6) AS f2, round(coalesce(i00, 0) * 0.01, 6) AS f3, round(coalesce(i01, 0) * 0.01, 6) + 0.0 AS f4,
 round(coalesce(i11, 0) * 0.01, 6) AS f5 FROM (SELECT movie, t, label FROM det UNION ALL SELECT 'none', 0, 1) LEFT JOIN det USING (movie, t, label)""", "det"))
 def scaled_features(spark, d):
     nodes = det(spark, d)
@@ -215,15 +215,15 @@ def fill_region_mean(spark, d):
     return rounded(a.fill_region_mean(v.pixels(spark, d)), "value").select("movie", "t", "y", "x", "label", "value")
 
 
-@query(v.sql("""SELECT p.movie, p.t, p.y, p.x, p.label, CASE WHEN EXISTS (SELECT 1 FROM det c WHERE c.movie = p.movie AND c.t = p.t AND c.label % 20 = 0
+@query(v.sql("""SELECT p.movie, p.t, p.y, p.x, p.label, CASE WHEN EXISTS (SELECT 1 FROM det c WHERE c.movie = p.movie AND c.t = p.t
 AND abs(p.y - floor(c.cy)) <= 24 AND abs(p.x - floor(c.cx)) <= 24) THEN value ELSE 0 END AS value FROM pixels p""", "pixels", "det"))
 def keep_near_centroids(spark, d):
-    return a.keep_near_centroids(v.pixels(spark, d), det(spark, d).where("label % 20 = 0")).select("movie", "t", "y", "x", "label", "value")
+    return a.keep_near_centroids(v.pixels(spark, d), det(spark, d)).select("movie", "t", "y", "x", "label", "value")
 
 
 @query()
 def keep_near_centroids_all(spark, d):
-    """Boxes around all detections; :func:`keep_near_centroids` is the part that its SQL asks for."""
+    """As :func:`keep_near_centroids`."""
     return a.keep_near_centroids(v.pixels(spark, d), det(spark, d)).select("movie", "t", "y", "x", "label", "value")
 
 
@@ -298,8 +298,17 @@ def win(spark, d):
     return w.sliding_windows(det(spark, d), v.movies(px), 4)
 
 
+def near(spark, d, delta_t=None):
+    """Pairs of detections with their logits, each once; they do not depend on the window."""
+    return n.detection_pairs(det(spark, d), 4, D, delta_t).withColumn("logit", 4 * n.linear_score(D) - 1)
+
+
+def in_windows(spark, d, pairs):
+    return n.in_windows(pairs, v.movies(v.pixels(spark, d)), 4)
+
+
 def pairs(spark, d, delta_t=None):
-    return n.score_windows(win(spark, d), 4 * n.linear_score(D) - 1, D, delta_t)
+    return in_windows(spark, d, near(spark, d, delta_t))
 
 
 @query(v.sql("SELECT movie, t1, t, label, round(cy, 6) AS cy FROM win", "win", extra=_WIN))
@@ -355,7 +364,7 @@ def window_pairs(spark, d):
 
 @query(v.sql(f"SELECT {_KEYS}, round(value, 6) AS value FROM norm", "norm", extra=_WIN))
 def parental_norm(spark, d):
-    return rounded(n.parental_norm(pairs(spark, d)), "value").select("movie", "t1", "t_i", "l_i", "t_j", "l_j", "value")
+    return rounded(in_windows(spark, d, n.parental_norm(near(spark, d))), "value").select("movie", "t1", "t_i", "l_i", "t_j", "l_j", "value")
 
 
 @query(v.sql(f"SELECT {_KEYS}, round(1 / (1 + exp(-logit)) / (sum(1 / (1 + exp(-logit))) OVER (PARTITION BY movie, t1, t_j, l_j, t_i) + 1e-6), 6) AS value FROM pairs WHERE t_j > t_i", "pairs", extra=_WIN))
@@ -388,7 +397,7 @@ def score_mask(spark, d):
 
 @query(v.sql("SELECT movie, t_i, l_i, t_j, l_j, round(sum(wt * value) / sum(wt), 6) AS value FROM (SELECT *, exp(-0.1 * pow(t_i - (t1 + 1.5), 2)) AS wt FROM norm WHERE t_j = t_i + 1 AND value >= 0.05) GROUP BY ALL", "norm", extra=_WIN))
 def average_over_windows(spark, d):
-    return rounded(n.average_over_windows(n.score_mask(n.parental_norm(pairs(spark, d, 1), forward_only=True)), 4, 0.1), "value")
+    return rounded(n.average_over_windows(in_windows(spark, d, n.score_mask(n.parental_norm(near(spark, d, 1), forward_only=True))), 4, 0.1), "value")
 
 
 _TRUTH = {
@@ -525,14 +534,14 @@ def edge_table(spark, d):
     return rounded(s.edge_table(solution(spark, d)), "weight")
 
 
-@query(v.sql("SELECT movie, ti, li, tj, lj FROM sol WHERE lj % 5 = 0", "sol", extra=_EDGES, recursive=True))
+@query(v.sql("SELECT movie, ti, li, tj, lj FROM sol", "sol", extra=_EDGES, recursive=True))
 def adjacent_edges(spark, d):
-    return flat(p.adjacent_edges(solution(spark, d), det(spark, d).where("label % 5 = 0"))).drop("dist", "weight")
+    return flat(p.adjacent_edges(solution(spark, d), det(spark, d))).drop("dist", "weight")
 
 
 @query()
 def adjacent_edges_all(spark, d):
-    """Edges into any detection; :func:`adjacent_edges` is the part that its SQL asks for."""
+    """As :func:`adjacent_edges`."""
     return flat(p.adjacent_edges(solution(spark, d), det(spark, d))).drop("dist", "weight")
 
 
@@ -604,19 +613,19 @@ def lineage_edges(spark, d):
 
 
 @query(v.sql("""SELECT i.movie, i.t1, i.t AS t_i, i.label AS l_i, j.t AS t_j, j.label AS l_j FROM wn i JOIN rel r ON r.a = i.label JOIN wn j ON j.movie = i.movie AND j.t1 = i.t1 AND j.label = r.b""", "wn", "rel", extra=_LINE | {
-    "wn": (("seen",), "SELECT movie, label, t, unnest(generate_series(greatest(0, t - 3), t)) AS t1 FROM seen WHERE label < 400 AND label % 5 <> 1"),
+    "wn": (("seen",), "SELECT movie, label, t, unnest(generate_series(greatest(0, t - 3), t)) AS t1 FROM seen"),
     "rel": (("clo", "tr"), "SELECT label AS a, label AS b FROM tr UNION SELECT anc, desc_ FROM clo UNION SELECT desc_, anc FROM clo"),
 }, recursive=True))
 def associations(spark, d):
     tr = v.tracklets(spark, d)
-    found = tr.select("movie", "label", F.explode(F.sequence("t1", "t2")).alias("t")).where("(label + t) % 4 <> 0 and label < 400 and label % 5 <> 1")
+    found = tr.select("movie", "label", F.explode(F.sequence("t1", "t2")).alias("t")).where("(label + t) % 4 <> 0")
     wins = found.withColumn("t1", F.explode(F.sequence(F.greatest(F.lit(0), F.col("t") - 3), F.col("t"))))
     return g.associations(wins, g.identity_matching(found), g.lineage_closure(tr))
 
 
 @query()
 def associations_all(spark, d):
-    """All tracklets in all their frames; :func:`associations` is the part that its SQL asks for."""
+    """All tracklets in all their frames; :func:`associations` leaves some frames out."""
     tr = v.tracklets(spark, d)
     found = tr.select("movie", "label", F.explode(F.sequence("t1", "t2")).alias("t"))
     wins = found.withColumn("t1", F.explode(F.sequence(F.greatest(F.lit(0), F.col("t") - 3), F.col("t"))))
@@ -648,24 +657,80 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select("movie", "t1", "t", "label", "cy", "cx", "int_mean", F.element_at("inertia", 1).alias("i00"))
 
 
-@query()
+def _draw(name: str, low: float = 0, high: float = 1, *more: str) -> str:
+    """The number that ``augment.uniform`` draws with seed 7, in SQL."""
+    text = f"concat_ws('/', '7', '{name}', {', '.join(('movie', 't1', *more))})"
+    return f"({float(low)}::DOUBLE + CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * {float(high - low)}::DOUBLE)"
+
+
+def _normal(name: str) -> str:
+    return f"sqrt(-2 * ln(1 - {_draw(name + '/r', 0, 1, 't', 'label')})) * cos(2 * pi() * {_draw(name + '/a', 0, 1, 't', 'label')})"
+
+
+def _flipped(axis: str) -> str:
+    return f"CASE WHEN {_draw('flip/gate')} < 0.5 AND {_draw('flip ' + axis)} < 0.5 THEN -{axis} ELSE {axis} END AS {axis}"
+
+
+_AUG = {
+    "f1": (("win",), f"SELECT * REPLACE ({_flipped('cy')}, {_flipped('cx')}) FROM win"),
+    "m1": (("f1",), f"""SELECT *, {_draw('affine/gate')} < 0.8 AS turned, {_draw('angle', -180, 180)} * (pi() / 180) AS th, {_draw('scale y', 0.5, 2)} AS sy, {_draw('scale x', 0.5, 2)} AS sx,
+  {_draw('shear y', -0.1, 0.1)} AS a, {_draw('shear x', -0.1, 0.1)} AS b FROM f1"""),
+    "m2": (("m1",), """SELECT *, cos(th) * sy * (1 + a * b) - sin(th) * sx * b AS m00, cos(th) * sy * a - sin(th) * sx AS m01, sin(th) * sy * (1 + a * b) + cos(th) * sx * b AS m10,
+  sin(th) * sy * a + cos(th) * sx AS m11 FROM m1"""),
+    "m3": (("m2",), """SELECT movie, t1, t, label, int_mean, CASE WHEN turned THEN m00 * cy + m01 * cx ELSE cy END AS cy, CASE WHEN turned THEN m10 * cy + m11 * cx ELSE cx END AS cx,
+  CASE WHEN turned THEN m00 * (i00 * m00 + i01 * m01) + m01 * (i01 * m00 + i11 * m01) ELSE i00 END AS i00, CASE WHEN turned THEN area * (m00 * m11 - m01 * m10) ELSE area END AS area FROM m2"""),
+    "b1": (("m3",), f"SELECT * REPLACE (CASE WHEN {_draw('brightness/gate')} < 0.8 THEN int_mean * {_draw('gain', 0.5, 2)} + {_draw('bias', -0.1, 0.1)} ELSE int_mean END AS int_mean), t - min(t) OVER (PARTITION BY movie, t1) AS late FROM m3"),
+    "v1": (("b1",), "SELECT * REPLACE (" + ", ".join(f"CASE WHEN {_draw('movement/gate')} < 0.3 THEN {c} + late * {_draw('movement ' + c, -10, 10)} ELSE {c} END AS {c}" for c in ("cy", "cx")) + ") FROM b1"),
+    "o1": (("v1",), "SELECT * REPLACE (" + ", ".join(f"CASE WHEN {_draw('offset/gate')} < 0.8 THEN {c} + {_draw('offset ' + c, -3, 3, 't', 'label')} ELSE {c} END AS {c}" for c in ("cy", "cx")) + ") FROM v1"),
+    "s1": (("o1",), "SELECT * REPLACE (" + ", ".join(f"{c} + floor({_draw('shift ' + c, 0, 512)}) AS {c}" for c in ("cy", "cx")) + ") FROM o1"),
+}
+_SHOWN = "movie, t1, t, label, round(cy, 4) + 0.0 AS cy, round(cx, 4) + 0.0 AS cx, round(int_mean, 4) AS int_mean, round(i00, 4) + 0.0 AS i00"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return rounded(_plain(df), "cy", "cx", "int_mean", "i00", digits=4).withColumns({c: F.col(c) + 0.0 for c in ("cy", "cx", "i00")})
+
+
+@query(v.sql(f"SELECT {_SHOWN} FROM s1", "s1", extra=_WIN | _AUG))
 def augment_full(spark, d):
-    return _plain(x.augment(win(spark, d), 3, seed=7))
+    return _shown(x.augment(win(spark, d), 3, seed=7))
 
 
-@query()
+def _box(axis: str) -> str:
+    n = f"floor({_draw('size ' + axis, 40, 81)})"
+    return f"{n} AS n{axis}, {axis} - {n} + 1 + floor({n} / 4) + floor({_draw('shift ' + axis)} * (floor(3 * {n} / 4) - floor({n} / 4))) AS o{axis}"
+
+
+_CROP = {
+    "pick": (("win",), f"SELECT movie, t1, {_box('cy')}, {_box('cx')} FROM (SELECT *, row_number() OVER (PARTITION BY movie, t1 ORDER BY {_draw('pick', 0, 1, 't', 'label')}, t, label) AS k FROM win) WHERE k = 1"),
+    "boxed": (("win", "pick"), "SELECT *, cy >= ocy AND cy < ocy + ncy AND cx >= ocx AND cx < ocx + ncx AS inside FROM win JOIN pick USING (movie, t1)"),
+}
+
+
+@query(v.sql(f"SELECT {_SHOWN} FROM (SELECT *, count(DISTINCT CASE WHEN inside THEN t END) OVER (PARTITION BY movie, t1) AS left_ FROM boxed) WHERE inside OR left_ < 4", "boxed", extra=_WIN | _CROP))
 def random_crop(spark, d):
-    return _plain(x.random_crop(win(spark, d), (40, 80), seed=7))
+    return _shown(x.random_crop(win(spark, d), (40, 80, 40, 80), seed=7, window=4))
 
 
-@query()
+_COORDS = {
+    "c1": (("win",), "SELECT *, avg(cy) OVER w AS my, avg(cx) OVER w AS mx FROM win WINDOW w AS (PARTITION BY movie, t1)"),
+    "c2": (("c1",), f"SELECT * REPLACE ((cy - my) * CASE WHEN {_draw('flip cy')} < 0.5 THEN -1 ELSE 1 END AS cy, (cx - mx) * CASE WHEN {_draw('flip cx')} < 0.5 THEN -1 ELSE 1 END AS cx), {_draw('turn', 0, 2)} * pi() AS th FROM c1"),
+    "c3": (("c2",), "SELECT * REPLACE (cos(th) * cy - sin(th) * cx + my AS cy, sin(th) * cy + cos(th) * cx + mx AS cx) FROM c2"),
+    "c4": (("c3",), f"SELECT * REPLACE (cy + {_draw('far cy', -128, 128)} + 1.5 * {_normal('near cy')} AS cy, cx + {_draw('far cx', -128, 128)} + 1.5 * {_normal('near cx')} AS cx) FROM c3"),
+}
+
+
+@query(v.sql(f"SELECT {_SHOWN} FROM c4", "c4", extra=_WIN | _COORDS))
 def augment_coords(spark, d):
-    return _plain(x.augment_coords(win(spark, d), seed=7))
+    return _shown(x.augment_coords(win(spark, d), seed=7))
 
 
-@query()
+@query(v.sql(f"""SELECT movie, t1, t, y, x, label, round(least(1.0, greatest(0.0, value / 1024 * {_draw('gain', 0.5, 2)} + {_draw('bias', -0.1, 0.1)})), 6) AS value
+FROM (SELECT pixels.*, unnest(generate_series(greatest(0, t - 3), least(t, n_frames - 4))) AS t1 FROM pixels JOIN movies USING (movie) WHERE n_frames >= 4)""", "pixels", "movies"))
 def intensity_scale_shift(spark, d):
-    return x.intensity_scale_shift(v.pixels(spark, d), seed=7).select("movie", "t", "y", "x", "label", "value")
+    px = v.pixels(spark, d)
+    wins = w.sliding_windows(px.withColumn("value", F.col("value") / 1024), v.movies(px), 4)
+    return rounded(x.intensity_scale_shift(wins, seed=7), "value").select("movie", "t1", "t", "y", "x", "label", "value")
 
 
 @query(v.sql("SELECT movie, t1, n_objects, n_divs, round((1 + sqrt(n_divs)) / (count(*) OVER (PARTITION BY movie) + 1e-6) / s, 6) AS prob FROM counts, (SELECT sum((1 + sqrt(n_divs)) / (k + 1e-6)) + 1e-10 AS s FROM (SELECT *, count(*) OVER (PARTITION BY movie) AS k FROM counts))", "counts", extra=_WIN | _TRUTH))

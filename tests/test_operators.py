@@ -198,3 +198,41 @@ def test_sampling(spark):
         assert all(a[1] <= c[0] for a, c in zip(spans, spans[1:]))
     shards = b.sample_shards(counts, 2, 40, 8, 3).collect()
     assert Counter(r.worker for r in shards) == {0: 20, 1: 20}
+
+
+def test_affine_in_space(spark):
+    """Three axes: coordinates, volume, diameter and tensor under a drawn map, against numpy."""
+    w = spark.createDataFrame([("m", 0, t, k, float(k), 2.0 + t, 3.0 * k, 5 + k, 2.0, [float(x) for x in np.eye(3).ravel() + k]) for t in range(3) for k in range(4)],
+        "movie string, t1 int, t int, label int, cz double, cy double, cx double, area long, eq_diameter double, inertia array<double>")
+    u = {n: w.limit(1).select(x.uniform(3, n, lo, hi)).first()[0] for n, lo, hi in
+         (("angle", -180, 180), ("scale z", 0.5, 2), ("scale y", 0.5, 2), ("scale x", 0.5, 2), ("shear y", -0.1, 0.1), ("shear x", -0.1, 0.1))}
+    th, a, b = np.deg2rad(u["angle"]), u["shear y"], u["shear x"]
+    turn = np.array([[1, 0, 0], [0, np.cos(th), -np.sin(th)], [0, np.sin(th), np.cos(th)]])
+    m = turn @ np.diag([u["scale z"], u["scale y"], u["scale x"]]) @ np.array([[1, 0, 0], [0, 1 + a * b, a], [0, b, 1]])
+    got = {(r.t, r.label): r for r in x.random_affine(w, 3, 180, (0.5, 2), p=1.0, ndim=3).collect()}
+    for r in w.collect():
+        q = got[r.t, r.label]
+        assert np.allclose([q.cz, q.cy, q.cx], m @ [r.cz, r.cy, r.cx])
+        assert np.isclose(q.area, np.linalg.det(m) * r.area) and np.isclose(q.eq_diameter, np.linalg.det(m) ** (1 / 3) * r.eq_diameter)
+        assert np.allclose(q.inertia, (m @ np.reshape(r.inertia, (3, 3)) @ m.T).ravel())
+    turned = x.augment_coords(w, 5, shift=0, jitter=0, ndim=3).collect()
+    middle = np.array(w.agg(F.avg("cz"), F.avg("cy"), F.avg("cx")).first())
+    before = {(r.t, r.label): np.linalg.norm(np.array([r.cz, r.cy, r.cx]) - middle) for r in w.collect()}
+    assert all(np.isclose(np.linalg.norm(np.array([r.cz, r.cy, r.cx]) - middle), before[r.t, r.label]) for r in turned)
+
+
+def test_pairs_once_equal_pairs_by_window(spark):
+    from lineaspark.operators.scores import detection_pairs, in_windows, parental_norm, window_pairs
+
+    nodes = spark.createDataFrame([("m", t, k, 0.0, float(k * 7 % 40), float((k * 5 + t) % 30)) for t in range(6) for k in range(9)], "movie string, t int, label int, cz double, cy double, cx double")
+    movies = nodes.groupBy("movie").agg((F.max("t") + 1).alias("n_frames"))
+    wins = nodes.join(movies, "movie").withColumn("t1", F.explode(F.expr("sequence(greatest(0, t - 3), least(t, n_frames - 4))")))
+    key = ("movie", "t1", "t_i", "l_i", "t_j", "l_j", "dist")
+    flat = lambda df, *more: sorted(tuple(r) for r in df.select(*key, *more).collect())
+    for step in (None, 1, 2):
+        assert flat(in_windows(detection_pairs(nodes, 4, 12.0, step), movies, 4)) == flat(window_pairs(wins, 12.0, step))
+    score = lambda df: df.withColumn("logit", 1 - F.col("dist") / 10)
+    for mode in ("softmax", "quiet_softmax", "linear", "none"):
+        value = F.round("value", 9).alias("value")
+        once = flat(in_windows(parental_norm(score(detection_pairs(nodes, 4, 12.0)), mode), movies, 4), value)
+        assert once == flat(parental_norm(score(window_pairs(wins, 12.0)), mode), value)
