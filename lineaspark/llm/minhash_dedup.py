@@ -58,7 +58,7 @@ class Shingles:
     def text(self) -> pa.Array:
         """The shingles themselves."""
         raw = self.raw.tobytes()
-        return pa.array([raw[x:y] for x, y in zip(self.start.tolist(), self.end.tolist())], pa.binary())
+        return pa.array([raw[x:y] for x, y in zip(self.start.tolist(), self.end.tolist())], pa.string())
 
 
 def minima(sets: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ def minima(sets: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
     return low
 
 
-def _small(batches, rows: int = 512, size: int = 2 << 20):
+def _small(batches, rows: int = 512, size: int = 1 << 18):
     """Batches of few rows and bytes, so that what a task makes of one stays small."""
     for batch in batches:
         total = np.cumsum(pa.compute.binary_length(batch.column(1).cast(pa.binary())).to_numpy(zero_copy_only=False))
@@ -212,7 +212,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = c.settle(wanted)
     if wanted.count() <= BROADCAST_IDS:  # then the texts are not shuffled
         wanted = F.broadcast(wanted)
-    items = c.settle(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<binary>"))
+    items = c.settle(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<string>"))
     links = c.settle(_confirmed(stars, items, percent))
     more = c.settle(_rest(items, components(stars), components(links), percent))
     found = components(links.unionByName(more))
