@@ -29,8 +29,6 @@ from . import common as c
 
 BLOCK_BYTES = 4 << 20
 _PIECE = 1 << 18
-_ROWS = 256
-_TOKENS = 1 << 16
 # The endings that, after an apostrophe, are words of their own, and the Unicode white space.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -224,7 +222,9 @@ def _join(special: list[str], parts: int):
             while doc < len(w.count) and stop[doc + 1] - low <= len(at):
                 out.append(found[cut[stop[doc] - low] : cut[stop[doc + 1] - low]].tobytes())
                 doc += 1
-        ids = pa.table({"doc_id": rows["doc_id"], "ids": pa.array(out, pa.binary())})
+        flat = np.frombuffer(b"".join(out), "<i4")
+        tokens = pa.LargeListArray.from_arrays(np.append(0, np.cumsum([len(x) // 4 for x in out])).astype(np.int64), flat).cast(pa.list_(pa.int32()))
+        ids = pa.table({"doc_id": rows["doc_id"], "ids": pa.array(out, pa.binary()), "tokens": tokens})
         pa.default_memory_pool().release_unused()
         return ids
 
@@ -232,7 +232,7 @@ def _join(special: list[str], parts: int):
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit token ids) for every row of ``docs``.
+    """doc_id, ids (binary: little-endian unsigned 32-bit token ids) and tokens (the same as an array) for every row of ``docs``.
 
     ``tokenizer`` is the file of a byte-level BPE tokenizer, present on every machine.  Ids equal those of its
     library without added special tokens, truncation or padding; a special token's string in a text becomes
@@ -246,7 +246,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     packed = c.pack(rows, n_blocks)
     words = packed.groupBy("block").applyInArrow(_distinct(special, parts), "part int, block int, words binary")
     encoded = words.groupBy("part").applyInArrow(_encode(tokenizer), "block int, part int, ids binary")
-    return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join(special, parts), "doc_id long, ids binary")
+    return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join(special, parts), "doc_id long, ids binary, tokens array<int>")
 
 
 def _pieces(path: str) -> list[bytes]:
@@ -262,30 +262,6 @@ def _pieces(path: str) -> list[bytes]:
     return out
 
 
-def _token_rows(batches):
-    """One row for each id of each document, in order; the first has the document's own columns.  No ids give one row."""
-    row = -1
-    for whole in batches:
-        for low in range(0, whole.num_rows, _ROWS):
-            batch = whole.slice(low, _ROWS)
-            lists = [np.zeros(0, np.uint32) if x is None else np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
-            n = np.array([max(1, len(x)) for x in lists], np.int64)
-            first = np.cumsum(n) - n
-            every = np.full(int(n.sum()), -1, np.int64)
-            for x, at in zip(lists, first.tolist()):
-                every[at : at + len(x)] = x
-            rows = np.repeat(np.arange(row + 1, row + 1 + len(n)), n)
-            row += len(n)
-            head = np.full(len(every), -1, np.int64)
-            head[first] = np.arange(len(n))
-            own = pa.array(head, mask=head < 0)
-            for i in range(0, len(every), _TOKENS):
-                some = own.slice(i, _TOKENS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[i : i + _TOKENS]), batch.column(0).take(some), batch.column(1).take(some), pa.array(every[i : i + _TOKENS])], names=["row", "doc_id", "ids", "id"]
-                )
-
-
 def _joined(batches):
     """Documents of token rows that come in order; a document may go over several batches."""
     now, own, parts = None, None, []
@@ -319,17 +295,19 @@ def _joined(batches):
 
 def piece_table(spark, path: str) -> DataFrame:
     """(id, piece) of a tokenizer: as many rows as its vocabulary has."""
-    return spark.createDataFrame([(i, p) for i, p in enumerate(_pieces(path))], "id long, piece binary")
+    return spark.createDataFrame([(i, p) for i, p in enumerate(_pieces(path))], "id int, piece binary")
 
 
 def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """``encoded`` (columns doc_id and ids, as :func:`bpe_encode` makes) with its text; null ids give null text.
+    """doc_id, ids and text of ``encoded`` (columns doc_id, ids and tokens, as :func:`bpe_encode` makes); null ids give null text.
 
-    Every id is joined with its piece.  The table of pieces has the size of the vocabulary and is broadcast, so ids
+    Every token is joined with its piece.  The table of pieces has the size of the vocabulary and is broadcast, so ids
     stay where they are and in order, and the pieces of a document are put together as they come.  Ids beyond
     the vocabulary have no piece and add nothing, as in the library.  Bytes that are no UTF-8 become U+FFFD.
     """
-    tokens = encoded.select("doc_id", "ids").mapInArrow(_token_rows, "row long, doc_id long, ids binary, id long")
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0  # only a document's first row has its own columns
+    tokens = encoded.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "ids", F.posexplode_outer("tokens").alias("pos", "id"))
+    tokens = tokens.select("row", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("ids")).alias("ids"), "id")
     pieces = F.broadcast(piece_table(encoded.sparkSession, tokenizer))
     return tokens.join(pieces, "id", "left").select("row", "doc_id", "ids", "piece").mapInArrow(_joined, "doc_id long, ids binary, text string")
 
