@@ -7,7 +7,7 @@
 3. Each block joins the ids back by the position of the words.
 
 Words and ids travel in compressed lists, documents in compressed packs that are shuffled once.  Decoding
-joins every id with the id-to-piece table, whose size is the vocabulary's, and shuffles nothing.
+gathers each id's piece from the id-to-piece table, whose size is the vocabulary's.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import functools
 import json
 import os
 import unicodedata
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from . import common as c
 
 BLOCK_BYTES = 4 << 20
 _PIECE = 1 << 18
+_ROWS = 256
 # The endings that, after an apostrophe, are words of their own, and the Unicode white space.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -90,15 +93,13 @@ class _Words:
 
         cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.numbers, self.count = [], []
-        place: dict[str, int] = {}
+        place: dict[str, int] = defaultdict(count().__next__)
         piece, size = [], 0
         for text in [*texts, None]:
             if piece and (text is None or size + len(text) > _PIECE):
                 joined, a, b, n = self._split(piece, cut, special)
-                words = [joined[x:y] for x, y in zip(a.tolist(), b.tolist())]
-                for word in words:
-                    place.setdefault(word, len(place))
-                self.numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+                words = map(joined.__getitem__, map(slice, a.tolist(), b.tolist()))
+                self.numbers.append(np.fromiter(map(place.__getitem__, words), np.int32, len(a)))
                 self.count += n.tolist()
                 piece, size = [], 0
             if text is not None:
@@ -136,12 +137,17 @@ class _Words:
         return text, a, np.append(a[1:], len(codes)), np.bincount(np.searchsorted(base + size, a, side="right"), minlength=len(texts))
 
 
+@functools.cache
+def _squeeze() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=7)
+
+
 def _list_blob(values: pa.Array) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.record_batch({"x": values})
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=7).compress(sink.getvalue())
+    return _squeeze().compress(sink.getvalue())
 
 
 def _list_of(blob) -> pa.Array:
@@ -222,9 +228,7 @@ def _join(special: list[str], parts: int):
             while doc < len(w.count) and stop[doc + 1] - low <= len(at):
                 out.append(found[cut[stop[doc] - low] : cut[stop[doc + 1] - low]].tobytes())
                 doc += 1
-        flat = np.frombuffer(b"".join(out), "<i4")
-        tokens = pa.LargeListArray.from_arrays(np.append(0, np.cumsum([len(x) // 4 for x in out])).astype(np.int64), flat).cast(pa.list_(pa.int32()))
-        ids = pa.table({"doc_id": rows["doc_id"], "ids": pa.array(out, pa.binary()), "tokens": tokens})
+        ids = pa.table({"doc_id": rows["doc_id"], "ids": pa.array(out, pa.binary())})
         pa.default_memory_pool().release_unused()
         return ids
 
@@ -232,7 +236,7 @@ def _join(special: list[str], parts: int):
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit token ids) and tokens (the same as an array) for every row of ``docs``.
+    """doc_id and ids (binary: little-endian unsigned 32-bit token ids) for every row of ``docs``.
 
     ``tokenizer`` is the file of a byte-level BPE tokenizer, present on every machine.  Ids equal those of its
     library without added special tokens, truncation or padding; a special token's string in a text becomes
@@ -241,12 +245,12 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     """
     rows = c.id_text(docs, id_col, text_col)
     n_blocks = c.count_blocks(rows, block_bytes)
-    parts = max(8, n_blocks // 2)
+    parts = max(8, n_blocks // 4)
     special = special_tokens(tokenizer)
     packed = c.pack(rows, n_blocks)
     words = packed.groupBy("block").applyInArrow(_distinct(special, parts), "part int, block int, words binary")
     encoded = words.groupBy("part").applyInArrow(_encode(tokenizer), "block int, part int, ids binary")
-    return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join(special, parts), "doc_id long, ids binary, tokens array<int>")
+    return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join(special, parts), "doc_id long, ids binary")
 
 
 def _pieces(path: str) -> list[bytes]:
@@ -262,54 +266,27 @@ def _pieces(path: str) -> list[bytes]:
     return out
 
 
-def _joined(batches):
-    """Documents of token rows that come in order; a document may go over several batches."""
-    now, own, parts = None, None, []
-
-    def close(out):
-        if now is not None:
-            out.append((*own, b"".join(parts).decode(errors="replace") if own[1] is not None else None))
-
-    def table(out):
-        columns = list(zip(*out)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.string()))], names=["doc_id", "ids", "text"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        row, piece = batch.column(0).to_numpy(), batch.column(3)
-        cut = np.append(np.flatnonzero(np.diff(row, prepend=row[0] - 1)), len(row))
-        stop = np.append(0, np.cumsum(pa.compute.fill_null(pa.compute.binary_length(piece), 0).to_numpy(zero_copy_only=False)))
-        raw = pa.compute.binary_join(pa.ListArray.from_arrays([0, len(piece)], pa.compute.fill_null(piece, b"")), b"")[0].as_py()
-        out = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if row[a] != now:
-                close(out)
-                now, own, parts = row[a], (batch.column(1)[a].as_py(), batch.column(2)[a].as_py()), []
-            parts.append(raw[stop[a] : stop[b]])
-        yield table(out)
-    out = []
-    close(out)
-    yield table(out)
-
-
-def piece_table(spark, path: str) -> DataFrame:
-    """(id, piece) of a tokenizer: as many rows as its vocabulary has."""
-    return spark.createDataFrame([(i, p) for i, p in enumerate(_pieces(path))], "id int, piece binary")
-
-
 def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids and text of ``encoded`` (columns doc_id, ids and tokens, as :func:`bpe_encode` makes); null ids give null text.
+    """doc_id, ids and text of ``encoded`` (columns doc_id and ids, as :func:`bpe_encode` makes); null ids give null text.
 
-    Every token is joined with its piece.  The table of pieces has the size of the vocabulary and is broadcast, so ids
-    stay where they are and in order, and the pieces of a document are put together as they come.  Ids beyond
+    Every task holds the id-to-piece table, which has the size of the vocabulary, and looks ids up in it.  Ids beyond
     the vocabulary have no piece and add nothing, as in the library.  Bytes that are no UTF-8 become U+FFFD.
     """
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0  # only a document's first row has its own columns
-    tokens = encoded.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "ids", F.posexplode_outer("tokens").alias("pos", "id"))
-    tokens = tokens.select("row", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("ids")).alias("ids"), "id")
-    pieces = F.broadcast(piece_table(encoded.sparkSession, tokenizer))
-    return tokens.join(pieces, "id", "left").select("row", "doc_id", "ids", "piece").mapInArrow(_joined, "doc_id long, ids binary, text string")
+
+    def run(batches):
+        pieces = dict(enumerate(_pieces(tokenizer)))
+        piece = lambda i: pieces.get(i, b"")
+        for whole in batches:
+            for low in range(0, whole.num_rows, _ROWS):  # small batches keep little in memory
+                batch = whole.slice(low, _ROWS)
+                text = []
+                for x in batch.column(1).to_pylist():
+                    ids = None if x is None else np.frombuffer(x, "<u4")
+                    known = x is None or not len(ids) or ids.max() < len(pieces)
+                    text.append(None if x is None else b"".join(map(pieces.__getitem__ if known else piece, ids.tolist())).decode(errors="replace"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
