@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 _PIECE = 1 << 18
 _ROWS = 256
 # The endings that, after an apostrophe, are words of their own, and the Unicode white space.
