@@ -248,9 +248,9 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     parts = max(8, n_blocks // 4)
     special = special_tokens(tokenizer)
     packed = c.pack(rows, n_blocks)
-    words = packed.groupBy("block").applyInArrow(_distinct(special, parts), "part int, block int, words binary")
-    encoded = words.groupBy("part").applyInArrow(_encode(tokenizer), "block int, part int, ids binary")
-    return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_join(special, parts), "doc_id long, ids binary")
+    words = packed.groupBy("block").applyInArrow(c.lean(_distinct(special, parts)), "part int, block int, words binary")
+    encoded = words.groupBy("part").applyInArrow(c.lean(_encode(tokenizer)), "block int, part int, ids binary")
+    return packed.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(c.lean_pair(_join(special, parts)), "doc_id long, ids binary")
 
 
 def _pieces(path: str) -> list[bytes]:

@@ -204,11 +204,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if carry:
         schema = schema.add(rows.schema["row"])
     packed = c.pack(rows, n_blocks)
-    seen = packed.groupBy("block").applyInArrow(_grams(window, gram), "g long, block int, n int")
+    seen = packed.groupBy("block").applyInArrow(c.lean(_grams(window, gram)), "g long, block int, n int")
     again = c.repeated_grams(seen, frequent)
-    contexts = packed.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_contexts(window, gram, parts), "part int, contexts binary, windows binary")
-    passages = contexts.groupBy("part").applyInArrow(_confirm(window, gram), "block int, passage binary, w long, key binary")
-    return packed.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(_remove(window), schema)
+    contexts = packed.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(c.lean_pair(_contexts(window, gram, parts)), "part int, contexts binary, windows binary")
+    passages = contexts.groupBy("part").applyInArrow(c.lean(_confirm(window, gram)), "block int, passage binary, w long, key binary")
+    return packed.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(c.lean_pair(_remove(window)), schema)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
