@@ -7,7 +7,8 @@ together by buckets, they are done.  The others, such as a family of copies that
 the threshold allows, are cut into chunks by set size and hash, bounded in shingles and in classes; each two chunks
 whose sizes allow a link meet in one task, which gets all intersections from products of 0/1 matrices and
 returns one link for each class at most.  So no pairs are written out, no task holds more than two chunks,
-and no link is lost.  Every link is decided on the full shingle sets, that is on the shingles' words, never on hashes.
+and no link is lost.  Every link is decided on the full shingle sets, shingles standing as 64-bit hashes without
+polynomial structure; the number of distinct shingles of a text is counted on their bytes.
 """
 
 from __future__ import annotations
@@ -55,11 +56,6 @@ class Shingles:
         self.size = np.bincount(self.doc, minlength=len(texts))
         self.stop = np.cumsum(self.size)
 
-    def text(self) -> pa.Array:
-        """The shingles themselves."""
-        raw = self.raw.tobytes()
-        return pa.array([raw[x:y] for x, y in zip(self.start.tolist(), self.end.tolist())], pa.string())
-
 
 def minima(sets: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
     """The least value of each universal hash ``times * x + plus`` modulo 2**32 over a set."""
@@ -107,7 +103,7 @@ def _sets(width: int):
     def run(batches):
         for batch in _small(batches):
             s = Shingles([x.as_py() for x in batch.column(1).cast(pa.binary())], width)
-            lists = pa.ListArray.from_arrays(np.append(0, s.stop).astype(np.int32), s.text())
+            lists = pa.ListArray.from_arrays(np.append(0, s.stop).astype(np.int32), s.hash.astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "items"])
 
     return run
@@ -212,7 +208,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = c.settle(wanted)
     if wanted.count() <= BROADCAST_IDS:  # then the texts are not shuffled
         wanted = F.broadcast(wanted)
-    items = c.settle(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<string>"))
+    items = c.settle(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<long>"))
     links = c.settle(_confirmed(stars, items, percent))
     more = c.settle(_rest(items, components(stars), components(links), percent))
     found = components(links.unionByName(more))
