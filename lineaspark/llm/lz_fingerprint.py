@@ -21,40 +21,46 @@ from .minhash_dedup import minima
 SIZE = 128
 BUCKET_BYTES = 8 << 20
 TIE = 32  # characters of the text by which rows of one id are dealt
-_PIECE = 1 << 16
+_PIECE = 1 << 16  # characters of short texts, or phrases of a long one, that are handled together
 _draw = np.random.default_rng(7919)
 _TIMES = _draw.integers(0, 1 << 32, SIZE, np.uint32) | np.uint32(1)
 _PLUS = _draw.integers(0, 1 << 32, SIZE, np.uint32)
 
 
-def parse(text: str, ends: list[int], tree: dict[int, int], start: int, stop: int) -> int:
+def parse(text: str, ends: list[int], tree: dict, start: int, stop: int, nodes: list[dict] | None = None) -> int:
     """Parse text[start:stop] into phrases new to ``tree``, adding their ends; returns where the unfinished one begins.
 
-    ``tree`` maps a phrase's number and a character to the number of the longer phrase, so each character is
-    looked at once.
+    ``tree`` has a phrase's longer phrases by their last character, each a tree in turn, so each character is looked at
+    once.  ``nodes`` gets the tree that each new phrase was put into.  ``start`` is 0 or where a parse stopped.
     """
-    node, begin, new = 0, start, len(tree)
-    find, put = tree.get, ends.append
+    node, put, log = tree, ends.append, ([] if nodes is None else nodes).append
     for low in range(start, stop, _PIECE):
-        codes = np.frombuffer(text[low : min(low + _PIECE, stop)].encode("utf-32-le", "surrogatepass"), np.uint32).tolist()
-        for j, code in enumerate(codes, low + 1):
-            key = node << 21 | code
-            node = find(key, 0)
-            if not node:
-                new += 1
-                tree[key] = new
+        for j, char in enumerate(text[low : min(low + _PIECE, stop)], low + 1):
+            longer = node.get(char)
+            if longer is None:
+                node[char] = {}
                 put(j)
-                begin = j
-    return begin
+                log(node)
+                node = tree
+            else:
+                node = longer
+    return ends[-1] if ends else start
+
+
+def _span_hashes(text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ascending spans of ``text`` that do not overlap; a bounded number at a time."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.zeros(len(end), c.U)
+    for low in range(0, len(end), _PIECE):
+        a, b = start[low : low + _PIECE], end[low : low + _PIECE]
+        out[low : low + _PIECE] = c.span_hash(codes[a[0] : b[-1]], a - a[0], b - a[0])
+    return out
 
 
 def _hashes(text: str, ends: list[int], rest: int) -> np.ndarray:
-    """Hashes of the phrases that end at ``ends``, and of the unfinished one from ``rest`` on."""
-    if rest < len(text):
-        ends = [*ends, len(text)]
+    """Hashes of the phrases that end at ``ends``; an unfinished one, from ``rest`` on, is equal to one of them."""
     end = np.array(ends, np.int64)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return c.span_hash(codes, np.concatenate([[0], end[:-1]]).astype(np.int64), end) if len(end) else np.zeros(0, c.U)
+    return _span_hashes(text, np.append(0, end[:-1])[: len(end)], end)
 
 
 def signature(phrases: np.ndarray) -> np.ndarray:
@@ -91,25 +97,64 @@ def lz_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return c.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-class _Row:
-    """A document's parse, and the parse of its edited text, which shares the part before the edit."""
+class _Probe:
+    """The parses of a text and of its edited text, which share the part before the edit.
 
-    def __init__(self, doc_id, text: str):
-        self.id, self.text = doc_id, text
-        self.cut = len(text) - len(text) // 3
-        self.ends, self.seen = [], {}
-        self.rest = parse(text, self.ends, self.seen, 0, self.cut)
-        ends, seen = self.ends.copy(), self.seen.copy()
-        phrases = _hashes(text, ends, parse(text, ends, seen, self.rest, len(text)))
-        self.mark = signature(phrases)
+    ``buffer`` holds the text and then the edited text from the phrase on that the edit meets; the spans are in it.
+    ``shared`` and ``own`` count the phrases up to there and of the whole text; the others are the edited text's.
+    """
 
-    def edited(self, following: _Row) -> tuple:
-        text = self.text[: self.cut] + following.text[: len(self.text) // 3]
-        mark = signature(_hashes(text, self.ends, parse(text, self.ends, self.seen, self.rest, len(text))))
-        return (
-            self.id, len(self.text), hashlib.sha256(text.encode()).hexdigest(), self.mark.tobytes(), mark.tobytes(),
-            likeness(self.mark, mark, not self.text, not text), likeness(self.mark, following.mark, not self.text, not following.text),
-        )
+    def __init__(self, doc_id, text: str, following: str):
+        n = len(text)
+        cut = n - n // 3
+        ends, tail, tree, nodes = [], [], {}, []
+        rest = parse(text, ends, tree, 0, cut)
+        self.shared = len(ends)
+        parse(text, ends, tree, rest, n, nodes)
+        self.own = len(ends)
+        for node, end in zip(nodes, ends[self.shared :]):
+            del node[text[end - 1]]
+        edited = text[:cut] + following[: n // 3]
+        parse(edited, tail, tree, rest, len(edited))
+        self.buffer = text + edited[rest:]
+        self.end = np.array([*ends, *tail], np.int64)
+        self.end[self.own :] += n - rest
+        self.start = np.append(0, self.end[:-1])[: len(self.end)]
+        self.start[self.own : self.own + 1] = n
+        self.id, self.n, self.empty, self.edited_empty = doc_id, n, not text, not edited
+        self.digest = hashlib.sha256(edited.encode()).hexdigest()
+
+    def sign(self, phrases: np.ndarray) -> None:
+        a, b, d = (minima(x, _TIMES, _PLUS) for x in np.split(phrases, [self.shared, self.own]))
+        self.mark, self.edited_mark = np.minimum(a, b).astype(">u2"), np.minimum(a, d).astype(">u2")
+
+    def row(self, following: _Probe) -> tuple:
+        near = likeness(self.mark, self.edited_mark, self.empty, self.edited_empty)
+        ahead = likeness(self.mark, following.mark, self.empty, following.empty)
+        return self.id, self.n, self.digest, self.mark.tobytes(), self.edited_mark.tobytes(), near, ahead
+
+
+def _probes(pairs):
+    """A signed probe for each (doc_id, text, following text); the phrases of short texts are hashed together."""
+    group, size = [], 0
+
+    def signed():
+        edge = np.cumsum([0, *[len(p.buffer) for p in group]])
+        start, end = (np.concatenate([x + e for x, e in zip(spans, edge)]) for spans in ([p.start for p in group], [p.end for p in group]))
+        found = _span_hashes("".join(p.buffer for p in group), start, end)
+        for p, phrases in zip(group, np.split(found, np.cumsum([len(p.end) for p in group])[:-1])):
+            p.sign(phrases)
+            p.buffer = p.start = p.end = None
+            yield p
+
+    for pair in pairs:
+        group.append(_Probe(*pair))
+        size += len(group[-1].buffer)
+        if size >= _PIECE:
+            yield from signed()
+            group, size = [], 0
+    if group:
+        yield from signed()
 
 
 _COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
@@ -132,23 +177,34 @@ def _compare(batches):
         more = [[None] * len(rows) + [e[k] for e in edges] for k in (0, 2, 3)]
         return pa.RecordBatch.from_arrays([*done.columns, *[pa.array(x, t) for x, t in zip(more, (pa.int32(), pa.string(), pa.string()))]], names=[*_NAMES, "part", "last", "head"])
 
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(*(x.to_pylist() for x in batch.columns)):
-            row = _Row(doc_id, text)
-            if last is None:
-                head = text
-            else:
-                rows.append(last.edited(row))
-            last = row
-        yield out(rows, [])
-    if last is not None:
-        yield out([], [(part, last.id, last.text, head)])
+    def pairs():
+        nonlocal head, last
+        for batch in batches:
+            for doc_id, text in zip(*batch.columns):
+                text = text.as_py()
+                if last is None:
+                    head = text
+                else:
+                    yield *last, text
+                last = doc_id.as_py(), text
+        if last is not None:
+            yield *last, ""  # for the row before it, which asks for its fingerprint
+
+    before, rows = None, []
+    for probe in _probes(pairs()):
+        if before is not None:
+            rows.append(before.row(probe))
+        before = probe
+        if len(rows) == 1000:
+            yield out(rows, [])
+            rows = []
+    yield out(rows, [] if last is None else [(part, *last, head)])
 
 
 def _finish(batches):
     for batch in batches:
-        yield _table([_Row(i, text).edited(_Row(None, head)) for i, text, head in zip(*(x.to_pylist() for x in batch.columns))])
+        ends = (_probes([(i, text, head), (None, head, "")]) for i, text, head in zip(*(x.to_pylist() for x in batch.columns)))
+        yield _table([a.row(b) for a, b in ends])
 
 
 def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
