@@ -47,11 +47,14 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 32-bit), and the digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens, ids (little-endian 32-bit), and the digests of the ids and of the text decoded from them.
+
+    The ids are a table in the shared folder before they are decoded, so that no task holds the workers of both.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe_decode(bpe_encode(docs, path), path)
+    out = bpe_decode(settle(bpe_encode(docs, path)), path)
     n = (F.octet_length("ids") / 4).cast("long")
     return out.select("doc_id", n.alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -8,6 +8,7 @@ the shuffled bytes.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 
@@ -113,12 +114,20 @@ def unpack(table: pa.Table) -> pa.Table:
     return pa.concat_tables(parts).combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def lean(run):
     """``run``, a function of a grouped table; its worker then gives unused memory back, since idle workers stay."""
 
     def one(table: pa.Table) -> pa.Table:
         out = run(table)
-        pa.default_memory_pool().release_unused()
+        release()
         return out
 
     return one
@@ -129,7 +138,7 @@ def lean_pair(run):
 
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
         out = run(left, right)
-        pa.default_memory_pool().release_unused()
+        release()
         return out
 
     return two
