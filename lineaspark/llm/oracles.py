@@ -25,6 +25,48 @@ SELECT doc_id, len(ws) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(
 FROM w LEFT JOIN (SELECT r, count(*) AS c FROM cov GROUP BY r) USING (r) LEFT JOIN kept USING (r)"""
 
 
+_LOWER = """translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+
+
+def op11(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Plain assignment of every part to every entry, round by round."""
+    squares = "list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, e.v) + list_inner_product(e.v, e.v)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT r, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d
+  FROM (SELECT p.r, p.part, e.entry, {squares} AS d FROM p JOIN e{r} e USING (part)) GROUP BY r, part)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT part, entry, list(m ORDER BY i) AS v FROM (SELECT part, entry, i, floor(sum(x) / count(*)) AS m
+  FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM p JOIN a{r} USING (r, part)) GROUP BY part, entry, i) GROUP BY part, entry),
+e{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, e.v) AS v FROM e{r} e LEFT JOIN m{r} m USING (part, entry))""")
+    steps = ",\n".join(steps)
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) t(part)),
+e0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v FROM p WHERE r <= {entries}),
+{steps},
+c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS s FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM kept JOIN c USING (r), book"""
+
+
+OP12 = rf"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+w AS (SELECT true AS own, row_number() OVER () AS r, doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL SELECT false, 0, 0, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+b AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT))), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT w, hex(encode(w)) AS h FROM w), t),
+n AS (SELECT b, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM w JOIN b USING (w) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS gain FROM n),
+f AS (SELECT r, count(*) AS n, sum(gain) AS weight FROM w JOIN b USING (w) JOIN g USING (b) WHERE own GROUP BY r),
+d AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS draw
+  FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN f USING (r)),
+k AS (SELECT *, weight + draw AS score, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + draw DESC, doc_id) END AS place FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM d WHERE n_features >= 20) * 10 // 100 THEN place END AS rank FROM k"""
+
+
 def op3() -> str:
     """Turns and losses as they are; the formatted length from the template's frames and the escaped texts."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
@@ -47,4 +89,4 @@ FROM t GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": op3(), "op4_minhash_dedup": OP4, "op5_license_scan": license_sql(), "op6_substring_dedup": OP6}
+    return {"op3_chat_format": op3(), "op4_minhash_dedup": OP4, "op5_license_scan": license_sql(), "op6_substring_dedup": OP6, "op11_vector_codes": op11(), "op12_resampling": OP12}
