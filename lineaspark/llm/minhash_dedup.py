@@ -162,12 +162,12 @@ def _chunk_links(percent: int):
     return run
 
 
-def _rest(items: DataFrame, near: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _rest(sized: DataFrame, items: DataFrame, near: DataFrame, found: DataFrame, percent: int, run) -> DataFrame:
     """Links among classes that hang together by buckets but not by the links found so far.
 
-    ``near`` and ``found`` give each node's component by buckets and by links.  Two nodes alone have met already.
+    ``sized`` (id, n) and ``items`` (id and what ``run`` needs of it) bring the sets, ``run`` gives the links of a group of
+    two chunks.  ``near`` and ``found`` give each node's component by buckets and by links.  Two nodes alone have met already.
     """
-    sized = items.select("id", F.size("items").cast("long").alias("n"))
     nodes = near.select(F.col("node").alias("id"), F.col("component").alias("family")).join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     nodes = c.with_group(nodes, "family", ["id"], F.count("*").alias("k"), F.min("component").alias("a"), F.max("component").alias("b")).where("k > 2 and a < b").drop("k", "a", "b")
     # Sets of a family are dealt to classes of about one size, each class by hash to as many chunks as it needs.
@@ -180,8 +180,8 @@ def _rest(items: DataFrame, near: DataFrame, found: DataFrame, percent: int) ->
     two = chunks.select("family", *[F.col(x).alias(f"{x}2") for x in ("chunk", "low", "high", "a", "b")])
     meet = one.join(two, "family").where("chunk1 <= chunk2").where(100 * F.col("high1") >= percent * F.col("low2")).where("least(a1, a2) < greatest(b1, b2)")
     sides = meet.select("family", "chunk1", "chunk2", F.explode(F.array_distinct(F.array("chunk1", "chunk2"))).alias("chunk"))
-    rows = sides.join(nodes.select("family", "chunk", "id"), ["family", "chunk"]).join(items, "id").select("family", "chunk1", "chunk2", "id", "items")
-    return rows.groupBy("family", "chunk1", "chunk2").applyInArrow(_chunk_links(percent), "u long, v long")
+    rows = sides.join(nodes.select("family", "chunk", "id"), ["family", "chunk"]).join(items, "id").select("family", "chunk1", "chunk2", *items.columns)
+    return rows.groupBy("family", "chunk1", "chunk2").applyInArrow(run, "u long, v long")
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 5, bands: int = 40) -> DataFrame:
@@ -210,7 +210,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted = F.broadcast(wanted)
     items = c.settle(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<long>"))
     links = c.settle(_confirmed(stars, items, percent))
-    more = c.settle(_rest(items, components(stars), components(links), percent))
+    sized = items.select("id", F.size("items").cast("long").alias("n"))
+    more = c.settle(_rest(sized, items, components(stars), components(links), percent, _chunk_links(percent)))
     found = components(links.unionByName(more))
     reps = classes.select("digest", "rep", "slices").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.explode("slices").alias("slice"), F.coalesce("component", "rep").alias("found"))
     out = sliced.join(reps, ["digest", "slice"], "left")

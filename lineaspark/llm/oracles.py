@@ -7,6 +7,8 @@ from .license_scan import sql as license_sql
 
 _WORDS = r"regexp_extract_all(coalesce(\"text\", ''), '[^\x20\x09-\x0D]+')".replace("\\\"", '"')
 
+_LOWER = """translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+
 OP4 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(len(ws), 3) - 1], ' ') AS s FROM w, unnest(generate_series(1, greatest(len(ws) - 2, 1))) t(i) WHERE len(ws) > 0),
@@ -16,6 +18,15 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.v F
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
 
+OP13 = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(ws[i:i + least(len(ws), 5) - 1], ' ') AS s FROM w, unnest(generate_series(1, greatest(len(ws) - 4, 1))) t(i) WHERE len(ws) > 0),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+link AS (SELECT u, v FROM (SELECT a.r AS u, b.r AS v, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY ALL) JOIN n na ON na.r = u JOIN n nb ON nb.r = v WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT x.a, l.v FROM reach x JOIN link l ON l.u = x.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (r) JOIN (SELECT a AS r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY a) c USING (r)"""
+
 OP6 = rf"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
 s AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM w, unnest(generate_series(1, len(ws) - 34)) t(i)),
@@ -25,7 +36,6 @@ SELECT doc_id, len(ws) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(
 FROM w LEFT JOIN (SELECT r, count(*) AS c FROM cov GROUP BY r) USING (r) LEFT JOIN kept USING (r)"""
 
 
-_LOWER = """translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 
 
 def op11(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
@@ -89,4 +99,4 @@ FROM t GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": op3(), "op4_minhash_dedup": OP4, "op5_license_scan": license_sql(), "op6_substring_dedup": OP6, "op11_vector_codes": op11(), "op12_resampling": OP12}
+    return {"op3_chat_format": op3(), "op4_minhash_dedup": OP4, "op5_license_scan": license_sql(), "op6_substring_dedup": OP6, "op11_vector_codes": op11(), "op12_resampling": OP12, "op13_ngram_join": OP13}

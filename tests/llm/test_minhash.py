@@ -75,11 +75,10 @@ def test_chunks_of_short_documents(spark, monkeypatch):
     def counted(percent):
         return lambda table: pa.table({"u": pa.array([table.num_rows], pa.int64()), "v": pa.array([len(set(table["id"].to_pylist()))], pa.int64())})
 
-    monkeypatch.setattr(minhash, "_chunk_links", counted)
     rows = spark.range(9000).select(F.col("id"), F.array(F.lit(-1), *[F.col("id") * 5 + k for k in range(5)]).alias("items"))
     near = rows.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
     found = spark.createDataFrame([], "node long, component long")
-    got = minhash._rest(rows, near, found, 85).collect()
+    got = minhash._rest(rows.select("id", F.lit(6).cast("long").alias("n")), rows, near, found, 85, counted(85)).collect()
     assert max(r.u for r in got) <= 4000 and all(r.u == r.v for r in got)
     assert len(got) == 15  # five chunks: each alone and with each other
 
