@@ -2,35 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.loops import discard, materialize
+
 _AXES = ("cz", "cy", "cx")
 
 
-def candidate_pairs(nodes: DataFrame, delta_t: int = 1, max_distance: float | None = None) -> DataFrame:
+def _distance() -> Column:
+    return F.sqrt(sum((F.pow(F.col(f"{c}_i") - F.col(f"{c}_j"), 2) for c in _AXES), F.lit(0.0)))
+
+
+def _sides(nodes: DataFrame, delta_t: int) -> tuple[DataFrame, DataFrame]:
+    """Sources, once for each later frame ``t`` that they reach, and targets."""
+    src = nodes.select("movie", F.col("t").alias("ti"), F.col("label").alias("li"), *[F.col(c).alias(f"{c}_i") for c in _AXES], F.explode(F.sequence(F.lit(1), F.lit(delta_t))).alias("d"))
+    dst = nodes.select("movie", "t", F.col("label").alias("lj"), *[F.col(c).alias(f"{c}_j") for c in _AXES])
+    return src.withColumn("t", F.col("ti") + F.col("d")).drop("d"), dst
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    side = lambda t, label: F.struct(F.col(t).alias("t"), F.col(label).alias("label"))
+    return pairs.select("movie", side("ti", "li").alias("src"), side("t", "lj").alias("dst"), "dist")
+
+
+def candidate_pairs(nodes: DataFrame, delta_t: int = 1, max_distance: float | None = None, ndim: int = 2) -> DataFrame:
     """Edges (movie, src, dst, dist) from each node to those up to ``delta_t`` frames later within ``max_distance``.
 
     Nodes are keyed by frame and by a grid cell as wide as the distance, the later side in its own cell, the
-    earlier one in that and the adjacent cells, so that only near nodes meet.  Without a distance the frame
-    alone is the key.
+    earlier one in that and the adjacent cells, so that only near nodes meet; with three dimensions cells are cut in
+    depth too.  Without a distance the answer is all pairs of two frames; where the nearest are wanted,
+    :func:`nearest_pairs` finds them without making these.
     """
-    dist = F.sqrt(sum((F.pow(F.col(f"{c}_i") - F.col(f"{c}_j"), 2) for c in _AXES), F.lit(0.0)))
-    src = nodes.select("movie", F.col("t").alias("ti"), F.col("label").alias("li"), *[F.col(c).alias(f"{c}_i") for c in _AXES], F.explode(F.sequence(F.lit(1), F.lit(delta_t))).alias("d"))
-    src = src.withColumn("t", F.col("ti") + F.col("d"))
-    dst = nodes.select("movie", "t", F.col("label").alias("lj"), *[F.col(c).alias(f"{c}_j") for c in _AXES])
+    src, dst = _sides(nodes, delta_t)
     keys = ["movie", "t"]
     if max_distance is not None:
-        for c in _AXES[1:]:
+        for c in _AXES[3 - ndim :]:
             cell = F.floor(F.col(f"{c}_i") / max_distance)
             src = src.withColumn(f"g{c}", F.explode(F.array(cell - 1, cell, cell + 1)))
             dst = dst.withColumn(f"g{c}", F.floor(F.col(f"{c}_j") / max_distance))
             keys.append(f"g{c}")
-    out = src.join(dst, keys).withColumn("dist", dist)
+    out = src.join(dst, keys).withColumn("dist", _distance())
     if max_distance is not None:
         out = out.where(F.col("dist") <= max_distance)
-    side = lambda t, label: F.struct(F.col(t).alias("t"), F.col(label).alias("label"))
-    return out.select("movie", side("ti", "li").alias("src"), side("t", "lj").alias("dst"), "dist")
+    return _edges(out)
+
+
+def nearest_pairs(nodes: DataFrame, k: int, delta_t: int = 1, ndim: int = 2) -> DataFrame:
+    """Edges (movie, src, dst, dist) from each node to the ``k`` nearest of each of the next ``delta_t`` frames, however far.
+
+    Rings grow by levels of a grid: a source meets the targets of its own cell and the adjacent ones, and is done when ``k`` of
+    them are nearer than a cell is wide, or when these cells hold all the frame's targets.  Others meet cells twice as wide
+    in the next round.  Cells are so small at first that few targets share one; a source still open has fewer than
+    ``k`` near it, so it meets few again.  Of targets in one place only the ``k`` first labels can be among
+    the nearest, so a crowded place stays small.  Ties go to the smaller label.
+    """
+    axes = _AXES[3 - ndim :]
+    src, dst = _sides(nodes, delta_t)
+    whole = dst.groupBy("movie", "t").agg(F.count(F.lit(1)).alias("n"))
+    place = Window.partitionBy("movie", "t", *[f"{c}_j" for c in _AXES]).orderBy("lj")
+    dst = materialize(dst.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).drop("place"))
+    kept = dst.groupBy("movie", "t").agg(F.count(F.lit(1)).alias("kept"))
+    extent = nodes.groupBy("movie").agg(*[e for c in axes for e in (F.min(c).alias(f"{c}_low"), (F.max(c) - F.min(c)).alias(f"{c}_span"))])
+    most = whole.groupBy("movie").agg(F.max("n").alias("most"))
+    # About sixteen cells for each target of the fullest frame, were they spread evenly.
+    width = F.greatest(*[F.col(f"{c}_span") for c in axes], F.lit(1e-9)) / F.ceil(F.pow(16.0 * F.col("most"), 1.0 / ndim))
+    grid = extent.join(most, "movie").select("movie", *[f"{c}_low" for c in axes], width.alias("width"))
+    # The targets of a frame fix when a source has met them all; frames without targets have no edges.
+    open_ = src.join(kept, ["movie", "t"]).join(grid, "movie")
+    for c in axes:
+        open_ = open_.withColumn(f"{c}_cell", (F.col(f"{c}_i") - F.col(f"{c}_low")) / F.col("width"))
+    open_ = materialize(open_.drop(*[f"{c}_low" for c in axes]))
+    there = dst.join(grid, "movie")
+    for c in axes:
+        there = there.withColumn(f"{c}_cell", (F.col(f"{c}_j") - F.col(f"{c}_low")) / F.col("width"))
+    there = materialize(there.drop("width", *[f"{c}_low" for c in axes]))
+    done = None
+    source = ["movie", "ti", "li", "t"]
+    for level in range(64):
+        size = float(2**level)
+        asked = open_.select(*source, *[f"{c}_i" for c in _AXES], "kept", "width", *[F.floor(F.col(f"{c}_cell") / size).alias(f"g{c}") for c in axes])
+        for c in axes:
+            asked = asked.withColumn(f"g{c}", F.explode(F.array(F.col(f"g{c}") - 1, F.col(f"g{c}"), F.col(f"g{c}") + 1)))
+        held = there.select("movie", "t", "lj", *[f"{c}_j" for c in _AXES], *[F.floor(F.col(f"{c}_cell") / size).alias(f"g{c}") for c in axes])
+        met = asked.join(held, ["movie", "t", *[f"g{c}" for c in axes]]).withColumn("dist", _distance())
+        by = Window.partitionBy(*source)
+        met = met.withColumn("met", F.count(F.lit(1)).over(by)).withColumn("rank", F.row_number().over(by.orderBy("dist", "lj"))).where(F.col("rank") <= k)
+        met = met.withColumn("far", F.max("dist").over(by)).withColumn("have", F.count(F.lit(1)).over(by))
+        sure = ((F.col("have") == k) & (F.col("far") < F.col("width") * size)) | (F.col("met") == F.col("kept"))
+        found = materialize(met.where(sure).select(*source, "lj", "dist"))
+        done = found if done is None else done.unionByName(found)
+        before, open_ = open_, materialize(open_.join(found.select(*source).distinct(), source, "left_anti"))
+        discard(before)
+        if not open_.limit(1).count():
+            return _edges(done)
+    raise RuntimeError("coordinates that no grid can hold")
+
+
+def scored_pairs(nodes: DataFrame, scores: DataFrame, delta_t: int = 1, max_distance: float | None = None) -> DataFrame:
+    """``scores`` (movie, src, dst, weight) of nodes up to ``delta_t`` frames apart, with their distances: no other pair is made."""
+    out = scores.select("movie", "src", "dst", "weight").where(F.col("dst.t") - F.col("src.t") <= delta_t).where(F.col("dst.t") > F.col("src.t"))
+    for side, k in (("src", "i"), ("dst", "j")):
+        out = out.join(nodes.select("movie", F.struct("t", "label").alias(side), *[F.col(c).alias(f"{c}_{k}") for c in _AXES]), ["movie", side])
+    out = out.select("movie", "src", "dst", _distance().alias("dist"), "weight")
+    return out.where(F.col("dist") <= max_distance) if max_distance is not None else out
 
 
 def weigh_edges(pairs: DataFrame, scores: DataFrame | None = None, max_distance: float | None = None) -> DataFrame:
@@ -50,7 +125,10 @@ def nearest_candidates(edges: DataFrame, k: int | None = 10) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def build_graph(nodes: DataFrame, scores: DataFrame | None = None, use_distance: bool = False, max_distance: float | None = None, max_neighbors: int | None = None, delta_t: int = 1) -> DataFrame:
+def build_graph(nodes: DataFrame, scores: DataFrame | None = None, use_distance: bool = False, max_distance: float | None = None, max_neighbors: int | None = None, delta_t: int = 1, ndim: int = 2) -> DataFrame:
     """Weighted candidate edges; weights are joined before the nearest are chosen, so unscored pairs take no place."""
-    pairs = candidate_pairs(nodes, delta_t, max_distance)
-    return nearest_candidates(weigh_edges(pairs, None if use_distance else scores, max_distance), max_neighbors)
+    if use_distance or scores is None:
+        pairs = weigh_edges(candidate_pairs(nodes, delta_t, max_distance, ndim), None, max_distance)
+    else:
+        pairs = scored_pairs(nodes, scores, delta_t, max_distance)
+    return nearest_candidates(pairs, max_neighbors)

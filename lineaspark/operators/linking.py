@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.assignment import assign_pairs
-from ..functions.loops import fixpoint
-from .regions import component_labels
+from ..functions.assignment import CELLS, assignment_parts, best_assignment, certificate
+from ..functions.loops import fixpoint, materialize
 
 EDGE = "movie string, src struct<t:int,label:int>, dst struct<t:int,label:int>, dist double, weight double"
 #: The cost settings that solutions are compared with.
@@ -76,50 +74,133 @@ def link_greedy(edges: DataFrame, allow_divisions: bool = True, threshold: float
     return fixpoint(start, step, lambda now: now.where("not taken")).select("movie", "src", "dst", "dist", "weight")
 
 
-def _optimal_group(costs: dict[str, float], children: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["li", "lj"], kind="stable")
-        sources, i = np.unique(rows["li"], return_inverse=True)
-        _, j = np.unique(rows["lj"], return_inverse=True)
-        worth = -(costs["edgeW"] * rows["weight"].to_numpy() + costs["edgeC"])
-        gain = worth + costs["appearC"] + costs["disappearC"]  # one node less appears, one less ends
-        if children == 2:  # a second slot for each source
-            i, j, gain = np.append(i, i + len(sources)), np.append(j, j), np.append(gain, worth + costs["appearC"] - costs["splitC"])
-        keep = assign_pairs(i, j, gain)
-        return rows.iloc[sorted(k % len(rows) for k in keep)][["movie", "ti", "li", "tj", "lj", "dist", "weight"]]
-
-    return run
-
-
 def _costs(config: str | dict) -> dict[str, float]:
     return dict(CONFIGS[config]) if isinstance(config, str) else dict(config)
 
 
-def link_optimal(edges: DataFrame, config: str | dict = "gt", allow_divisions: bool = True, giant_frames: bool = False) -> DataFrame:
-    """The edges of a cheapest solution between adjacent frames; every node belongs to the solution.
+def _node_terms(k: dict[str, float], children: int) -> dict:
+    """Columns of a node's two sides under its multiplier ``lam``: what they cost alone, and what a parent or a child adds.
 
-    Where all nodes are worth selecting, the costs of appearing, ending and splitting depend on one frame pair
-    only.  A source has a slot for its first child and one for its second, whose gains are what the child
-    saves; the best assignment of targets to slots is the cheapest solution.  Components of edges with a
-    positive gain are solved apart.  A group holds one frame pair's edges; with ``giant_frames`` it holds one
-    component's, which takes a loop to find.
+    The target side pays ``lam`` and the source side the rest of the node's cost.  A source side with a first and a second
+    child whose costs fall is replaced by their mean, which keeps the bound a bound.
+    """
+    c, a, d, s = k["nodeW"] + k["nodeC"], k["appearC"], k["disappearC"], k["splitC"]
+    lam = F.col("lam")
+    into = F.least(F.lit(0.0), lam + a)
+    out = F.least(F.lit(0.0), c - lam + d)
+    first = c - lam - out
+    mean = (first + s) / 2 if children == 2 else first
+    falls = first > s if children == 2 else F.lit(False)
+    return {
+        "alone_in": into, "alone_out": out, "parent": lam - into,
+        "child0": F.when(falls, mean).otherwise(first), "child1": F.when(falls, mean).otherwise(F.lit(float(s))),
+        "has_in": lam + a < 0, "has_out": c - lam + d < 0,
+    }
+
+
+def optimal_solution(edges: DataFrame, nodes: DataFrame | None = None, config: str | dict = "gt", allow_divisions: bool = True, rounds: int = 60, tolerance: float = 1e-6, cells: int = CELLS) -> dict[str, DataFrame]:
+    """``edges`` of a cheapest solution, its ``nodes``, and per movie its ``cost`` with a ``bound`` that no solution undercuts.
+
+    Nodes may be left out, edges may skip frames.  A node's source side and target side are solved apart, tied by a
+    multiplier: the cheapest choice of edges between sides is an assignment of targets to the first and second places
+    of sources.  Its total bounds the cost; any choice of edges is a solution.  Multipliers move against the disagreement
+    of the two sides until cost and bound meet within ``tolerance``, or for ``rounds``; each movie keeps its best solution.
+    Where every node is worth selecting alone (as in the first three settings) the sides agree at once and one round is exact.
+    ``nodes`` (movie, t, label) adds nodes without edges.  A split that pays by itself, and ties between
+    settings, may leave a gap, which the result shows.
     """
-    costs = _costs(config)
-    if costs["nodeW"] + costs["nodeC"] + costs["appearC"] + costs["disappearC"] >= 0:
-        raise ValueError("settings in which nodes may be left out couple all frames and are not supported; solution_cost evaluates such solutions")
-    children = 2 if allow_divisions and costs["appearC"] + costs["disappearC"] >= costs["appearC"] - costs["splitC"] else 1
-    flat = edges.select("movie", F.col("src.t").alias("ti"), F.col("src.label").alias("li"), F.col("dst.t").alias("tj"), F.col("dst.label").alias("lj"), "dist", "weight")
-    adjacent = F.assert_true(F.col("tj") == F.col("ti") + 1, F.lit("optimal linking needs adjacent frames"))
-    gain = -(costs["edgeW"] * F.col("weight") + costs["edgeC"]) + costs["appearC"] + costs["disappearC"]
-    flat = flat.where(adjacent.isNull()).where(gain > 0)
-    group = ["movie", "ti"]
-    if giant_frames:
-        node = lambda side, label: F.struct(F.lit(side).alias("side"), F.col(label).alias("label"))
-        parts = component_labels(flat.select("movie", "ti", node(0, "li").alias("a"), node(1, "lj").alias("b")), ["movie", "ti"])
-        flat = flat.join(parts.where("a.side = 0").select("movie", "ti", F.col("a.label").alias("li"), "part"), ["movie", "ti", "li"])
-        group.append("part")
-    out = flat.groupBy(*group).applyInPandas(_optimal_group(costs, children), "movie string, ti int, li int, tj int, lj int, dist double, weight double")
-    return out.select("movie", F.struct(F.col("ti").alias("t"), F.col("li").alias("label")).alias("src"), F.struct(F.col("tj").alias("t"), F.col("lj").alias("label")).alias("dst"), "dist", "weight")
+    k = _costs(config)
+    children = 2 if allow_divisions else 1
+    node_cost, alone = k["nodeW"] + k["nodeC"], k["nodeW"] + k["nodeC"] + k["appearC"] + k["disappearC"]
+    number = lambda c: F.shiftleft(F.col(f"{c}.t").cast("long"), 32) + F.col(f"{c}.label")
+    price = k["edgeW"] * F.col("weight") + k["edgeC"]
+    flat = materialize(edges.select("movie", "src", "dst", "dist", "weight", number("src").alias("i"), number("dst").alias("j"), price.alias("price")))
+    ends = flat.select("movie", F.col("src").alias("node"), F.col("i").alias("n")).unionByName(flat.select("movie", F.col("dst").alias("node"), F.col("j").alias("n")))
+    if nodes is not None:
+        more = nodes.select("movie", F.struct(F.col("t").cast("int").alias("t"), F.col("label").cast("int").alias("label")).alias("node"))
+        ends = ends.unionByName(more.withColumn("n", number("node")))
+    ends = materialize(ends.distinct())
+    places = flat.select("movie", "i", "j", "price", F.explode(F.array(*[F.lit(x) for x in range(children)])).alias("slot")).withColumn("a", 2 * F.col("i") + F.col("slot")).withColumn("b", F.col("j"))
+    # Where every node stands, an edge without gain stays one; otherwise multipliers may turn any edge's gain.
+    fixed = alone < 0
+    if fixed:
+        first, second = k["disappearC"], -k["splitC"]
+        if second > first:
+            first = second = max(first, second)
+        places = places.where(-F.col("price") + k["appearC"] + F.when(F.col("slot") == 0, first).otherwise(second) > 0)
+    places = materialize(places)
+    parts = assignment_parts(places, ["movie"], cells)
+    start = (node_cost - k["appearC"] + k["disappearC"]) / 2
+    state = materialize(ends.select("movie", "n", F.lit(float(start)).alias("lam")))
+    best = bounds = None
+    for turn in range(rounds):
+        terms = state.select("movie", "n", "lam", *[v.alias(name) for name, v in _node_terms(k, children).items()])
+        terms = materialize(terms)
+        rows = places.join(terms.select("movie", F.col("n").alias("i"), "child0", "child1"), ["movie", "i"]).join(terms.select("movie", F.col("n").alias("j"), "parent"), ["movie", "j"])
+        gain = -(F.col("price") + F.col("parent") + F.when(F.col("slot") == 0, F.col("child0")).otherwise(F.col("child1")))
+        solved = materialize(best_assignment(rows.select("movie", "a", "b", gain.alias("gain")), ["movie"], parts, cells))
+        taken = solved.where("matched").select("movie", F.floor(F.col("a") / 2).cast("long").alias("i"), F.col("b").alias("j"))
+        chosen = materialize(_trimmed(flat.join(taken, ["movie", "i", "j"]), k))
+        of = lambda table, c, name: table.groupBy("movie", F.col(c).alias("n")).agg(F.count(F.lit(1)).alias(name))
+        now = terms.join(of(taken, "j", "x_in"), ["movie", "n"], "left").join(of(taken, "i", "x_out"), ["movie", "n"], "left")
+        now = now.join(of(chosen, "j", "n_in"), ["movie", "n"], "left").join(of(chosen, "i", "n_out"), ["movie", "n"], "left").na.fill(0, ["x_in", "x_out", "n_in", "n_out"])
+        apart = ((F.col("x_in") > 0) | F.col("has_in")).cast("int") - ((F.col("x_out") > 0) | F.col("has_out")).cast("int")
+        used = (F.col("n_in") > 0) | (F.col("n_out") > 0) | F.lit(fixed)
+        cost = F.when(used, node_cost + F.when(F.col("n_in") == 0, k["appearC"]).otherwise(0.0) + F.when(F.col("n_out") == 0, k["disappearC"]).otherwise(0.0)).otherwise(0.0) + F.when(F.col("n_out") > 1, k["splitC"]).otherwise(0.0)
+        now = materialize(now.select("movie", "n", "lam", apart.alias("apart"), cost.alias("cost"), (F.col("alone_in") + F.col("alone_out")).alias("alone")))
+        per = now.groupBy("movie").agg(F.sum("cost").alias("cost"), F.sum("alone").alias("alone"), F.sum(F.col("apart") * F.col("apart")).alias("apart2"))
+        dual = certificate(solved, ["movie"]).select("movie", "dual")
+        per = per.join(dual, "movie", "left").join(chosen.groupBy("movie").agg(F.sum("price").alias("paid")), "movie", "left").na.fill(0.0, ["dual", "paid"])
+        per = per.select("movie", (F.col("cost") + F.col("paid")).alias("cost"), (F.col("alone") - F.col("dual")).alias("bound"), "apart2")
+        if bounds is None:
+            merged = per.withColumn("better", F.lit(True))
+        else:
+            old = bounds.select("movie", F.col("cost").alias("old_cost"), F.col("bound").alias("old_bound"))
+            merged = per.join(old, "movie").select("movie", F.least("cost", "old_cost").alias("cost"), F.greatest("bound", "old_bound").alias("bound"), "apart2", (F.col("cost") < F.col("old_cost")).alias("better"), F.col("bound").alias("here"))
+        if "here" not in merged.columns:
+            merged = merged.withColumn("here", F.col("bound"))
+        bounds = materialize(merged)
+        fresh = chosen.join(bounds.where("better").select("movie"), "movie", "left_semi")
+        best = materialize(fresh if best is None else fresh.unionByName(best.join(bounds.where("not better").select("movie"), "movie", "left_semi")))
+        open_ = (F.col("cost") - F.col("bound") > tolerance * (1 + F.abs("cost"))) & (F.col("apart2") > 0)
+        if not bounds.where(open_).limit(1).count():
+            break
+        step = 1.2 * 0.97**turn * (F.col("cost") - F.col("here")) / F.greatest(F.col("apart2"), F.lit(1))
+        state = materialize(now.join(bounds.select("movie", F.when(open_, step).otherwise(0.0).alias("step")), "movie").select("movie", "n", (F.col("lam") + F.col("step") * F.col("apart")).alias("lam")))
+    chosen = best.select("movie", "src", "dst", "dist", "weight")
+    picked = ends.select("movie", "node")
+    if not fixed:
+        picked = chosen.select("movie", F.col("src").alias("node")).unionByName(chosen.select("movie", F.col("dst").alias("node"))).distinct()
+    return {"edges": chosen, "nodes": picked.select("movie", "node.t", "node.label"), "bounds": bounds.select("movie", "cost", "bound")}
+
+
+def _trimmed(chosen: DataFrame, k: dict[str, float]) -> DataFrame:
+    """``chosen`` without the edges at an end of a track that cost more than they save, one step from each end."""
+    c, d, s = k["nodeW"] + k["nodeC"], k["disappearC"], k["splitC"]
+    if c + k["appearC"] + d < 0:
+        return chosen
+    kids = chosen.groupBy("movie", "i").agg(F.count(F.lit(1)).alias("kids"))
+    last = chosen.join(kids.select("movie", F.col("i").alias("j"), F.lit(True).alias("goes_on")), ["movie", "j"], "left").join(kids, ["movie", "i"])
+    # A leaf's own cost and end go with it; its parent ends in its place, or splits no more.
+    leaf = F.col("goes_on").isNull() & (F.col("price") + c + F.when(F.col("kids") > 1, d + s).otherwise(0.0) > 0)
+    kept = last.where(~leaf).drop("goes_on", "kids")
+    kids = kept.groupBy("movie", "i").agg(F.count(F.lit(1)).alias("kids"))
+    has = kept.select("movie", F.col("j").alias("i"), F.lit(True).alias("has_parent"))
+    first = kept.join(kids, ["movie", "i"]).join(has, ["movie", "i"], "left")
+    root = F.col("has_parent").isNull() & (F.col("kids") == 1) & (F.col("price") + c > 0)
+    kept = first.where(~root).drop("kids", "has_parent")
+    # Two nodes alone must pay for themselves.
+    kids = kept.select("movie", F.col("i").alias("j"), F.lit(True).alias("goes_on")).distinct()
+    has = kept.select("movie", F.col("j").alias("i"), F.lit(True).alias("has_parent"))
+    n = kept.groupBy("movie", "i").agg(F.count(F.lit(1)).alias("kids"))
+    pair = kept.join(kids, ["movie", "j"], "left").join(has, ["movie", "i"], "left").join(n, ["movie", "i"])
+    lone = F.col("goes_on").isNull() & F.col("has_parent").isNull() & (F.col("kids") == 1) & (F.col("price") + 2 * c + k["appearC"] + d > 0)
+    return pair.where(~lone).drop("goes_on", "has_parent", "kids")
+
+
+def link_optimal(edges: DataFrame, config: str | dict = "gt", allow_divisions: bool = True, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+    """The edges of :func:`optimal_solution`."""
+    return optimal_solution(edges, nodes, config, allow_divisions, rounds)["edges"]
 
 
 def solution_cost(nodes: DataFrame, edges: DataFrame, config: str | dict = "gt", allow_divisions: bool = True) -> DataFrame:

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.loops import fixpoint
+from ..functions.loops import fixpoint, materialize
+from ..functions.percentiles import exact_percentiles
 
 DETECTION = ("movie", "t", "label")
 
@@ -134,14 +135,13 @@ def normalize_intensity(pixels: DataFrame, scope: str = "movie", subsample: int
     """(value - p1) / (p99.8 - p1 + 1e-8) with percentiles over the movie or over each frame.
 
     Where both last dimensions exceed 256 the percentiles use every ``subsample``-th pixel in y and x.  They are
-    exact; with ``accuracy`` they are approximate, in bounded memory.
+    exact, selected by rounds of histograms; with ``accuracy`` they are approximate, in one pass.
     """
     keys = ["movie"] if scope == "movie" else ["movie", "t"]
     extent = pixels.groupBy("movie").agg((F.max("y") >= 256).alias("tall"), (F.max("x") >= 256).alias("wide"))
     grid = pixels.join(extent, "movie").where(~(F.col("tall") & F.col("wide")) | ((F.col("y") % subsample == 0) & (F.col("x") % subsample == 0)))
     at = [0.01, 0.998]
-    p = F.percentile_approx("value", at, accuracy) if accuracy else F.percentile("value", at)
-    limits = grid.groupBy(*keys).agg(p.alias("p"))
+    limits = grid.groupBy(*keys).agg(F.percentile_approx("value", at, accuracy).alias("p")) if accuracy else exact_percentiles(grid, keys, "value", at)
     low, high = F.col("p")[0], F.col("p")[1]
     return pixels.join(limits, keys).withColumn("value", (F.col("value") - low) / (high - low + 1e-8)).select(pixels.columns)
 
@@ -152,18 +152,34 @@ def minmax_normalize(df: DataFrame, keys: list[str], column: str = "value", eps:
     return df.join(limits, keys).withColumn(column, (F.col(column) - F.col("low")) / (F.col("high") - F.col("low") + eps)).select(df.columns)
 
 
-def split_objects(pixels: DataFrame) -> DataFrame:
-    """Frames where labels fall into several connected parts: movie, t, n_labels, n_parts and the excess.
+def pixel_runs(pixels: DataFrame) -> DataFrame:
+    """(movie, t, label, z, y, x0, x1): the runs of neighbouring pixels of one label in each row, ends included."""
+    spots = pixels.where("label <> 0").select(*DETECTION, "z", "y", "x").distinct()
+    # Within a run, the column less its number stays the same.
+    island = F.col("x") - F.row_number().over(Window.partitionBy(*DETECTION, "z", "y").orderBy("x"))
+    return spots.withColumn("island", island).groupBy(*DETECTION, "z", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
+
+
+def run_parts(pixels: DataFrame) -> DataFrame:
+    """:func:`pixel_runs` with ``part``, the first run (z, y, x0) of the connected part that each belongs to.
 
-    Pixels touch over edges and corners.  Every pixel takes the least pixel number among its neighbours of the
-    same label, then the number that this pixel has, until nothing changes.
+    Pixels touch over edges and corners, so two runs do where their rows are adjacent and their ends at most one column
+    apart.  Runs are joined with those of the four adjacent rows that come later, and contracted; a run has
+    a few links, whatever its length.
     """
-    spots = pixels.where("label <> 0").select(*DETECTION, "z", "y", "x").distinct()
-    node = F.struct("z", "y", "x")
-    offsets = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    near = spots.select(*DETECTION, node.alias("a"), F.explode(offsets).alias("o")).select(*DETECTION, "a", F.struct((F.col("a.z") + F.col("o.dz")).alias("z"), (F.col("a.y") + F.col("o.dy")).alias("y"), (F.col("a.x") + F.col("o.dx")).alias("x")).alias("b"))
-    near = near.join(spots.select(*DETECTION, node.alias("b")), [*DETECTION, "b"])
-    parts = component_labels(near, list(DETECTION))
+    runs = materialize(pixel_runs(pixels))
+    rows = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    node = F.struct("z", "y", "x0")
+    one = runs.select(*DETECTION, node.alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.explode(rows).alias("d")).select(*DETECTION, "a", "a0", "a1", (F.col("a.z") + F.col("d.dz")).alias("z"), (F.col("a.y") + F.col("d.dy")).alias("y"))
+    two = runs.select(*DETECTION, "z", "y", node.alias("b"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
+    links = one.join(two, [*DETECTION, "z", "y"]).where("a0 <= b1 + 1 and b0 <= a1 + 1").select(*DETECTION, "a", "b")
+    parts = component_labels(links, list(DETECTION)).withColumnRenamed("a", "node")
+    return runs.withColumn("node", node).join(parts, [*DETECTION, "node"], "left").withColumn("part", F.coalesce("part", "node")).drop("node")
+
+
+def split_objects(pixels: DataFrame) -> DataFrame:
+    """Frames where labels fall into several connected parts: movie, t, n_labels, n_parts and the excess."""
+    parts = run_parts(pixels)
     both = parts.groupBy("movie", "t").agg(F.count_distinct("label").alias("n_labels"), F.count_distinct("label", "part").alias("n_parts"))
     return both.where("n_parts > n_labels").withColumn("excess", F.col("n_parts") - F.col("n_labels"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.assignment import certificate
 from ..operators import augment as x
 from ..operators import candidates as j
 from ..operators import lineage as g
@@ -118,7 +119,11 @@ def check_tracklets(spark, d):
     return p.check_tracklets(bad, mask)
 
 
-@query()
+@query(v.sql("""SELECT movie, t, count(DISTINCT label) AS n_labels, count(DISTINCT (label, part)) AS n_parts, count(DISTINCT (label, part)) - count(DISTINCT label) AS excess
+FROM (SELECT movie, t, label, y, x, min((ry, rx)) AS part FROM touch GROUP BY ALL) GROUP BY movie, t HAVING count(DISTINCT (label, part)) > count(DISTINCT label)""", "touch", extra={
+    "spots": (("pixels",), "SELECT DISTINCT movie, t, label, y // 40 AS y, x // 10 AS x FROM pixels"),
+    "touch": (("spots",), "SELECT movie, t, label, y, x, y AS ry, x AS rx FROM spots UNION SELECT p.movie, p.t, p.label, p.y, p.x, r.ry, r.rx FROM touch r JOIN spots p ON p.movie = r.movie AND p.t = r.t AND p.label = r.label AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1"),
+}, recursive=True))
 def split_objects(spark, d):
     return a.split_objects(v.pixels(spark, d).withColumn("y", F.floor(F.col("y") / 40).cast("int")).withColumn("x", F.floor(F.col("x") / 10).cast("int")))
 
@@ -275,6 +280,15 @@ def match_labels(spark, d):
     return rounded(m.match_labels(px, second(px), det(spark, d), a.region_features(second(px), v.HEIGHT, v.WIDTH), 0.3, 16), "score")
 
 
+@query(v.sql("SELECT movie, t, count(*) AS n_pairs, 0 AS n_wrong, 0.0::DOUBLE AS gap FROM (SELECT movie, t, la, lb FROM ov UNION SELECT movie, t, a.label, b.label FROM det a JOIN det2 b USING (movie, t) WHERE sqrt(pow(a.cy - b.cy, 2) + pow(a.cx - b.cx, 2)) < 16) GROUP BY movie, t", "ov", "det", "det2", extra=_OVER))
+def match_labels_proof(spark, d):
+    """Of each frame's matching: its pairs, none of which gains more than its ends' prices, and these sum to what the matching gains."""
+    px = v.pixels(spark, d)
+    scores = m.label_scores(px, second(px), det(spark, d), a.region_features(second(px), v.HEIGHT, v.WIDTH), 0.3, 16)
+    proof = certificate(m.solved_labels(scores), ["movie", "t"])
+    return proof.select("movie", "t", "n_pairs", "n_wrong", F.abs(F.round(F.col("dual") - F.col("value"), 6)).alias("gap"))
+
+
 @query(v.sql("""SELECT movie, count(*) AS n_tracklets, sum(t2 - t1 + 1) AS n_detections, (SELECT count(*) FROM (SELECT parent FROM tr WHERE parent <> 0 GROUP BY parent HAVING count(*) = 2)) AS n_divisions FROM tr GROUP BY movie""", "tr"))
 def tracklet_summary(spark, d):
     return p.tracklet_summary(v.tracklets(spark, d))
@@ -499,11 +513,37 @@ def link_greedy_frames(spark, d):
     return flat(solution(spark, d)).drop("dist")
 
 
+@query(v.sql("SELECT movie, ti, li, tj, lj, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY movie, ti, li ORDER BY dist, lj) AS r FROM (SELECT a.movie, a.t AS ti, a.label AS li, b.t AS tj, b.label AS lj, sqrt(0.0 + pow(a.cy - b.cy, 2) + pow(a.cx - b.cx, 2)) AS dist FROM det a JOIN det b ON a.movie = b.movie AND b.t = a.t + 1)) WHERE r <= 3", "det"))
+def nearest_pairs(spark, d):
+    return flat(j.nearest_pairs(det(spark, d), 3))
+
+
 @query()
 def link_optimal(spark, d):
     return flat(link.link_optimal(graph(spark, d)))
 
 
+def _solution_proof(nodes, graph, config, rounds):
+    found = link.optimal_solution(graph, nodes, config, rounds=rounds)
+    held = link.solution_cost(found["nodes"], found["edges"], config).select("movie", "n_nodes", "n_violations", F.col("cost").alias("held"))
+    both = found["bounds"].join(held, "movie", "left").na.fill(0, ["n_nodes", "n_violations"]).na.fill(0.0, ["held"])
+    return both.withColumn("off", F.abs(F.round(F.col("held") - F.col("cost"), 6))).withColumn("gap", F.abs(F.round(F.col("cost") - F.col("bound"), 6)))
+
+
+@query(v.sql("SELECT movie, count(*) AS n_nodes, 0 AS n_violations, 0.0::DOUBLE AS off, 0.0::DOUBLE AS gap FROM det GROUP BY movie", "det"))
+def link_optimal_proof(spark, d):
+    """Of each movie's cheapest solution: all nodes stand, none has too many links, and cost and bound are the same."""
+    return _solution_proof(det(spark, d), graph(spark, d), "gt", 2).select("movie", "n_nodes", "n_violations", "off", "gap")
+
+
+@query(v.sql("SELECT DISTINCT movie, 0 AS n_violations, 0.0::DOUBLE AS off, TRUE AS bounded FROM det", "det"))
+def link_optional_nodes(spark, d):
+    """As :func:`link_optimal_proof` where nodes may be left out and edges skip a frame; the bound stays below the cost."""
+    edges = j.build_graph(det(spark, d), use_distance=True, max_distance=D, max_neighbors=3, delta_t=2)
+    proof = _solution_proof(det(spark, d), edges, "deepcell_res_tuned", 6)
+    return proof.select("movie", "n_violations", "off", (F.col("bound") <= F.col("cost") + 1e-6).alias("bounded"))
+
+
 @query(v.sql("""SELECT movie, n_nodes, coalesce(n_edges, 0) AS n_edges, n_appear, n_disappear, n_split, 0 AS n_violations, round(-10 * n_nodes - coalesce(total, 0) + 0.25 * n_appear + 0.5 * n_disappear + 0.25 * n_split, 6) AS cost FROM (
 SELECT movie, count(*) AS n_nodes, sum(CASE WHEN n_in IS NULL THEN 1 ELSE 0 END) AS n_appear, sum(CASE WHEN n_out IS NULL THEN 1 ELSE 0 END) AS n_disappear, sum(CASE WHEN n_out > 1 THEN 1 ELSE 0 END) AS n_split
 FROM det LEFT JOIN (SELECT movie, tj AS t, lj AS label, count(*) AS n_in FROM sol GROUP BY ALL) USING (movie, t, label) LEFT JOIN (SELECT movie, ti AS t, li AS label, count(*) AS n_out FROM sol GROUP BY ALL) USING (movie, t, label) GROUP BY movie)
@@ -534,14 +574,15 @@ def edge_table(spark, d):
     return rounded(s.edge_table(solution(spark, d)), "weight")
 
 
-@query(v.sql("SELECT movie, ti, li, tj, lj FROM sol", "sol", extra=_EDGES, recursive=True))
+@query(v.sql("SELECT s.movie, ti, li, tj, lj FROM sol s JOIN det n ON n.movie = s.movie AND n.t = s.tj AND n.label = s.lj WHERE n.area > 1", "sol", "det", extra=_EDGES, recursive=True))
 def adjacent_edges(spark, d):
-    return flat(p.adjacent_edges(solution(spark, d), det(spark, d))).drop("dist", "weight")
+    """Edges into detections of several pixels."""
+    return flat(p.adjacent_edges(solution(spark, d), det(spark, d).where("area > 1"))).drop("dist", "weight")
 
 
 @query()
 def adjacent_edges_all(spark, d):
-    """As :func:`adjacent_edges`."""
+    """Edges into any detection."""
     return flat(p.adjacent_edges(solution(spark, d), det(spark, d))).drop("dist", "weight")
 
 
@@ -596,7 +637,10 @@ def tracklet_graph(spark, d):
 
 _LINE = {
     "clo": (("tr",), "SELECT movie, parent AS anc, label AS desc_, 1 AS depth FROM tr WHERE parent <> 0 UNION ALL SELECT c.movie, c.anc, t.label, c.depth + 1 FROM clo c JOIN tr t ON t.movie = c.movie AND t.parent = c.desc_"),
-    "seen": (("tr",), "SELECT movie, label, parent, t FROM (SELECT movie, label, parent, unnest(generate_series(t1, t2)) AS t FROM tr) WHERE (label + t) % 4 <> 0"),
+    "all_": (("tr",), "SELECT movie, label, parent, unnest(generate_series(t1, t2)) AS t FROM tr"),
+    "seen": (("all_",), "SELECT * FROM all_ WHERE (label - 1, t) NOT IN (SELECT (c_custkey, CAST(c_nationkey AS INTEGER)) FROM customer)"),
+    "tour": (("tr",), "SELECT label, label AS root, [label] AS path FROM tr WHERE parent NOT IN (SELECT label FROM tr) UNION ALL SELECT t.label, u.root, list_append(u.path, t.label) FROM tour u JOIN tr t ON t.parent = u.label"),
+    "pre": (("tour",), "SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS first FROM tour"),
 }
 
 
@@ -607,25 +651,35 @@ def lineage_closure(spark, d):
 
 @query(v.sql("""SELECT s.movie, s.t, s.label, CASE WHEN s.parent <> 0 AND f.first <= s.t THEN s.parent ELSE 0 END AS parent FROM seen s LEFT JOIN (SELECT label, min(t) AS first FROM seen GROUP BY label) f ON f.label = s.parent""", "seen", extra=_LINE))
 def lineage_edges(spark, d):
+    """A tracklet is not seen in the frame that has the number of its customer's nation."""
     tr = v.tracklets(spark, d)
-    present = tr.select("movie", "label", F.explode(F.sequence("t1", "t2")).alias("t")).where("(label + t) % 4 <> 0")
+    hidden = v.table(spark, d, "customer").select((F.col("c_custkey") + 1).cast("int").alias("label"), F.col("c_nationkey").cast("int").alias("t"))
+    present = tr.select("movie", "label", F.explode(F.sequence("t1", "t2")).alias("t")).join(hidden, ["label", "t"], "left_anti").select("movie", "label", "t")
     return g.lineage_edges(tr, present)
 
 
-@query(v.sql("""SELECT i.movie, i.t1, i.t AS t_i, i.label AS l_i, j.t AS t_j, j.label AS l_j FROM wn i JOIN rel r ON r.a = i.label JOIN wn j ON j.movie = i.movie AND j.t1 = i.t1 AND j.label = r.b""", "wn", "rel", extra=_LINE | {
-    "wn": (("seen",), "SELECT movie, label, t, unnest(generate_series(greatest(0, t - 3), t)) AS t1 FROM seen"),
+@query(v.sql("SELECT 'm' AS movie, label, root, first, last FROM pre JOIN (SELECT anc AS label, max(first) AS last FROM (SELECT first, unnest(path) AS anc FROM pre) GROUP BY anc) USING (label)", "pre", extra=_LINE, recursive=True))
+def lineage_intervals(spark, d):
+    return g.lineage_intervals(v.tracklets(spark, d))
+
+
+_ASSOCIATED = v.sql("""SELECT i.movie, i.t1, i.t AS t_i, i.label AS l_i, j.t AS t_j, j.label AS l_j FROM wn i JOIN rel r ON r.a = i.label JOIN wn j ON j.movie = i.movie AND j.t1 = i.t1 AND j.label = r.b""", "wn", "rel", extra=_LINE | {
+    "wn": (("all_",), "SELECT movie, label, t, unnest(generate_series(greatest(0, t - 3), t)) AS t1 FROM all_"),
     "rel": (("clo", "tr"), "SELECT label AS a, label AS b FROM tr UNION SELECT anc, desc_ FROM clo UNION SELECT desc_, anc FROM clo"),
-}, recursive=True))
+}, recursive=True)
+
+
+@query(_ASSOCIATED)
 def associations(spark, d):
     tr = v.tracklets(spark, d)
-    found = tr.select("movie", "label", F.explode(F.sequence("t1", "t2")).alias("t")).where("(label + t) % 4 <> 0")
+    found = tr.select("movie", "label", F.explode(F.sequence("t1", "t2")).alias("t"))
     wins = found.withColumn("t1", F.explode(F.sequence(F.greatest(F.lit(0), F.col("t") - 3), F.col("t"))))
-    return g.associations(wins, g.identity_matching(found), g.lineage_closure(tr))
+    return g.associations(wins, g.identity_matching(found), g.lineage_intervals(tr))
 
 
-@query()
+@query(_ASSOCIATED)
 def associations_all(spark, d):
-    """All tracklets in all their frames; :func:`associations` leaves some frames out."""
+    """As :func:`associations`, by a row for each ancestor in place of intervals."""
     tr = v.tracklets(spark, d)
     found = tr.select("movie", "label", F.explode(F.sequence("t1", "t2")).alias("t"))
     wins = found.withColumn("t1", F.explode(F.sequence(F.greatest(F.lit(0), F.col("t") - 3), F.col("t"))))

@@ -2,7 +2,7 @@ import itertools
 import random
 
 import pytest
-from lineaspark.operators.linking import CONFIGS, EDGE, link_greedy, link_optimal, solution_cost
+from lineaspark.operators.linking import CONFIGS, EDGE, link_greedy, link_optimal, optimal_solution, solution_cost
 
 
 def graph(spark, seed, frames=4, nodes=6, delta=1):
@@ -70,11 +70,39 @@ def test_optimal_equals_brute_force(spark, config):
         best = min(cost(nodes, c, weight, CONFIGS[config], divisions) for n in range(len(weight) + 1) for c in itertools.combinations(weight, n))
         found = link_optimal(edges, config, divisions)
         assert abs(cost(nodes, ends(found), weight, CONFIGS[config], divisions) - best) < 1e-9
-        assert ends(link_optimal(edges, config, divisions, giant_frames=True)) == ends(found)
         table = solution_cost(spark.createDataFrame([("m", *n) for n in nodes], "movie string, t int, label int"), found, config, divisions).first()
         assert abs(table.cost - best) < 1e-9 and table.n_violations == 0
 
 
-def test_optimal_refuses_optional_nodes(spark):
-    with pytest.raises(ValueError):
-        link_optimal(graph(spark, 1)[1], "deepcell_res_tuned")
+def cheapest(nodes, weight, k, divisions):
+    """Over all sets of edges, nodes without one being selected where that saves."""
+    best = 0.0
+    for n in range(len(weight) + 1):
+        for chosen in itertools.combinations(weight, n):
+            used = {x for e in chosen for x in e} | (set(nodes) if k["nodeC"] + k["appearC"] + k["disappearC"] < 0 else set())
+            best = min(best, cost(used, chosen, weight, k, divisions))
+    return best
+
+
+@pytest.mark.parametrize("config, divisions, seed", [("deepcell_res_tuned", True, 1), ("deepcell_res_tuned", False, 2), ("gt", True, 3)])
+def test_optional_nodes_and_skipped_frames(spark, config, divisions, seed):
+    r = random.Random(seed)
+    nodes = [(t, a) for t in range(4) for a in (1, 2)]
+    pairs = [(i, j) for i in nodes for j in nodes if 1 <= j[0] - i[0] <= 2]
+    weight = {e: r.choice([0.1, 0.5, 0.9, 0.95]) for e in r.sample(pairs, 11)}
+    edges = spark.createDataFrame([("m", i, j, 0.0, w) for (i, j), w in weight.items()], EDGE)
+    table = spark.createDataFrame([("m", *n) for n in nodes], "movie string, t int, label int")
+    found = optimal_solution(edges, table, config, divisions, rounds=25)
+    bounds = found["bounds"].first()
+    best = cheapest(nodes, weight, CONFIGS[config], divisions)
+    assert abs(bounds.cost - best) < 1e-9 and bounds.bound <= best + 1e-6
+    if bounds.cost:
+        held = solution_cost(found["nodes"], found["edges"], config, divisions).first()
+        assert abs(held.cost - bounds.cost) < 1e-9 and held.n_violations == 0
+    if config == "gt":
+        assert abs(bounds.cost - bounds.bound) < 1e-6
+
+
+def test_optimal_of_nothing(spark):
+    found = optimal_solution(spark.createDataFrame([], EDGE))
+    assert found["edges"].count() == found["bounds"].count() == 0
