@@ -368,6 +368,22 @@ def with_group(rows: DataFrame, key: str, by: list[str], *aggregates) -> DataFra
     return cut.join(total.withColumn("slice", F.explode("slice")), [key, "slice"]).drop("slice")
 
 
+def node_components(rows: DataFrame, sizes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, node, n) with component_id, the least id of the nodes that ``linked`` (node, component) joins theirs with.
+
+    ``sizes`` (node, low) has each node's least id.  A row without words (n = 0) has its own id, a row without an id none.  The
+    rows of a frequent node are dealt to slices.
+    """
+    ids = with_group(linked.join(sizes.select("node", "low"), "node"), "component", ["node"], F.min("low").alias("component_id")).select("node", "component_id")
+    ids = sizes.select("node", "low").join(ids, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    narrow = slices_of(rows, "node", ["doc_id"])
+    there = narrow.where("node is not null").groupBy("node").agg(F.collect_set("slice").alias("slice"))
+    ids = ids.join(there, "node").select("node", F.explode("slice").alias("slice"), F.col("component_id").alias("found"))
+    out = narrow.join(ids, ["node", "slice"], "left")
+    comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
+    return out.select("doc_id", "n", comp.alias("component_id"))
+
+
 FREQUENT = 20_000  # occurrences from which a gram's windows are counted by digest
 
 

@@ -1,60 +1,21 @@
-"""MinHash near-dedup: universal hash minima, banding, exact confirmation, connected components.
+"""MinHash near-dedup: universal hash minima, banding, agreement of signatures, exact verification, connected components.
 
-Documents with equal word sequences (128 bits of a cryptographic hash of their bytes) form a class and are handled
-once.  Classes that share a band of minima are candidates.  A bucket is cut into slices by hash; every class is first
-compared with its slice's least class, and these with the bucket's least.  Where that joins all classes that hang
-together by buckets, they are done.  The others, such as a family of copies that differ from each other by more than
-the threshold allows, are cut into chunks by set size and hash, bounded in shingles and in classes; each two chunks
-whose sizes allow a link meet in one task, which gets all intersections from products of 0/1 matrices and
-returns one link for each class at most.  So no pairs are written out, no task holds more than two chunks,
-and no link is lost.  Every link is decided on the full shingle sets, shingles standing as 64-bit hashes without
-polynomial structure; the number of distinct shingles of a text is counted on their bytes.
+Rows of equal words are one node.  Nodes that share a band of minima are candidates and hang together through the
+bucket's least one; the more bands of two signatures agree, the earlier that pair is verified.  Families of
+candidates are verified on the words of whole texts (see ``families``), and links contracted by large-star and small-star steps.
+Signatures alone decide nothing: the check on their agreement orders the work, since dropping a pair on it could lose a link.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 from .components import components
-
-CHUNK = 131_072  # shingles in a chunk, about
-CHUNK_ROWS = 2_000  # classes in a chunk, at most: two chunks make a square matrix of both
-STRIP = 256  # rows of that matrix at a time in what is made of it
-BROADCAST_IDS = 2_000_000  # ids, 16 MB, that are broadcast at most
-
-
-class Shingles:
-    """The ``width``-word shingles of some texts, A-Z lower-cased; a text of fewer words is one shingle as a whole.
-
-    Each text's words stand in one buffer with a space after each word.  ``doc``, ``start`` and ``end`` give the
-    distinct shingles of every text, text by text, equality being decided on their bytes; ``hash`` goes with them.
-    """
-
-    def __init__(self, texts: list[bytes], width: int):
-        self.lines = [b" ".join(x.lower().split()) for x in texts]
-        raw = np.frombuffer(b"".join([x + b" " for x in self.lines if x]), np.uint8)
-        stop = np.flatnonzero(raw == 32)
-        start = np.append(0, stop[:-1] + 1)[: len(stop)]
-        words = np.array([x.count(b" ") + 1 if x else 0 for x in self.lines], np.int64)
-        k = np.minimum(words, width)
-        n = np.where(words > 0, words - k + 1, 0)
-        base = np.cumsum(words) - words
-        doc = np.repeat(np.arange(len(texts)), n)
-        first = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + base[doc]
-        a, b = start[first], stop[first + k[doc] - 1]
-        h = c.span_hash(raw, a, b)
-        _, place = c.name_spans(raw, a, b, doc, h=h)
-        place = place[np.lexsort((h[place], doc[place]))]
-        self.raw, self.doc, self.start, self.end, self.hash = raw, doc[place], a[place], b[place], h[place]
-        self.size = np.bincount(self.doc, minlength=len(texts))
-        self.stop = np.cumsum(self.size)
+from .families import Shingles, bounded, family_links, node_of, small_batches, stars_of, texts_of_nodes
 
 
 def minima(sets: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
@@ -68,155 +29,51 @@ def minima(sets: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
     return low
 
 
-def _small(batches, rows: int = 512, size: int = 1 << 18):
-    """Batches of few rows and bytes, so that what a task makes of one stays small."""
-    for batch in batches:
-        total = np.cumsum(pa.compute.binary_length(batch.column(1).cast(pa.binary())).to_numpy(zero_copy_only=False))
-        low = 0
-        while low < batch.num_rows:
-            high = int(np.searchsorted(total, (total[low - 1] if low else 0) + size, side="right"))
-            high = min(max(high, low + 1), low + rows)
-            yield batch.slice(low, high - low)
-            low = high
-
-
-def _signatures(width: int, rows: int, bands: int):
+def _signatures(width: int, rows: int, bands: int, seed: int):
     def run(batches):
         r = np.random.default_rng(20240229)
         times = r.integers(0, 1 << 32, rows * bands, np.uint32) | np.uint32(1)
         plus = r.integers(0, 1 << 32, rows * bands, np.uint32)
         fold = r.integers(0, 1 << 62, rows).astype(c.U) * c.U(2) + c.U(1)
         band = np.arange(bands, dtype=c.U) * c.U(0x9E3779B97F4A7C15)
-        for batch in _small(batches):
+        for batch in small_batches(batches):
             s = Shingles([x.as_py() for x in batch.column(1).cast(pa.binary())], width)
             low = np.stack([minima(s.hash[b - n : b], times, plus) for b, n in zip(s.stop.tolist(), s.size.tolist())])
             with np.errstate(over="ignore"):
                 key = c.mix((low.reshape(-1, bands, rows).astype(c.U) * fold).sum(axis=2, dtype=c.U) + band).astype(np.int64)
             keys = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * bands, key.ravel())
-            digest = [hashlib.blake2b(x, digest_size=16).digest() for x in s.lines]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.size, pa.int64()), pa.array(digest, pa.binary()), keys], names=["doc_id", "n", "digest", "keys"])
+            names = [node_of(x, seed) if x else (None, None) for x in s.lines]
+            nodes = [pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *nodes, pa.array(s.size, pa.int64()), keys], names=["doc_id", "node", "rest", "n", "keys"])
 
     return run
 
 
-def _sets(width: int):
-    def run(batches):
-        for batch in _small(batches):
-            s = Shingles([x.as_py() for x in batch.column(1).cast(pa.binary())], width)
-            lists = pa.ListArray.from_arrays(np.append(0, s.stop).astype(np.int32), s.hash.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "items"])
-
-    return run
-
-
-def _confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose full sets are alike enough; a set that many pairs name goes to slices of them."""
-    cut = c.slices_of(pairs, "u", ["v"], 64)
-    left = cut.select("u", "slice").distinct().join(items.select(F.col("id").alias("u"), F.col("items").alias("a")), "u")
-    both = cut.join(left, ["u", "slice"]).join(items.select(F.col("id").alias("v"), F.col("items").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
-
-
-def _linked(place: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """For each set the least place of a set that it hangs together with by links; ``place`` numbers the items, set by set."""
-    n = len(size)
-    row = np.repeat(np.arange(n), size)
-    often = np.bincount(place) > 1  # an item of one set is in no intersection
-    column = np.cumsum(often) - 1
-    use = often[place]
-    row, place = row[use], column[place[use]]
-    order = np.argsort(place, kind="stable")
-    row, place = row[order], place[order]
-    shared = np.zeros((n, n), np.float32)
-    for low in range(0, int(often.sum()), 2048):
-        a, b = np.searchsorted(place, [low, low + 2048])
-        m = np.zeros((n, 2048), np.float32)
-        m[row[a:b], place[a:b] - low] = 1
-        for s in range(0, n, STRIP):
-            shared[s : s + STRIP] += m[s : s + STRIP] @ m.T
-    link = np.zeros((n, n), bool)
-    for s in range(0, n, STRIP):
-        both = shared[s : s + STRIP].astype(np.int64)
-        link[s : s + STRIP] = 100 * both >= percent * (size[s : s + STRIP, None] + size - both)
-    del shared
-    label = np.arange(n)
-    while True:
-        near = np.concatenate([np.where(link[s : s + STRIP], label, n).min(axis=1) for s in range(0, n, STRIP)])
-        new = np.minimum(label, near)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _chunk_links(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids = table["id"].to_numpy()
-        lists = table["items"].combine_chunks()
-        label = _linked(lists.flatten().dictionary_encode().indices.to_numpy(), np.diff(lists.offsets.to_numpy()), percent)
-        hit = label < np.arange(len(label))
-        return pa.table({"u": ids[label[hit]], "v": ids[hit]})
-
-    return run
-
-
-def _rest(sized: DataFrame, items: DataFrame, near: DataFrame, found: DataFrame, percent: int, run) -> DataFrame:
-    """Links among classes that hang together by buckets but not by the links found so far.
-
-    ``sized`` (id, n) and ``items`` (id and what ``run`` needs of it) bring the sets, ``run`` gives the links of a group of
-    two chunks.  ``near`` and ``found`` give each node's component by buckets and by links.  Two nodes alone have met already.
-    """
-    nodes = near.select(F.col("node").alias("id"), F.col("component").alias("family")).join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    nodes = c.with_group(nodes, "family", ["id"], F.count("*").alias("k"), F.min("component").alias("a"), F.max("component").alias("b")).where("k > 2 and a < b").drop("k", "a", "b")
-    # Sets of a family are dealt to classes of about one size, each class by hash to as many chunks as it needs.
-    nodes = nodes.join(sized, "id").withColumn("kind", F.struct("family", F.floor(F.log(F.col("n").cast("double")) * 8).cast("int").alias("class")))
-    need = F.ceil(1.1 * F.greatest(F.sum("n") / CHUNK, F.count("*") / CHUNK_ROWS)).cast("int").alias("need")
-    nodes = c.with_group(nodes, "kind", ["id"], need)
-    nodes = c.settle(nodes.select("id", "family", "component", "n", F.struct("kind.class", F.pmod(F.xxhash64("id"), F.col("need")).alias("cut")).alias("chunk")))
-    chunks = nodes.groupBy("family", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("a"), F.max("component").alias("b"))
-    one = chunks.select("family", *[F.col(x).alias(f"{x}1") for x in ("chunk", "low", "high", "a", "b")])
-    two = chunks.select("family", *[F.col(x).alias(f"{x}2") for x in ("chunk", "low", "high", "a", "b")])
-    meet = one.join(two, "family").where("chunk1 <= chunk2").where(100 * F.col("high1") >= percent * F.col("low2")).where("least(a1, a2) < greatest(b1, b2)")
-    sides = meet.select("family", "chunk1", "chunk2", F.explode(F.array_distinct(F.array("chunk1", "chunk2"))).alias("chunk"))
-    rows = sides.join(nodes.select("family", "chunk", "id"), ["family", "chunk"]).join(items, "id").select("family", "chunk1", "chunk2", *items.columns)
-    return rows.groupBy("family", "chunk1", "chunk2").applyInArrow(run, "u long, v long")
-
-
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = 5, bands: int = 40) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
-    Two documents are linked if ``100 * intersection >= percent * union`` of their sets of ``width``-word
-    shingles (all words as one shingle where there are fewer).  ``component_id`` is the least id reachable;
+    Two rows are linked if ``100 * intersection >= percent * union`` of their sets of ``width``-word
+    shingles (all words as one shingle where there are fewer; A-Z lower-cased).  ``component_id`` is the least id reachable;
     ``kept`` says whether that is the row's own.  With ``rows`` and ``bands`` as given here a pair at the
     threshold is missed with a chance below 1e-6.  Null or blank texts have no shingles and are linked with
-    nothing.  Ids should be unique; repeated rows share their fate.  A null id has a null component and is
-    kept.  An empty table gives an empty result; other columns of ``docs`` are not read.
+    nothing.  Rows are told apart by their texts: a repeated id links nothing, repeated rows share their fate.  A null id
+    takes no part, has a null component and is kept.  An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     docs = c.id_text(docs, id_col, text_col)
-    known = c.settle(docs.mapInArrow(_signatures(width, rows, bands), "doc_id long, n long, digest binary, keys array<long>"))
-    sliced = c.slices_of(known.select("doc_id", "n", "digest"), "digest", ["doc_id"])
-    classes = c.slices_of(known, "digest", ["doc_id"]).where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.collect_set("slice").alias("slices"))
-    # A bucket's classes meet the least of their slice, and these the bucket's least, so no task gets a whole bucket.
-    bucket = c.slices_of(classes.select("rep", F.explode("keys").alias("key")), "key", ["rep"])
-    slices = bucket.groupBy("key", "slice").agg(F.min("rep").alias("low"), F.count("*").alias("k"))
-    heads = slices.withColumn("lead", F.min("low").over(Window.partitionBy("key"))).where("low <> lead").select(F.col("lead").alias("u"), F.col("low").alias("v"))
-    close = bucket.join(slices.where("k > 1").select("key", "slice", "low"), ["key", "slice"]).where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v"))
-    stars = c.settle(heads.unionByName(close).distinct())
-    wanted = stars.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    wanted = c.settle(wanted)
-    if wanted.count() <= BROADCAST_IDS:  # then the texts are not shuffled
-        wanted = F.broadcast(wanted)
-    items = c.settle(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, items array<long>"))
-    links = c.settle(_confirmed(stars, items, percent))
-    sized = items.select("id", F.size("items").cast("long").alias("n"))
-    more = c.settle(_rest(sized, items, components(stars), components(links), percent, _chunk_links(percent)))
-    found = components(links.unionByName(more))
-    reps = classes.select("digest", "rep", "slices").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.explode("slices").alias("slice"), F.coalesce("component", "rep").alias("found"))
-    out = sliced.join(reps, ["digest", "slice"], "left")
-    comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    for seed in range(100):
+        known = c.settle(docs.mapInArrow(_signatures(width, rows, bands, seed), "doc_id long, node long, rest long, n long, keys array<long>"))
+        if not known.groupBy("node").agg(F.min("rest").alias("a"), F.max("rest").alias("b")).where("a <> b").limit(1).count():
+            break  # no two texts share a node
+        c.discard(known)
+    usable = known.where("node is not null and doc_id is not null")
+    sizes, brief = c.settle(usable.groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("low"))), c.settle(known.select("doc_id", "node", "n"))
+    buckets = usable.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node")
+    stars = c.settle(stars_of(buckets.withColumn("asks", F.lit(True))))
+    c.discard(known)
+    texts = texts_of_nodes(docs.where("doc_id is not null"), stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), seed)
+    linked = components(family_links(stars, sizes.select("node", "n"), texts, width, percent))
+    out = c.node_components(brief, sizes, linked)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import pyarrow as pa
-from lineaspark.llm import minhash_dedup as minhash
+from lineaspark.llm import families
 from lineaspark.llm.components import components
 from lineaspark.llm.minhash_dedup import minhash_dedup
 from pyspark.sql import functions as F
@@ -69,22 +69,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_chunks_of_short_documents(spark, monkeypatch):
+def test_chunks_of_short_documents(spark):
     """A family of many short, partly alike documents: no task gets more than two chunks of bounded rows."""
 
-    def counted(percent):
+    def counted():
         return lambda table: pa.table({"u": pa.array([table.num_rows], pa.int64()), "v": pa.array([len(set(table["id"].to_pylist()))], pa.int64())})
 
     rows = spark.range(9000).select(F.col("id"), F.array(F.lit(-1), *[F.col("id") * 5 + k for k in range(5)]).alias("items"))
     near = rows.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
     found = spark.createDataFrame([], "node long, component long")
-    got = minhash._rest(rows.select("id", F.lit(6).cast("long").alias("n")), rows, near, found, 85, counted(85)).collect()
+    got = families.chunk_links(rows.select("id", F.lit(6).cast("long").alias("n")), rows, near, found, 85, counted()).collect()
     assert max(r.u for r in got) <= 4000 and all(r.u == r.v for r in got)
     assert len(got) == 15  # five chunks: each alone and with each other
 
 
 def test_many_chunks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(families, "CHUNK_ROWS", 3)
     r = random.Random(8)
     rows, line = [], [f"w{k}" for k in range(30)]
     for i in range(60):  # all share most of a line, few are alike enough
@@ -93,5 +93,13 @@ def test_many_chunks_lose_no_link(spark, monkeypatch):
             words[k] = f"e{r.randint(0, 3)}"
         rows.append((i * 7 % 61, " ".join(words)))
     df = spark.createDataFrame([(i, t, 1, "k", None) for i, t in rows], SCHEMA)
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.minhash_dedup(df, width=3, percent=85, rows=2, bands=96).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup(df, width=3, percent=85, rows=2, bands=96).collect()}
     assert got == brute(rows, 3, 85)
+
+
+def test_repeated_ids_link_by_text(spark):
+    """A row of an id has its own text's links, whatever other texts that id has."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, "q r s t u v"), (5, long), (8, long), (10, long + " y")]
+    df = spark.createDataFrame([(i, t, 1, "k", None) for i, t in rows], SCHEMA)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in minhash_dedup(df).collect()) == [(5, 2, 5), (5, 36, 5), (8, 36, 5), (10, 37, 5)]
