@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.loops import fixpoint, materialize
+from ..functions.numbering import numbered
 
 
 def _solution_nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
@@ -41,8 +42,7 @@ def node_tracklets(edges: DataFrame, nodes: DataFrame | None = None) -> DataFram
 def tracklet_labels(members: DataFrame) -> DataFrame:
     """(movie, head, label, t1, t2, parent node): tracklets numbered by first frame, parent node (none first) and head."""
     spans = members.groupBy("movie", "head").agg(F.min("node.t").alias("t1"), F.max("node.t").alias("t2"), F.first("parent").alias("parent"))
-    order = Window.partitionBy("movie").orderBy("t1", F.col("parent").asc_nulls_first(), "head")
-    return spans.withColumn("label", F.row_number().over(order))
+    return numbered(spans, ["movie"], ["t1", F.col("parent").asc_nulls_first(), "head"], "label")
 
 
 def tracklet_table(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -76,8 +76,10 @@ def linear_chains(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     rows = run.join(first, ["movie", "second"])
     chains = rows.select("movie", "first", "second", "node").unionByName(rows.select("movie", "first", "second", F.col("first").alias("node")).distinct())
     alone = degree.where("n_in = 0 and n_out <> 1").select("movie", F.col("node").alias("first"), F.lit(None).cast("struct<t:int,label:int>").alias("second"), "node")
-    every = chains.unionByName(alone)
-    return every.withColumn("chain", F.dense_rank().over(Window.partitionBy("movie").orderBy("first", F.col("second").asc_nulls_first()))).select("movie", "chain", "node")
+    every = materialize(chains.unionByName(alone))
+    names = numbered(every.select("movie", "first", "second").distinct(), ["movie"], ["first", F.col("second").asc_nulls_first()], "chain")
+    names = names.select(F.col("movie").alias("m"), F.col("first").alias("f"), F.col("second").alias("s"), "chain")
+    return every.join(names, (F.col("movie") == F.col("m")) & (F.col("first") == F.col("f")) & F.col("second").eqNullSafe(F.col("s"))).select("movie", "chain", "node")
 
 
 def to_tracks(edges: DataFrame, nodes: DataFrame, columns: tuple[str, ...] = ("cz", "cy", "cx")) -> tuple[DataFrame, DataFrame]:

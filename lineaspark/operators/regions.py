@@ -54,14 +54,16 @@ def region_features(pixels: DataFrame, height: int, width: int, ndim: int = 2, c
 def scaled_features(detections: DataFrame, wanted: DataFrame, properties: str = "regionprops2", ndim: int = 2) -> DataFrame:
     """Feature vector of each wanted (movie, t, label), zeros where it has no detection.
 
-    Area is scaled by 0.001 and the last ``ndim**2`` columns by 0.01.  ``patch_regionprops`` keeps only the
+    Area is scaled by 0.001 and the last ``ndim**2`` columns by 0.01.  ``patch_regionprops`` and ``regionprops`` keep only the
     upper triangle of the tensor, so there the last columns reach back over earlier ones, as users of such
-    features expect.
+    features expect.  ``regionprops``, for two dimensions, has eccentricity and solidity before the tensor; ``detections`` must
+    have ``area_convex`` then, as from :func:`convex_areas`.
     """
-    if properties not in ("regionprops2", "patch_regionprops"):
-        raise ValueError("properties must be regionprops2 or patch_regionprops")
+    if properties not in ("regionprops", "regionprops2", "patch_regionprops") or (properties == "regionprops" and ndim != 2):
+        raise ValueError("properties must be regionprops2 or patch_regionprops, or regionprops in two dimensions")
     cells = [i * ndim + j for i in range(ndim) for j in range(ndim) if properties == "regionprops2" or i <= j]
-    columns = [F.col("area") * 0.001, F.col("int_mean"), *[F.element_at("inertia", k + 1) for k in cells]]
+    shape = [eccentricity(F.col("inertia")), F.col("area") / F.col("area_convex")] if properties == "regionprops" else []
+    columns = [F.col("area") * 0.001, F.col("int_mean"), *shape, *[F.element_at("inertia", k + 1) for k in cells]]
     first = len(columns) - ndim**2
     columns = [c * 0.01 if k >= first else c for k, c in enumerate(columns)]
     known = detections.select(*DETECTION, F.array(*columns).alias("features"))
@@ -76,6 +78,47 @@ def eccentricity(inertia: Column) -> Column:
     return F.when(high > 0, F.sqrt(F.greatest(F.lit(0.0), 1 - low / high))).otherwise(0.0)
 
 
+def _envelope(points: Column) -> Column:
+    """The corners of the upper hull of ``points`` (array of v, h; ascending v): what a tight string above them touches.
+
+    A new point follows the corner to which its line is flattest, and later corners go; of those in line the first one stays.
+    """
+    flattest = lambda s, p: F.array_min(F.transform(s, lambda c, k: F.struct(((p["h"] - c["h"]) / (p["v"] - c["v"])).alias("m"), k.alias("k"))))["k"]
+    start = F.slice(points, 1, 1)
+    return F.aggregate(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), start, lambda s, p: F.concat(F.slice(s, F.lit(1), flattest(s, p) + 1), F.array(p)))
+
+
+def _reach(corners: Column, v: Column) -> Column:
+    """The largest whole number whose double lies below the envelope at ``v``."""
+    edge = lambda k: (F.element_at(corners, k), F.element_at(corners, k + 1))
+
+    def floor(k):
+        a, b = edge(k)
+        over = a["h"] * (b["v"] - a["v"]) + (b["h"] - a["h"]) * (v - a["v"])
+        return F.floor(over / (2 * (b["v"] - a["v"])))
+
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.size(corners) - 1), floor))
+
+
+def convex_areas(pixels: DataFrame) -> DataFrame:
+    """(movie, t, label, area_convex): pixels whose centres lie in the convex hull of each detection in the plane, border included.
+
+    The hull is that of the middles of the pixels' sides.  A region's rows give their ends, the hull's two flanks are
+    folded from them, and each row of the hull is counted between its flanks: all in expressions over one
+    array of a region's rows.  Coordinates are doubled, so they stay whole numbers.
+    """
+    rows = pixels.where("label <> 0").groupBy(*DETECTION, "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    point = lambda dv, dh: F.struct((2 * F.col("y") + dv).cast("long").alias("v"), (2 * F.col("x1") + dh).cast("long").alias("right"), (-2 * F.col("x0") + dh).cast("long").alias("left"))
+    spots = rows.select(*DETECTION, "y", F.explode(F.array(point(-1, 0), point(0, 1), point(1, 0))).alias("p"))
+    flank = spots.groupBy(*DETECTION, "p.v").agg(F.max("p.right").alias("right"), F.max("p.left").alias("left"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    side = lambda name: F.sort_array(F.collect_list(F.struct("v", F.col(name).alias("h"))))
+    hull = flank.groupBy(*DETECTION).agg(side("right").alias("right"), side("left").alias("left"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    hull = hull.select(*DETECTION, _envelope(F.col("right")).alias("right"), _envelope(F.col("left")).alias("left"), "y0", "y1")
+    wide = lambda y: _reach(F.col("right"), 2 * y) + _reach(F.col("left"), 2 * y) + 1
+    area = F.aggregate(F.sequence("y0", "y1"), F.lit(0).cast("long"), lambda n, y: n + wide(y.cast("long")))
+    return hull.select(*DETECTION, area.alias("area_convex"))
+
+
 def patch_features(pixels: DataFrame, detections: DataFrame, width: int = 16) -> DataFrame:
     """``width`` by ``width`` values around each detection's truncated centroid, row by row, absent pixels 0, depth by maximum.
 

@@ -5,8 +5,10 @@ A pair row has movie, t1 (window), t_i, l_i, t_j, l_j and a logit; only pairs wi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,7 @@ def score_windows(windows: DataFrame, scorer: Column | Callable, cutoff: float =
 
     ``scorer`` is an expression over ``dist``, or a function that takes a pandas frame of one window's detections
     and returns one of PAIR columns and logit; the latter runs in a grouped map, one window in memory at a time.
+    :func:`score_batches` is for models that take several windows at once.
     """
     if isinstance(scorer, Column):
         return window_pairs(windows, cutoff, delta_t).withColumn("logit", scorer)
@@ -79,6 +82,59 @@ def score_windows(windows: DataFrame, scorer: Column | Callable, cutoff: float =
     return windows.groupBy("movie", "t1").applyInPandas(scorer, schema)
 
 
+def _scored(make: Callable, batch: int, cutoff: float, delta_t: int | None, width: int):
+    def flush(score, held: list) -> list[pa.RecordBatch]:
+        most = max(len(x[2]) for x in held)
+        places, values = np.zeros((len(held), most, 4)), np.zeros((len(held), most, width))
+        padding = np.ones((len(held), most), bool)
+        for k, (_, _, t, _, at, f) in enumerate(held):
+            places[k, : len(t), 0], places[k, : len(t), 1:], values[k, : len(t)], padding[k, : len(t)] = t, at, f, False
+        logits = np.asarray(score(places, values, padding))
+        parts = []
+        for k, (movie, t1, t, label, at, _) in enumerate(held):
+            near = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2)) <= cutoff
+            if delta_t is not None:
+                step = t[None] - t[:, None]
+                near &= (step > 0) & (step <= delta_t)
+            i, j = np.nonzero(near)
+            names = pa.array([movie] * len(i), pa.string()), pa.array(np.full(len(i), t1, np.int32))
+            parts.append(pa.RecordBatch.from_arrays([*names, *map(pa.array, (t[i], label[i], t[j], label[j])), pa.array(logits[k, i, j].astype(np.float64))], names=[*PAIR, "logit"]))
+        return parts
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        score, held = make(), []
+        for rows in batches:
+            d = rows.column("d")
+            fields, offsets = d.flatten(), d.offsets.to_numpy()
+            column = {x: fields.field(x).to_numpy(zero_copy_only=False) for x in ("t", "label", "cz", "cy", "cx")}
+            at = np.stack([column[c] for c in ("cz", "cy", "cx")], axis=1)
+            f = fields.field("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((len(at), 0))
+            for k, (a, b) in enumerate(zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])):
+                held.append((rows.column("movie")[k].as_py(), rows.column("t1")[k].as_py(), column["t"][a:b], column["label"][a:b], at[a:b], f[a:b]))
+                if len(held) == batch:
+                    yield from flush(score, held)
+                    held = []
+        if held:
+            yield from flush(score, held)
+
+    return run
+
+
+def score_batches(windows: DataFrame, make_scorer: Callable, features: tuple[str, ...] = (), batch: int = 16, cutoff: float = 256, delta_t: int | None = None) -> DataFrame:
+    """Logits of the pairs of each window from a model that scores ``batch`` windows in one call.
+
+    ``make_scorer`` is called once in each task, where it loads the model, and returns a function of places (windows, detections,
+    4: frame, z, y, x), feature values (windows, detections, features) and padding (true where a window has fewer
+    detections than the longest of its batch), which returns logits (windows, detections, detections).  A task's windows are sorted by
+    length, so batches are padded little; detections are ordered by frame and label.  Pairs farther apart than ``cutoff``
+    are left out, and with ``delta_t`` all but forward ones at most that many frames apart.
+    """
+    one = F.struct(F.col("t").cast("int").alias("t"), F.col("label").cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in ("cz", "cy", "cx")], F.array(*[F.col(f).cast("double") for f in features]).cast("array<double>").alias("f"))
+    rows = windows.groupBy("movie", "t1").agg(F.sort_array(F.collect_list(one)).alias("d"))
+    rows = rows.withColumn("n", F.size("d")).sortWithinPartitions("n", "movie", "t1").select("movie", "t1", "d")
+    return rows.mapInArrow(_scored(make_scorer, batch, cutoff, delta_t, len(features)), "movie string, t1 int, t_i int, l_i int, t_j int, l_j int, logit double")
+
+
 def _block(pairs: DataFrame, over_rows: bool) -> list[str]:
     """The columns that name an entry's block: the fixed side and the frame of the other side, in one window if there are windows."""
     return ["movie", *(["t1"] if "t1" in pairs.columns else []), *(("t_j", "l_j", "t_i") if over_rows else ("t_i", "l_i", "t_j"))]

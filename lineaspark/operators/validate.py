@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 
 def _orphans(tracklets: DataFrame) -> DataFrame:
     """Parents that are not in the table become 0."""
@@ -81,7 +83,7 @@ def relabel_map(pixels: DataFrame, keys: list[str], offset: int = 1) -> DataFram
     if offset < 1:
         raise ValueError("offset must be positive")
     labels = pixels.where("label <> 0").select(*keys, "label").distinct()
-    return labels.withColumn("new", F.dense_rank().over(Window.partitionBy(*keys).orderBy("label")) + (offset - 1))
+    return numbered(labels, keys, ["label"], "new").withColumn("new", F.col("new") + (offset - 1))
 
 
 def relabel_sequential(pixels: DataFrame, keys: list[str] | None = None, offset: int = 1) -> DataFrame:

@@ -215,6 +215,27 @@ def patch_features(spark, d):
     return patches.select("movie", "t", "label", F.posexplode("patch").alias("cell", "value")).where("value <> 0")
 
 
+def blocky(px: DataFrame) -> DataFrame:
+    """Pixels in coarse places and frames, so that regions have several."""
+    return px.withColumn("t", F.floor(F.col("t") / 5).cast("int")).withColumn("y", F.floor(F.col("y") / 40).cast("int")).withColumn("x", F.floor(F.col("x") / 10).cast("int"))
+
+
+@query(v.sql("""SELECT movie, t, label, count(*) AS area, round(count(*) / n, 6) AS solidity FROM cells JOIN inside USING (movie, t, label) GROUP BY movie, t, label, n""", "cells", "inside", extra={
+    "cells": (("pixels",), "SELECT DISTINCT movie, t // 5 AS t, label, y // 40 AS y, x // 10 AS x FROM pixels"),
+    "corners": (("cells",), "SELECT movie, t, label, 2 * y + dy AS v, 2 * x + dx AS h FROM cells, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx)"),
+    "rows_": (("cells",), "SELECT movie, t, label, unnest(generate_series(low, high)) AS y FROM (SELECT movie, t, label, min(y) AS low, max(y) AS high FROM cells GROUP BY ALL)"),
+    "flanks": (("corners", "rows_"), """SELECT r.movie, r.t, r.label, r.y, max(CASE WHEN a.v = b.v THEN greatest(a.h, b.h) ELSE a.h + (b.h - a.h) * (2 * r.y - a.v) / (b.v - a.v) END) AS hi, min(CASE WHEN a.v = b.v THEN least(a.h, b.h) ELSE a.h + (b.h - a.h) * (2 * r.y - a.v) / (b.v - a.v) END) AS lo
+  FROM rows_ r JOIN corners a ON a.movie = r.movie AND a.t = r.t AND a.label = r.label AND a.v <= 2 * r.y JOIN corners b ON b.movie = r.movie AND b.t = r.t AND b.label = r.label AND b.v >= 2 * r.y GROUP BY ALL"""),
+    "inside": (("flanks",), "SELECT movie, t, label, CAST(sum(floor(hi / 2 + 1e-9) - ceil(lo / 2 - 1e-9) + 1) AS BIGINT) AS n FROM flanks GROUP BY ALL"),
+}))
+def convex_areas(spark, d):
+    """Regions' pixels and their share of the convex hull."""
+    px = blocky(v.pixels(spark, d)).select("movie", "t", "z", "y", "x", "label").distinct()
+    area = px.groupBy("movie", "t", "label").agg(F.count("*").alias("area"))
+    both = area.join(a.convex_areas(px), ["movie", "t", "label"])
+    return rounded(both.select("movie", "t", "label", "area", (F.col("area") / F.col("area_convex")).alias("solidity")), "solidity")
+
+
 @query(v.sql("SELECT movie, t, y, x, label, round(avg(value) OVER (PARTITION BY movie, t, label), 6) AS value FROM pixels", "pixels"))
 def fill_region_mean(spark, d):
     return rounded(a.fill_region_mean(v.pixels(spark, d)), "value").select("movie", "t", "y", "x", "label", "value")
@@ -376,6 +397,22 @@ def window_pairs(spark, d):
     return rounded(n.window_pairs(win(spark, d), D, 2).withColumn("decay", n.decay_score()), "dist", "decay")
 
 
+def _linear_model():
+    """A scorer of padded batches as a model would be: here a linear function of distances."""
+
+    def score(places, values, padding):
+        at = places[:, :, 1:]
+        return 4 * (1 - (((at[:, :, None] - at[:, None]) ** 2).sum(axis=3) ** 0.5) / D) - 1
+
+    return score
+
+
+@query(v.sql(f"SELECT {_KEYS}, round(logit, 6) AS logit FROM pairs WHERE t_j = t_i + 1 AND dist < {D} - 0.001", "pairs", extra=_WIN))
+def score_batches(spark, d):
+    near = n.score_batches(win(spark, d), _linear_model, ("int_mean", "area"), 16, D, 1)
+    return rounded(near.where("logit > -1 + 0.0001"), "logit")
+
+
 @query(v.sql(f"SELECT {_KEYS}, round(value, 6) AS value FROM norm", "norm", extra=_WIN))
 def parental_norm(spark, d):
     return rounded(in_windows(spark, d, n.parental_norm(near(spark, d))), "value").select("movie", "t1", "t_i", "l_i", "t_j", "l_j", "value")
@@ -792,16 +829,35 @@ def sampling_weights(spark, d):
     return rounded(b.sampling_weights(counts(spark, d), True, True), "prob")
 
 
-@query()
+def _unit(text: str) -> str:
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+def _drawn(n: int, batch: int, n_pool: int, workers: int = 1) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Weights by divisions, the line of windows, the draws that hit it, and their batches, in each worker."""
+    size = max(1, min(n_pool * batch, n // batch * batch))
+    worker = f"CAST(floor({_unit("'worker/' || movie || '/' || t1")} * {workers}) AS INTEGER)" if workers > 1 else "0"
+    return {
+        "share": (("counts",), f"SELECT *, {worker} AS worker, floor({_unit("'slice/' || movie || '/' || t1")} * 64) AS slice FROM counts"),
+        "prob": (("share",), "SELECT *, (1 + sqrt(n_divs)) / (sum(1 + sqrt(n_divs)) OVER (PARTITION BY worker) + 1e-10) AS prob FROM share"),
+        "line": (("prob",), "SELECT *, sum(prob) OVER (PARTITION BY worker ORDER BY slice, movie, t1) / sum(prob) OVER (PARTITION BY worker) AS hi, prob / sum(prob) OVER (PARTITION BY worker) AS wide FROM prob"),
+        "hits": (("line",), f"SELECT draw, movie, t1, n_objects, n_divs, prob, worker FROM line JOIN (SELECT i % {n} AS draw, i // {n} AS w, {_unit(f"(3 + i // {n}) || '/draw/' || (i % {n})")} AS u FROM range({n * workers}) r(i)) ON w = worker AND u >= hi - wide AND u < hi"),
+        "ranked_": (("hits",), f"SELECT *, draw // {size} AS pool, row_number() OVER (PARTITION BY worker, draw // {size} ORDER BY n_objects, draw) - 1 AS k FROM hits"),
+        "parts": (("ranked_",), f"SELECT worker, pool, part, row_number() OVER (PARTITION BY worker, pool ORDER BY {_unit("(3 + worker) || '/order/' || pool || '/' || part")}, part) - 1 AS batch FROM (SELECT DISTINCT worker, pool, k // {batch} AS part FROM ranked_)"),
+        "batches": (("ranked_", "parts"), f"SELECT draw, movie, t1, n_objects, n_divs, prob, worker, pool, k % {batch} AS place, batch FROM ranked_ r JOIN parts p USING (worker, pool) WHERE p.part = r.k // {batch}"),
+    }
+
+
+@query(v.sql("SELECT draw, movie, t1, n_objects, n_divs, prob FROM hits", "hits", extra=_WIN | _TRUTH | _drawn(2000, 8, 4)))
 def sample_windows(spark, d):
     return b.sample_windows(b.sampling_weights(counts(spark, d), True), 2000, seed=3)
 
 
-@query()
+@query(v.sql("SELECT * EXCLUDE (worker) FROM batches", "batches", extra=_WIN | _TRUTH | _drawn(500, 8, 4)))
 def balanced_batches(spark, d):
     return b.balanced_batches(b.sample_windows(b.sampling_weights(counts(spark, d), True), 500, seed=3), 8, 4, 500, seed=3)
 
 
-@query()
+@query(v.sql("SELECT * FROM batches", "batches", extra=_WIN | _TRUTH | _drawn(100, 8, 4, 3)))
 def sample_shards(spark, d):
     return b.sample_shards(counts(spark, d), 3, 300, 8, 4, seed=3, by_divisions=True)
