@@ -17,10 +17,20 @@ SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("organisation", "organization"),
     ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("whilst", "while"), ("https www", "http www"),
 )
-# A line that states a copyright: the word or sign with a year, a sign, "by" or a blank to fill in; not a sentence that begins so.
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;]*((portions )?copyright[ \t:,]*(\(c\)|©|[0-9]{4}|by |\[|<|\{)|\(c\)[ \t]*(copyright|[0-9]{4}|by |\[|<|\{)|©)[^\n]*"
+# Words that follow "copyright" where a sentence speaks of it: such a place states none, even where a line begins there.
+SENTENCE = r"copyright[ \t]+(holder|owner|notice|law|license|licence|interest|disclaimer|statement|permission|protection|claim|act |and |or |in |of |to |is )"
+# A line that states a copyright: the word or sign with a year, a sign, "by", a blank to fill in, or a holder that is named as such; with the
+# lines right below it that name more holders.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t*#/;]*((portions )?copyright[ \t:,]*(\(c\)|©|[0-9]{4}|by |\[|<|\{)|\(c\)[ \t]*(copyright|[0-9]{4}|by |\[|<|\{)|©"
+    r"|(portions )?copyright[ \t:,]+[^\n]{0,80}\b(authors|contributors|foundation|developers|maintainers|team|project|group|university|inc|llc|ltd|limited|corp|corporation|company|gmbh)[.,]?[ \t]*(\n|$))"
+    r"[^\n]*(\n[ \t*#/;]*\(c\)[^\n]*)*"
+)
 PUNCTUATION = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f\x{a0}-\x{bf}\x{2000}-\x{206f}\x{3000}-\x{303f}]+"
 
+BROADCAST_KNOWN = 100_000  # known digests, some 10 MB, that are broadcast at most
+RIGHTS = "all rights reserved"  # says nothing about the licence, so a whole text is compared without it
+
 _GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
     '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
@@ -45,6 +55,8 @@ KNOWN = (
     ("MIT", "The MIT License (MIT) " + _GRANT),
     ("ISC", _ISC),
     ("ISC", "ISC License " + _ISC),
+    *[("MIT", f"{head} {_GRANT}") for head in ("The MIT License", "MIT License (MIT)", "MIT", "License", "The MIT License (MIT License)", "Expat License", "MIT License:", "License (MIT)")],
+    *[("ISC", f"{head} {_ISC}") for head in ("The ISC License", "ISC License (ISC)", "ISC", "License", "The ISC License (ISC)")],
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -64,7 +76,8 @@ def _plain(text: Column) -> Column:
     """Lower case, copyright lines gone, punctuation and white space reduced to single spaces inside each line."""
     low = F.lower(text)
     stated = low.contains("copyright") | low.contains("(c)") | low.contains("©")  # other texts have no such line
-    return F.regexp_replace(F.when(stated, F.regexp_replace(low, COPYRIGHT_LINE, "$1")).otherwise(low), PUNCTUATION, " ")
+    spoken = F.regexp_replace(low, SENTENCE, "copyright\x02$1")
+    return F.regexp_replace(F.when(stated, F.regexp_replace(spoken, COPYRIGHT_LINE, "$1")).otherwise(low), PUNCTUATION, " ")
 
 
 def _spelled(plain: Column) -> Column:
@@ -75,8 +88,15 @@ def _spelled(plain: Column) -> Column:
     return F.trim(out)
 
 
+def _whole(plain: Column) -> Column:
+    """The canonical form of a whole text: reserved rights are not said, unless nothing else is."""
+    words = _spelled(plain)
+    rest = F.trim(F.replace(F.concat(F.lit(" "), words, F.lit(" ")), F.lit(f" {RIGHTS} "), F.lit(" ")))
+    return F.when(rest == "", words).otherwise(rest)
+
+
 def canonical(text: Column) -> Column:
-    return _spelled(_plain(text))
+    return _whole(_plain(text))
 
 
 def digest(text: Column) -> Column:
@@ -99,13 +119,15 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     other columns of ``docs`` are not read.
     """
     known = known.where("digest is not null and license is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    if known.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN:  # then no text is shuffled to meet it
+        known = F.broadcast(known)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.sha2("text", 256).alias("own"), _plain(F.col("text")).alias("plain"))
     # Notices are a text's own, so they are found by its digest; texts without one have no row here.
     lines = rows.select("own", F.explode(F.array_distinct(F.split("plain", "\n"))).alias("line")).where(F.length("line") > 1)
     found = lines.select("own", F.sha2(_spelled(F.col("line")), 256).alias("digest")).join(known, "digest")
     notices = found.groupBy("own").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    whole = rows.select("doc_id", "own", F.sha2(_spelled(F.col("plain")), 256).alias("digest")).join(known, "digest", "left")
+    whole = rows.select("doc_id", "own", F.sha2(_whole(F.col("plain")), 256).alias("digest")).join(known, "digest", "left")
     return whole.join(notices, "own", "left").select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
@@ -117,7 +139,11 @@ def sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def plain(x: str) -> str:
-        return f"regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', '\\1', 'g'), '{PUNCTUATION}', ' ', 'g')"
+        return f"regexp_replace(regexp_replace(regexp_replace(lower({x}), '{SENTENCE}', 'copyright' || chr(2) || '\\1', 'g'), '{COPYRIGHT_LINE}', '\\1', 'g'), '{PUNCTUATION}', ' ', 'g')"
+
+    def whole(x: str) -> str:
+        rest = f"trim(replace(' ' || {spelled(x)} || ' ', ' {RIGHTS} ', ' '))"
+        return f"CASE WHEN {rest} = '' THEN {spelled(x)} ELSE {rest} END"
 
     def spelled(x: str) -> str:
         out = f"regexp_replace({x}, '[ \\n]+', ' ', 'g')"
@@ -127,10 +153,10 @@ def sql() -> str:
 
     values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in KNOWN)
     return f"""
-WITH known AS (SELECT sha256({spelled(plain("t"))}) AS digest, min(l) AS license FROM (VALUES {values}) v(l, t) GROUP BY 1),
+WITH known AS (SELECT sha256({whole(plain("t"))}) AS digest, min(l) AS license FROM (VALUES {values}) v(l, t) GROUP BY 1),
 rows AS (SELECT row_number() OVER () AS r, doc_id, {plain("coalesce(text, '')")} AS t FROM documents),
 lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM rows),
 notes AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
   FROM (SELECT r, sha256({spelled("line")}) AS digest FROM lines WHERE length(line) > 1) JOIN known USING (digest) GROUP BY r)
 SELECT doc_id, x.digest, license, coalesce(notices, '') AS notices
-FROM (SELECT r, doc_id, sha256({spelled("t")}) AS digest FROM rows) x LEFT JOIN known USING (digest) LEFT JOIN notes USING (r)"""
+FROM (SELECT r, doc_id, sha256({whole("t")}) AS digest FROM rows) x LEFT JOIN known USING (digest) LEFT JOIN notes USING (r)"""

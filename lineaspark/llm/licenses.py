@@ -20,7 +20,11 @@ NAMES = (
     ("LGPL-3.0", ("the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License v3.0", "the LGPLv3", "LGPL-3.0")),
     ("AGPL-3.0", ("the GNU Affero General Public License, version 3", "the GNU Affero General Public License v3.0", "the AGPLv3", "AGPL-3.0")),
     ("MPL-2.0", ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL-2.0")),
-    ("Unlicense", ("the Unlicense",)),
+    ("Unlicense", ("the Unlicense", "Unlicense")),
+    ("EPL-2.0", ("the Eclipse Public License, version 2.0", "the Eclipse Public License 2.0", "the Eclipse Public License v2.0", "EPL-2.0")),
+    ("BSL-1.0", ("the Boost Software License, Version 1.0", "the Boost Software License 1.0", "BSL-1.0")),
+    ("Zlib", ("the zlib License", "the zlib/libpng License", "Zlib")),
+    ("0BSD", ("the BSD Zero Clause License", "the Zero-Clause BSD License", "0BSD")),
     ("CC0-1.0", ("CC0 1.0", "CC0 1.0 Universal")),
     ("CC-BY-4.0", ("CC BY 4.0", "a Creative Commons Attribution 4.0 International License")),
     ("CC-BY-SA-4.0", ("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License")),
@@ -29,7 +33,57 @@ NAMES = (
     ("CC-BY-NC-SA-4.0", ("CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License")),
     ("CC-BY-NC-ND-4.0", ("CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License")),
 )
-SAYINGS = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This program is licensed under")
+SAYINGS = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This program is licensed under", "This software is released under", "This project is released under", "This work is released under", "This program is distributed under", "This software is distributed under", "Available under", "This code is licensed under", "This package is licensed under")
+
+# Short licence texts.
+_SHORT = {
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        'under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSL-1.0": (
+        "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization "
+        'obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, '
+        "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+        "Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the "
+        "above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and "
+        "all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code "
+        'generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be "
+        "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+        "product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "0BSD": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS "
+        'PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY '
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+}
+# What may stand before a short text, and for one of them after it.
+_SHORT_HEADS = {
+    "Unlicense": ("", "The Unlicense ", "Unlicense "),
+    "BSL-1.0": ("",),
+    "Zlib": ("", "zlib License ", "The zlib License ", "zlib/libpng License ", "The zlib/libpng License "),
+    "0BSD": ("", "BSD Zero Clause License ", "Zero-Clause BSD ", "Zero Clause BSD License ", "0BSD "),
+}
+_UNLICENSE_END = (" For more information, please refer to <https://unlicense.org>", " For more information, please refer to <http://unlicense.org/>", " For more information, please refer to <https://unlicense.org/>")
 
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -84,6 +138,11 @@ def _notices() -> list[tuple[str, str]]:
     return out + [(name, f"SPDX-License-Identifier: {name}{more}") for name, _ in NAMES for more in ("", *(("-only", "-or-later") if "GPL" in name else ()))]
 
 
+def _short() -> list[tuple[str, str]]:
+    out = [(name, head + text) for name, text in _SHORT.items() for head in _SHORT_HEADS[name]]
+    return out + [(name, text + end) for name, text in out if name == "Unlicense" for end in _UNLICENSE_END]
+
+
 def known_licenses() -> tuple[tuple[str, str], ...]:
     """(license, text) of all of them."""
-    return tuple(_notices() + _bsd() + _long())
+    return tuple(_notices() + _bsd() + _short() + _long())

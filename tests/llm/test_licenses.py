@@ -55,6 +55,49 @@ def test_planted_lines(spark):
     assert [got[i].notices for i in range(len(LINES))] == list(LINES.values())
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+# Stock wording, written as licences are found: what precedes the grant.
+HEADS = (
+    "MIT License\n\nCopyright (c) 2020 Some Body\n\n",
+    "The MIT License\n\nCopyright (c) 2020 Some Body\n\n",
+    "Copyright (c) 2020 Some Body\nAll rights reserved.\n\n",
+    "Copyright OpenJS Foundation and other contributors\n\n",
+    "Copyright The Foo Authors\n\n",
+    "MIT License\n\nCopyright (c) 2020 A\n(c) B\n\n",
+    "(The MIT License)\n\nCopyright: 2011 Some Body <some@body.org>\n\n",
+    "© 2019 Some Body\n\n",
+    "",
+)
+
+
+def test_forms_of_mit(spark):
+    got = scan(spark, [head + MIT for head in HEADS] + [MIT.replace("COPYRIGHT HOLDERS BE", "\nCOPYRIGHT HOLDERS BE"), MIT + "More conditions.", "All rights reserved."])
+    assert [got[i].license for i in range(len(HEADS) + 3)] == ["MIT"] * (len(HEADS) + 1) + [None, "all-rights-reserved"]
+
+
+def test_released_under(spark):
+    lines = ["This software is released under the MIT License.", "Copyright notice: see above", "Available under the Eclipse Public License 2.0"]
+    got = scan(spark, lines)
+    assert [got[i].notices for i in range(3)] == ["MIT", "", "EPL-2.0"]
+
+
 def test_whole_texts(spark):
     got = scan(spark, [BSD_2, BSD_2.replace("All rights reserved.\n", ""), BSD_2 + "and more"])
     assert [got[i].license for i in range(3)] == ["BSD-2-Clause", "BSD-2-Clause", None]
