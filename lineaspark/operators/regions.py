@@ -122,17 +122,20 @@ def convex_areas(pixels: DataFrame) -> DataFrame:
 def patch_features(pixels: DataFrame, detections: DataFrame, width: int = 16) -> DataFrame:
     """``width`` by ``width`` values around each detection's truncated centroid, row by row, absent pixels 0, depth by maximum.
 
-    Depth is cut like the other axes.  The pixel side is dealt by frame and pixel, so a patch costs as many
-    looked-up rows as it has cells.
+    Depth is cut like the other axes.  Pixels lie in tiles as wide as a patch, so a detection is listed under two tiles of each
+    axis at most and meets the pixels of those; pixels are shuffled once, and no place of a patch is a row before a pixel is there.
     """
     half, n = width // 2, width * width
     centre = lambda a: F.col(a).cast("int")
-    cells = detections.select(*DETECTION, centre("cz").alias("iz"), centre("cy").alias("iy"), centre("cx").alias("ix"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cell"))
-    cells = cells.withColumn("y", F.col("iy") - half + F.floor(F.col("cell") / width).cast("int")).withColumn("x", F.col("ix") - half + F.col("cell") % width)
-    seen = pixels.select("movie", "t", F.col("z").alias("pz"), "y", "x", F.col("value"))
-    hit = cells.join(seen, ["movie", "t", "y", "x"]).where(F.col("pz").between(F.col("iz") - half, F.col("iz") + half - 1))
+    spots = detections.select(*DETECTION, centre("cz").alias("iz"), centre("cy").alias("iy"), centre("cx").alias("ix"))
+    for a in "zyx":
+        low = F.col(f"i{a}") - half
+        spots = spots.withColumn(f"t{a}", F.explode(F.sequence(F.floor(low / width), F.floor((low + width - 1) / width))))
+    seen = pixels.select("movie", "t", F.col("z").alias("pz"), "y", "x", "value", *[F.floor(F.col(a) / width).alias(f"t{a}") for a in "zyx"])
+    row, column = F.col("y") - F.col("iy") + half, F.col("x") - F.col("ix") + half
+    hit = spots.join(seen, ["movie", "t", "tz", "ty", "tx"]).where(F.col("pz").between(F.col("iz") - half, F.col("iz") + half - 1) & row.between(0, width - 1) & column.between(0, width - 1))
     # Padding counts as 0 where a patch reaches beyond the depth; absent pixels are 0 as well.
-    best = hit.groupBy(*DETECTION, "cell").agg(F.max("value").alias("value"))
+    best = hit.groupBy(*DETECTION, (row * width + column).cast("int").alias("cell")).agg(F.max("value").alias("value"))
     filled = best.groupBy(*DETECTION).agg(F.map_from_entries(F.collect_list(F.struct("cell", "value"))).alias("found"))
     patch = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("found", k), F.lit(0.0)))
     return detections.select(*DETECTION).join(filled, list(DETECTION), "left").select(*DETECTION, F.when(F.col("found").isNull(), F.array_repeat(F.lit(0.0), n)).otherwise(patch).alias("patch"))
