@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.assignment import certificate
+from ..functions.loops import shared_folder
 from ..operators import augment as x
 from ..operators import candidates as j
 from ..operators import lineage as g
@@ -741,6 +743,45 @@ def track_by_distance(spark, d):
     return track(px, v.movies(px), v.HEIGHT, v.WIDTH, use_distance=True, max_distance=D, max_neighbors=4)["tracklets"]
 
 
+# --- writers and readers ------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(v.sql("SELECT movie, label, t1, t2, parent FROM tr", "tr"))
+def written_tracklets(spark, d):
+    """Tracklets as they are read back from the files written for each movie."""
+    path = _folder(spark, "tracklets")
+    s.write_tracklets(v.tracklets(spark, d), path)
+    return s.read_tracklets(spark, f"{path}/*/*.csv").withColumn("movie", F.regexp_replace("movie", "^movie=", ""))
+
+
+@query(v.sql("SELECT DISTINCT movie, t, y, x, label FROM pixels", "pixels"))
+def written_masks(spark, d):
+    """Label movies as they are read back."""
+    path = _folder(spark, "masks")
+    s.write_masks(v.pixels(spark, d).select("movie", "t", "y", "x", "label").distinct(), path)
+    return spark.read.parquet(path).select("movie", "t", "y", "x", "label")
+
+
+@query(v.sql("SELECT 'node' AS kind, movie, t, label, round(cx, 6) AS x, round(cy, 6) AS y FROM det UNION ALL SELECT 'edge', movie, ti, li, tj, lj FROM knn UNION ALL SELECT 'pixel', movie, t, label, x, y FROM (SELECT DISTINCT movie, t, label, x, y FROM pixels)", "det", "knn", extra=_EDGES))
+def written_graph(spark, d):
+    """Nodes, edges and segmentation of a graph as they are read back from its folder."""
+    path = _folder(spark, "graph")
+    nodes = det(spark, d).select("movie", "t", "label", F.array("cy", "cx").alias("coords"))
+    s.write_graph(nodes, graph(spark, d), v.pixels(spark, d).select("movie", "t", "label", "x", "y").distinct(), path)
+    back = spark.read.parquet(f"{path}/nodes").select(F.lit("node").alias("kind"), "movie", "t", "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    edges = spark.read.parquet(f"{path}/edges").select(F.lit("edge"), "movie", "src.t", "src.label", F.col("dst.t").cast("double"), F.col("dst.label").cast("double"))
+    return back.union(edges).union(spark.read.parquet(f"{path}/segmentation").select(F.lit("pixel"), "movie", "t", "label", F.col("x").cast("double"), F.col("y").cast("double")))
+
+
+@query(v.sql("SELECT movie, t, 0 AS z, y, x, label FROM pixels", "pixels"))
+def with_depth(spark, d):
+    return s.with_depth(s.with_depth(v.pixels(spark, d).drop("z")), 2).select("movie", "t", "z", "y", "x", "label")
+
+
 # --- augmentation and sampling -----------------------------------------------------------------------------------
 
 
