@@ -71,3 +71,30 @@ def test_stages(spark, tmp_path):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = Counter((r.doc_id, np.array(tok.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes()) for r in mixed)
     assert Counter((r.doc_id, bytes(r.ids)) for r in tokens) == ids
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, score double"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids and texts, columns with the operators' own names, and no rows at all."""
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plain = " ".join(f"{w}{k}" for k in range(3) for w in WORDS)
+    odd = [(None, plain, "en", None, 5, 7, 0.5), (None, None, None, "a", None, None, None), (8, plain, "en", "a", 5, 7, 0.5), (8, plain, "en", "a", 5, 7, 0.5), (9, plain + " end", "en", "b", 5, 7, 0.5), (10, None, "en", "b", 0, 7, 0.5), (10, "", "en", "b", 0, 7, 0.5)]
+    frame = spark.createDataFrame(odd, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, frame.limit(0), str(tmp_path)) if name != "quality classifier" else frame.limit(0)
+        assert none.count() == 0
+    kept = corpus_pipeline.keep_quality(spark, docs.unionByName(frame.select(docs.columns)), str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {None, 8}
+    single = corpus_pipeline.drop_near_copies(spark, frame, str(tmp_path))
+    assert single.columns == frame.columns and sorted(str(r.doc_id) for r in single.collect()) == ["10", "10", "8", "8", "None", "None"]
+    cut = corpus_pipeline.drop_passages(spark, frame, str(tmp_path))
+    assert cut.columns == frame.columns and sorted(str(r.doc_id) for r in cut.collect()) == sorted(str(r[0]) for r in odd)
+    mixed = corpus_pipeline.mix_sources(spark, frame, str(tmp_path))
+    assert mixed.columns == frame.columns and sum(r.text in (None, "") for r in mixed.collect()) == 3
+    tokens = corpus_pipeline.to_tokens(spark, frame, str(tmp_path)).collect()
+    assert len(tokens) == len(odd) and sorted(r.n_tokens == 0 for r in tokens) == [False] * 4 + [True] * 3
