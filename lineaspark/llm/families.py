@@ -121,9 +121,9 @@ def chunk_links(sized: DataFrame, items: DataFrame, near: DataFrame, found: Data
 
 
 def node_of(line: bytes, seed: int) -> tuple[int, int]:
-    """128 bits of a text's words in two numbers."""
+    """128 bits of a text's words in two numbers; the first, its node, is even."""
     d = hashlib.blake2b(line, digest_size=16, person=str(seed).encode()).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    return int.from_bytes(d[:8], "little", signed=True) & ~1, int.from_bytes(d[8:], "little", signed=True)
 
 
 def _texts(seed: int, wanted: np.ndarray | None):
@@ -137,6 +137,7 @@ def _texts(seed: int, wanted: np.ndarray | None):
                 at = np.searchsorted(wanted, [a for a, _ in some])
                 some = [x for x, i in zip(some, at.tolist()) if i < len(wanted) and wanted[i] == x[0]]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary()).cast(pa.string())], names=["node", "text"])
+        c.release()
 
     return run
 
