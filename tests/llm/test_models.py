@@ -229,4 +229,4 @@ def test_graph_search_and_pruning():
         read += take.sum()
         best = np.argsort(((x - q) ** 2).sum(axis=1))[1:11]
         hits += take[best].any(axis=1).sum()
-    assert hits > 0.88 * 1000 and read < 0.05 * 100 * (held >= 0).sum()
+    assert hits >= 0.9 * 1000 and read < 0.05 * 100 * (held >= 0).sum()
