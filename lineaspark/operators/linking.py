@@ -17,7 +17,7 @@ CONFIGS = {
     "deepcell_gt_tuned": {"nodeW": 0.0, "nodeC": -10.0, "edgeW": -1.0, "edgeC": 0.0, "appearC": 0.5, "disappearC": 0.5, "splitC": 1.0},
     "deepcell_res_tuned": {"nodeW": 0.0, "nodeC": 0.25, "edgeW": -1.0, "edgeC": -0.25, "appearC": 0.25, "disappearC": 0.25, "splitC": 1.0},
 }
-MOST_IN_GROUP = 2_000_000
+MOST_IN_GROUP = 2_000_000  # edges of a frame pair that one task goes through
 
 
 def _order() -> list:
@@ -26,8 +26,6 @@ def _order() -> list:
 
 def _frame_greedy(children: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MOST_IN_GROUP:
-            raise ValueError("too many edges in one frame pair: link by rounds or lower the distance")
         taken, used, keep = set(), {}, []
         for place, (i, j) in enumerate(zip(rows["li"], rows["lj"])):
             if j not in taken and used.get(i, 0) < children:
@@ -45,7 +43,8 @@ def link_greedy(edges: DataFrame, allow_divisions: bool = True, threshold: float
     Ties go by source, target frame, distance and target label.  ``rounds`` takes in each round every edge that
     is the best one left at its target and among the best that its source can still take; that equals the
     sequence and works for any frame distance.  ``frames`` goes through the sequence for each pair of frames in
-    one group; it is for edges between adjacent frames only.  Nodes without an edge are not in the result.
+    one group, and by rounds for pairs of frames with more edges than a task should hold; it is for edges between adjacent
+    frames only.  Nodes without an edge are not in the result.
     """
     children = 2 if allow_divisions else 1
     heavy = edges.where(F.col("weight") > 1)
@@ -53,11 +52,18 @@ def link_greedy(edges: DataFrame, allow_divisions: bool = True, threshold: float
     if method == "frames":
         flat = edges.select("movie", F.col("src.t").alias("ti"), F.col("src.label").alias("li"), F.col("dst.t").alias("tj"), F.col("dst.label").alias("lj"), "dist", "weight")
         checked = F.assert_true((F.col("weight") <= 1) & (F.col("tj") == F.col("ti") + 1), F.lit("weights above 1 or edges over several frames"))
-        flat = flat.where(checked.isNull()).repartition("movie", "ti").sortWithinPartitions("movie", "ti", F.col("weight").desc(), "li", "dist", "lj")
+        flat = materialize(flat.where(checked.isNull()))
+        large = flat.groupBy("movie", "ti").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_IN_GROUP).select("movie", "ti")
+        rest = None
+        if large.limit(1).count():
+            many = flat.join(large, ["movie", "ti"], "left_semi").select("movie", F.struct(F.col("ti").alias("t"), F.col("li").alias("label")).alias("src"), F.struct(F.col("tj").alias("t"), F.col("lj").alias("label")).alias("dst"), "dist", "weight")
+            rest, flat = link_greedy(many, allow_divisions, threshold), flat.join(large, ["movie", "ti"], "left_anti")
+        flat = flat.repartition("movie", "ti").sortWithinPartitions("movie", "ti", F.col("weight").desc(), "li", "dist", "lj")
         sort = lambda rows: rows.sort_values(["weight", "li", "dist", "lj"], ascending=[False, True, True, True], kind="stable")
         greedy = _frame_greedy(children)
         out = flat.groupBy("movie", "ti").applyInPandas(lambda rows: greedy(sort(rows)), "movie string, ti int, li int, tj int, lj int, dist double, weight double")
-        return out.select("movie", F.struct(F.col("ti").alias("t"), F.col("li").alias("label")).alias("src"), F.struct(F.col("tj").alias("t"), F.col("lj").alias("label")).alias("dst"), "dist", "weight")
+        out = out.select("movie", F.struct(F.col("ti").alias("t"), F.col("li").alias("label")).alias("src"), F.struct(F.col("tj").alias("t"), F.col("lj").alias("label")).alias("dst"), "dist", "weight")
+        return out if rest is None else out.unionByName(rest)
     if heavy.limit(1).count():
         raise ValueError("weights must not exceed 1")
     start = edges.select("movie", "src", "dst", "dist", "weight", F.lit(0).alias("used"), F.lit(False).alias("taken"))

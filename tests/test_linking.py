@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from lineaspark.operators import linking
 from lineaspark.operators.linking import CONFIGS, EDGE, link_greedy, link_optimal, optimal_solution, solution_cost
 
 
@@ -41,6 +42,13 @@ def test_greedy_equals_the_sequence(spark, delta, divisions):
             assert ends(link_greedy(edges, divisions, method="frames")) == want
 
 
+def test_large_frame_pairs_go_by_rounds(spark, monkeypatch):
+    rows, edges = graph(spark, 5)
+    n = [sum(e[1][0] == t for e in rows) for t in range(3)]
+    monkeypatch.setattr(linking, "MOST_IN_GROUP", sorted(n)[1])
+    assert ends(link_greedy(edges, method="frames")) == sequential(rows, 2)
+
+
 def test_greedy_edges(spark):
     assert link_greedy(spark.createDataFrame([], EDGE)).count() == 0
     heavy = spark.createDataFrame([("m", (0, 1), (1, 1), 0.0, 1.5)], EDGE)
