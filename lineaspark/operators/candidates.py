@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.crowds import CROWD, around, meet, point
 from ..functions.loops import discard, materialize
 
 _AXES = ("cz", "cy", "cx")
@@ -26,26 +27,20 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select("movie", side("ti", "li").alias("src"), side("t", "lj").alias("dst"), "dist")
 
 
-def candidate_pairs(nodes: DataFrame, delta_t: int = 1, max_distance: float | None = None, ndim: int = 2) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, delta_t: int = 1, max_distance: float | None = None, ndim: int = 2, crowd: int = CROWD) -> DataFrame:
     """Edges (movie, src, dst, dist) from each node to those up to ``delta_t`` frames later within ``max_distance``.
 
     Nodes are keyed by frame and by a grid cell as wide as the distance, the later side in its own cell, the
-    earlier one in that and the adjacent cells, so that only near nodes meet; with three dimensions cells are cut in
-    depth too.  Without a distance the answer is all pairs of two frames; where the nearest are wanted,
-    :func:`nearest_pairs` finds them without making these.
+    earlier one in all that it reaches, so that only near nodes meet; with three dimensions cells are cut in
+    depth too.  Cells with more than ``crowd`` nodes are cut and sliced (:func:`meet`).  Without a distance the answer is all pairs
+    of two frames; where the nearest are wanted, :func:`nearest_pairs` finds them without making these.
     """
     src, dst = _sides(nodes, delta_t)
-    keys = ["movie", "t"]
-    if max_distance is not None:
-        for c in _AXES[3 - ndim :]:
-            cell = F.floor(F.col(f"{c}_i") / max_distance)
-            src = src.withColumn(f"g{c}", F.explode(F.array(cell - 1, cell, cell + 1)))
-            dst = dst.withColumn(f"g{c}", F.floor(F.col(f"{c}_j") / max_distance))
-            keys.append(f"g{c}")
-    out = src.join(dst, keys).withColumn("dist", _distance())
-    if max_distance is not None:
-        out = out.where(F.col("dist") <= max_distance)
-    return _edges(out)
+    if max_distance is None:
+        return _edges(src.join(dst, ["movie", "t"]).withColumn("dist", _distance()))
+    axes = _AXES[3 - ndim :]
+    pairs = meet(src, dst, ["movie", "t"], [around(f"{c}_i", max_distance) for c in axes], [point(f"{c}_j") for c in axes], max_distance, crowd)
+    return _edges(pairs.withColumn("dist", _distance()).where(F.col("dist") <= max_distance))
 
 
 def nearest_pairs(nodes: DataFrame, k: int, delta_t: int = 1, ndim: int = 2) -> DataFrame:

@@ -12,41 +12,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.crowds import CROWD, around, meet, point
+
 PAIR = ("movie", "t1", "t_i", "l_i", "t_j", "l_j")
+_AXES = ("cz", "cy", "cx")
+
+
+def _near(a: DataFrame, b: DataFrame, keys: list[str], cutoff: float, crowd: int) -> DataFrame:
+    """The pairs of ``a`` (suffix _i) and ``b`` (suffix _j) within ``cutoff`` and their distance."""
+    pairs = meet(a, b, keys, [point("cy_i"), point("cx_i")], [around("cy_j", cutoff), around("cx_j", cutoff)], cutoff, crowd)
+    dist = F.sqrt(sum((F.pow(F.col(f"{c}_i") - F.col(f"{c}_j"), 2) for c in _AXES), F.lit(0.0)))
+    return pairs.withColumn("dist", dist).where(F.col("dist") <= cutoff)
 
 
-def window_pairs(windows: DataFrame, cutoff: float = 256, delta_t: int | None = None) -> DataFrame:
+def window_pairs(windows: DataFrame, cutoff: float = 256, delta_t: int | None = None, crowd: int = CROWD) -> DataFrame:
     """Pairs within a window not farther apart than ``cutoff``, with their distance; forward ones only, if ``delta_t`` is given.
 
-    Both sides are keyed by grid cells of the size of the cutoff, so that a frame's detections meet only near ones.
+    Both sides are keyed by grid cells of the size of the cutoff, so that a frame's detections meet only near ones; cells with
+    more than ``crowd`` of them are cut and sliced.
     """
-    cell = lambda c: F.floor(F.col(c) / cutoff)
-    a = windows.select("movie", "t1", F.col("t").alias("t_i"), F.col("label").alias("l_i"), *[F.col(c).alias(f"{c}_i") for c in ("cz", "cy", "cx")], cell("cy").alias("gy"), cell("cx").alias("gx"))
-    b = windows.select("movie", "t1", F.col("t").alias("t_j"), F.col("label").alias("l_j"), *[F.col(c).alias(f"{c}_j") for c in ("cz", "cy", "cx")], cell("cy").alias("gy"), cell("cx").alias("gx"))
-    around = lambda g: F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1))
-    b = b.withColumn("gy", around("gy")).withColumn("gx", around("gx"))
-    pairs = a.join(b, ["movie", "t1", "gy", "gx"])
-    dist = F.sqrt(sum((F.pow(F.col(f"{c}_i") - F.col(f"{c}_j"), 2) for c in ("cz", "cy", "cx")), F.lit(0.0)))
-    pairs = pairs.withColumn("dist", dist).where(F.col("dist") <= cutoff)
+    side = lambda s: windows.select("movie", "t1", F.col("t").alias(f"t_{s}"), F.col("label").alias(f"l_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in _AXES])
+    pairs = _near(side("i"), side("j"), ["movie", "t1"], cutoff, crowd)
     if delta_t is not None:
         pairs = pairs.where((F.col("t_j") > F.col("t_i")) & (F.col("t_j") - F.col("t_i") <= delta_t))
     return pairs.select(*PAIR, "dist")
 
 
-def detection_pairs(nodes: DataFrame, window: int, cutoff: float = 256, delta_t: int | None = None) -> DataFrame:
+def detection_pairs(nodes: DataFrame, window: int, cutoff: float = 256, delta_t: int | None = None, crowd: int = CROWD) -> DataFrame:
     """Pairs of detections that share a window of ``window`` frames and lie within ``cutoff``, each made once, with their distance.
 
-    Frames and grid cells are join keys; a pair over two frames is found forward and mirrored.  With ``delta_t``
-    only forward pairs at most that many frames apart come out.  :func:`in_windows` deals pairs to windows.
+    Frames and grid cells are join keys, crowded cells cut and sliced; a pair over two frames is found forward and mirrored.  With
+    ``delta_t`` only forward pairs at most that many frames apart come out.  :func:`in_windows` deals pairs to windows.
     """
-    cell = lambda c: F.floor(F.col(c) / cutoff)
-    axes = ("cz", "cy", "cx")
-    side = lambda s: nodes.select("movie", F.col("t").alias(f"t_{s}"), F.col("label").alias(f"l_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in axes], cell("cy").alias("gy"), cell("cx").alias("gx"))
+    side = lambda s: nodes.select("movie", F.col("t").alias(f"t_{s}"), F.col("label").alias(f"l_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in _AXES])
     steps = range(0 if delta_t is None else 1, window if delta_t is None else min(window - 1, delta_t) + 1)
-    around = lambda g: F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1))
-    b = side("j").withColumn("gy", around("gy")).withColumn("gx", around("gx")).withColumn("t_i", F.explode(F.array(*[F.col("t_j") - k for k in steps])))
-    dist = F.sqrt(sum((F.pow(F.col(f"{c}_i") - F.col(f"{c}_j"), 2) for c in axes), F.lit(0.0)))
-    pairs = side("i").join(b, ["movie", "t_i", "gy", "gx"]).withColumn("dist", dist).where(F.col("dist") <= cutoff)
+    earlier = side("j").withColumn("t_i", F.explode(F.array(*[F.col("t_j") - k for k in steps])))
+    pairs = _near(side("i"), earlier, ["movie", "t_i"], cutoff, crowd)
     keys = ("t_i", "l_i", "t_j", "l_j")
     if delta_t is not None:
         return pairs.select("movie", *keys, "dist")
