@@ -294,14 +294,14 @@ def crowded_scores(spark, d):
     return rounded(out.select("movie", F.col("la.t").alias("ta"), F.col("la.label").alias("la"), F.col("lb.t").alias("tb"), F.col("lb.label").alias("lb"), "score"), "score")
 
 
-@query(v.sql("""SELECT a.movie, a.t AS ta, a.label AS la, b.t AS tb, b.label AS lb, round(iw * ih / ((a.y1 - a.y0 + 1.0) * (a.x1 - a.x0 + 1) + (b.y1 - b.y0 + 1.0) * (b.x1 - b.x0 + 1) - iw * ih), 6) AS overlap
+@query(v.sql("""SELECT a.movie, a.t AS ta, a.label AS la, b.t AS tb, b.label AS lb, round(iw * ih / ((a.y1 - a.y0 + 1.0) * (a.x1 - a.x0 + 1) + (b.y1 - b.y0 + 1.0) * (b.x1 - b.x0 + 1) - iw * ih), 9) AS overlap
 FROM boxa a JOIN boxb b ON a.movie = b.movie AND a.y1 >= b.y0 AND b.y1 >= a.y0 AND a.x1 >= b.x0 AND b.x1 >= a.x0, LATERAL (SELECT least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1.0 AS iw, least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1.0 AS ih)""", "boxa", "boxb", extra=_OVER))
 def crowded_boxes(spark, d):
     """Overlaps of the boxes of two label movies whose frames are laid over one another."""
     px = v.pixels(spark, d)
     flat_ = lambda df: m.bounding_boxes(df).withColumn("label", F.struct("t", "label")).withColumn("t", F.lit(0))
     out = m.bbox_overlap(flat_(px), flat_(second(px)), grid=32, crowd=16)
-    return rounded(out.select("movie", F.col("la.t").alias("ta"), F.col("la.label").alias("la"), F.col("lb.t").alias("tb"), F.col("lb.label").alias("lb"), "overlap"), "overlap")
+    return rounded(out.select("movie", F.col("la.t").alias("ta"), F.col("la.label").alias("la"), F.col("lb.t").alias("tb"), F.col("lb.label").alias("lb"), "overlap"), "overlap", digits=9)
 
 
 @query(v.sql("SELECT movie, t, la, lb, round(overlap, 6) AS overlap FROM box", "box", extra=_OVER))
