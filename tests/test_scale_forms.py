@@ -44,6 +44,18 @@ def test_nearest_pairs_makes_few(spark):
     assert candidates.nearest_pairs(spark.createDataFrame([], NODE), 2).count() == 0
 
 
+@pytest.mark.parametrize("seed, k, delta", [(5, 3, 2)])
+def test_graph_searches_the_nearest(spark, monkeypatch, seed, k, delta):
+    """The graph of the nearest within a distance is that of all pairs within it, which are not made; odd nodes have no edges."""
+    odd = [("m", 1, 201, 0.0, None, 1.0), ("m", 1, 202, 0.0, float("nan"), 1.0), ("p", 0, 1, 0.0, 0.0, 0.0), ("p", 1, 1, 0.0, 6.0, 0.0), ("p", 1, 2, 0.0, 6.0 + 1e-6, 0.0)]
+    df = spark.createDataFrame(detections(seed, 2) + odd, NODE)
+    want = candidates.nearest_candidates(candidates.weigh_edges(candidates.candidate_pairs(df, delta, 6.0), None, 6.0), k)
+    want = sorted(map(tuple, want.select("movie", "src", "dst", "dist", "weight").collect()))
+    monkeypatch.setattr(candidates, "candidate_pairs", None)
+    got = candidates.build_graph(df, use_distance=True, max_distance=6.0, max_neighbors=k, delta_t=delta)
+    assert sorted(map(tuple, got.select("movie", "src", "dst", "dist", "weight").collect())) == want
+
+
 def test_three_dimensions(spark):
     rows = detections(4, 3)
     df = spark.createDataFrame(rows, NODE)
