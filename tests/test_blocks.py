@@ -1,7 +1,8 @@
-"""Block sums that detections carry, against windows over the pairs."""
+"""Block sums that detections carry, against windows over the pairs; model calls of bounded size."""
 
 import random
 
+import numpy as np
 from lineaspark.operators import scores
 from pyspark.sql import functions as F
 
@@ -39,3 +40,22 @@ def test_detection_loss(spark):
     want = scores.association_loss(scores.parental_norm(scores.in_windows(make(table), movies, 3)))
     got = scores.detection_loss(table, movies, forward, 3)
     assert {x.movie: round(x.loss, 9) for x in got.collect()} == {x.movie: round(x.loss, 9) for x in want.collect()}
+
+
+def test_calls_are_bounded():
+    import pyarrow as pa
+
+    seen = []
+
+    def model():
+        def score(places, values, padding):
+            seen.append(padding.shape)
+            return np.zeros((*padding.shape, padding.shape[1]))
+
+        return score
+
+    one = lambda k: {"t": k % 2, "label": k, "cz": 0.0, "cy": float(k), "cx": 0.0, "f": []}
+    d = pa.array([[one(k) for k in range(n)] for n in (2, 3, 9, 10, 30)], pa.list_(pa.struct([("t", pa.int32()), ("label", pa.int32()), ("cz", pa.float64()), ("cy", pa.float64()), ("cx", pa.float64()), ("f", pa.list_(pa.float64()))])))
+    batch = pa.RecordBatch.from_arrays([pa.array(["m"] * 5), pa.array(range(5), pa.int32()), d], names=["movie", "t1", "d"])
+    out = list(scores._scored(model, 16, 1.0, None, 0, 200)(iter([batch])))
+    assert seen == [(2, 3), (2, 10), (1, 30)] and sum(len(x) for x in out) == sum(3 * n - 2 for n in (2, 3, 9, 10, 30))
