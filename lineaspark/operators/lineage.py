@@ -132,22 +132,24 @@ def lineage_intervals(tracklets: DataFrame) -> DataFrame:
     one entered before the walk leaves it.  The walk is a list of entries and exits, an entry weighing one: each
     step's pointer and weight to the end of its list are doubled in rounds logarithmic in the lineage, in which steps that have
     arrived take no part.  One row for each tracklet comes out.  A parent without a row of its own counts as none.
+    Tables of tracklets are far smaller as files than in memory, so no join may send one through the driver.
+    Tables of roots may be sent, since a root may have all tracklets, which one task should not get.
     """
     rows = tracklets.select("movie", F.col("label").cast("long").alias("label"), F.col("parent").cast("long").alias("parent")).groupBy("movie", "label").agg(F.min("parent").alias("parent"))
     known = rows.select("movie", F.col("label").alias("parent"), F.lit(True).alias("known"))
-    rows = rows.join(known, ["movie", "parent"], "left").select("movie", "label", F.when(F.col("known") & (F.col("parent") != 0), F.col("parent")).alias("parent"))
+    rows = rows.join(known.hint("merge"), ["movie", "parent"], "left").select("movie", "label", F.when(F.col("known") & (F.col("parent") != 0), F.col("parent")).alias("parent"))
     rows = materialize(rows)
     children = rows.where("parent is not null").withColumn("next", F.lead("label").over(Window.partitionBy("movie", "parent").orderBy("label")))
     eldest = children.groupBy("movie", F.col("parent").alias("label")).agg(F.min("label").alias("child"))
     # An entry leads to the first child's entry or to the own exit, an exit to the next sibling's entry or to the parent's exit.
-    entry = rows.join(eldest, ["movie", "label"], "left").select("movie", (2 * F.col("label")).alias("e"), F.coalesce(2 * F.col("child"), 2 * F.col("label") + 1).alias("to"), F.lit(1).cast("long").alias("w"))
-    leave = rows.select("movie", "label").join(children.select("movie", "label", "parent", "next"), ["movie", "label"], "left").select("movie", (2 * F.col("label") + 1).alias("e"), F.coalesce(2 * F.col("next"), 2 * F.col("parent") + 1).alias("to"), F.lit(0).cast("long").alias("w"))
+    entry = rows.join(eldest.hint("merge"), ["movie", "label"], "left").select("movie", (2 * F.col("label")).alias("e"), F.coalesce(2 * F.col("child"), 2 * F.col("label") + 1).alias("to"), F.lit(1).cast("long").alias("w"))
+    leave = rows.select("movie", "label").join(children.select("movie", "label", "parent", "next").hint("merge"), ["movie", "label"], "left").select("movie", (2 * F.col("label") + 1).alias("e"), F.coalesce(2 * F.col("next"), 2 * F.col("parent") + 1).alias("to"), F.lit(0).cast("long").alias("w"))
     # The end of a list is the exit of its root; a step holds the weights from itself up to, not including, the one it points to.
     start = entry.unionByName(leave).select("movie", "e", F.coalesce("to", "e").alias("to"), "w", F.col("to").isNull().alias("done"))
 
     def step(now: DataFrame) -> DataFrame:
         far = now.select("movie", F.col("e").alias("to"), F.col("to").alias("far"), F.col("w").alias("more"), F.col("done").alias("end"))
-        moved = now.where("not done").join(far, ["movie", "to"])
+        moved = now.where("not done").join(far.hint("merge"), ["movie", "to"])
         # Pointing at the end itself is arriving; the end weighs nothing.
         new = moved.select("movie", "e", F.col("far").alias("to"), (F.col("w") + F.col("more")).alias("w"), F.col("end").alias("done"))
         return now.where("done").unionByName(new)
@@ -178,7 +180,7 @@ def associations(windows: DataFrame, matching: DataFrame, closure: DataFrame) ->
     associated if their tracklets are the same or one descends from the other.  ``closure`` is what :func:`lineage_intervals`
     makes of the tracklets, or the pairs of :func:`lineage_closure`.
     """
-    known = windows.select("movie", "t1", "t", "label").join(matching, ["movie", "t", "label"])
+    known = windows.select("movie", "t1", "t", "label").join(matching.hint("merge"), ["movie", "t", "label"])
     if "first" in closure.columns:
         return _within(known, closure)
     same = matching.select("movie", F.col("truth").alias("a"), F.col("truth").alias("b")).distinct()
@@ -197,7 +199,7 @@ def _within(known: DataFrame, intervals: DataFrame) -> DataFrame:
     """
     intervals = intervals.select("movie", F.col("label").cast("long").alias("truth"), "root", "first", "last")
     bits = intervals.groupBy("movie", "root").agg((F.floor(F.log2(F.max("last") + 1.0)) + 1).cast("int").alias("bits"))
-    rows = known.withColumn("truth", F.col("truth").cast("long")).join(intervals.join(bits, ["movie", "root"]), ["movie", "truth"])
+    rows = known.withColumn("truth", F.col("truth").cast("long")).join(intervals.join(bits, ["movie", "root"]).hint("merge"), ["movie", "truth"])
     level = F.explode(F.sequence(F.lit(0), F.col("bits"))).alias("level")
     size = F.pow(F.lit(2.0), F.col("level"))
     down = rows.select("movie", "t1", F.col("t").alias("t_j"), F.col("label").alias("l_j"), F.col("truth").alias("b"), "root", "first", level)
@@ -207,7 +209,7 @@ def _within(known: DataFrame, intervals: DataFrame) -> DataFrame:
     wide_low, wide_high = F.ceil(F.col("first") / (2 * size)).cast("long"), F.floor((F.col("last") + 1) / (2 * size)).cast("long")
     up = up.withColumn("low", low).withColumn("high", high).withColumn("wl", 2 * wide_low).withColumn("wh", 2 * wide_high)
     up = up.where("low < high").withColumn("segment", F.explode(F.array_distinct(F.array(F.col("low"), F.col("high") - 1)))).where("segment < wl or segment >= wh")
-    met = up.select("movie", "t1", "t_i", "l_i", "a", "root", "level", "segment").join(down, ["movie", "t1", "root", "level", "segment"])
+    met = up.select("movie", "t1", "t_i", "l_i", "a", "root", "level", "segment").join(down.hint("merge"), ["movie", "t1", "root", "level", "segment"])
     pairs = met.select("movie", "t1", "t_i", "l_i", "t_j", "l_j", (F.col("a") == F.col("b")).alias("same"))
     back = pairs.where("not same").select("movie", "t1", F.col("t_j").alias("t_i"), F.col("l_j").alias("l_i"), F.col("t_i").alias("t_j"), F.col("l_i").alias("l_j"))
     return pairs.drop("same").unionByName(back)

@@ -1,10 +1,12 @@
 import pytest
-from lineaspark.operators.lineage import associations, identity_matching, lineage_closure, lineage_edges, linear_chains, relabel_by_tracklet, to_tracks, tracklet_table
+from lineaspark.functions.loops import materialize
+from lineaspark.operators.lineage import associations, identity_matching, lineage_closure, lineage_edges, lineage_intervals, linear_chains, relabel_by_tracklet, to_tracks, tracklet_table
 from lineaspark.operators.linking import EDGE
 from lineaspark.operators.matching import match_labels
 from lineaspark.operators.regions import region_features
 from lineaspark.operators.windows import sliding_windows
 from lineaspark.plans.track import track
+from pyspark.sql import functions as F
 
 PIXELS = "movie string, t int, z int, y int, x int, label int, value double"
 TRACKLETS = "movie string, label int, t1 int, t2 int, parent int"
@@ -84,3 +86,15 @@ def test_rolled_grid_matches(spark):
         got = match_labels(truth, result, region_features(truth, 128, 128), region_features(result, 128, 128))
         assert sorted((r.la, r.lb) for r in got.collect()) == [(k, k + 1) for k in range(1, 64)]
     assert match_labels(truth, truth.limit(0), region_features(truth, 128, 128), region_features(truth.limit(0), 128, 128)).count() == 0
+
+
+def test_intervals_send_no_table_through_the_driver(spark):
+    """Tables that are small as files are not broadcast, since they are large in memory."""
+    rows = [("m", k, 3 * k.bit_length(), 3 * k.bit_length() + 2, k // 2) for k in range(1, 200)]
+    tr = materialize(spark.createDataFrame(rows, "movie string, label int, t1 int, t2 int, parent int"))
+    found = tr.select("movie", "label", F.explode(F.sequence("t1", "t2")).alias("t"))
+    wins = found.withColumn("t1", F.explode(F.sequence(F.greatest(F.lit(0), F.col("t") - 3), F.col("t"))))
+    out = associations(wins, identity_matching(found), lineage_intervals(tr))
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 8  # two tables of roots in four branches
+    by_rows = associations(wins, identity_matching(found), lineage_closure(tr))
+    assert out.count() == by_rows.count() and not out.exceptAll(by_rows).count()
