@@ -59,3 +59,34 @@ def test_calls_are_bounded():
     batch = pa.RecordBatch.from_arrays([pa.array(["m"] * 5), pa.array(range(5), pa.int32()), d], names=["movie", "t1", "d"])
     out = list(scores._scored(model, 16, 1.0, None, 0, 200)(iter([batch])))
     assert seen == [(2, 3), (2, 10), (1, 30)] and sum(len(x) for x in out) == sum(3 * n - 2 for n in (2, 3, 9, 10, 30))
+
+
+def test_logits_of_a_window_come_in_blocks(monkeypatch):
+    """A window of many detections: no block of logits is larger than allowed, and all pairs come out once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(scores, "BLOCK", 50)
+    monkeypatch.setattr(scores, "ROWS", 7)
+    seen = []
+
+    def model():
+        def score(places, values, padding):
+            def block(rows, columns):
+                seen.append(len(places) * (rows.stop - rows.start) * (columns.stop - columns.start))
+                return 100 * places[:, rows, None, 2] + places[:, None, columns, 2]
+
+            return block
+
+        return score
+
+    one = lambda k, n: {"t": 3 * k // n, "label": k, "cz": 0.0, "cy": float(k), "cx": 0.0, "f": []}
+    kind = pa.list_(pa.struct([("t", pa.int32()), ("label", pa.int32()), ("cz", pa.float64()), ("cy", pa.float64()), ("cx", pa.float64()), ("f", pa.list_(pa.float64()))]))
+    sizes = (2, 5, 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(["m"] * 3), pa.array(range(3), pa.int32()), pa.array([[one(k, n) for k in range(n)] for n in sizes], kind)], names=["movie", "t1", "d"])
+    for delta in (None, 1, 2):
+        out = [x for b in scores._scored(model, 2, 9.0, delta, 0, 10**9)(iter([batch])) for x in b.to_pylist()]
+        steps = range(-3, 4) if delta is None else range(1, delta + 1)
+        want = {(w, i, j) for w, n in enumerate(sizes) for i in range(n) for j in range(n) if abs(i - j) <= 9 and 3 * j // n - 3 * i // n in steps}
+        assert len(out) == len(want) and {(x["t1"], x["l_i"], x["l_j"]) for x in out} == want
+        assert all(x["logit"] == 100 * x["l_i"] + x["l_j"] for x in out)
+    assert max(seen) <= 50
