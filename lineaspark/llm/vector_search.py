@@ -4,8 +4,9 @@ Centroids come from a bounded sample by balanced bisection, so that lists hold a
 number grows with the corpus up to ``SAMPLE // LIST``.  A neighbour graph over the centroids, which every task
 holds, finds the centroids near a vector by best-first search.  A vector near a boundary is listed under several
 centroids.  A query reads the lists whose centroid is not farther than a ratio times its nearest one, up to a number;
-both are learned from queries of the sample and their neighbours in it.  Equal vectors are one entry with their
-least ids, which is all that any query can return of them.  Lists are split by a hash where they grow long.
+both are learned from queries of the sample and their neighbours in it.  Lists with close numbers are scanned together and hand on
+one choice for a query, so what is handed on does not grow with the lists that a query reads.  Equal vectors are one entry with
+their least ids, which is all that any query can return of them.  Lists are split by a hash where they grow long.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ LIST = 8  # vectors of the sample in a list, about
 COPIES, CLOSE = 5, 1.5
 TRIALS, REACH = 256, 0.955  # queries of the sample, and the share of their neighbours that the ratio must reach
 _SPLIT = 4096
+GROUPS, GROUPED = 64, 32_768  # groups of lists, and the entries of a group from which on there are more of them
 
 
 class Centroids:
@@ -168,7 +170,7 @@ def _fit(dim: int, n: int):
     return run
 
 
-def _lists(index: bytes, dim: int, splits: int):
+def _lists(index: bytes, dim: int, splits: int, groups: int):
     """Posting entries: a vector goes under its nearest centroid and under others that are about as near."""
 
     def run(batches):
@@ -179,14 +181,16 @@ def _lists(index: bytes, dim: int, splits: int):
                 continue
             ids, dist = c.search(x, COPIES)
             row, col = np.nonzero(dist <= CLOSE * dist[:, :1] + 1e-12)
-            rows = batch.take(pa.array(row))
+            rows, list_ = batch.take(pa.array(row)), ids[row, col].astype(np.int64)
             part = rows.column(0).to_numpy() % splits
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row, col], pa.int64()), pa.array(part, pa.int64()), *rows.columns], names=["list", "part", "vid", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list_ * groups // len(c.points)), pa.array(part, pa.int64()), pa.array(list_), *rows.columns], names=["group", "part", "list", "vid", "v", "ids"])
 
     return run
 
 
-def _probes(index: bytes, dim: int, probes: int, ratio: float, splits: int):
+def _probes(index: bytes, dim: int, probes: int, ratio: float, splits: int, groups: int):
+    """Queries with the lists that they read, one row for each group of lists and part."""
+
     def run(batches):
         c = Centroids.load(index)
         for batch in batches:
@@ -195,26 +199,41 @@ def _probes(index: bytes, dim: int, probes: int, ratio: float, splits: int):
                 continue
             ids, dist = c.search(x, probes)
             row, col = np.nonzero(dist <= ratio * dist[:, :1] + 1e-12)
-            list_ = np.repeat(ids[row, col], splits)
-            rows = batch.take(pa.array(np.repeat(row, splits)))
-            yield pa.RecordBatch.from_arrays([pa.array(list_), pa.array(np.tile(np.arange(splits), len(row))), rows.column(0), rows.column(1)], names=["list", "part", "qid", "q"])
+            list_ = ids[row, col].astype(np.int64)
+            order = np.lexsort((list_, row))
+            row, list_ = row[order], list_[order]
+            group = list_ * groups // len(c.points)
+            first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(group) != 0)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(list_))
+            again = np.repeat(np.arange(len(first)), splits)
+            rows = batch.take(pa.array(row[first][again]))
+            yield pa.RecordBatch.from_arrays([pa.array(group[first][again]), pa.array(np.tile(np.arange(splits), len(first))), rows.column(0), rows.column(1), lists.take(pa.array(again))], names=["group", "part", "qid", "q", "lists"])
 
     return run
 
 
 def _scan(dim: int, k: int):
+    """The ``k`` + 1 nearest entries of each query among the lists that it reads here, an entry of several lists once."""
+
     def run(entries: pa.Table, asked: pa.Table) -> pa.Table:
         names, found, scores, ids = [], [], [], []
         if entries.num_rows and asked.num_rows:
-            vid, x = entries["vid"].to_numpy(), _matrix(entries["v"], dim)
+            entries = entries.take(pa.array(np.argsort(entries["list"].to_numpy(), kind="stable")))
+            list_, vid, x = entries["list"].to_numpy(), entries["vid"].to_numpy(), _matrix(entries["v"], dim)
+            read = asked["lists"].combine_chunks()
+            wanted, ends = read.flatten().to_numpy(), read.offsets.to_numpy() - read.offsets[0].as_py()
+            low, high = np.searchsorted(list_, wanted, "left"), np.searchsorted(list_, wanted, "right")
             take = []
-            for qid, q in zip(asked["qid"].to_pylist(), _matrix(asked["q"], dim)):
-                d = np.sqrt(((x - q) ** 2).sum(axis=1))
-                best = np.lexsort((vid, d))[: k + 1]
+            for n, (qid, q) in enumerate(zip(asked["qid"].to_pylist(), _matrix(asked["q"], dim))):
+                rows = np.concatenate([np.arange(a, b) for a, b in zip(low[ends[n] : ends[n + 1]], high[ends[n] : ends[n + 1]])])
+                _, once = np.unique(vid[rows], return_index=True)
+                rows = rows[once]
+                d = np.sqrt(((x[rows] - q) ** 2).sum(axis=1))
+                best = np.lexsort((vid[rows], d))[: k + 1]
                 names += [qid] * len(best)
-                take += best.tolist()
+                take += rows[best].tolist()
                 scores += d[best].tolist()
-            rows = entries.take(pa.array(take))
+            rows = entries.take(pa.array(take, pa.int64()))
             found, ids = rows["vid"].to_pylist(), rows["ids"].to_pylist()
         return pa.table({"qid": pa.array(names, pa.int64()), "vid": pa.array(found, pa.int64()), "score": pa.array(scores, pa.float64()), "ids": pa.array(ids, pa.list_(pa.int64()))})
 
@@ -259,15 +278,16 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     fitted = Centroids.load(index)
     lists = len(fitted.points)
     splits = max(1, n * 2 // (max(1, lists) * _SPLIT))
-    posted = entries.mapInArrow(_lists(index, dim, splits), "list long, part long, vid long, v array<double>, ids array<long>")
+    groups = min(lists, max(GROUPS, n * COPIES // (splits * GROUPED)))
+    posted = entries.mapInArrow(_lists(index, dim, splits, groups), "group long, part long, list long, vid long, v array<double>, ids array<long>")
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("v").alias("qv")).distinct()
     heads = entries.select(F.col("vid").alias("qid"), F.col("v").alias("q"))
     asked = settle(asked.join(heads, F.col("qv") == F.col("q")).select("query_id", "qid"))
     queries = heads.join(asked.select("qid").distinct(), "qid", "left_semi").select("qid", "q")
 
     def run(queries: DataFrame, probes: int, ratio: float) -> DataFrame:
-        probed = queries.mapInArrow(_probes(index, dim, probes, ratio, splits), "list long, part long, qid long, q array<double>")
-        found = posted.groupBy("list", "part").cogroup(probed.groupBy("list", "part")).applyInArrow(_scan(dim, k), "qid long, vid long, score double, ids array<long>")
+        probed = queries.mapInArrow(_probes(index, dim, probes, ratio, splits, groups), "group long, part long, qid long, q array<double>, lists array<long>")
+        found = posted.groupBy("group", "part").cogroup(probed.groupBy("group", "part")).applyInArrow(_scan(dim, k), "qid long, vid long, score double, ids array<long>")
         near = _top(found.dropDuplicates(["qid", "vid"]), "qid", [F.col("score"), F.col("vid")], k + 1).select("qid", "score", F.explode("ids").alias("vec_id"))
         near = _top(near.groupBy("qid", "vec_id").agg(F.min("score").alias("score")), "qid", [F.col("score"), F.col("vec_id")], k + 1).drop("rank")
         out = asked.join(near, "qid").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

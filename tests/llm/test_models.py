@@ -4,12 +4,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from lineaspark.llm.lz_fingerprint import edit_probe, likeness_of, lz_fingerprint, parse
 from lineaspark.llm.mixing import mix
 from lineaspark.llm.quality import CHUNK, FILTERS, STEP, Network, fit_quality, score_quality
-from lineaspark.llm.vector_search import CLOSE, COPIES, LIST, Centroids, balanced_centroids, nearest
+from lineaspark.llm.vector_search import CLOSE, COPIES, LIST, Centroids, _scan, balanced_centroids, nearest
 
 
 def phrases(text):
@@ -230,3 +231,19 @@ def test_graph_search_and_pruning():
         best = np.argsort(((x - q) ** 2).sum(axis=1))[1:11]
         hits += take[best].any(axis=1).sum()
     assert hits >= 0.9 * 1000 and read < 0.05 * 100 * (held >= 0).sum()
+
+
+def test_lists_of_a_group_give_one_choice():
+    """Lists that are scanned together hand on k + 1 entries for a query, each once, however many lists it reads."""
+    r = np.random.default_rng(4)
+    vid = np.repeat(np.arange(30), 4)  # every vector under four of twelve lists
+    x = r.normal(size=(30, 3))
+    entries = pa.table({"group": np.zeros(120, np.int64), "part": np.zeros(120, np.int64), "list": (vid * 5 + np.tile(np.arange(4), 30)) % 12, "vid": vid, "v": pa.array(x[vid].tolist()), "ids": pa.array([[int(v)] for v in vid])})
+    reads = [list(range(12)), [3, 7], [20]]
+    asked = pa.table({"group": [0] * 3, "part": [0] * 3, "qid": [0, 1, 2], "q": pa.array(x[:3].tolist()), "lists": pa.array(reads, pa.list_(pa.int64()))})
+    got = _scan(3, 5)(entries, asked).to_pylist()
+    want = []
+    for q, lists in enumerate(reads):
+        held = {int(v) for v, n in zip(vid, entries["list"].to_pylist()) if n in lists}
+        want += [(q, v) for _, v in sorted((float(np.sqrt(((x[v] - x[q]) ** 2).sum())), v) for v in held)[:6]]
+    assert [(row["qid"], row["vid"]) for row in got] == want and all(row["ids"] == [row["vid"]] for row in got)
