@@ -78,3 +78,19 @@ def test_no_key_is_crowded(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], NODE)
     assert candidates.candidate_pairs(none, 1, 5.0).count() == 0 and matching.centroid_score(none, none).count() == 0
+
+
+def test_few_boxes_meet_without_cells(spark, monkeypatch):
+    """Frames with few boxes on one side: the same pairs as by cells, and the other side's boxes are neither listed nor shuffled."""
+    r = random.Random(3)
+    kind = "movie string, t int, label int, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int"
+    box = lambda label, size: ("m", r.randrange(3), label, 0, 1, *[e for low in (r.randrange(200), r.randrange(200)) for e in (low, low + r.randint(1, size))])
+    a, b = spark.createDataFrame([box(k, 20) for k in range(300)], kind), spark.createDataFrame([box(k, 150) for k in range(30)], kind)
+    few = matching.bbox_overlap(a, b)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "strategy=broadcast" in plan
+    monkeypatch.setattr(matching, "NARROW", 3)
+    cells = matching.bbox_overlap(a, b)
+    assert "Generate" in cells._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted((x.t, x.la, x.lb, round(x.overlap, 9)) for x in df.collect())
+    assert rows(few) == rows(cells) and few.count() > 300
