@@ -210,11 +210,13 @@ def run_parts(pixels: DataFrame) -> DataFrame:
     """:func:`pixel_runs` with ``part``, the first run (z, y, x0) of the connected part that each belongs to.
 
     Pixels touch over edges and corners, so two runs do where their rows are adjacent and their ends at most one column
-    apart.  Runs are joined with those of the four adjacent rows that come later, and contracted; a run has
-    a few links, whatever its length.
+    apart.  Runs are joined with those of the four adjacent rows that come later (of the one, where all lie in one plane), and
+    contracted; a run has a few links, whatever its length.
     """
     runs = materialize(pixel_runs(pixels))
-    rows = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    depth = runs.agg(F.min("z").alias("low"), F.max("z").alias("high")).first()
+    later = ((0, 1),) if depth["low"] == depth["high"] else ((0, 1), (1, -1), (1, 0), (1, 1))
+    rows = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy")) for a, b in later])
     node = F.struct("z", "y", "x0")
     one = runs.select(*DETECTION, node.alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.explode(rows).alias("d")).select(*DETECTION, "a", "a0", "a1", (F.col("a.z") + F.col("d.dz")).alias("z"), (F.col("a.y") + F.col("d.dy")).alias("y"))
     two = runs.select(*DETECTION, "z", "y", node.alias("b"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
@@ -225,8 +227,10 @@ def run_parts(pixels: DataFrame) -> DataFrame:
 
 def split_objects(pixels: DataFrame) -> DataFrame:
     """Frames where labels fall into several connected parts: movie, t, n_labels, n_parts and the excess."""
-    parts = run_parts(pixels)
-    both = parts.groupBy("movie", "t").agg(F.count_distinct("label").alias("n_labels"), F.count_distinct("label", "part").alias("n_parts"))
+    # A part has one run that it is named after.
+    named = F.count(F.when(F.col("part") == F.struct("z", "y", "x0"), 1))
+    per = run_parts(pixels).groupBy(*DETECTION).agg(named.alias("n"))
+    both = per.groupBy("movie", "t").agg(F.count(F.lit(1)).alias("n_labels"), F.sum("n").alias("n_parts"))
     return both.where("n_parts > n_labels").withColumn("excess", F.col("n_parts") - F.col("n_labels"))
 
 
@@ -235,7 +239,8 @@ def component_labels(links: DataFrame, keys: list[str]) -> DataFrame:
 
     Labels spread to neighbours and then jump to the label's own label, so long chains take few rounds.
     """
-    both = links.select(*keys, "a", "b").unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links = materialize(links.select(*keys, "a", "b"))  # read in every round
+    both = links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     start = both.groupBy(*keys, "a").agg(F.least(F.col("a"), F.min("b")).alias("part")).withColumn("moved", F.lit(True))
 
     def step(now: DataFrame) -> DataFrame:

@@ -114,6 +114,24 @@ def test_runs(spark):
     assert split == {t: (2, got[t, 1] + got[t, 2], got[t, 1] + got[t, 2] - 2) for t in range(3) if got[t, 1] + got[t, 2] > 2}
 
 
+def test_links_are_made_once(spark):
+    """Rounds read the links from a table; movies of one plane and of several give the same parts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            seen.add(rows.num_rows)
+            yield rows
+
+    links = spark.createDataFrame([("m", k, k + 1) for k in range(40)], "movie string, a int, b int").mapInArrow(counted, "movie string, a int, b int")
+    got = regions.component_labels(links, ["movie"]).collect()
+    assert {(x.a, x.part) for x in got} == {(k, 0) for k in range(41)} and seen.value == 40
+    flat = [("m", 0, 0, y, x, 1, 1.0) for y, x in ((0, 0), (1, 1), (5, 5), (7, 7))]
+    kind = "movie string, t int, z int, y int, x int, label int, value double"
+    split = lambda rows: [(x.t, x.n_labels, x.n_parts, x.excess) for x in regions.split_objects(spark.createDataFrame(rows, kind)).collect()]
+    assert split(flat) == [(0, 1, 3, 2)] and split([*flat, ("m", 0, 1, 6, 6, 1, 1.0)]) == [(0, 1, 2, 1)] and split([]) == []
+
+
 def forest(seed):
     r = random.Random(seed)
     rows = [("m", k, k, k + 1, r.choice([0, r.randint(1, max(1, k - 1))]) if k > 1 else 0) for k in range(1, 60)]
