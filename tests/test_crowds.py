@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from lineaspark.functions import crowds
 from lineaspark.functions.crowds import around, meet, placed, point
 from lineaspark.operators import candidates, matching, scores
 from pyspark.sql import functions as F
@@ -94,3 +95,19 @@ def test_few_boxes_meet_without_cells(spark, monkeypatch):
     assert "Generate" in cells._jdf.queryExecution().optimizedPlan().toString()
     rows = lambda df: sorted((x.t, x.la, x.lb, round(x.overlap, 9)) for x in df.collect())
     assert rows(few) == rows(cells) and few.count() > 300
+
+
+def test_few_centroids_meet_without_cuts(spark, monkeypatch):
+    """One side with few centroids: the same scores as by cut and sliced cells, and no cell is counted, cut or sliced."""
+    good = lambda seed, n: spark.createDataFrame([x for x in nodes(seed, n) if None not in x and x[4] == x[4]], NODE)
+    a, b = good(5, 200), good(6, 60)
+    score = lambda: sorted((x.t, x.la, x.lb, round(x.score, 9)) for x in matching.centroid_score(a, b, 6, crowd=5).collect())
+
+    def none(*_):
+        raise AssertionError("cells are counted")
+
+    with monkeypatch.context() as m:
+        m.setattr(crowds, "placed", none)
+        few = score()
+    monkeypatch.setattr(matching, "_FEW", 0)
+    assert few == score() and len(few) > 300
