@@ -346,9 +346,7 @@ def extents(group, weight, have_left, have_right, key, reach: int, window: int):
 
 def union_mask(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of n places lie in one of the half-open intervals."""
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, start, 1)
-    np.add.at(step, end, -1)
+    step = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(step)[:n] > 0
 
 

@@ -14,9 +14,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -51,10 +48,16 @@ class _Words:
 
     def number(self) -> None:
         """Numbers of the words, equal exactly for equal words, and the words' hashes."""
-        place: dict[bytes, int] = defaultdict(count().__next__)
-        words = self.raw.split()
-        self.word = np.fromiter(map(place.__getitem__, words), np.uint32, len(words))
-        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, place), c.U, len(place))[self.word]
+        # One array of words, each with the space behind it: what lies between the words of two documents is left out.
+        inside = np.ones(len(self.bytes), bool)
+        inside[self.a[self.start[self.end > self.start]] - 1] = inside[self.bytes == 10] = False
+        ends = np.concatenate([[0], np.cumsum(self.b - self.a + 1)]).astype(np.int64)
+        every = pa.Array.from_buffers(pa.large_binary(), len(self.a), [None, pa.py_buffer(ends), pa.py_buffer(self.bytes[inside])]).dictionary_encode()
+        _, at, data = every.dictionary.buffers()
+        at, data = np.frombuffer(at, np.int64, len(every.dictionary) + 1).tolist() if len(every) else [0], data.to_pybytes() if data else b""
+        unlike = [data[x : y - 1] for x, y in zip(at, at[1:])]
+        self.word = every.indices.to_numpy().astype(np.uint32)
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, unlike), c.U, len(unlike))[self.word]
 
     def text(self, first: int, last: int) -> bytes:
         """The words from ``first`` up to ``last`` with a space on either side."""
@@ -155,9 +158,9 @@ def _locate(w: _Words, passages: list[bytes]) -> np.ndarray:
     if not len(machine):
         return np.zeros(len(w.a), bool)
     machine.make_automaton()
-    found = np.fromiter((v for hit in machine.iter(w.raw.decode("latin-1")) for v in hit), np.int64).reshape(-1, 2)
-    first = np.searchsorted(w.a, found[:, 0] - found[:, 1] + 2)
-    return c.union_mask(len(w.a), first, np.searchsorted(w.b, found[:, 0], side="right"))
+    found = np.fromiter(machine.iter(w.raw.decode("latin-1")), np.dtype([("last", np.int64), ("size", np.int64)]))
+    first = np.searchsorted(w.a, found["last"] - found["size"] + 2)
+    return c.union_mask(len(w.a), first, np.searchsorted(w.b, found["last"], side="right"))
 
 
 def _remove(window: int):
@@ -176,12 +179,15 @@ def _without(docs: pa.Table, found: pa.Table, window: int) -> pa.Table:
         at = c.found_windows(found, c.gram_hashes(w.hash, window), w.end, window, lambda i: w.text(i, i + window))
         passages += [w.text(i, i + window) for i in at]
     gone = _locate(w, passages)
-    removed, kept = [], []
-    for a, e, text in zip(w.start, w.end, texts):
-        mask, words = gone[a:e], text.split()
-        removed.append(int(mask.sum()))
-        kept.append(b" ".join([x for x, off in zip(words, mask.tolist()) if not off] if removed[-1] else words).decode())
-    out = {"doc_id": rows["doc_id"], "n_words": w.end - w.start, "n_removed": np.array(removed, np.int64), "kept": pa.array(kept, pa.string())}
+    removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[np.stack([w.start, w.end])], axis=0)[0]
+    kept = []
+    for a, e, n in zip(w.start.tolist(), w.end.tolist(), removed.tolist()):
+        if n:  # every word goes or stays with the space before it
+            line = w.bytes[w.a[a] - 1 : w.b[e - 1]]
+            kept.append(line[np.repeat(~gone[a:e], w.b[a:e] - w.a[a:e] + 1)].tobytes()[1:])
+        else:
+            kept.append(w.text(a, e)[1:-1] if e > a else b"")
+    out = {"doc_id": rows["doc_id"], "n_words": w.end - w.start, "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())}
     return pa.table(out | ({"row": rows["row"]} if "row" in rows.column_names else {}))
 
 
