@@ -51,7 +51,8 @@ def nearest_pairs(nodes: DataFrame, k: int, delta_t: int = 1, ndim: int = 2, max
     in the next round.  Cells are so small at first that few targets share one; a place still open has fewer than
     ``k`` near it, so it meets few again.  Of targets in one place only the ``k`` first labels can be among
     the nearest, and sources in one place have the same nearest, so a crowded place stays small.  Ties go to the smaller
-    label.  Nodes without finite coordinates have no edges.
+    label.  Nodes without finite coordinates have no edges.  Tables of places are far smaller as files than in memory, so no join sends one
+    through the driver.
     """
     axes = _AXES[3 - ndim :]
     nodes = nodes.select("movie", "t", "label", *_AXES)
@@ -85,7 +86,7 @@ def nearest_pairs(nodes: DataFrame, k: int, delta_t: int = 1, ndim: int = 2, max
         for c in axes:
             asked = asked.withColumn(f"g{c}", F.explode(F.array(F.col(f"g{c}") - 1, F.col(f"g{c}"), F.col(f"g{c}") + 1)))
         held = there.select("movie", "t", "lj", *[f"{c}_j" for c in _AXES], *[F.floor(F.col(f"{c}_cell") / size).alias(f"g{c}") for c in axes])
-        met = asked.join(held, ["movie", "t", *[f"g{c}" for c in axes]]).withColumn("dist", _distance()).select(*source, "wide", "cap", "lj", "dist")
+        met = asked.join(held.hint("merge"), ["movie", "t", *[f"g{c}" for c in axes]]).withColumn("dist", _distance()).select(*source, "wide", "cap", "lj", "dist")
         if max_distance is not None:
             met = met.where(F.col("dist") <= max_distance)
         by = Window.partitionBy(*source)
@@ -94,10 +95,10 @@ def nearest_pairs(nodes: DataFrame, k: int, delta_t: int = 1, ndim: int = 2, max
         sure = ((F.col("have") == k) & (F.col("far") < F.col("wide"))) | (F.col("wide") >= F.col("cap"))
         found = materialize(met.where(sure).select(*source, "lj", "dist"))
         done = found if done is None else done.unionByName(found)
-        before, open_ = open_, materialize(open_.where(F.col("width") * size < F.col("cap")).join(found.select(*source).distinct(), source, "left_anti"))
+        before, open_ = open_, materialize(open_.where(F.col("width") * size < F.col("cap")).join(found.select(*source).distinct().hint("merge"), source, "left_anti"))
         discard(before)
         if not open_.limit(1).count():
-            return _edges(src.select(*source, "ti", "li").join(done, source))
+            return _edges(src.select(*source, "ti", "li").join(done.hint("merge"), source))
     raise RuntimeError("coordinates that no grid can hold")
 
 

@@ -21,22 +21,23 @@ def node_tracklets(edges: DataFrame, nodes: DataFrame | None = None) -> DataFram
 
     A tracklet begins where a node has no parent, is one of two children, or follows its parent after a gap.
     ``nodes`` adds nodes without edges.  Pointers to the node before are doubled until all reach a head, in
-    rounds logarithmic in the longest tracklet.
+    rounds logarithmic in the longest tracklet.  Tables of nodes are far smaller as files than in memory, so no join here or below may send
+    one through the driver.
     """
     out = edges.groupBy("movie", "src").agg(F.count(F.lit(1)).alias("n_out"))
     wrong = F.assert_true(F.col("n_out") <= 2, F.lit("more than two children"))
-    back = edges.join(out, ["movie", "src"]).where(wrong.isNull()).select("movie", F.col("dst").alias("node"), F.col("src").alias("parent"), ((F.col("n_out") == 2) | (F.col("dst.t") - F.col("src.t") > 1)).alias("starts"))
-    first = _solution_nodes(edges, nodes).join(back, ["movie", "node"], "left")
+    back = edges.join(out.hint("merge"), ["movie", "src"]).where(wrong.isNull()).select("movie", F.col("dst").alias("node"), F.col("src").alias("parent"), ((F.col("n_out") == 2) | (F.col("dst.t") - F.col("src.t") > 1)).alias("starts"))
+    first = _solution_nodes(edges, nodes).join(back.hint("merge"), ["movie", "node"], "left")
     first = materialize(first.withColumn("starts", F.coalesce("starts", F.lit(True))))
     start = first.select("movie", "node", F.when(F.col("starts"), F.col("node")).otherwise(F.col("parent")).alias("ptr"), F.lit(True).alias("moved"))
 
     def step(now: DataFrame) -> DataFrame:
         far = now.select("movie", F.col("node").alias("ptr"), F.col("ptr").alias("far"))
-        return now.drop("moved").join(far, ["movie", "ptr"]).select("movie", "node", F.col("far").alias("ptr"), (F.col("far") != F.col("ptr")).alias("moved"))
+        return now.drop("moved").join(far.hint("merge"), ["movie", "ptr"]).select("movie", "node", F.col("far").alias("ptr"), (F.col("far") != F.col("ptr")).alias("moved"))
 
     heads = fixpoint(start, step, lambda now: now.where("moved")).select("movie", "node", F.col("ptr").alias("head"))
     parents = first.where("starts").select("movie", F.col("node").alias("head"), "parent")
-    return heads.join(parents, ["movie", "head"]).select("movie", "node", "head", "parent")
+    return heads.join(parents.hint("merge"), ["movie", "head"]).select("movie", "node", "head", "parent")
 
 
 def tracklet_labels(members: DataFrame) -> DataFrame:
@@ -49,9 +50,9 @@ def tracklet_table(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[Da
     """The table (movie, label, t1, t2, parent) and the label of every node (movie, t, node label, tracklet)."""
     members = node_tracklets(edges, nodes)
     labels = materialize(tracklet_labels(members))
-    of_node = members.join(labels.select("movie", "head", F.col("label").alias("tracklet")), ["movie", "head"])
+    of_node = members.join(labels.select("movie", "head", F.col("label").alias("tracklet")).hint("merge"), ["movie", "head"])
     parent = of_node.select("movie", F.col("node").alias("parent"), F.col("tracklet").alias("parent_label"))
-    table = labels.join(parent, ["movie", "parent"], "left").select("movie", "label", "t1", "t2", F.coalesce("parent_label", F.lit(0)).alias("parent"))
+    table = labels.join(parent.hint("merge"), ["movie", "parent"], "left").select("movie", "label", "t1", "t2", F.coalesce("parent_label", F.lit(0)).alias("parent"))
     return table, of_node.select("movie", F.col("node.t").alias("t"), F.col("node.label").alias("label"), "tracklet")
 
 
@@ -61,25 +62,25 @@ def linear_chains(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     A chain starts at a node with more edges out than in, once for each child, and runs on while there is one
     successor; gaps do not break it.  Roots without exactly one child are chains of their own.
     """
-    degree = _solution_nodes(edges, nodes).join(edges.groupBy("movie", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out")), ["movie", "node"], "left")
-    degree = degree.join(edges.groupBy("movie", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in")), ["movie", "node"], "left").na.fill(0, ["n_out", "n_in"])
-    into = edges.join(degree.select("movie", F.col("node").alias("src"), "n_out", "n_in"), ["movie", "src"])
+    degree = _solution_nodes(edges, nodes).join(edges.groupBy("movie", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out")).hint("merge"), ["movie", "node"], "left")
+    degree = degree.join(edges.groupBy("movie", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in")).hint("merge"), ["movie", "node"], "left").na.fill(0, ["n_out", "n_in"])
+    into = edges.join(degree.select("movie", F.col("node").alias("src"), "n_out", "n_in").hint("merge"), ["movie", "src"])
     links = materialize(into.select("movie", F.col("dst").alias("node"), "src", (F.col("n_out") > F.col("n_in")).alias("starts")))
     start = links.select("movie", "node", F.when(F.col("starts"), F.col("node")).otherwise(F.col("src")).alias("ptr"), F.lit(True).alias("moved"))
 
     def step(now: DataFrame) -> DataFrame:
         far = now.select("movie", F.col("node").alias("ptr"), F.col("ptr").alias("far"))
-        return now.drop("moved").join(far, ["movie", "ptr"]).select("movie", "node", F.col("far").alias("ptr"), (F.col("far") != F.col("ptr")).alias("moved"))
+        return now.drop("moved").join(far.hint("merge"), ["movie", "ptr"]).select("movie", "node", F.col("far").alias("ptr"), (F.col("far") != F.col("ptr")).alias("moved"))
 
     run = fixpoint(start, step, lambda now: now.where("moved")).select("movie", "node", F.col("ptr").alias("second"))
     first = links.where("starts").select("movie", F.col("node").alias("second"), F.col("src").alias("first"))
-    rows = run.join(first, ["movie", "second"])
+    rows = run.join(first.hint("merge"), ["movie", "second"])
     chains = rows.select("movie", "first", "second", "node").unionByName(rows.select("movie", "first", "second", F.col("first").alias("node")).distinct())
     alone = degree.where("n_in = 0 and n_out <> 1").select("movie", F.col("node").alias("first"), F.lit(None).cast("struct<t:int,label:int>").alias("second"), "node")
     every = materialize(chains.unionByName(alone))
     names = numbered(every.select("movie", "first", "second").distinct(), ["movie"], ["first", F.col("second").asc_nulls_first()], "chain")
     names = names.select(F.col("movie").alias("m"), F.col("first").alias("f"), F.col("second").alias("s"), "chain")
-    return every.join(names, (F.col("movie") == F.col("m")) & (F.col("first") == F.col("f")) & F.col("second").eqNullSafe(F.col("s"))).select("movie", "chain", "node")
+    return every.join(names.hint("merge"), (F.col("movie") == F.col("m")) & (F.col("first") == F.col("f")) & F.col("second").eqNullSafe(F.col("s"))).select("movie", "chain", "node")
 
 
 def to_tracks(edges: DataFrame, nodes: DataFrame, columns: tuple[str, ...] = ("cz", "cy", "cx")) -> tuple[DataFrame, DataFrame]:
@@ -89,11 +90,11 @@ def to_tracks(edges: DataFrame, nodes: DataFrame, columns: tuple[str, ...] = ("c
     """
     chains = materialize(linear_chains(edges, nodes))
     ends = chains.groupBy("movie", "chain").agg(F.min("node").alias("head"), F.max("node").alias("tail"), F.count(F.lit(1)).alias("n"))
-    parents = ends.where("n > 1").select("movie", "chain", "head").join(ends.select("movie", F.col("chain").alias("parent_id"), F.col("tail").alias("head")), ["movie", "head"]).where("parent_id <> chain")
+    parents = ends.where("n > 1").select("movie", "chain", "head").join(ends.select("movie", F.col("chain").alias("parent_id"), F.col("tail").alias("head")).hint("merge"), ["movie", "head"]).where("parent_id <> chain")
     parents = parents.select("movie", F.col("chain").alias("track_id"), "parent_id", "head")
-    points = chains.join(parents.select("movie", F.col("track_id").alias("chain"), F.col("head").alias("node")).distinct(), ["movie", "chain", "node"], "left_anti")
+    points = chains.join(parents.select("movie", F.col("track_id").alias("chain"), F.col("head").alias("node")).distinct().hint("merge"), ["movie", "chain", "node"], "left_anti")
     points = points.select("movie", F.col("chain").alias("track_id"), F.col("node.t").alias("t"), F.col("node.label").alias("label"))
-    return points.join(nodes.select("movie", "t", "label", *columns), ["movie", "t", "label"]).select("movie", "track_id", "t", *columns), parents.select("movie", "track_id", "parent_id")
+    return points.join(nodes.select("movie", "t", "label", *columns).hint("merge"), ["movie", "t", "label"]).select("movie", "track_id", "t", *columns), parents.select("movie", "track_id", "parent_id")
 
 
 def labels_to_tracks(detections: DataFrame, tracklets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -221,18 +222,18 @@ def identity_matching(detections: DataFrame) -> DataFrame:
 
 
 def _solution_missing(pixels: DataFrame, nodes: DataFrame) -> DataFrame:
-    return nodes.select("movie", "t", "label").distinct().join(pixels.select("movie", "t", "label").distinct(), ["movie", "t", "label"], "left_anti")
+    return nodes.select("movie", "t", "label").distinct().join(pixels.select("movie", "t", "label").distinct().hint("merge"), ["movie", "t", "label"], "left_anti")
 
 
 def apply_solution(pixels: DataFrame, nodes: DataFrame, strict: bool = True) -> DataFrame:
     """Pixels of the detections in ``nodes``; with ``strict`` nodes without pixels are an error."""
     if strict and _solution_missing(pixels, nodes).limit(1).count():
         raise ValueError("the solution has detections without pixels")
-    return pixels.join(nodes.select("movie", "t", "label").distinct(), ["movie", "t", "label"], "left_semi").select(pixels.columns)
+    return pixels.join(nodes.select("movie", "t", "label").distinct().hint("merge"), ["movie", "t", "label"], "left_semi").select(pixels.columns)
 
 
 def relabel_by_tracklet(pixels: DataFrame, node_labels: DataFrame, strict: bool = True) -> DataFrame:
     """Pixels of labelled nodes (movie, t, label, tracklet) with the tracklet as label; other pixels are left out."""
     if strict and _solution_missing(pixels, node_labels).limit(1).count():
         raise ValueError("the solution has detections without pixels")
-    return pixels.join(node_labels.select("movie", "t", "label", "tracklet"), ["movie", "t", "label"]).withColumn("label", F.col("tracklet")).select(pixels.columns)
+    return pixels.join(node_labels.select("movie", "t", "label", "tracklet").hint("merge"), ["movie", "t", "label"]).withColumn("label", F.col("tracklet")).select(pixels.columns)

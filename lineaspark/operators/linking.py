@@ -215,7 +215,7 @@ def solution_cost(nodes: DataFrame, edges: DataFrame, config: str | dict = "gt",
     most = 2 if allow_divisions else 1
     into = edges.groupBy("movie", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
     out = edges.groupBy("movie", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"))
-    degree = nodes.select("movie", F.struct("t", "label").alias("node")).distinct().join(into, ["movie", "node"], "left").join(out, ["movie", "node"], "left").na.fill(0, ["n_in", "n_out"])
+    degree = nodes.select("movie", F.struct("t", "label").alias("node")).distinct().join(into.hint("merge"), ["movie", "node"], "left").join(out.hint("merge"), ["movie", "node"], "left").na.fill(0, ["n_in", "n_out"])
     count = lambda c: F.sum(c.cast("long"))
     per = degree.groupBy("movie").agg(
         F.count(F.lit(1)).alias("n_nodes"), count(F.col("n_in") == 0).alias("n_appear"), count(F.col("n_out") == 0).alias("n_disappear"), count(F.col("n_out") > 1).alias("n_split"),

@@ -131,7 +131,7 @@ def adjacent_edges(edges: DataFrame, nodes: DataFrame, incoming: bool = True) ->
     """Edges that end (or begin) in one of ``nodes`` (movie, t, label)."""
     side = "dst" if incoming else "src"
     keys = nodes.select("movie", F.struct("t", "label").alias(side)).distinct()
-    return edges.join(keys, ["movie", side], "left_semi").select(edges.columns)
+    return edges.join(keys.hint("merge"), ["movie", side], "left_semi").select(edges.columns)
 
 
 def tracklets_without_truth(pixels: DataFrame) -> DataFrame:
