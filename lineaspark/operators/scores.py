@@ -22,11 +22,15 @@ BLOCK = 1_000_000  # logits of a window that are looked at together, about
 ROWS = 50_000  # pairs in a batch that a task hands on, at most
 
 
+def _dist() -> Column:
+    square = lambda c: (F.col(f"{c}_i") - F.col(f"{c}_j")) * (F.col(f"{c}_i") - F.col(f"{c}_j"))
+    return F.sqrt(sum((square(c) for c in _AXES), F.lit(0.0)))
+
+
 def _near(a: DataFrame, b: DataFrame, keys: list[str], cutoff: float, crowd: int) -> DataFrame:
     """The pairs of ``a`` (suffix _i) and ``b`` (suffix _j) within ``cutoff`` and their distance."""
     pairs = meet(a, b, keys, [point("cy_i"), point("cx_i")], [around("cy_j", cutoff), around("cx_j", cutoff)], cutoff, crowd)
-    dist = F.sqrt(sum((F.pow(F.col(f"{c}_i") - F.col(f"{c}_j"), 2) for c in _AXES), F.lit(0.0)))
-    return pairs.withColumn("dist", dist).where(F.col("dist") <= cutoff)
+    return pairs.withColumn("dist", _dist()).where(F.col("dist") <= cutoff)
 
 
 def window_pairs(windows: DataFrame, cutoff: float = 256, delta_t: int | None = None, crowd: int = CROWD) -> DataFrame:
@@ -62,6 +66,20 @@ def detection_pairs(nodes: DataFrame, window: int, cutoff: float = 256, delta_t:
     return pairs.select("movie", F.explode(ways).alias("p"), "dist").select("movie", "p.*", "dist")
 
 
+def named_pairs(nodes: DataFrame, partners: Column, window: int, cutoff: float = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs of :func:`detection_pairs` whose second label is among ``partners``, an array over the first one's ``label``, without others being made.
+
+    Labels are the join keys, in blocks of ``window`` frames, so a detection meets its partners of three blocks at most.
+    """
+    side = lambda s: (F.col("t").alias(f"t_{s}"), F.col("label").alias(f"l_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in (*_AXES, *carry)])
+    block = F.floor(F.col("t") / window)
+    first = nodes.withColumn("partner", F.explode(partners)).select("movie", *side("i"), "partner", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    second = nodes.select("movie", *side("j"), F.col("label").alias("partner"), block.alias("block"))
+    met = first.join(second.hint("merge"), ["movie", "partner", "block"]).where(F.abs(F.col("t_i") - F.col("t_j")) < window)
+    keys = ("t_i", "l_i", "t_j", "l_j", *[f"{c}_{s}" for c in carry for s in "ij"])
+    return met.withColumn("dist", _dist()).where(F.col("dist") <= cutoff).select("movie", *keys, "dist")
+
+
 def in_windows(pairs: DataFrame, movies: DataFrame, window: int) -> DataFrame:
     """``pairs`` once for each window (t1) of ``window`` frames that holds both frames; ``movies`` has movie and n_frames, a row for each movie."""
     first, last = F.greatest(F.lit(0), F.greatest("t_i", "t_j") - window + 1), F.least(F.least("t_i", "t_j"), F.col("n_frames") - window)
@@ -281,6 +299,16 @@ def window_counts(pairs: DataFrame, windows: DataFrame) -> DataFrame:
     return size.join(divs, ["movie", "t1"], "left").withColumn("n_divs", F.coalesce("n_divs", F.lit(0)))
 
 
+def detection_counts(pairs: DataFrame, windows: DataFrame, movies: DataFrame, window: int) -> DataFrame:
+    """:func:`window_counts` where associations (``pairs`` without t1) do not depend on the window: each detection's are counted once by step."""
+    size = windows.groupBy("movie", "t1").agg(F.count(F.lit(1)).alias("n_objects"))
+    steps = F.array(*[F.count_if(F.col("t_j") - F.col("t_i") == k) for k in range(1 - window, window)])
+    dealt = in_windows(pairs.groupBy("movie", "t_i", "l_i").agg(steps.alias("n")).withColumn("t_j", F.col("t_i")), movies, window)
+    most = F.array_max(F.slice("n", F.col("t1") - F.col("t_i") + window, window))
+    divs = dealt.where(most == 2).groupBy("movie", "t1").agg(F.count(F.lit(1)).alias("n_divs"))
+    return size.join(divs, ["movie", "t1"], "left").withColumn("n_divs", F.coalesce("n_divs", F.lit(0)))
+
+
 def division_ratio(counts: DataFrame) -> DataFrame:
     """Divisions over detections, and the window with most divisions (the earliest of those tied), of each movie."""
     best = F.max_by("t1", F.struct("n_divs", -F.col("t1")))
