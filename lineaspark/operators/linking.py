@@ -135,7 +135,12 @@ def optimal_solution(edges: DataFrame, nodes: DataFrame | None = None, config: s
             first = second = max(first, second)
         places = places.where(-F.col("price") + k["appearC"] + F.when(F.col("slot") == 0, first).otherwise(second) > 0)
     places = materialize(places)
-    parts = assignment_parts(places, ["movie"], cells)
+    # Where all edges are as long, those from one frame share no node with others, so movies are cut by frames without a search.
+    step = flat.agg(F.min(F.col("dst.t") - F.col("src.t")).alias("low"), F.max(F.col("dst.t") - F.col("src.t")).alias("high")).first()
+    if step["low"] == step["high"]:
+        parts = assignment_parts(places.withColumn("frame", F.shiftright("i", 32)), ["movie", "frame"], cells).drop("frame")
+    else:
+        parts = assignment_parts(places, ["movie"], cells)
     start = (node_cost - k["appearC"] + k["disappearC"]) / 2
     state = materialize(ends.select("movie", "n", F.lit(float(start)).alias("lam")))
     best = bounds = None
